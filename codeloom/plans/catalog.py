@@ -10,4 +10,7 @@ from . import search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
+    "vector_topk": search.vector_topk,
+    "hybrid_topk": search.hybrid_topk,
+    "hybrid_typed_hits": search.hybrid_typed_hits,
 }

@@ -35,3 +35,60 @@ r AS (SELECT item_id, doc_id, round(kw_score, 6) AS score,
       FROM kw)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+VECTORS = """
+qv AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+       WHERE vec_id IN (SELECT item_id FROM benchmark)),
+dv AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+       WHERE vec_id IN (SELECT doc_id FROM documents)),
+vr AS (SELECT qv.item_id, dv.doc_id, round(list_cosine_similarity(qv.e, dv.e), 6) AS vec_score FROM qv, dv)
+"""
+
+ORACLES["vector_topk"] = f"""
+WITH {VECTORS},
+r AS (SELECT item_id, doc_id, vec_score AS score,
+             CAST(row_number() OVER (PARTITION BY item_id ORDER BY vec_score DESC, doc_id) AS INTEGER) AS rank
+      FROM vr)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+KW_SCALED = """
+kwr AS (SELECT item_id, doc_id, round(kw_score, 6) AS kw_score FROM kw),
+ks AS (SELECT *, min(kw_score) OVER (PARTITION BY item_id) AS kw_min,
+                 max(kw_score) OVER (PARTITION BY item_id) AS kw_max FROM kwr)
+"""
+
+ORACLES["hybrid_topk"] = f"""
+WITH {BM25_SCORES}, {KW_SCALED}, {VECTORS},
+vs AS (SELECT *, min(vec_score) OVER (PARTITION BY item_id) AS vec_min,
+                 max(vec_score) OVER (PARTITION BY item_id) AS vec_max FROM vr),
+j AS (SELECT coalesce(ks.item_id, vs.item_id) AS item_id, coalesce(ks.doc_id, vs.doc_id) AS doc_id,
+             ks.kw_score, vs.vec_score,
+             CASE WHEN ks.kw_score IS NULL THEN 0.0 WHEN ks.kw_max = ks.kw_min THEN 1.0
+                  ELSE (ks.kw_score - ks.kw_min) / (ks.kw_max - ks.kw_min) END AS ksc,
+             CASE WHEN vs.vec_score IS NULL THEN 0.0 WHEN vs.vec_max = vs.vec_min THEN 1.0
+                  ELSE (vs.vec_score - vs.vec_min) / (vs.vec_max - vs.vec_min) END AS vsc
+      FROM ks FULL OUTER JOIN vs ON ks.item_id = vs.item_id AND ks.doc_id = vs.doc_id),
+f AS (SELECT *, round(0.7 * vsc + 0.3 * ksc, 6) AS score FROM j),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f)
+SELECT item_id, rank, doc_id, score, kw_score,
+       CASE WHEN kw_score IS NOT NULL THEN round(ksc, 6) END AS kw_scaled,
+       vec_score,
+       CASE WHEN vec_score IS NOT NULL THEN round(vsc, 6) END AS vec_scaled
+FROM r WHERE rank <= 10
+"""
+
+ORACLES["hybrid_typed_hits"] = f"""
+WITH {BM25_SCORES}, {KW_SCALED},
+f AS (SELECT item_id, doc_id,
+             round(CASE WHEN kw_max = kw_min THEN 1.0 ELSE (kw_score - kw_min) / (kw_max - kw_min) END, 6) AS score
+      FROM ks),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f),
+h AS (SELECT r.item_id, r.rank, d.lang || '/doc_' || CAST(d.doc_id AS VARCHAR) || '.txt' AS file,
+             'doc_' || CAST(d.doc_id AS VARCHAR) AS function_type, d.source AS type, d.text, r.score
+      FROM r JOIN documents d USING (doc_id)
+      WHERE r.rank <= 10
+        AND d.source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9'))
+SELECT b.item_id, h.rank, h.file, h.function_type, h.type, h.text, h.score
+FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id
+"""

@@ -19,3 +19,50 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     s = s.withColumn("score", rounded("kw_score"))
     return (top_k(s, ["item_id"], "score", ["doc_id"], LIMIT)
             .select("item_id", "rank", "doc_id", "score"))
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.vector import vector_topk as vt
+    docs = table(spark, sf, "documents").select("doc_id")
+    issues = table(spark, sf, "benchmark").select("item_id")
+    vec = _vectors(spark, sf)
+    dv = vec.join(docs, vec.vec_id == docs.doc_id, "left_semi").select(F.col("vec_id").alias("doc_id"), "embedding")
+    qv = vec.join(issues, vec.vec_id == issues.item_id, "left_semi").select(F.col("vec_id").alias("item_id"), "embedding")
+    top, _ = vt(dv, qv, LIMIT, doc_id="doc_id", doc_vec="embedding", query_id="item_id", query_vec="embedding")
+    return top.select(F.col("query_id").alias("item_id"), F.col("vec_rank").alias("rank"),
+                      "doc_id", F.col("vec_score").alias("score"))
+
+
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.hybrid import hybrid
+    docs = table(spark, sf, "documents")
+    issues = table(spark, sf, "benchmark")
+    vec = _vectors(spark, sf)
+    h = hybrid(docs, issues, doc_id="doc_id", query_id="item_id", doc_vectors=vec, query_vectors=vec)
+    return h.withColumnRenamed("query_id", "item_id")
+
+
+def doc_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """documents seen as a snippet collection: type = source, file = lang folder, name = doc tag."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", "text", F.col("source").alias("type"),
+                    F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
+                    F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"))
+
+
+# The snippet types kept after the top-k (the reference keeps
+# its two code types; here the documents' sources play that role).
+KEPT_TYPES = ("src0", "src1", "src2", "src3", "src4", "src5", "src6", "src7", "src8", "src9")
+
+
+def hybrid_typed_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword-only hybrid (no model, V10), type filter after top-k, hit projection, empty issues kept."""
+    from ..operators.hybrid import hybrid, typed_hits
+    snippets = doc_snippets(spark, sf)
+    issues = table(spark, sf, "benchmark")
+    h = hybrid(snippets, issues, doc_id="doc_id", query_id="item_id")
+    return typed_hits(h, snippets, issues, "item_id", KEPT_TYPES)
