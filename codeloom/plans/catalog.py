@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import corpus, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
     "vector_topk": search.vector_topk,
     "hybrid_topk": search.hybrid_topk,
     "hybrid_typed_hits": search.hybrid_typed_hits,
+    "issue_slice": corpus.issue_slice,
+    "snippet_count": corpus.snippet_count,
+    "inline_comments": corpus.inline_comments,
 }

@@ -92,3 +92,35 @@ h AS (SELECT r.item_id, r.rank, d.lang || '/doc_' || CAST(d.doc_id AS VARCHAR) |
 SELECT b.item_id, h.rank, h.file, h.function_type, h.type, h.text, h.score
 FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id
 """
+
+# Python str.splitlines() boundaries and str.strip() whitespace, in RE2 syntax.
+LINES_RE = "'\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'"
+WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _comments(x: str) -> str:
+    return (f"list_filter(list_transform(list_transform(regexp_split_to_array({x}, {LINES_RE}), "
+            f"lambda l: {_strip('l')}), "
+            "lambda l: CASE WHEN strpos(l, '#') > 0 THEN substr(l, strpos(l, '#')) END), "
+            "lambda c: c IS NOT NULL AND length(c) > 2)")
+
+
+ORACLES["issue_slice"] = """
+SELECT doc_id AS issue_idx, doc_id + 1 AS serial_no, source AS repo, lang AS base_commit,
+       text AS problem_statement
+FROM documents WHERE doc_id BETWEEN 11 AND 20
+"""
+
+ORACLES["snippet_count"] = """
+SELECT lang AS snapshot_id, source AS type, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)
+"""
+
+ORACLES["inline_comments"] = f"""
+WITH l AS (SELECT doc_id, {_comments('text')} AS cs FROM documents)
+SELECT doc_id, CAST(unnest(generate_series(0, len(cs) - 1)) AS INTEGER) AS i, unnest(cs) AS comment
+FROM l WHERE len(cs) > 0
+"""
