@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, search
+from . import corpus, graphs, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
@@ -16,4 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_slice": corpus.issue_slice,
     "snippet_count": corpus.snippet_count,
     "inline_comments": corpus.inline_comments,
+    "node_upsert": graphs.node_upsert,
+    "edge_upsert": graphs.edge_upsert,
+    "detach_delete": graphs.detach_delete,
+    "neighbourhood": graphs.neighbourhood,
 }

@@ -124,3 +124,75 @@ WITH l AS (SELECT doc_id, {_comments('text')} AS cs FROM documents)
 SELECT doc_id, CAST(unnest(generate_series(0, len(cs) - 1)) AS INTEGER) AS i, unnest(cs) AS comment
 FROM l WHERE len(cs) > 0
 """
+
+USER_UPDATES = """
+ev AS (SELECT user_id, ts, event_id, event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS cents,
+              json_extract_string(props, '$.k') AS k FROM events),
+u AS (SELECT CAST(user_id AS VARCHAR) AS id, ts, event_id, event_type AS prop, cents AS value FROM ev
+      UNION ALL SELECT CAST(user_id AS VARCHAR), ts, event_id, 'last_type', event_type FROM ev
+      UNION ALL SELECT CAST(user_id AS VARCHAR), ts, event_id, 'k', CASE WHEN event_type <> 'error' THEN k END FROM ev)
+"""
+
+ORACLES["node_upsert"] = f"""
+WITH {USER_UPDATES},
+r AS (SELECT *, row_number() OVER (PARTITION BY id, prop ORDER BY ts DESC, event_id DESC) AS rn FROM u)
+SELECT 'User' AS label, id, prop, value FROM r WHERE rn = 1 AND value IS NOT NULL
+"""
+
+ORACLES["edge_upsert"] = """
+WITH n AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events WHERE event_type = 'signup'),
+e AS (SELECT CAST(user_id AS VARCHAR) AS src_id, json_extract_string(props, '$.k') AS dst_id, ts, event_id,
+             event_type, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS cents FROM events),
+ek AS (SELECT * FROM e WHERE src_id IN (SELECT id FROM n) AND dst_id IN (SELECT id FROM n)),
+u AS (SELECT src_id, dst_id, ts, event_id, 'type' AS prop, event_type AS value FROM ek
+      UNION ALL SELECT src_id, dst_id, ts, event_id, 'cents', cents FROM ek),
+r AS (SELECT *, row_number() OVER (PARTITION BY src_id, dst_id, prop ORDER BY ts DESC, event_id DESC) AS rn FROM u)
+SELECT 'User' AS src_label, src_id, 'REFERS' AS rel, 'User' AS dst_label, dst_id, prop, value
+FROM r WHERE rn = 1 AND value IS NOT NULL
+"""
+
+ORACLES["detach_delete"] = """
+WITH nodes AS (SELECT 'Customer' AS label, CAST(c_custkey AS VARCHAR) AS id FROM customer
+               UNION ALL SELECT 'Order', CAST(o_orderkey AS VARCHAR) FROM orders),
+edges AS (SELECT 'Customer' AS src_label, CAST(o_custkey AS VARCHAR) AS src_id, 'PLACED' AS rel,
+                 'Order' AS dst_label, CAST(o_orderkey AS VARCHAR) AS dst_id FROM orders),
+doomed AS (SELECT 'Customer' AS label, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+SELECT 'node' AS kind, label, id, CAST(NULL AS VARCHAR) AS rel, CAST(NULL AS VARCHAR) AS dst_label,
+       CAST(NULL AS VARCHAR) AS dst_id
+FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.label = n.label AND d.id = n.id)
+UNION ALL
+SELECT 'edge', src_label, src_id, rel, dst_label, dst_id FROM edges e
+WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.label = e.src_label AND d.id = e.src_id)
+  AND NOT EXISTS (SELECT 1 FROM doomed d WHERE d.label = e.dst_label AND d.id = e.dst_id)
+"""
+
+ORACLES["neighbourhood"] = """
+WITH nodes AS (SELECT 'Customer' AS label, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer
+               UNION ALL SELECT 'Order', CAST(o_orderkey AS VARCHAR), 'order_' || CAST(o_orderkey AS VARCHAR) FROM orders
+               UNION ALL SELECT 'Part', CAST(p_partkey AS VARCHAR), p_name FROM part
+               UNION ALL SELECT 'Supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier),
+edges AS (SELECT DISTINCT * FROM (
+          SELECT 'Customer' AS src_label, CAST(o_custkey AS VARCHAR) AS src_id, 'PLACED' AS rel,
+                 'Order' AS dst_label, CAST(o_orderkey AS VARCHAR) AS dst_id FROM orders
+          UNION ALL SELECT 'Order', CAST(l_orderkey AS VARCHAR), 'CONTAINS', 'Part', CAST(l_partkey AS VARCHAR) FROM lineitem
+          UNION ALL SELECT 'Supplier', CAST(l_suppkey AS VARCHAR), 'SHIPPED', 'Order', CAST(l_orderkey AS VARCHAR) FROM lineitem)),
+seeds AS (SELECT DISTINCT o_custkey AS issue_id, 'order_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders),
+prim AS (SELECT s.issue_id, n.id AS pid, n.name AS pname FROM seeds s JOIN nodes n ON n.label = 'Order' AND n.name = s.name),
+rin AS (SELECT e.rel, o.label AS olabel, e.dst_id AS pid, o.name AS v FROM edges e
+        JOIN nodes o ON o.label = e.src_label AND o.id = e.src_id WHERE e.dst_label = 'Order'),
+rout AS (SELECT e.rel, o.label AS olabel, e.src_id AS pid, o.name AS v FROM edges e
+         JOIN nodes o ON o.label = e.dst_label AND o.id = e.dst_id WHERE e.src_label = 'Order'),
+f AS (SELECT pid, list_sort(list_distinct(list(v))) AS vals FROM rin WHERE rel = 'PLACED' AND olabel = 'Customer' GROUP BY pid),
+c AS (SELECT pid, list_sort(list_distinct(list(v))) AS vals FROM rin WHERE rel = 'SHIPPED' AND olabel = 'Supplier' GROUP BY pid),
+k AS (SELECT pid, list_sort(list_distinct(list(v))) AS vals FROM rout WHERE rel = 'CONTAINS' AND olabel = 'Part' GROUP BY pid),
+nb AS (SELECT pid, list_sort(list_distinct(list(nb))) AS vals FROM (
+         SELECT src_id AS pid, dst_label || ':' || dst_id AS nb FROM edges WHERE src_label = 'Order'
+         UNION ALL SELECT dst_id, src_label || ':' || src_id FROM edges WHERE dst_label = 'Order') GROUP BY pid),
+res AS (SELECT prim.issue_id, prim.pid AS id, prim.pname AS name, f.vals AS files, c.vals AS classes,
+               k.vals AS called, nb.vals AS neighbours
+        FROM prim LEFT JOIN f USING (pid) LEFT JOIN c USING (pid) LEFT JOIN k USING (pid) LEFT JOIN nb USING (pid))
+SELECT cu.c_custkey AS issue_id, res.id, res.name,
+       coalesce(res.files, CAST([] AS VARCHAR[])) AS files, coalesce(res.classes, CAST([] AS VARCHAR[])) AS classes,
+       coalesce(res.called, CAST([] AS VARCHAR[])) AS called, coalesce(res.neighbours, CAST([] AS VARCHAR[])) AS neighbours
+FROM customer cu LEFT JOIN res ON cu.c_custkey = res.issue_id
+"""
