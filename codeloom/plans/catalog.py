@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, graphs, search
+from . import corpus, graphs, patches, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
@@ -20,4 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_upsert": graphs.edge_upsert,
     "detach_delete": graphs.detach_delete,
     "neighbourhood": graphs.neighbourhood,
+    "candidates": patches.candidates,
+    "candidates_strict": patches.candidates_strict,
+    "patch_scores": patches.patch_scores,
+    "best_patch": patches.best_patch,
+    "extraction_stats": patches.extraction_stats,
 }

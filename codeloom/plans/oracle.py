@@ -196,3 +196,75 @@ SELECT cu.c_custkey AS issue_id, res.id, res.name,
        coalesce(res.called, CAST([] AS VARCHAR[])) AS called, coalesce(res.neighbours, CAST([] AS VARCHAR[])) AS neighbours
 FROM customer cu LEFT JOIN res ON cu.c_custkey = res.issue_id
 """
+
+# ---- candidate extraction and scoring over F2 (expected values by concatenation, not regex)
+from . import replies_fixture as _F2  # noqa: E402
+
+
+def _d(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+_CAND = f"""
+{_F2.SQL_TURNS},
+ct AS (SELECT conv_id, turn, n, CAST((conv_id + turn) % 8 AS INTEGER) AS t, conv_id % 11 = 0 AS nodiff,
+              {_F2.sql_func('conv_id', 'turn')} AS tmpl, {_F2.sql_diff_body('conv_id', 'turn')} AS body
+       FROM aturn)
+"""
+
+ORACLES["candidates"] = f"""
+WITH {_CAND}
+SELECT conv_id, n AS patch_id,
+       CASE WHEN nodiff THEN '' ELSE '# Candidate Patch ' || CAST(n AS VARCHAR) || '\n# File: f_' || CAST(conv_id AS VARCHAR)
+            || '.py' || CASE WHEN tmpl = '' THEN '' ELSE '\n\n' || tmpl END END AS func,
+       CASE WHEN nodiff THEN '' ELSE '# Candidate Patch ' || CAST(n AS VARCHAR) || ' (Unified Diff)\n\n' || body END AS diff
+FROM ct WHERE conv_id % 10 <> 0
+"""
+
+ORACLES["candidates_strict"] = f"""
+WITH {_CAND}
+SELECT conv_id, n AS patch_id, tmpl AS func, body AS diff FROM ct WHERE NOT nodiff
+"""
+
+_SCORES = f"""
+{_CAND},
+sc AS (SELECT conv_id, n AS patch_id, nodiff,
+              CASE WHEN nodiff THEN '' ELSE '# Candidate Patch ' || CAST(n AS VARCHAR) || '\n# File: f_' || CAST(conv_id AS VARCHAR)
+                   || '.py' || CASE WHEN tmpl = '' THEN '' ELSE '\n\n' || tmpl END END AS func,
+              CASE WHEN nodiff THEN {_d(1.0)} ELSE {_d(1.0)} - least({_d('turn + conv_id % 40')} / {_d(30.0)}, {_d(1.0)}) END AS patch_size,
+              CASE WHEN nodiff THEN {_d(1.0)} ELSE {_d(_F2.sql_template_scores('t', 0))} END AS syntax,
+              {_d(0.8)} AS style,
+              CASE WHEN nodiff THEN {_d(1.0)} ELSE {_d(_F2.sql_template_scores('t', 1))} END AS exception,
+              CASE WHEN nodiff THEN {_d(1.0)} ELSE {_d(_F2.sql_template_scores('t', 2))} END AS docstring,
+              CASE WHEN nodiff THEN {_d(1.0)} ELSE {_d(_F2.sql_template_scores('t', 3))} END AS variable,
+              CASE WHEN nodiff THEN {_d(0.5)} ELSE {_d(_F2.sql_template_scores('t', 4))} END AS pattern,
+              CASE WHEN conv_id % 7 = 0 THEN {_d(0.5)} ELSE {_d('conv_id % 10')} / {_d(10.0)} END AS llm
+       FROM ct WHERE conv_id % 10 <> 0),
+st AS (SELECT *, round(patch_size * {_d(0.15)} + syntax * {_d(0.15)} + style * {_d(0.1)} + exception * {_d(0.1)}
+                       + docstring * {_d(0.1)} + variable * {_d(0.1)} + pattern * {_d(0.1)} + llm * {_d(0.2)}, 4) AS total
+       FROM sc)
+"""
+
+ORACLES["patch_scores"] = f"""
+WITH {_SCORES}
+SELECT conv_id, patch_id, patch_size, syntax, style, exception, docstring, variable, pattern, llm, total FROM st
+"""
+
+ORACLES["best_patch"] = f"""
+WITH {_SCORES},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, patch_id) AS rn FROM st)
+      WHERE rn = 1)
+SELECT c.conv_id,
+       CASE WHEN c.conv_id % 10 = 0 THEN 'unknown_file.py' ELSE 'f_' || CAST(c.conv_id AS VARCHAR) || '.py' END AS file_name,
+       CASE WHEN c.conv_id % 10 = 0 THEN 'unknown_function' ELSE 'fn_' || CAST(c.conv_id AS VARCHAR) END AS function_name,
+       b.patch_id AS best_patch_id, b.total AS best_total, b.func AS best_func
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b USING (conv_id)
+"""
+
+ORACLES["extraction_stats"] = f"""
+WITH {_F2.sql_replies()},
+k AS (SELECT conv_id, count(*) AS n FROM aturn WHERE conv_id % 10 <> 0 GROUP BY conv_id)
+SELECT r.conv_id, CAST(coalesce(k.n, 0) AS INTEGER) AS n_blocks, CAST(coalesce(k.n, 0) AS BIGINT) AS n_scored,
+       CASE WHEN coalesce(k.n, 0) = 0 THEN substr(r.reply, 1, 400) END AS quarantine
+FROM rep r LEFT JOIN k USING (conv_id)
+"""
