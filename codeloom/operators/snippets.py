@@ -25,3 +25,50 @@ def explode_comments(df: DataFrame, code: str, keep: list[str]) -> DataFrame:
 def singleton_classes(classes: DataFrame, code: str = "code_snippet") -> DataFrame:
     """Classes whose text holds both '__new__' and 'cls._instance'."""
     return classes.filter(F.col(code).contains("__new__") & F.col(code).contains("cls._instance"))
+
+
+def _usage(funcs: DataFrame, calls: DataFrame) -> DataFrame:
+    """X18: 'name calls: a, b' from the caller's list, else (missing or empty) the list of its
+    last dotted segment in the same file; no row when both are empty."""
+    by_name = calls.select("snapshot_id", "path", F.col("caller").alias("name"),
+                           F.when(F.size("callees") > 0, F.col("callees")).alias("own"))
+    by_tail = calls.select("snapshot_id", "path", F.col("caller").alias("tail"),
+                           F.when(F.size("callees") > 0, F.col("callees")).alias("tail_calls"))
+    f = funcs.withColumn("tail", F.element_at(F.split("name", "\\."), -1))
+    u = (f.join(by_name, ["snapshot_id", "path", "name"], "left")
+         .join(by_tail, ["snapshot_id", "path", "tail"], "left")
+         .withColumn("cl", F.coalesce("own", "tail_calls")))
+    return u.filter(F.col("cl").isNotNull()).select(
+        "snapshot_id", "path", "name", "sid",
+        F.concat(F.col("name"), F.lit(" calls: "), F.array_join("cl", ", ")).alias("usage"))
+
+
+def build_snippets(funcs: DataFrame, classes: DataFrame, calls: DataFrame) -> DataFrame:
+    """The snippet bag (duplicate snippet_ids kept):
+    functions -> function_code, docstring?, comment*, usage_context?; classes -> class_code, docstring?, comment*.
+    ``lineno`` is set only on code rows."""
+    f = funcs.filter(F.col("code_snippet") != "").withColumn(
+        "sid", F.concat("path", F.lit("::func::"), "name"))
+    c = classes.filter(F.col("code_snippet") != "").withColumn(
+        "sid", F.concat("path", F.lit("::class::"), "name"))
+    null_line = F.lit(None).cast("int")
+
+    def rows(df, code_type):
+        code = df.select("snapshot_id", F.col("code_snippet").alias("text"), F.lit(code_type).alias("type"),
+                         F.col("path").alias("file"), "name", F.col("lineno").cast("int").alias("lineno"),
+                         F.col("sid").alias("snippet_id"))
+        doc = df.filter(F.col("docstring").isNotNull() & (F.col("docstring") != "")).select(
+            "snapshot_id", F.col("docstring").alias("text"), F.lit("docstring").alias("type"),
+            F.col("path").alias("file"), "name", null_line.alias("lineno"),
+            F.concat("sid", F.lit("::docstring")).alias("snippet_id"))
+        com = explode_comments(df, "code_snippet", ["snapshot_id", "path", "name", "sid"]).select(
+            "snapshot_id", F.col("comment").alias("text"), F.lit("comment").alias("type"),
+            F.col("path").alias("file"), "name", null_line.alias("lineno"),
+            F.concat("sid", F.lit("::comment::"), F.col("i").cast("string")).alias("snippet_id"))
+        return code.unionByName(doc).unionByName(com)
+
+    usage = _usage(f, calls).select(
+        "snapshot_id", F.col("usage").alias("text"), F.lit("usage_context").alias("type"),
+        F.col("path").alias("file"), "name", null_line.alias("lineno"),
+        F.concat("sid", F.lit("::usage")).alias("snippet_id"))
+    return rows(f, "function_code").unionByName(usage).unionByName(rows(c, "class_code"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, graphs, patches, search
+from . import code, corpus, graphs, patches, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
@@ -25,4 +25,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "patch_scores": patches.patch_scores,
     "best_patch": patches.best_patch,
     "extraction_stats": patches.extraction_stats,
+    "code_functions": code.code_functions,
+    "code_classes": code.code_classes,
+    "code_bases_attrs": code.code_bases_attrs,
+    "code_imports_aliases": code.code_imports_aliases,
+    "code_calls": code.code_calls,
+    "parse_errors": code.parse_errors,
+    "symbol_table": code.symbol_table,
+    "design_patterns": code.design_patterns,
+    "snippets": code.snippets,
+    "graph_nodes": code.graph_nodes,
+    "graph_contains": code.graph_contains,
+    "graph_inherits_overrides": code.graph_inherits_overrides,
+    "graph_calls": code.graph_calls,
+    "graph_calls_as_coded": code.graph_calls_as_coded,
+    "graph_imports": code.graph_imports,
+    "neighbourhood_class": code.neighbourhood_class,
 }

@@ -268,3 +268,7 @@ SELECT r.conv_id, CAST(coalesce(k.n, 0) AS INTEGER) AS n_blocks, CAST(coalesce(k
        CASE WHEN coalesce(k.n, 0) = 0 THEN substr(r.reply, 1, 400) END AS quarantine
 FROM rep r LEFT JOIN k USING (conv_id)
 """
+
+from .oracle_code import O as _CODE  # noqa: E402
+
+ORACLES.update(_CODE)
