@@ -1,0 +1,80 @@
+"""Previous row per key in (key, order) order, safe under key skew.
+
+A window partitioned by the key puts every row of a hot key in one task.
+Instead the rows are range-partitioned on (key, order...), so a hot key is
+split across many sorted partitions.  Each task computes the lag locally in
+Arrow batches; the first row of a partition takes the last row of the
+nearest non-empty earlier partition, from a boundary table with one row per
+partition (bounded by the partition count, so it can be broadcast).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut_lineage
+
+_PID = "_pid"
+
+
+def previous_row(df: DataFrame, key: str, order: Sequence[str], carry: str,
+                 out: str = "prev", num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = value of ``carry`` on the previous row of the same ``key``
+    (rows ordered by ``order``), null on a key's first row.  ``key`` and
+    ``carry`` must be integral; ``order`` columns must be unique per key."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Pin the range partitioning (sampled bounds) so both passes see the same partitions.
+    ranged = cut_lineage(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order))
+    tagged = ranged.withColumn(_PID, F.spark_partition_id())
+    last = (tagged.groupBy(_PID)
+            .agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(carry).alias("v")),
+                          F.struct(key, *order)).alias("w"))
+            .select(_PID, "w.k", "w.v"))
+    rows = last.collect()  # one row per non-empty partition: bounded by n
+    bounds = sorted((r[_PID], r["k"], r["v"]) for r in rows)
+    # For partition p: the last (key, value) of the nearest non-empty partition before p.
+    before = {}
+    prev = None
+    it = iter(bounds)
+    nxt = next(it, None)
+    for p in range(n):
+        before[p] = prev
+        while nxt is not None and nxt[0] == p:
+            prev = (nxt[1], nxt[2])
+            nxt = next(it, None)
+    bc = spark.sparkContext.broadcast(before)
+
+    carry_type = df.schema[carry].dataType
+    schema = T.StructType(tagged.schema.fields + [T.StructField(out, carry_type, True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        first = True
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            if first:
+                p = b.column(_PID)[0].as_py()
+                state = bc.value.get(p)
+                first = False
+            k = b.column(key).to_numpy(zero_copy_only=False)
+            v = b.column(carry).to_numpy(zero_copy_only=False)
+            prev_v = np.empty(len(k), dtype=object)
+            prev_v[1:] = v[:-1]
+            same = np.zeros(len(k), dtype=bool)
+            same[1:] = k[1:] == k[:-1]
+            if state is not None and state[0] == k[0]:
+                prev_v[0], same[0] = state[1], True
+            prev_v[~same] = None
+            state = (k[-1], v[-1])
+            arr = pa.array(prev_v.tolist(), type=pa.from_numpy_dtype(v.dtype) if v.dtype != object else None)
+            yield b.append_column(out, arr)
+
+    return tagged.mapInArrow(run, schema).drop(_PID)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, corpus, graphs, patches, search
+from . import code, commits_fixture, corpus, graphs, patches, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
@@ -41,4 +41,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_calls_as_coded": code.graph_calls_as_coded,
     "graph_imports": code.graph_imports,
     "neighbourhood_class": code.neighbourhood_class,
+    "commit_graph": commits_fixture.commit_graph,
 }

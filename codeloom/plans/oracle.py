@@ -272,3 +272,38 @@ FROM rep r LEFT JOIN k USING (conv_id)
 from .oracle_code import O as _CODE  # noqa: E402
 
 ORACLES.update(_CODE)
+
+ORACLES["commit_graph"] = """
+WITH ev AS (SELECT event_id, ts, user_id, event_type, value, props,
+                   lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events),
+c AS (SELECT CAST(event_id AS VARCHAR) AS hexsha, CAST(user_id AS VARCHAR) AS author, event_type AS message,
+             CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                  ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS tstamp,
+             CASE WHEN prev_id IS NULL THEN NULL WHEN event_id % 25 = 0 THEN 'missing_' || CAST(event_id AS VARCHAR)
+                  ELSE CAST(prev_id AS VARCHAR) END AS parent,
+             'f_' || json_extract_string(props, '$.k') || '.py' AS path,
+             CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'A' ELSE 'M' END AS change_type,
+             CASE WHEN event_type = 'signup' THEN '' ELSE 'f_' || json_extract_string(props, '$.k') || '.py' END AS a_path,
+             CASE WHEN event_type = 'error' AND event_id % 40 <> 0 THEN ''
+                  ELSE 'f_' || json_extract_string(props, '$.k') || '.py' END AS b_path,
+             '@@ ' || event_type || ' ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS diff_text
+      FROM ev),
+commit_nodes AS (SELECT hexsha AS id, p.prop, CASE p.prop WHEN 'hexsha' THEN hexsha WHEN 'author' THEN author
+                        WHEN 'message' THEN message ELSE tstamp END AS value
+                 FROM c, (SELECT unnest(['hexsha', 'author', 'message', 'timestamp']) AS prop) p),
+stub_nodes AS (SELECT DISTINCT parent AS id, 'hexsha' AS prop, parent AS value FROM c
+               WHERE parent IS NOT NULL AND parent NOT IN (SELECT hexsha FROM c)),
+mods AS (SELECT hexsha, b_path AS fpath, 'MODIFIES' AS rel, change_type, diff_text FROM c WHERE b_path <> ''),
+dels AS (SELECT hexsha, a_path AS fpath, 'DELETES' AS rel, change_type, diff_text FROM c
+         WHERE b_path = '' AND a_path <> '' AND change_type = 'D'),
+fe AS (SELECT * FROM mods UNION ALL SELECT * FROM dels),
+files AS (SELECT DISTINCT fpath FROM fe)
+SELECT 'node' AS kind, 'Commit' AS src_label, id AS src_id, CAST(NULL AS VARCHAR) AS rel,
+       CAST(NULL AS VARCHAR) AS dst_label, CAST(NULL AS VARCHAR) AS dst_id, prop, value
+FROM (SELECT * FROM commit_nodes UNION ALL SELECT * FROM stub_nodes)
+UNION ALL SELECT 'node', 'File', fpath, NULL, NULL, NULL, 'path', fpath FROM files
+UNION ALL SELECT 'node', 'File', fpath, NULL, NULL, NULL, 'name', fpath FROM files
+UNION ALL SELECT 'edge', 'Commit', hexsha, 'PARENT_OF', 'Commit', parent, NULL, NULL FROM c WHERE parent IS NOT NULL
+UNION ALL SELECT 'edge', 'Commit', hexsha, rel, 'File', fpath, 'change_type', change_type FROM fe
+UNION ALL SELECT 'edge', 'Commit', hexsha, rel, 'File', fpath, 'diff_text', diff_text FROM fe
+"""
