@@ -26,3 +26,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     AQE can still split skewed partitions.
     """
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition ``df`` on ``keys`` only if it has fewer partitions than the
+    cluster can run at once.
+
+    Used before CPU-heavy row work (parsing, tokenizing, Python batches): a
+    large input already arrives in many splits and is left alone, so no text
+    is shuffled at scale; a few big files are spread over all cores.
+    Decided from the plan, without running a job.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
+from ..session import cut_lineage
 from .keyword import bm25
 from .ranking import rounded, top_k
 from .vector import cosine, vector_topk
@@ -45,11 +46,15 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     doc id / query id.  Without them the vector leg is absent (V10) and the
     score is the scaled keyword score.
     """
-    kw = (bm25(docs, queries, doc_id=doc_id, doc_text=doc_text, query_id=query_id, query_text=query_text)
-          .select(F.col(query_id).cast("long").alias("query_id"), F.col(doc_id).cast("long").alias("doc_id"),
-                  rounded("kw_score").alias("kw_score")))
+    # The keyword candidates feed three consumers: materialise them once.
+    kw = cut_lineage(bm25(docs, queries, doc_id=doc_id, doc_text=doc_text, query_id=query_id,
+                          query_text=query_text)
+                     .select(F.col(query_id).cast("long").alias("query_id"),
+                             F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
+    # One row per query: bounded by the query table.
     kstats = kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max"))
-    kw = kw.join(kstats, "query_id")
+    kw_only = kw
+    kw = kw.join(bounded_broadcast(kstats), "query_id")
 
     if doc_vectors is None or query_vectors is None:
         cand = (kw.withColumn("vec_score", F.lit(None).cast("double"))
@@ -70,8 +75,11 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
                .withColumn("vec_score", F.when(F.col("dvec").isNotNull() & F.col("qvec").isNotNull(),
                                                rounded(cosine("dvec", "qvec"))))
                .drop("dvec", "qvec"))
-        vonly = (vtop.join(kw.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-                 .select("query_id", "doc_id", "vec_score"))
+        # Vector top-k rows that are not keyword candidates.  vtop is at most k rows per
+        # query, so it is broadcast and the large keyword side is only filtered narrowly.
+        vt = bounded_broadcast(vtop.select("query_id", "doc_id", "vec_score"))
+        overlap = kw_only.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        vonly = vt.join(overlap.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
         cand = (kwv.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score")
                 .unionByName(vonly, allowMissingColumns=True)
                 .join(bounded_broadcast(vstats), "query_id", "left"))

@@ -16,8 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import bounded_broadcast
+from ..functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, fits, spread
 from ..functions.text import tokens
+from ..session import cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -36,29 +37,34 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",
          doc_text: str = "text", query_id: str = "query_id",
          query_text: str = "text", by: Sequence[str] = (),
          k1: float = K1, b: float = B) -> DataFrame:
-    """(by..., query_id, doc_id, kw_score) for every document matching a query term."""
-    by = list(by)
-    toks = docs.select(*by, doc_id, tokens(doc_text).alias("toks"))
-
-    # Collection statistics: partial aggregates, one row per collection.
-    stats = toks.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"),
-                                  F.avg(F.size("toks")).alias("avgdl"))
+    """(by..., query_id, doc_id, kw_score) for every document matching a query term.
 
+    Documents are tokenized once.  Each document emits its matching tokens
+    plus one sentinel row (term null) that carries its length; the aggregated
+    slice is checkpointed, so the statistics, document frequencies and
+    postings all read it instead of re-scanning and re-tokenizing the text.
+    """
+    by = list(by)
     qt = query_terms(queries, query_id, query_text, by)
-    vocab = bounded_broadcast(qt.select(*by, "term").distinct())
-
-    # Postings restricted to the query vocabulary: tokens are exploded and
-    # filtered narrowly (broadcast semi join), so only matching tokens shuffle.
-    postings = (toks
-                .select(*by, doc_id, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-                .join(vocab, [*by, "term"], "left_semi")
-                .groupBy(*by, doc_id, "dl", "term")
-                .agg(F.count(F.lit(1)).alias("tf")))
-
+    # |vocab| <= |doc_freq| bound: both are at most the number of query-term rows.
+    small = fits(qt, DEFAULT_MAX_BROADCAST_ROWS)
+    bc = F.broadcast if small else (lambda d: d)
+    vocab = qt.select(*by, "term").distinct().withColumn("hit", F.lit(True))
+
+    toks = spread(docs.select(*by, doc_id, doc_text), doc_id).select(*by, doc_id, tokens(doc_text).alias("toks"))
+    rows = (toks.select(*by, doc_id, F.size("toks").alias("dl"),
+                        F.explode(F.concat("toks", F.array(F.lit(None).cast("string")))).alias("term"))
+            .join(bc(vocab), [*by, "term"], "left")
+            .filter(F.col("hit") | F.col("term").isNull())
+            .groupBy(*by, doc_id, "dl", "term")
+            .agg(F.count(F.lit(1)).alias("tf")))
+    rows = cut_lineage(rows)
+    postings = rows.filter(F.col("term").isNotNull())
+    stats = (rows.filter(F.col("term").isNull()).groupBy(*by)
+             .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
     doc_freq = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
 
     if by:
-        stats_b = bounded_broadcast(stats)
         n_docs, avgdl = F.col("n_docs"), F.col("avgdl")
     else:
         n_docs = stats.select("n_docs").scalar()
@@ -69,11 +75,10 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",
     norm = tf + k1 * (1 - b + b * F.col("dl") / avgdl)
     term_score = F.col("qtf") * idf * tf * (k1 + 1) / norm
 
-    scored = (postings
-              .join(bounded_broadcast(doc_freq), [*by, "term"])
-              .join(bounded_broadcast(qt), [*by, "term"]))
+    scored = postings.join(bc(doc_freq), [*by, "term"]).join(bc(qt), [*by, "term"])
     if by:
-        scored = scored.join(stats_b, by)
+        # one row per collection
+        scored = scored.join(bounded_broadcast(stats), by)
     return (scored
             .groupBy(*by, query_id, doc_id)
             .agg(F.sum(term_score).alias("kw_score")))

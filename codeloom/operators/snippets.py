@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import spread
 from ..functions.text import py_strip, splitlines
 
 
@@ -19,7 +20,7 @@ def inline_comments(code: Column | str) -> Column:
 
 def explode_comments(df: DataFrame, code: str, keep: list[str]) -> DataFrame:
     """One row per kept comment with its renumbered position ``i`` (no shuffle)."""
-    return df.select(*keep, F.posexplode(inline_comments(code)).alias("i", "comment"))
+    return spread(df, *keep).select(*keep, F.posexplode(inline_comments(code)).alias("i", "comment"))
 
 
 def singleton_classes(classes: DataFrame, code: str = "code_snippet") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pyparse import SPARK_SCHEMA, parse_batches
+from ..functions.sizing import spread
 from ..session import cut_lineage
 
 KIND_FUNCTION = 0
@@ -20,8 +21,8 @@ KIND_CLASS = 1
 
 def parse(source_files: DataFrame, persist: bool = True) -> DataFrame:
     """One row per file: parse_error, functions, classes, imports, aliases."""
-    parsed = (source_files.select("snapshot_id", "path", "content")
-              .mapInArrow(parse_batches, SPARK_SCHEMA))
+    files = spread(source_files.select("snapshot_id", "path", "content"), "snapshot_id", "path")
+    parsed = files.mapInArrow(parse_batches, SPARK_SCHEMA)
     return cut_lineage(parsed) if persist else parsed
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sizing import fits
+from ..functions.sizing import fits, spread
+from ..session import cut_lineage
 from .ranking import SCORE_DECIMALS, top_k
 
 MAX_QUERY_ROWS = 50_000       # rows per broadcast query chunk
@@ -114,7 +115,7 @@ def vector_partials(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str
                     query_vec: str = "embedding") -> DataFrame:
     """Per-task partial results: top rows (doc_id set) and stat rows (doc_id null)."""
     spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec))
+    d = spread(docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec)), doc_id)
     parts = []
     for chunk in _query_chunks(queries, query_id, query_vec):
         rows = chunk.collect()  # bounded by MAX_QUERY_ROWS
@@ -131,7 +132,8 @@ def vector_partials(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str
 
 def vector_topk(docs: DataFrame, queries: DataFrame, k: int, **kw) -> tuple[DataFrame, DataFrame]:
     """(top, stats): top-k (query_id, doc_id, vec_score, rank) and per-query (vec_min, vec_max)."""
-    part = vector_partials(docs, queries, k, **kw)
+    # Partials (k rows per query per task, plus min/max rows) feed two consumers.
+    part = cut_lineage(vector_partials(docs, queries, k, **kw))
     top = top_k(part.filter(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "vec_score"),
                 ["query_id"], "vec_score", ["doc_id"], k, "vec_rank")
     stats = (part.filter(F.col("doc_id").isNull())
