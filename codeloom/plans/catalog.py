@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, commits_fixture, corpus, graphs, patches, search
+from . import code, commits_fixture, corpus, graphs, patches, search, workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
@@ -42,4 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_imports": code.graph_imports,
     "neighbourhood_class": code.neighbourhood_class,
     "commit_graph": commits_fixture.commit_graph,
+    "prompts": workflow.prompts,
+    "parsed_queries": workflow.parsed_queries,
+    "embed_rows": workflow.embed_rows,
+    "issue_pipeline": workflow.issue_pipeline,
 }

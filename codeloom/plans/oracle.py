@@ -307,3 +307,26 @@ UNION ALL SELECT 'edge', 'Commit', hexsha, 'PARENT_OF', 'Commit', parent, NULL,
 UNION ALL SELECT 'edge', 'Commit', hexsha, rel, 'File', fpath, 'change_type', change_type FROM fe
 UNION ALL SELECT 'edge', 'Commit', hexsha, rel, 'File', fpath, 'diff_text', diff_text FROM fe
 """
+
+# ---- prompts and parsed model replies
+from ..operators.predict import STUB_CYPHER as _CYPHER  # noqa: E402
+from ..operators.prompts import ANALYSIS_TEMPLATE as _P1, PATCH_TEMPLATE as _P3, render_sql as _render  # noqa: E402
+
+ORACLES["prompts"] = f"""
+WITH th AS ({ORACLES["hybrid_typed_hits"]}),
+hl AS (SELECT item_id,
+              string_agg('- ' || CAST(rank AS VARCHAR) || '. ' || file || ' :: ' || function_type || ' [' || type
+                         || '] score=' || printf('%.6f', score) || chr(10) || text, chr(10) ORDER BY rank) AS hits
+       FROM th WHERE rank IS NOT NULL GROUP BY item_id)
+SELECT b.item_id, {_render(_P1, issue='b.text')} AS analysis_prompt,
+       {_render(_P3, issue='b.text', hits="coalesce(hl.hits, '(none)')", graph="'(none)'")} AS patch_prompt
+FROM benchmark b LEFT JOIN hl ON b.item_id = hl.item_id
+"""
+
+ORACLES["parsed_queries"] = f"""
+WITH p AS (SELECT item_id, {_render(_P1, issue='text')} AS p1 FROM benchmark),
+k AS (SELECT item_id, array_to_string(list_sort(list_distinct({_tok('p1')})), ' ') AS kw FROM p)
+SELECT item_id, '### Analysis Result' || chr(10) || '**Keywords/Concepts:** ' || kw || chr(10) || '###' AS analysis,
+       kw AS vector_query, {"'" + _CYPHER.replace("'", "''") + "'"} AS cypher_query
+FROM k
+"""
