@@ -81,9 +81,10 @@ def flatten_props(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove ``doomed`` (label, id) nodes and every edge touching them (two anti joins)."""
     d = bounded_broadcast(doomed.select("label", "id").distinct())
-    kept_nodes = nodes.join(d, ["label", "id"], "left_anti")
+    kept_nodes = nodes.join(d, ["label", "id"], "left_anti").select(*nodes.columns)
     ds = d.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"))
     dd = d.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"))
     kept_edges = (edges.join(ds, ["src_label", "src_id"], "left_anti")
-                  .join(dd, ["dst_label", "dst_id"], "left_anti"))
+                  .join(dd, ["dst_label", "dst_id"], "left_anti")
+                  .select(*edges.columns))
     return kept_nodes, kept_edges
