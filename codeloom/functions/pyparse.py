@@ -96,7 +96,10 @@ def _assigned(stmt, src: _Source) -> list[str]:
     return []
 
 
-def extract_symbols(text: str) -> dict:
+def extract_symbols(text: str, as_coded: bool = False) -> dict:
+    """Symbols of one file.  ``as_coded`` reproduces what the reference's grammar
+    lookups actually yield: no class attributes (Q3), no static flag (Q4), no
+    from-imports (Q5), no docstrings (Q6)."""
     tree = ast.parse(text)
     src = _Source(text)
     out = {"functions": [], "classes": [], "imports": [], "aliases": {}}
@@ -109,7 +112,8 @@ def extract_symbols(text: str) -> dict:
                 if a.asname:
                     out["aliases"][a.asname] = a.name
         elif isinstance(node, ast.ImportFrom):
-            out["imports"].append("." * node.level + (node.module or ""))
+            if not as_coded:
+                out["imports"].append("." * node.level + (node.module or ""))
         elif isinstance(node, ast.ClassDef):
             state["cls"] = node.name
             out["classes"].append({
@@ -117,8 +121,8 @@ def extract_symbols(text: str) -> dict:
                 "end_lineno": node.end_lineno, "end_col_offset": node.end_col_offset,
                 "code_snippet": src.seg(node),
                 "bases": [b.id for b in node.bases if isinstance(b, ast.Name)],
-                "attributes": [a for s in node.body for a in _assigned(s, src)],
-                "def_ord": state["ord"], "docstring": ast.get_docstring(node),
+                "attributes": [] if as_coded else [a for s in node.body for a in _assigned(s, src)],
+                "def_ord": state["ord"], "docstring": None if as_coded else ast.get_docstring(node),
             })
             state["ord"] += 1
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -128,8 +132,8 @@ def extract_symbols(text: str) -> dict:
                 "lineno": node.lineno, "col_offset": node.col_offset,
                 "end_lineno": node.end_lineno, "end_col_offset": node.end_col_offset,
                 "code_snippet": src.seg(node),
-                "is_static": any("staticmethod" in src.seg(d) for d in node.decorator_list),
-                "def_ord": state["ord"], "docstring": ast.get_docstring(node),
+                "is_static": (not as_coded) and any("staticmethod" in src.seg(d) for d in node.decorator_list),
+                "def_ord": state["ord"], "docstring": None if as_coded else ast.get_docstring(node),
                 "calls": _calls_in(node, src),
             })
             state["ord"] += 1
@@ -143,7 +147,7 @@ def extract_symbols(text: str) -> dict:
     return out
 
 
-def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parse_batches(batches: Iterator[pa.RecordBatch], as_coded: bool = False) -> Iterator[pa.RecordBatch]:
     import sys
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
     for b in batches:
@@ -153,7 +157,7 @@ def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             rows["snapshot_id"].append(snap)
             rows["path"].append(path)
             try:
-                sym = extract_symbols(content if content is not None else "")
+                sym = extract_symbols(content if content is not None else "", as_coded)
                 err = None
             except Exception as e:  # noqa: BLE001 - X13: isolate the failing file
                 sym = {"functions": [], "classes": [], "imports": [], "aliases": []}

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
+from ..session import cut_lineage
+from .ranking import top_k
 
 
 
@@ -29,7 +31,7 @@ def seed_match(seeds: DataFrame, nodes: DataFrame, label: str, issue_id: str) ->
     return s.join(n, "pname")
 
 
-def expand(edges: DataFrame, nodes: DataFrame, primaries: DataFrame, label: str, rel: str,
+def expand(edges: DataFrame, nodes: DataFrame, pids: DataFrame, label: str, rel: str,
            direction: str, other_label: str, prop: str = "name") -> DataFrame:
     """G2 + G6: per primary id, the sorted distinct ``prop`` of neighbours along ``rel``.
 
@@ -41,16 +43,16 @@ def expand(edges: DataFrame, nodes: DataFrame, primaries: DataFrame, label: str,
     else:
         e = edges.filter((F.col("rel") == rel) & (F.col("dst_label") == label) & (F.col("src_label") == other_label))
         e = e.select(F.col("dst_id").alias("pid"), F.col("src_id").alias("oid"))
-    e = e.join(bounded_broadcast(primaries.select("pid").distinct()), "pid", "left_semi")
+    e = e.join(pids, "pid", "left_semi")
     o = nodes.filter(F.col("label") == other_label).select(F.col("id").alias("oid"), F.col(prop).alias("v"))
     return (e.join(o, "oid")
             .groupBy("pid")
             .agg(F.array_sort(F.collect_set("v")).alias("vals")))
 
 
-def one_hop(edges: DataFrame, primaries: DataFrame, label: str) -> DataFrame:
+def one_hop(edges: DataFrame, pids: DataFrame, label: str) -> DataFrame:
     """Per primary id, every immediate neighbour in either direction as 'Label:id'."""
-    p = bounded_broadcast(primaries.select("pid").distinct())
+    p = pids
     out = (edges.filter(F.col("src_label") == label)
            .select(F.col("src_id").alias("pid"), F.concat_ws(":", "dst_label", "dst_id").alias("nb")))
     inc = (edges.filter(F.col("dst_label") == label)
@@ -62,23 +64,29 @@ def one_hop(edges: DataFrame, primaries: DataFrame, label: str) -> DataFrame:
 def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, *,
                   issue_id: str, label: str,
                   relations: Mapping[str, tuple[str, str, str]],
-                  with_one_hop: bool = True) -> DataFrame:
+                  with_one_hop: bool = True, limit: int | None = None) -> DataFrame:
     """Per (issue, primary): name plus one sorted list per relation spec.
 
     ``nodes``: (label, id, name, ...); ``edges``: (src_label, src_id, rel, dst_label, dst_id).
     ``relations``: output column -> (rel, "in"|"out", other_label).
     """
-    prim = seed_match(seeds, nodes, label, issue_id)
+    # The matched primaries feed every expansion: materialise them once, and
+    # share one (bounded) broadcast of their ids for the semi joins.
+    prim = cut_lineage(seed_match(seeds, nodes, label, issue_id))
+    pids = bounded_broadcast(prim.select("pid").distinct())
     out = prim
     for col, (rel, direction, other) in relations.items():
-        agg = expand(edges, nodes, prim, label, rel, direction, other)
+        agg = expand(edges, nodes, pids, label, rel, direction, other)
         out = out.join(agg.withColumnRenamed("vals", col), "pid", "left")
     if with_one_hop:
-        out = out.join(one_hop(edges, prim, label).withColumnRenamed("vals", "neighbours"), "pid", "left")
+        out = out.join(one_hop(edges, pids, label).withColumnRenamed("vals", "neighbours"), "pid", "left")
     cols = list(relations) + (["neighbours"] if with_one_hop else [])
     out = out.select(issue_id, F.col("pid").alias("id"), F.col("pname").alias("name"),
                      *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
     # Every issue appears, with empty lists when nothing matched.
+    if limit is not None:
+        # The query's limit parameter, as a rank per issue (primary id order).
+        out = top_k(out.withColumn("_neg", F.lit(0)), [issue_id], "_neg", ["id"], limit, "_r").drop("_neg", "_r")
     res = issues.select(issue_id).distinct().join(out, issue_id, "left")
     return res.select(issue_id, "id", "name", *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
 

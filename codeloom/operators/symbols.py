@@ -19,10 +19,13 @@ KIND_FUNCTION = 0
 KIND_CLASS = 1
 
 
-def parse(source_files: DataFrame, persist: bool = True) -> DataFrame:
-    """One row per file: parse_error, functions, classes, imports, aliases."""
+def parse(source_files: DataFrame, persist: bool = True, as_coded: bool = False) -> DataFrame:
+    """One row per file: parse_error, functions, classes, imports, aliases.
+
+    ``as_coded=True`` keeps the reference's always-empty lookups (SURVEY Q3-Q6)."""
     files = spread(source_files.select("snapshot_id", "path", "content"), "snapshot_id", "path")
-    parsed = files.mapInArrow(parse_batches, SPARK_SCHEMA)
+    fn = (lambda it: parse_batches(it, True)) if as_coded else parse_batches
+    parsed = files.mapInArrow(fn, SPARK_SCHEMA)
     return cut_lineage(parsed) if persist else parsed
 
 

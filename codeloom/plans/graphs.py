@@ -83,13 +83,14 @@ def _commerce_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
                                    F.concat(F.lit("order_"), s_("o_orderkey")).alias("name")))
              .unionByName(p.select(F.lit("Part").alias("label"), s_("p_partkey").alias("id"), F.col("p_name").alias("name")))
              .unionByName(s.select(F.lit("Supplier").alias("label"), s_("s_suppkey").alias("id"), F.col("s_name").alias("name"))))
-    placed = o.select(F.lit("Customer").alias("src_label"), s_("o_custkey").alias("src_id"), F.lit("PLACED").alias("rel"),
-                      F.lit("Order").alias("dst_label"), s_("o_orderkey").alias("dst_id"))
-    contains = li.select(F.lit("Order").alias("src_label"), s_("l_orderkey").alias("src_id"), F.lit("CONTAINS").alias("rel"),
-                         F.lit("Part").alias("dst_label"), s_("l_partkey").alias("dst_id"))
-    shipped = li.select(F.lit("Supplier").alias("src_label"), s_("l_suppkey").alias("src_id"), F.lit("SHIPPED").alias("rel"),
-                        F.lit("Order").alias("dst_label"), s_("l_orderkey").alias("dst_id"))
-    edges = placed.unionByName(contains).unionByName(shipped).distinct()
+    def rel(df, src_label, src, name, dst_label, dst):
+        # dedupe on the numeric keys, then attach the constant labels
+        return (df.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
+                .select(F.lit(src_label).alias("src_label"), s_("s").alias("src_id"), F.lit(name).alias("rel"),
+                        F.lit(dst_label).alias("dst_label"), s_("d").alias("dst_id")))
+    edges = (rel(o, "Customer", "o_custkey", "PLACED", "Order", "o_orderkey")
+             .unionByName(rel(li, "Order", "l_orderkey", "CONTAINS", "Part", "l_partkey"))
+             .unionByName(rel(li, "Supplier", "l_suppkey", "SHIPPED", "Order", "l_orderkey")))
     return nodes, edges
 
 

@@ -96,3 +96,22 @@ def test_comment_rules(spark):
     df = spark.createDataFrame([("x = '#abc'\n#x\n# x\n  y = 1  # trailing  \n",)], "code string")
     got = df.select(inline_comments("code").alias("c")).first().c
     assert got == ["#abc'", "# x", "# trailing"]
+
+
+def test_as_coded_mode_keeps_reference_lookups_empty():
+    src = 'from m import x\nclass A:\n    y = 1\n    @staticmethod\n    def s():\n        """D."""\n'
+    s = extract_symbols(src, as_coded=True)
+    assert s["imports"] == [] and s["classes"][0]["attributes"] == []
+    assert s["functions"][0]["is_static"] is False and s["functions"][0]["docstring"] is None
+    i = extract_symbols(src)
+    assert i["imports"] == ["m"] and i["classes"][0]["attributes"] == ["y"] and i["functions"][0]["is_static"]
+
+
+def test_graph_limit_keeps_k_primaries_per_issue(spark):
+    from codeloom.operators.match import neighbourhood
+    nodes = spark.createDataFrame([("F", str(i), "f") for i in range(5)], "label string, id string, name string")
+    edges = spark.createDataFrame([], "src_label string, src_id string, rel string, dst_label string, dst_id string")
+    issues = spark.createDataFrame([(1,), (2,)], "issue_id long")
+    seeds = spark.createDataFrame([(1, "f")], "issue_id long, name string")
+    rows = neighbourhood(issues, seeds, nodes, edges, issue_id="issue_id", label="F", relations={}, limit=2).collect()
+    assert sorted((r.issue_id, r.id) for r in rows) == [(1, "0"), (1, "1"), (2, None)]
