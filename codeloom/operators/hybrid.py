@@ -6,10 +6,13 @@ leg's max equals its min, its scaled score is 1).
 
 Exactness without a query x document product: the keyword leg's candidates
 are all matching documents; the vector leg's min/max come from the partial
-aggregates of the full scan, and its rows are the vector top-k plus the
-vector score of every keyword candidate (an equi join on doc id).  A
-document that is neither a keyword candidate nor in the vector top-k has k
-documents whose fused score is at least its own, so it cannot enter the top-k.
+aggregates of the full scan.  A document that is neither a keyword
+candidate nor in the vector top-k has k documents whose fused score is at
+least its own, so it cannot enter the top-k.  The vector top-k's fused
+scores are known exactly, and their minimum T bounds the k-th best from
+below; a keyword candidate outside the vector top-k has vector score at most
+the k-th best v_k, so it is scored exactly (an equi join to its vector) only
+if a * scaled(v_k) + (1 - a) * scaled(kw) can still reach T.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import bounded_broadcast
+from ..functions.sizing import fits
 from ..session import cut_lineage
 from .keyword import bm25
 from .ranking import rounded, top_k
@@ -27,6 +30,10 @@ from .vector import cosine, vector_topk
 
 ALPHA = 0.7
 LIMIT = 10
+# Safety margin of the pruning bound, well above the 1e-6 score rounding.
+PRUNE_MARGIN = 1e-3
+# Query rows under which per-query tables are broadcast.
+MAX_QUERIES = 200_000
 
 
 def _scaled(x: str, lo: str, hi: str) -> Column:
@@ -51,10 +58,13 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
                           query_text=query_text)
                      .select(F.col(query_id).cast("long").alias("query_id"),
                              F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
-    # One row per query: bounded by the query table.
+    # Every per-query table below (stats, thresholds: one row per query; vector
+    # top-k: k rows per query) is bounded once the query count is: one probe.
+    per_query = F.broadcast if fits(queries, MAX_QUERIES) else (lambda d: d)
     kstats = kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max"))
     kw_only = kw
-    kw = kw.join(bounded_broadcast(kstats), "query_id")
+    kwb = per_query(kstats)
+    kw = kw.join(kwb, "query_id")
 
     if doc_vectors is None or query_vectors is None:
         cand = (kw.withColumn("vec_score", F.lit(None).cast("double"))
@@ -63,26 +73,42 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         a = 0.0
     else:
         a = alpha
+        b1 = round(1.0 - a, 12)
         dv = (doc_vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vec).alias("dvec"))
               .join(docs.select(F.col(doc_id).cast("long").alias("doc_id")), "doc_id", "left_semi"))
         qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
               .join(queries.select(F.col(query_id).cast("long").alias("query_id")), "query_id", "left_semi"))
         vtop, vstats = vector_topk(dv, qv, k, doc_id="doc_id", doc_vec="dvec",
                                    query_id="query_id", query_vec="qvec")
-        # Vector score of each keyword candidate: equi joins on doc and query id.
-        kwv = (kw.join(dv, "doc_id", "left")
-               .join(bounded_broadcast(qv), "query_id", "left")
+        # At most k rows per query: broadcast, so the large keyword side is only filtered narrowly.
+        vt = per_query(vtop.select("query_id", "doc_id", "vec_score"))
+        vs = per_query(vstats)
+
+        # Exact fused scores of the vector top-k (their keyword score by a narrow semi join).
+        vt_kw = kw_only.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        known = (vt.join(vt_kw, ["query_id", "doc_id"], "left").join(kwb, "query_id", "left")
+                 .join(vs, "query_id", "left"))
+        known_f = F.lit(a) * _scaled("vec_score", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
+        # Per query: T = k-th best fused among them, v_k = k-th best vector score.
+        thr = (known.groupBy("query_id")
+               .agg(F.count(F.lit(1)).alias("n_top"), F.min(known_f).alias("t_k"), F.min("vec_score").alias("v_k"))
+               .join(vs, "query_id"))
+        # Any other keyword candidate has vector score <= v_k, so its fused score is at most
+        # a * scaled(v_k) + (1 - a) * scaled(kw); below T (minus a rounding margin) it cannot rank.
+        rest = (kw.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+                .join(per_query(thr), "query_id", "left"))
+        bound = F.lit(a) * _scaled("v_k", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
+        keep = F.col("t_k").isNull() | (F.col("n_top") < k) | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))
+        survivors = rest.filter(keep).select("query_id", "doc_id", "kw_score", "kw_min", "kw_max")
+        # Exact vector score of the survivors: equi joins on doc and query id.
+        kwv = (survivors.join(dv, "doc_id", "left")
+               .join(per_query(qv), "query_id", "left")
                .withColumn("vec_score", F.when(F.col("dvec").isNotNull() & F.col("qvec").isNotNull(),
                                                rounded(cosine("dvec", "qvec"))))
                .drop("dvec", "qvec"))
-        # Vector top-k rows that are not keyword candidates.  vtop is at most k rows per
-        # query, so it is broadcast and the large keyword side is only filtered narrowly.
-        vt = bounded_broadcast(vtop.select("query_id", "doc_id", "vec_score"))
-        overlap = kw_only.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-        vonly = vt.join(overlap.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
         cand = (kwv.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score")
-                .unionByName(vonly, allowMissingColumns=True)
-                .join(bounded_broadcast(vstats), "query_id", "left"))
+                .unionByName(known.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score"))
+                .join(vs, "query_id", "left"))
 
     k_s = _scaled("kw_score", "kw_min", "kw_max")
     v_s = _scaled("vec_score", "vec_min", "vec_max")

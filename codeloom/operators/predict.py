@@ -30,10 +30,18 @@ def _tokens(text: str) -> list[str]:
 
 
 def keyword_stub() -> Predictor:
-    """Analysis stand-in: the sorted distinct tokens of the prompt as the keyword line."""
+    """Analysis stand-in: the sorted distinct tokens of the issue (the text between the
+    analysis prompt's issue markers; the whole prompt if they are absent) as the keyword line."""
+    from .prompts import ISSUE_END, ISSUE_START
+
+    def issue_of(p):
+        i = p.find(ISSUE_START)
+        j = p.rfind(ISSUE_END)
+        return p[i + len(ISSUE_START):j] if 0 <= i < j else p
+
     def run(prompts):
-        return ["### Analysis Result\n**Keywords/Concepts:** " + " ".join(sorted(set(_tokens(p)))) + "\n###"
-                for p in prompts]
+        return ["### Analysis Result\n**Keywords/Concepts:** " + " ".join(sorted(set(_tokens(issue_of(p)))))
+                + "\n###" for p in prompts]
     return run
 
 

@@ -62,6 +62,9 @@ PATCH_LAYOUT = """### Step 1: Localized Faulty Components
 +++ b/<path>
 <hunks>"""
 
+ISSUE_START = "Issue: "
+ISSUE_END = "\n\n1. Say what the main problem is."
+
 ANALYSIS_TEMPLATE = """Analyse this software issue so that its cause can be searched for in the code.
 Issue: {issue}
 

@@ -181,7 +181,7 @@ def hashing_embedder(dim: int = 64):
 
 
 def embed(df: DataFrame, text: str = "text", out: str = "embedding", model=None,
-          batch_size: int = 8, dim: int = 64) -> DataFrame:
+          batch_size: int = 64, dim: int = 64) -> DataFrame:
     """V1: add an embedding column with a batch model (Arrow batches, model loaded once per worker)."""
     from pyspark.ml.functions import predict_batch_udf
     make = model if model is not None else hashing_embedder(dim)

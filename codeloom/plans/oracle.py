@@ -324,8 +324,7 @@ FROM benchmark b LEFT JOIN hl ON b.item_id = hl.item_id
 """
 
 ORACLES["parsed_queries"] = f"""
-WITH p AS (SELECT item_id, {_render(_P1, issue='text')} AS p1 FROM benchmark),
-k AS (SELECT item_id, array_to_string(list_sort(list_distinct({_tok('p1')})), ' ') AS kw FROM p)
+WITH k AS (SELECT item_id, array_to_string(list_sort(list_distinct({_tok('text')})), ' ') AS kw FROM benchmark)
 SELECT item_id, '### Analysis Result' || chr(10) || '**Keywords/Concepts:** ' || kw || chr(10) || '###' AS analysis,
        kw AS vector_query, {"'" + _CYPHER.replace("'", "''") + "'"} AS cypher_query
 FROM k
