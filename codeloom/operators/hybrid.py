@@ -26,7 +26,7 @@ from ..functions.sizing import fits
 from ..session import cut_lineage
 from .keyword import bm25
 from .ranking import rounded, top_k
-from .vector import cosine, vector_topk
+from .vector import cosine, pair_cosine, vector_topk
 
 ALPHA = 0.7
 LIMIT = 10
@@ -60,7 +60,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
                              F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
     # Every per-query table below (stats, thresholds: one row per query; vector
     # top-k: k rows per query) is bounded once the query count is: one probe.
-    per_query = F.broadcast if fits(queries, MAX_QUERIES) else (lambda d: d)
+    q_small = fits(queries, MAX_QUERIES)
+    per_query = F.broadcast if q_small else (lambda d: d)
     kstats = kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max"))
     kw_only = kw
     kwb = per_query(kstats)
@@ -101,11 +102,15 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         keep = F.col("t_k").isNull() | (F.col("n_top") < k) | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))
         survivors = rest.filter(keep).select("query_id", "doc_id", "kw_score", "kw_min", "kw_max")
         # Exact vector score of the survivors: equi joins on doc and query id.
-        kwv = (survivors.join(dv, "doc_id", "left")
-               .join(per_query(qv), "query_id", "left")
-               .withColumn("vec_score", F.when(F.col("dvec").isNotNull() & F.col("qvec").isNotNull(),
-                                               rounded(cosine("dvec", "qvec"))))
-               .drop("dvec", "qvec"))
+        joined = survivors.join(dv, "doc_id", "left")
+        if q_small:
+            # numpy row-wise dot against the broadcast (bounded) query matrix
+            kwv = pair_cosine(joined, qv, query_id="query_id", doc_vec="dvec", query_vec="qvec")
+        else:
+            kwv = (joined.join(qv, "query_id", "left")
+                   .withColumn("vec_score", F.when(F.col("dvec").isNotNull() & F.col("qvec").isNotNull(),
+                                                   rounded(cosine("dvec", "qvec"))))
+                   .drop("dvec", "qvec"))
         cand = (kwv.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score")
                 .unionByName(known.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score"))
                 .join(vs, "query_id", "left"))

@@ -188,3 +188,46 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding", model=None,
     udf = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
                             input_tensor_shapes=None)
     return df.withColumn(out, udf(F.col(text)))
+
+
+def query_matrix(queries: DataFrame, query_id: str, vec: str):
+    """(ids, unit-row matrix) of a query-vector table the caller has proven small."""
+    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vec).alias("v")).collect()
+    rows = [r for r in rows if r["v"] is not None]
+    ids = np.array([r["q"] for r in rows], dtype=np.int64)
+    mat = _unit_rows(np.asarray([r["v"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
+    return ids, mat
+
+
+def pair_cosine(pairs: DataFrame, query_vectors: DataFrame, *, query_id: str, doc_vec: str,
+                query_vec: str = "embedding", out: str = "vec_score") -> DataFrame:
+    """Cosine of (query, doc-vector) pairs, vectorised per Arrow batch.
+
+    ``query_vectors`` (query_id, vector) must be bounded: it is broadcast as a
+    numpy matrix.  ``doc_vec`` is dropped; rows without a vector (or whose
+    query has none) get null.  Scores are rounded like the rest of the search.
+    """
+    spark = pairs.sparkSession
+    ids, mat = query_matrix(query_vectors, query_id, query_vec)
+    bc = spark.sparkContext.broadcast((ids, mat))
+    keep = [f for f in pairs.schema.fields if f.name != doc_vec]
+    schema = T.StructType(keep + [T.StructField(out, T.DoubleType(), True)])
+    names = [f.name for f in keep]
+
+    def run(batches):
+        qids, qm = bc.value
+        index = {int(q): i for i, q in enumerate(qids)}
+        for b in batches:
+            qs = b.column(query_id).to_pylist()
+            vecs = b.column(doc_vec)
+            pos = np.array([index.get(q, -1) if q is not None else -1 for q in qs], dtype=np.int64)
+            ok = (pos >= 0) & np.asarray(pc.is_valid(vecs).to_numpy(zero_copy_only=False), dtype=bool)
+            res = np.full(len(qs), np.nan)
+            if ok.any():
+                d = _unit_rows(_to_matrix(vecs.filter(pa.array(ok))))
+                res[ok] = np.round(np.einsum("ij,ij->i", d, qm[pos[ok]]), SCORE_DECIMALS)
+            col = pa.array(res, pa.float64(), mask=~ok)
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [col],
+                                             schema=pa.schema([(n, b.schema.field(n).type) for n in names]
+                                                              + [(out, pa.float64())]))
+    return pairs.mapInArrow(run, schema)
