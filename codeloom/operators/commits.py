@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .upsert import upsert_edges, upsert_nodes
 
 
@@ -28,7 +29,8 @@ def commit_graph(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns (nodes, edges) with keys (label, id) / (src_label, src_id, rel, dst_label, dst_id).
     """
-    c = commits
+    # The commit table fans out to six node/edge projections: materialise it once.
+    c = cut_lineage(commits)
     full = c.select(F.lit("Commit").alias("label"), F.col("hexsha").alias("id"),
                     F.create_map(F.lit("hexsha"), F.col("hexsha"), F.lit("author"), F.col("author"),
                                  F.lit("message"), F.col("message"),
@@ -45,7 +47,8 @@ def commit_graph(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select(F.lit("File").alias("label"), F.col("p").alias("id"),
                      F.create_map(F.lit("path"), F.col("p"), F.lit("name"), _basename(F.col("p"))).alias("props"),
                      F.lit(0).alias("ord")))
-    nodes = upsert_nodes(full.unionByName(stubs).unionByName(files))
+    # read by the caller and by the edge endpoint check
+    nodes = cut_lineage(upsert_nodes(full.unionByName(stubs).unionByName(files)))
 
     eprops = F.create_map(F.lit("change_type"), F.col("d.change_type"), F.lit("diff_text"), F.col("d.diff_text"))
     parent_of = par.select(F.lit("Commit").alias("src_label"), F.col("hexsha").alias("src_id"),

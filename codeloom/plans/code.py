@@ -13,8 +13,16 @@ from ..operators.upsert import NODE_KEY
 from . import source_fixture as F1
 
 
+# Parsed snapshots, one per (application, corpus): the knowledge base is built once
+# and every code query reads it (the parse output lives in the checkpoint folder).
+_PARSED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return X.parse(F1.source_files(spark, sf))
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _PARSED:
+        _PARSED[key] = X.parse(F1.source_files(spark, sf))
+    return _PARSED[key]
 
 
 def code_functions(spark: SparkSession, sf: str) -> DataFrame:
