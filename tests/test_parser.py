@@ -115,3 +115,12 @@ def test_graph_limit_keeps_k_primaries_per_issue(spark):
     seeds = spark.createDataFrame([(1, "f")], "issue_id long, name string")
     rows = neighbourhood(issues, seeds, nodes, edges, issue_id="issue_id", label="F", relations={}, limit=2).collect()
     assert sorted((r.issue_id, r.id) for r in rows) == [(1, "0"), (1, "1"), (2, None)]
+
+
+def test_constructor_call_makes_no_calls_edge(spark):
+    from codeloom.operators import codegraph as G
+    src = "class K:\n    pass\n\ndef make():\n    return K()\n\ndef use():\n    return make()\n"
+    files = spark.createDataFrame([("s", "m.py", src)], "snapshot_id string, path string, content string")
+    p = X.parse(files, persist=False)
+    e = G.check_endpoints(G.calls_edges(p, X.symbol_table(p)), G.nodes(p)).collect()
+    assert [(r.src_id, r.dst_id) for r in e] == [("m.py::use", "m.py::make")]

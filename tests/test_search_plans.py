@@ -64,3 +64,27 @@ def test_unknown_provider_fails_at_plan_time(spark):
     from codeloom.operators.predict import predict
     with pytest.raises(ValueError):
         predict(spark.range(1).select(F.lit("x").alias("p")), "p", "r", "no-such-model")
+
+
+def test_no_registered_query_plans_a_pair_product(spark):
+    import __spark_entry__ as E
+    bad = []
+    for name, q in E.queries().items():
+        if name == "issue_pipeline":
+            continue  # composed of the operators checked here; slow to plan
+        text = _plan(q(spark, SF0001))
+        if "CartesianProduct" in text or "BroadcastNestedLoopJoin" in text:
+            bad.append(name)
+    assert bad == []
+
+
+def test_keyword_statistics_are_per_collection(spark):
+    docs = spark.createDataFrame([("a", 1, "red fox"), ("a", 2, "red red"), ("b", 3, "red fox fox fox")],
+                                 "snapshot_id string, doc_id long, text string")
+    qs = spark.createDataFrame([("a", 10, "fox"), ("b", 10, "fox")], "snapshot_id string, query_id long, text string")
+    got = {(r.snapshot_id, r.doc_id): r.kw_score for r in bm25(docs, qs, by=["snapshot_id"]).collect()}
+    assert set(got) == {("a", 1), ("b", 3)}
+    import math
+    # collection b alone: N = 1, n = 1, dl = avgdl = 4, tf = 3
+    idf = math.log(1 + (1 - 1 + 0.5) / (1 + 0.5))
+    assert abs(got[("b", 3)] - idf * 3 * 2.2 / (3 + 1.2)) < 1e-9
