@@ -10,6 +10,7 @@ from ..operators import symbols as X
 from ..operators.match import neighbourhood as _neighbourhood
 from ..operators.snippets import build_snippets, singleton_classes
 from ..operators.upsert import NODE_KEY
+from ..session import cut_lineage
 from . import source_fixture as F1
 
 
@@ -25,6 +26,17 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return _PARSED[key]
 
 
+_SYMBOLS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot's symbol table, materialised once (read by several graph builders)."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _SYMBOLS:
+        _SYMBOLS[key] = cut_lineage(X.symbol_table(_parsed(spark, sf)))
+    return _SYMBOLS[key]
+
+
 def code_functions(spark: SparkSession, sf: str) -> DataFrame:
     return X.functions(_parsed(spark, sf)).select(
         "path", "name", "lineno", "col_offset", "end_lineno", "end_col_offset", "code_snippet", "is_static",
@@ -64,7 +76,7 @@ def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
-    return X.symbol_table(_parsed(spark, sf)).select("name", "symbol_id", "kind")
+    return _symbols(spark, sf).select("name", "symbol_id", "kind")
 
 
 def design_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,17 +108,17 @@ def graph_contains(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_inherits_overrides(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.inherits_overrides(p, X.symbol_table(p)), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.inherits_overrides(p, _symbols(spark, sf)), G.nodes(p)))
 
 
 def graph_calls(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.calls_edges(p, X.symbol_table(p)), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.calls_edges(p, _symbols(spark, sf)), G.nodes(p)))
 
 
 def graph_calls_as_coded(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.calls_edges(p, X.symbol_table(p), as_coded=True), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.calls_edges(p, _symbols(spark, sf), as_coded=True), G.nodes(p)))
 
 
 def graph_imports(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +134,7 @@ def neighbourhood_class(spark: SparkSession, sf: str) -> DataFrame:
     """
     p = _parsed(spark, sf)
     n = G.nodes(p)
-    e = G.check_endpoints(G.contains_edges(p).unionByName(G.calls_edges(p, X.symbol_table(p))), n)
+    e = G.check_endpoints(G.contains_edges(p).unionByName(G.calls_edges(p, _symbols(spark, sf))), n)
     # Files are matched and reported by path, the other labels by name.
     nodes = n.select("label", "id", F.when(F.col("label") == "File", F.col("props")["path"])
                      .otherwise(F.col("props")["name"]).alias("name"))
