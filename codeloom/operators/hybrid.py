@@ -46,16 +46,18 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
            query_id: str = "query_id", query_text: str = "text",
            doc_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
            vec_id: str = "vec_id", vec: str = "embedding",
-           alpha: float = ALPHA, k: int = LIMIT) -> DataFrame:
+           alpha: float = ALPHA, k: int = LIMIT, by: str | None = None) -> DataFrame:
     """Top-k fused hits: (query_id, rank, doc_id, score, kw_score, kw_scaled, vec_score, vec_scaled).
 
     ``doc_vectors`` / ``query_vectors`` are (vec_id, embedding) tables keyed by
     doc id / query id.  Without them the vector leg is absent (V10) and the
-    score is the scaled keyword score.
+    score is the scaled keyword score.  With ``by`` (a column of docs and
+    queries, e.g. snapshot_id) each query searches only its own collection,
+    with collection-level keyword statistics; query ids must be unique.
     """
     # The keyword candidates feed three consumers: materialise them once.
     kw = cut_lineage(bm25(docs, queries, doc_id=doc_id, doc_text=doc_text, query_id=query_id,
-                          query_text=query_text)
+                          query_text=query_text, by=[by] if by else ())
                      .select(F.col(query_id).cast("long").alias("query_id"),
                              F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
     # Every per-query table below (stats, thresholds: one row per query; vector
@@ -75,12 +77,15 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     else:
         a = alpha
         b1 = round(1.0 - a, 12)
+        g = [by] if by else []
         dv = (doc_vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vec).alias("dvec"))
-              .join(docs.select(F.col(doc_id).cast("long").alias("doc_id")), "doc_id", "left_semi"))
+              .join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *g), "doc_id",
+                    "inner" if by else "left_semi"))
         qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
-              .join(queries.select(F.col(query_id).cast("long").alias("query_id")), "query_id", "left_semi"))
+              .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id",
+                    "inner" if by else "left_semi"))
         vtop, vstats = vector_topk(dv, qv, k, doc_id="doc_id", doc_vec="dvec",
-                                   query_id="query_id", query_vec="qvec")
+                                   query_id="query_id", query_vec="qvec", group=by)
         # At most k rows per query: broadcast, so the large keyword side is only filtered narrowly.
         vt = per_query(vtop.select("query_id", "doc_id", "vec_score"))
         vs = per_query(vstats)
@@ -102,12 +107,13 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         keep = F.col("t_k").isNull() | (F.col("n_top") < k) | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))
         survivors = rest.filter(keep).select("query_id", "doc_id", "kw_score", "kw_min", "kw_max")
         # Exact vector score of the survivors: equi joins on doc and query id.
-        joined = survivors.join(dv, "doc_id", "left")
+        joined = survivors.join(dv.select("doc_id", "dvec"), "doc_id", "left")
         if q_small:
             # numpy row-wise dot against the broadcast (bounded) query matrix
-            kwv = pair_cosine(joined, qv, query_id="query_id", doc_vec="dvec", query_vec="qvec")
+            kwv = pair_cosine(joined, qv.select("query_id", "qvec"), query_id="query_id", doc_vec="dvec",
+                              query_vec="qvec")
         else:
-            kwv = (joined.join(qv, "query_id", "left")
+            kwv = (joined.join(qv.select("query_id", "qvec"), "query_id", "left")
                    .withColumn("vec_score", F.when(F.col("dvec").isNotNull() & F.col("qvec").isNotNull(),
                                                    rounded(cosine("dvec", "qvec"))))
                    .drop("dvec", "qvec"))

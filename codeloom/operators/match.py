@@ -9,7 +9,7 @@ lists (G11).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,62 +24,66 @@ def _empty():
     return F.array().cast("array<string>")
 
 
-def seed_match(seeds: DataFrame, nodes: DataFrame, label: str, issue_id: str) -> DataFrame:
-    """G1: (issue_id, pid, pname) for nodes of ``label`` whose name is among the issue's seeds."""
-    n = nodes.filter(F.col("label") == label).select(F.col("id").alias("pid"), F.col("name").alias("pname"))
-    s = seeds.select(issue_id, F.col("name").alias("pname")).distinct()
-    return s.join(n, "pname")
+def seed_match(seeds: DataFrame, nodes: DataFrame, label: str, issue_id: str,
+               by: Sequence[str] = ()) -> DataFrame:
+    """G1: (issue_id, by..., pid, pname) for nodes of ``label`` whose name is among the issue's
+    seeds (within the issue's own collection when ``by`` is given)."""
+    n = nodes.filter(F.col("label") == label).select(*by, F.col("id").alias("pid"), F.col("name").alias("pname"))
+    s = seeds.select(issue_id, *by, F.col("name").alias("pname")).distinct()
+    return s.join(n, [*by, "pname"])
 
 
 def expand(edges: DataFrame, nodes: DataFrame, pids: DataFrame, label: str, rel: str,
-           direction: str, other_label: str, prop: str = "name") -> DataFrame:
+           direction: str, other_label: str, prop: str = "name", by: Sequence[str] = ()) -> DataFrame:
     """G2 + G6: per primary id, the sorted distinct ``prop`` of neighbours along ``rel``.
 
     ``direction`` is "out" (primary -> other) or "in" (other -> primary).
     """
     if direction == "out":
         e = edges.filter((F.col("rel") == rel) & (F.col("src_label") == label) & (F.col("dst_label") == other_label))
-        e = e.select(F.col("src_id").alias("pid"), F.col("dst_id").alias("oid"))
+        e = e.select(*by, F.col("src_id").alias("pid"), F.col("dst_id").alias("oid"))
     else:
         e = edges.filter((F.col("rel") == rel) & (F.col("dst_label") == label) & (F.col("src_label") == other_label))
-        e = e.select(F.col("dst_id").alias("pid"), F.col("src_id").alias("oid"))
-    e = e.join(pids, "pid", "left_semi")
-    o = nodes.filter(F.col("label") == other_label).select(F.col("id").alias("oid"), F.col(prop).alias("v"))
-    return (e.join(o, "oid")
-            .groupBy("pid")
+        e = e.select(*by, F.col("dst_id").alias("pid"), F.col("src_id").alias("oid"))
+    e = e.join(pids, [*by, "pid"], "left_semi")
+    o = nodes.filter(F.col("label") == other_label).select(*by, F.col("id").alias("oid"), F.col(prop).alias("v"))
+    return (e.join(o, [*by, "oid"])
+            .groupBy(*by, "pid")
             .agg(F.array_sort(F.collect_set("v")).alias("vals")))
 
 
-def one_hop(edges: DataFrame, pids: DataFrame, label: str) -> DataFrame:
+def one_hop(edges: DataFrame, pids: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Per primary id, every immediate neighbour in either direction as 'Label:id'."""
-    p = pids
     out = (edges.filter(F.col("src_label") == label)
-           .select(F.col("src_id").alias("pid"), F.concat_ws(":", "dst_label", "dst_id").alias("nb")))
+           .select(*by, F.col("src_id").alias("pid"), F.concat_ws(":", "dst_label", "dst_id").alias("nb")))
     inc = (edges.filter(F.col("dst_label") == label)
-           .select(F.col("dst_id").alias("pid"), F.concat_ws(":", "src_label", "src_id").alias("nb")))
-    return (out.unionByName(inc).join(p, "pid", "left_semi")
-            .groupBy("pid").agg(F.array_sort(F.collect_set("nb")).alias("vals")))
+           .select(*by, F.col("dst_id").alias("pid"), F.concat_ws(":", "src_label", "src_id").alias("nb")))
+    return (out.unionByName(inc).join(pids, [*by, "pid"], "left_semi")
+            .groupBy(*by, "pid").agg(F.array_sort(F.collect_set("nb")).alias("vals")))
 
 
 def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, *,
                   issue_id: str, label: str,
                   relations: Mapping[str, tuple[str, str, str]],
-                  with_one_hop: bool = True, limit: int | None = None) -> DataFrame:
+                  with_one_hop: bool = True, limit: int | None = None,
+                  by: Sequence[str] = ()) -> DataFrame:
     """Per (issue, primary): name plus one sorted list per relation spec.
 
     ``nodes``: (label, id, name, ...); ``edges``: (src_label, src_id, rel, dst_label, dst_id).
     ``relations``: output column -> (rel, "in"|"out", other_label).
+    ``by``: collection columns present in seeds, nodes and edges (node ids are unique per collection).
     """
+    by = list(by)
     # The matched primaries feed every expansion: materialise them once, and
     # share one (bounded) broadcast of their ids for the semi joins.
-    prim = cut_lineage(seed_match(seeds, nodes, label, issue_id))
-    pids = bounded_broadcast(prim.select("pid").distinct())
+    prim = cut_lineage(seed_match(seeds, nodes, label, issue_id, by))
+    pids = bounded_broadcast(prim.select(*by, "pid").distinct())
     out = prim
     for col, (rel, direction, other) in relations.items():
-        agg = expand(edges, nodes, pids, label, rel, direction, other)
-        out = out.join(agg.withColumnRenamed("vals", col), "pid", "left")
+        agg = expand(edges, nodes, pids, label, rel, direction, other, by=by)
+        out = out.join(agg.withColumnRenamed("vals", col), [*by, "pid"], "left")
     if with_one_hop:
-        out = out.join(one_hop(edges, pids, label).withColumnRenamed("vals", "neighbours"), "pid", "left")
+        out = out.join(one_hop(edges, pids, label, by).withColumnRenamed("vals", "neighbours"), [*by, "pid"], "left")
     cols = list(relations) + (["neighbours"] if with_one_hop else [])
     out = out.select(issue_id, F.col("pid").alias("id"), F.col("pname").alias("name"),
                      *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])

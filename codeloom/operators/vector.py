@@ -45,9 +45,12 @@ def _to_matrix(arr: pa.Array) -> np.ndarray:
     return flat.reshape(len(arr), -1) if len(arr) else flat.reshape(0, 0)
 
 
-def _partial_topk_fn(bc, k: int, doc_id: str, vec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _partial_topk_fn(bc, k: int, doc_id: str, vec: str,
+                     group: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat = bc.value
+        qids, qmat, qgroups = bc.value
+        codes = {g: i for i, g in enumerate(sorted(set(qgroups)))} if group else {}
+        qcode = np.array([codes[g] for g in qgroups], dtype=np.int64) if group else None
         nq = len(qids)
         best_s = np.full((nq, 0), -np.inf)
         best_i = np.zeros((nq, 0), dtype=np.int64)
@@ -62,6 +65,14 @@ def _partial_topk_fn(bc, k: int, doc_id: str, vec: str) -> Callable[[Iterator[pa
                 ids, vecs = b.column(doc_id), b.column(vec)
             if b.num_rows == 0 or nq == 0:
                 continue
+            if group:
+                # only documents of a collection some query searches
+                dcode = np.array([codes.get(g, -1) for g in b.column(group).to_pylist()], dtype=np.int64)
+                sel = dcode >= 0
+                if not sel.any():
+                    continue
+                b, dcode = b.filter(pa.array(sel)), dcode[sel]
+                ids, vecs = b.column(doc_id), b.column(vec)
             d = _unit_rows(_to_matrix(vecs))
             did = ids.to_numpy(zero_copy_only=False).astype(np.int64)
             new_s = np.empty((nq, min(k, len(did)) + best_s.shape[1]))
@@ -69,8 +80,14 @@ def _partial_topk_fn(bc, k: int, doc_id: str, vec: str) -> Callable[[Iterator[pa
             for lo in range(0, nq, _QUERY_BLOCK):
                 hi = min(lo + _QUERY_BLOCK, nq)
                 s = np.round(qmat[lo:hi] @ d.T, SCORE_DECIMALS)
-                vmin[lo:hi] = np.minimum(vmin[lo:hi], s.min(axis=1))
-                vmax[lo:hi] = np.maximum(vmax[lo:hi], s.max(axis=1))
+                if group:
+                    own = qcode[lo:hi, None] == dcode[None, :]
+                    vmin[lo:hi] = np.minimum(vmin[lo:hi], np.where(own, s, np.inf).min(axis=1))
+                    vmax[lo:hi] = np.maximum(vmax[lo:hi], np.where(own, s, -np.inf).max(axis=1))
+                    s = np.where(own, s, -np.inf)
+                else:
+                    vmin[lo:hi] = np.minimum(vmin[lo:hi], s.min(axis=1))
+                    vmax[lo:hi] = np.maximum(vmax[lo:hi], s.max(axis=1))
                 cs = np.concatenate([best_s[lo:hi], s], axis=1)
                 ci = np.concatenate([best_i[lo:hi], np.broadcast_to(did, s.shape)], axis=1)
                 order = np.lexsort((ci, -cs), axis=1)[:, :new_s.shape[1]]
@@ -82,15 +99,18 @@ def _partial_topk_fn(bc, k: int, doc_id: str, vec: str) -> Callable[[Iterator[pa
             return
         kk = best_s.shape[1]
         rows_q = np.repeat(qids, kk)
-        top = pa.RecordBatch.from_arrays(
-            [pa.array(rows_q, pa.int64()), pa.array(best_i.ravel(), pa.int64()),
-             pa.array(best_s.ravel(), pa.float64()),
-             pa.nulls(len(rows_q), pa.float64()), pa.nulls(len(rows_q), pa.float64())],
+        flat_s = best_s.ravel()
+        real = np.isfinite(flat_s)  # masked (other collection) slots are dropped
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows_q[real], pa.int64()), pa.array(best_i.ravel()[real], pa.int64()),
+             pa.array(flat_s[real], pa.float64()),
+             pa.nulls(int(real.sum()), pa.float64()), pa.nulls(int(real.sum()), pa.float64())],
             schema=_ARROW_SCHEMA)
-        yield top
+        seen = np.isfinite(vmin)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(qids, pa.int64()), pa.nulls(nq, pa.int64()), pa.nulls(nq, pa.float64()),
-             pa.array(vmin, pa.float64()), pa.array(vmax, pa.float64())],
+            [pa.array(qids[seen], pa.int64()), pa.nulls(int(seen.sum()), pa.int64()),
+             pa.nulls(int(seen.sum()), pa.float64()),
+             pa.array(vmin[seen], pa.float64()), pa.array(vmax[seen], pa.float64())],
             schema=_ARROW_SCHEMA)
     return run
 
@@ -100,8 +120,9 @@ _ARROW_SCHEMA = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()),
                            ("vec_max", pa.float64())])
 
 
-def _query_chunks(queries: DataFrame, query_id: str, vec: str) -> list[DataFrame]:
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("vec"))
+def _query_chunks(queries: DataFrame, query_id: str, vec: str, group: str | None = None) -> list[DataFrame]:
+    g = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("vec"), g.alias("grp"))
     if fits(q, MAX_QUERY_ROWS):
         return [q]
     n = q.count()
@@ -112,18 +133,22 @@ def _query_chunks(queries: DataFrame, query_id: str, vec: str) -> list[DataFrame
 
 def vector_partials(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id",
                     doc_vec: str = "embedding", query_id: str = "query_id",
-                    query_vec: str = "embedding") -> DataFrame:
-    """Per-task partial results: top rows (doc_id set) and stat rows (doc_id null)."""
+                    query_vec: str = "embedding", group: str | None = None) -> DataFrame:
+    """Per-task partial results: top rows (doc_id set) and stat rows (doc_id null).
+
+    With ``group`` (a column of both tables, e.g. snapshot_id) a query only
+    scores documents of its own collection."""
     spark = docs.sparkSession
-    d = spread(docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec)), doc_id)
+    gcol = [F.col(group).cast("string").alias(group)] if group else []
+    d = spread(docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec), *gcol), doc_id)
     parts = []
-    for chunk in _query_chunks(queries, query_id, query_vec):
-        rows = chunk.collect()  # bounded by MAX_QUERY_ROWS
-        qids = np.array([r["query_id"] for r in rows if r["vec"] is not None], dtype=np.int64)
-        qm = [r["vec"] for r in rows if r["vec"] is not None]
+    for chunk in _query_chunks(queries, query_id, query_vec, group):
+        rows = [r for r in chunk.collect() if r["vec"] is not None]  # bounded by MAX_QUERY_ROWS
+        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        qm = [r["vec"] for r in rows]
         qmat = _unit_rows(np.asarray(qm, dtype=np.float64)) if qm else np.zeros((0, 0))
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(d.mapInArrow(_partial_topk_fn(bc, k, doc_id, doc_vec), PARTIAL_SCHEMA))
+        bc = spark.sparkContext.broadcast((qids, qmat, [r["grp"] for r in rows]))
+        parts.append(d.mapInArrow(_partial_topk_fn(bc, k, doc_id, doc_vec, group), PARTIAL_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -92,20 +92,25 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
     sn = kb["snippets"]
     # Dual retrieval, per snapshot: hybrid search of the vector query over that snapshot's snippets.
     qv = embed(q.select(F.col("issue_id").alias("vec_id"), F.col("vector_query").alias("text")))
-    hy = hybrid(sn.select("doc_id", "text"), q.select("issue_id", F.col("vector_query").alias("text")),
+    hy = hybrid(sn.select("snapshot_id", "doc_id", "text"),
+                q.select("snapshot_id", "issue_id", F.col("vector_query").alias("text")),
                 doc_id="doc_id", query_id="issue_id",
-                doc_vectors=sn.select(F.col("doc_id").alias("vec_id"), "embedding"), query_vectors=qv)
+                doc_vectors=sn.select(F.col("doc_id").alias("vec_id"), "embedding"), query_vectors=qv,
+                by="snapshot_id")
     hits = typed_hits(hy, sn, q.select("issue_id"), "issue_id", HIT_TYPES)
     hit_lists = hits_text(hits, "issue_id")
     # Graph leg: the neighbourhood of the functions named by the hits.
-    seeds = hits.filter(F.col("function_type").isNotNull()).select("issue_id", F.col("function_type").alias("name"))
-    gn = kb["nodes"].select("label", "id", F.when(F.col("label") == "File", F.col("props")["path"])
+    seeds = (hits.filter(F.col("function_type").isNotNull())
+             .select("issue_id", F.col("function_type").alias("name"))
+             .join(q.select("issue_id", "snapshot_id"), "issue_id"))
+    gn = kb["nodes"].select("snapshot_id", "label", "id", F.when(F.col("label") == "File", F.col("props")["path"])
                             .otherwise(F.col("props")["name"]).alias("name"))
-    ge = kb["edges"].select("src_label", "src_id", "rel", "dst_label", "dst_id")
+    ge = kb["edges"].select("snapshot_id", "src_label", "src_id", "rel", "dst_label", "dst_id")
     rows = neighbourhood(q.select("issue_id"), seeds, gn, ge, issue_id="issue_id", label="Function",
                          relations={"files": ("CONTAINS_FUNCTION", "in", "File"),
                                     "classes": ("CONTAINS_FUNCTION", "in", "Class"),
-                                    "called": ("CALLS", "out", "Function")}, with_one_hop=False)
+                                    "called": ("CALLS", "out", "Function")}, with_one_hop=False,
+                         by=["snapshot_id"])
     graph = results_per_issue(rows, "issue_id", ["files", "classes", "called"]).select(
         "issue_id", F.to_json("results").alias("graph"))
     gen = (q.join(hit_lists, "issue_id", "left").join(graph, "issue_id", "left")

@@ -88,3 +88,19 @@ def test_keyword_statistics_are_per_collection(spark):
     # collection b alone: N = 1, n = 1, dl = avgdl = 4, tf = 3
     idf = math.log(1 + (1 - 1 + 0.5) / (1 + 0.5))
     assert abs(got[("b", 3)] - idf * 3 * 2.2 / (3 + 1.2)) < 1e-9
+
+
+def test_each_issue_searches_only_its_own_snapshot(spark):
+    from codeloom.operators.vector import embed
+    snip = spark.createDataFrame(
+        [("a", 1, "def parse_tag(x): return x"), ("a", 2, "def other(): pass"),
+         ("b", 3, "def parse_tag(x): return x"), ("b", 4, "def parse_tag_fast(x): return x")],
+        "snapshot_id string, doc_id long, text string")
+    issues = spark.createDataFrame([("a", 10, "parse tag"), ("b", 20, "parse tag")],
+                                   "snapshot_id string, issue_id long, text string")
+    dv = embed(snip).select(F.col("doc_id").alias("vec_id"), "embedding")
+    qv = embed(issues).select(F.col("issue_id").alias("vec_id"), "embedding")
+    h = hybrid(snip, issues, query_id="issue_id", doc_vectors=dv, query_vectors=qv, by="snapshot_id").collect()
+    own = {10: {1, 2}, 20: {3, 4}}
+    assert h and all(r.doc_id in own[r.query_id] for r in h)
+    assert {r.doc_id for r in h if r.query_id == 20} == {3, 4}
