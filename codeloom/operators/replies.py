@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 
-# The headers and markers of the reply format.
+# The headers and markers of the reply format, and the patterns that
+# cut replies into queries and candidates (the reference's patterns; only the Java
+# flag prefixes are ours, to keep Python's matching rules).
 STEP2 = "### Step 2:"
 FULL_HDR = "#### Candidate Patch (Full Function)"
 DIFF_HDR = "#### Candidate Patch (Unified Diff)"
 UNKNOWN_FILE = "unknown_file.py"
 UNKNOWN_FUNCTION = "unknown_function"
-
 _BLOCK_RE = r"(?d)(#### Candidate Patch \(Full Function\)[\s\S]*?)(?=#### Candidate Patch \(Full Function\)|$)"
 _FULL_RE = r"(?s)#### Candidate Patch \(Full Function\)(.*?)(?=#### Candidate Patch \(Unified Diff\))"
 _DIFF_RE = r"(?s)#### Candidate Patch \(Unified Diff\)(.*)"

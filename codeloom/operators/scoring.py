@@ -18,6 +18,12 @@ WEIGHTS = (("patch_size", 0.15), ("syntax", 0.15), ("style", 0.10), ("exception"
 SIZE_THRESHOLD = 30
 STYLE_IF_NO_LINTER = 0.8
 LLM_DEFAULT = 0.5
+# The reference's score patterns (the Java flag prefixes are ours).
+BARE_EXCEPT_RE = r"(?U)except\s*:"
+BROAD_EXCEPT_RE = r"(?U)except\s+Exception"
+DOCSTRING_RE = "(?s)\"\"\".*?\"\"\"|'''.*?'''"
+ASSIGNMENT_RE = r"(?Ud)(\w+)\s*=.*"
+NUMBER_RE = r"\d*\.?\d+"
 
 
 def size_score(diff: Column, threshold: int = SIZE_THRESHOLD) -> Column:
@@ -55,19 +61,19 @@ def style_score(lint_issues: Column | None = None) -> Column:
 
 def exception_score(code: Column) -> Column:
     """K9: bare except 0.3, else 'except Exception' 0.6, else 1."""
-    return (F.when(code.rlike(r"(?U)except\s*:"), F.lit(0.3))
-            .when(code.rlike(r"(?U)except\s+Exception"), F.lit(0.6))
+    return (F.when(code.rlike(BARE_EXCEPT_RE), F.lit(0.3))
+            .when(code.rlike(BROAD_EXCEPT_RE), F.lit(0.6))
             .otherwise(F.lit(1.0)))
 
 
 def docstring_score(code: Column) -> Column:
     """0 if any triple-quoted block, else 1."""
-    return F.when(code.rlike(r"(?s)\"\"\".*?\"\"\"|'''.*?'''"), F.lit(0.0)).otherwise(F.lit(1.0))
+    return F.when(code.rlike(DOCSTRING_RE), F.lit(0.0)).otherwise(F.lit(1.0))
 
 
 def variable_score(code: Column) -> Column:
     """At most 5 distinct assigned names (one match per line) -> 1, else 0.6."""
-    names = F.regexp_extract_all(code, F.lit(r"(?Ud)(\w+)\s*=.*"), F.lit(1))
+    names = F.regexp_extract_all(code, F.lit(ASSIGNMENT_RE), F.lit(1))
     return F.when(F.size(F.array_distinct(names)) <= 5, F.lit(1.0)).otherwise(F.lit(0.6))
 
 
@@ -79,7 +85,7 @@ def pattern_score(code: Column) -> Column:
 
 def llm_score(reply: Column) -> Column:
     """First number in the model reply, clamped to [0, 1]; 0.5 if none or no reply."""
-    num = F.regexp_extract(reply, r"\d*\.?\d+", 0).try_cast("double")
+    num = F.regexp_extract(reply, NUMBER_RE, 0).try_cast("double")
     # least/greatest skip nulls, so the fallback must be decided first.
     return F.when(num.isNull(), F.lit(LLM_DEFAULT)).otherwise(F.greatest(F.lit(0.0), F.least(num, F.lit(1.0))))
 
