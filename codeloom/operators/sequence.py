@@ -29,7 +29,9 @@ def previous_row(df: DataFrame, key: str, order: Sequence[str], carry: str,
     (rows ordered by ``order``), null on a key's first row.  ``key`` and
     ``carry`` must be integral; ``order`` columns must be unique per key."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Enough ranges to split a hot key across all cores; a large input keeps its own
+    # (larger) split count.  Explicit range counts are not coalesced by AQE.
+    n = num_partitions or max(2 * spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
     # Pin the range partitioning (sampled bounds) so both passes see the same partitions.
     ranged = cut_lineage(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order))
     tagged = ranged.withColumn(_PID, F.spark_partition_id())
