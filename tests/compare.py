@@ -54,8 +54,15 @@ def duck(sf_dir):
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     keys = [a for a in argv[1:] if not a.startswith("/")]
-    from codeloom.session import build_session
-    spark = build_session("local[8]")
+    import os
+    if os.environ.get("COMPARE_PLAIN_SESSION"):
+        # a session as a driver would build it: no tuning, default shuffle partitions
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from codeloom.session import build_session
+        spark = build_session("local[8]")
     con = duck(sf_dir)
     qs, orc = E.queries(), E.oracle_sql()
     bad = 0
