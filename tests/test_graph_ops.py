@@ -56,3 +56,30 @@ def test_previous_row_matches_window_lag_under_a_hot_key(spark):
     want = df.withColumn("prev", F.lag("id").over(Window.partitionBy("k").orderBy("t", "id")))
     assert sorted(map(tuple, got.select("id", "prev").collect())) == \
         sorted(map(tuple, want.select("id", "prev").collect()))
+
+
+def test_previous_row_plan_has_no_per_key_window(spark):
+    df = spark.range(0, 200).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), "id")
+    p = previous_row(df, "k", ["t"], "id", num_partitions=8)
+    p.collect()
+    assert "Window" not in p._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upsert_hot_node_matches_naive_last_wins(spark):
+    rnd = random.Random(3)
+    rows = []
+    for o in range(3000):
+        node = "hot" if rnd.random() < 0.34 else str(rnd.randrange(100))
+        prop = rnd.choice("abc")
+        val = None if rnd.random() < 0.1 else str(rnd.randrange(10))
+        rows.append(("N", node, {prop: val}, o))
+    got = as_dict(upsert_nodes(spark.createDataFrame(rows, NODE_T)))
+    want = {}
+    for label, node, props, _ in sorted(rows, key=lambda r: r[3]):
+        cur = want.setdefault((label, node), {})
+        for k, v in props.items():
+            if v is None:
+                cur.pop(k, None)
+            else:
+                cur[k] = v
+    assert got == want
