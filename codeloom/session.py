@@ -8,6 +8,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _default_heap() -> str:
+    """60% of physical memory, at most 16g (local mode: the driver is the executor)."""
+    try:
+        phys = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(phys * 0.6 / 2**30)))}g"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "codeloom") -> SparkSession:
     """A session with AQE on and the UI off; for tests, benches and scripts.
@@ -26,7 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("CODELOOM_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("CODELOOM_DRIVER_MEMORY", _default_heap())))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
