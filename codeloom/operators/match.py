@@ -72,25 +72,55 @@ def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges:
     ``nodes``: (label, id, name, ...); ``edges``: (src_label, src_id, rel, dst_label, dst_id).
     ``relations``: output column -> (rel, "in"|"out", other_label).
     ``by``: collection columns present in seeds, nodes and edges (node ids are unique per collection).
+
+    One pass: every edge touching a primary is seen from the primary's side,
+    semi-joined to the (bounded) primary ids once, joined to its other end's
+    node once, and all lists come out of one aggregation with a conditional
+    distinct collect per relation (G6), so no relation multiplies another and
+    the edge table is read and shuffled once.
     """
     by = list(by)
-    # The matched primaries feed every expansion: materialise them once, and
-    # share one (bounded) broadcast of their ids for the semi joins.
+    # The matched primaries feed the aggregation and the final rows: materialise once.
     prim = cut_lineage(seed_match(seeds, nodes, label, issue_id, by))
     pids = bounded_broadcast(prim.select(*by, "pid").distinct())
-    out = prim
-    for col, (rel, direction, other) in relations.items():
-        agg = expand(edges, nodes, pids, label, rel, direction, other, by=by)
-        out = out.join(agg.withColumnRenamed("vals", col), [*by, "pid"], "left")
+
+    out_e = edges.filter(F.col("src_label") == label).select(
+        *by, F.col("src_id").alias("pid"), "rel", F.lit("out").alias("dir"),
+        F.col("dst_label").alias("olabel"), F.col("dst_id").alias("oid"))
+    in_e = edges.filter(F.col("dst_label") == label).select(
+        *by, F.col("dst_id").alias("pid"), "rel", F.lit("in").alias("dir"),
+        F.col("src_label").alias("olabel"), F.col("src_id").alias("oid"))
+    touch = out_e.unionByName(in_e).join(pids, [*by, "pid"], "left_semi")
+
+    def spec(rel, direction, other):
+        return (F.col("rel") == rel) & (F.col("dir") == direction) & (F.col("olabel") == other)
+
+    wanted = F.lit(False)
+    for r in relations.values():
+        wanted = wanted | spec(*r)
+    if not with_one_hop:
+        touch = touch.filter(wanted)
+    # Names only for the labels a relation asks for (the filter reaches each label's
+    # source); one-hop needs no names.
+    labels = sorted({o for _, _, o in relations.values()})
+    other = (nodes.filter(F.col("label").isin(labels))
+             .select(*by, F.col("label").alias("olabel"), F.col("id").alias("oid"), F.col("name").alias("v")))
+    named = touch.join(other, [*by, "olabel", "oid"], "left")
+
+    aggs = [F.array_sort(F.collect_set(F.when(spec(*r), F.col("v")))).alias(col) for col, r in relations.items()]
     if with_one_hop:
-        out = out.join(one_hop(edges, pids, label, by).withColumnRenamed("vals", "neighbours"), [*by, "pid"], "left")
+        # Every immediate neighbour in either direction as 'Label:id'
+        aggs.append(F.array_sort(F.collect_set(F.concat_ws(":", "olabel", "oid"))).alias("neighbours"))
     cols = list(relations) + (["neighbours"] if with_one_hop else [])
+    out = prim
+    if aggs:
+        out = prim.join(named.groupBy(*by, "pid").agg(*aggs), [*by, "pid"], "left")
     out = out.select(issue_id, F.col("pid").alias("id"), F.col("pname").alias("name"),
                      *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
-    # Every issue appears, with empty lists when nothing matched.
     if limit is not None:
         # The query's limit parameter, as a rank per issue (primary id order).
         out = top_k(out.withColumn("_neg", F.lit(0)), [issue_id], "_neg", ["id"], limit, "_r").drop("_neg", "_r")
+    # Every issue appears, with empty lists when nothing matched.
     res = issues.select(issue_id).distinct().join(out, issue_id, "left")
     return res.select(issue_id, "id", "name", *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
 
