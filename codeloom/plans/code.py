@@ -37,6 +37,18 @@ def _symbols(spark: SparkSession, sf: str) -> DataFrame:
     return _SYMBOLS[key]
 
 
+_NODES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot's node table (the graph store), materialised once: every edge
+    endpoint check and name lookup reads it instead of rebuilding six node builders."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _NODES:
+        _NODES[key] = cut_lineage(G.nodes(_parsed(spark, sf)))
+    return _NODES[key]
+
+
 def code_functions(spark: SparkSession, sf: str) -> DataFrame:
     return X.functions(_parsed(spark, sf)).select(
         "path", "name", "lineno", "col_offset", "end_lineno", "end_col_offset", "code_snippet", "is_static",
@@ -81,7 +93,7 @@ def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def design_patterns(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    nodes = G.nodes(p)
+    nodes = _nodes(spark, sf)
     e = G.check_endpoints(G.pattern_edges(p), nodes)
     return e.select(F.col("src_id").alias("class_id"), F.col("dst_id").alias("pattern"),
                     F.col("props")["role"].alias("role"))
@@ -94,7 +106,7 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return G.nodes(_parsed(spark, sf)).select(*NODE_KEY, F.explode("props").alias("prop", "value"))
+    return _nodes(spark, sf).select(*NODE_KEY, F.explode("props").alias("prop", "value"))
 
 
 def _edges_out(e: DataFrame) -> DataFrame:
@@ -103,27 +115,27 @@ def _edges_out(e: DataFrame) -> DataFrame:
 
 def graph_contains(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.contains_edges(p), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.contains_edges(p), _nodes(spark, sf)))
 
 
 def graph_inherits_overrides(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.inherits_overrides(p, _symbols(spark, sf)), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.inherits_overrides(p, _symbols(spark, sf)), _nodes(spark, sf)))
 
 
 def graph_calls(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.calls_edges(p, _symbols(spark, sf)), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.calls_edges(p, _symbols(spark, sf)), _nodes(spark, sf)))
 
 
 def graph_calls_as_coded(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.calls_edges(p, _symbols(spark, sf), as_coded=True), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.calls_edges(p, _symbols(spark, sf), as_coded=True), _nodes(spark, sf)))
 
 
 def graph_imports(spark: SparkSession, sf: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return _edges_out(G.check_endpoints(G.imports_edges(p), G.nodes(p)))
+    return _edges_out(G.check_endpoints(G.imports_edges(p), _nodes(spark, sf)))
 
 
 def neighbourhood_class(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,8 +145,9 @@ def neighbourhood_class(spark: SparkSession, sf: str) -> DataFrame:
     'owner_class' is the intended reading, derived from the qualified name.
     """
     p = _parsed(spark, sf)
-    n = G.nodes(p)
-    e = G.check_endpoints(G.contains_edges(p).unionByName(G.calls_edges(p, _symbols(spark, sf))), n)
+    n = _nodes(spark, sf)
+    # derived edges are read from both sides of the match: materialise them like a stored edge table
+    e = cut_lineage(G.check_endpoints(G.contains_edges(p).unionByName(G.calls_edges(p, _symbols(spark, sf))), n))
     # Files are matched and reported by path, the other labels by name.
     nodes = n.select("label", "id", F.when(F.col("label") == "File", F.col("props")["path"])
                      .otherwise(F.col("props")["name"]).alias("name"))

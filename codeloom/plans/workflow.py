@@ -78,11 +78,11 @@ def ingest(source_files: DataFrame) -> dict[str, DataFrame]:
     st = X.symbol_table(parsed)
     snippets = build_snippets(X.functions(parsed), X.classes(parsed), X.call_lists(parsed))
     snippets = cut_lineage(embed(snippets.withColumn("doc_id", F.monotonically_increasing_id())))
-    nodes = G.nodes(parsed)
+    nodes = cut_lineage(G.nodes(parsed))  # read by every endpoint check and name lookup
     edges = (G.contains_edges(parsed).unionByName(G.inherits_overrides(parsed, st))
              .unionByName(G.calls_edges(parsed, st)).unionByName(G.imports_edges(parsed))
              .unionByName(G.pattern_edges(parsed)))
-    edges = G.check_endpoints(edges, nodes)
+    edges = cut_lineage(G.check_endpoints(edges, nodes))  # the graph store's edge table
     return {"parsed": parsed, "symbols": st, "snippets": snippets, "nodes": nodes, "edges": edges}
 
 
