@@ -30,6 +30,9 @@ from .vector import cosine, pair_cosine, vector_topk
 
 ALPHA = 0.7
 LIMIT = 10
+# Depth of the fully scored vector neighbours used for the pruning bound (not a cap:
+# documents outside it are scored exactly whenever the bound cannot exclude them).
+PRUNE_DEPTH = 256
 # Safety margin of the pruning bound, well above the 1e-6 score rounding.
 PRUNE_MARGIN = 1e-3
 # Query rows under which per-query tables are broadcast.
@@ -46,7 +49,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
            query_id: str = "query_id", query_text: str = "text",
            doc_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
            vec_id: str = "vec_id", vec: str = "embedding",
-           alpha: float = ALPHA, k: int = LIMIT, by: str | None = None) -> DataFrame:
+           alpha: float = ALPHA, k: int = LIMIT, by: str | None = None,
+           prune_depth: int = PRUNE_DEPTH) -> DataFrame:
     """Top-k fused hits: (query_id, rank, doc_id, score, kw_score, kw_scaled, vec_score, vec_scaled).
 
     ``doc_vectors`` / ``query_vectors`` are (vec_id, embedding) tables keyed by
@@ -84,7 +88,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
               .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id",
                     "inner" if by else "left_semi"))
-        vtop, vstats = vector_topk(dv, qv, k, doc_id="doc_id", doc_vec="dvec",
+        depth = max(k, prune_depth)
+        vtop, vstats = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec",
                                    query_id="query_id", query_vec="qvec", group=by)
         # At most k rows per query: broadcast, so the large keyword side is only filtered narrowly.
         vt = per_query(vtop.select("query_id", "doc_id", "vec_score"))
@@ -95,9 +100,13 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         known = (vt.join(vt_kw, ["query_id", "doc_id"], "left").join(kwb, "query_id", "left")
                  .join(vs, "query_id", "left"))
         known_f = F.lit(a) * _scaled("vec_score", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
-        # Per query: T = k-th best fused among them, v_k = k-th best vector score.
+        # Per query: T = k-th best fused among them (a lower bound of the true k-th best),
+        # v_k = the deepest vector score known (every other document scores at most this).
         thr = (known.groupBy("query_id")
-               .agg(F.count(F.lit(1)).alias("n_top"), F.min(known_f).alias("t_k"), F.min("vec_score").alias("v_k"))
+               .agg(F.count(F.lit(1)).alias("n_known"),
+                    F.element_at(F.sort_array(F.collect_list(known_f), asc=False), k).alias("t_k"),
+                    F.min("vec_score").alias("v_k"))
+               .withColumn("n_top", F.when(F.col("n_known") >= depth, F.lit(k)).otherwise(F.lit(0)))
                .join(vs, "query_id"))
         # Any other keyword candidate has vector score <= v_k, so its fused score is at most
         # a * scaled(v_k) + (1 - a) * scaled(kw); below T (minus a rounding margin) it cannot rank.

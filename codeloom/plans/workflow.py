@@ -72,13 +72,17 @@ def embed_rows(spark: SparkSession, sf: str) -> DataFrame:
             .unionByName(q.select(F.lit("query").alias("kind"), "id", "embedding")))
 
 
-def ingest(source_files: DataFrame) -> dict[str, DataFrame]:
-    """Files -> symbols -> snippets (+ embeddings) -> graph, for every snapshot in the table."""
-    parsed = X.parse(source_files)
-    st = X.symbol_table(parsed)
+def ingest(source_files: DataFrame | None = None, *, parsed: DataFrame | None = None,
+           symbols: DataFrame | None = None, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Files -> symbols -> snippets (+ embeddings) -> graph, for every snapshot in the table.
+
+    Parts already built for the corpus (parsed files, symbol table, node table) are reused."""
+    parsed = parsed if parsed is not None else X.parse(source_files)
+    st = symbols if symbols is not None else cut_lineage(X.symbol_table(parsed))
     snippets = build_snippets(X.functions(parsed), X.classes(parsed), X.call_lists(parsed))
     snippets = cut_lineage(embed(snippets.withColumn("doc_id", F.monotonically_increasing_id())))
-    nodes = cut_lineage(G.nodes(parsed))  # read by every endpoint check and name lookup
+    if nodes is None:
+        nodes = cut_lineage(G.nodes(parsed))  # read by every endpoint check and name lookup
     edges = (G.contains_edges(parsed).unionByName(G.inherits_overrides(parsed, st))
              .unionByName(G.calls_edges(parsed, st)).unionByName(G.imports_edges(parsed))
              .unionByName(G.pattern_edges(parsed)))
@@ -147,7 +151,9 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
 
 def issue_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as issues against the F1 corpus snapshot."""
-    kb = ingest(F1.source_files(spark, sf))
+    from . import code
+    # the corpus's knowledge base: parsed once per application and shared with the code queries
+    kb = ingest(parsed=code._parsed(spark, sf), symbols=code._symbols(spark, sf), nodes=code._nodes(spark, sf))
     b = table(spark, sf, "benchmark")
     issues = b.select(F.col("item_id").alias("issue_id"), F.col("item_id").alias("issue_idx"),
                       F.lit(F1.SNAPSHOT).alias("snapshot_id"), F.lit("parts").alias("repo"),
