@@ -104,7 +104,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         # v_k = the deepest vector score known (every other document scores at most this).
         thr = (known.groupBy("query_id")
                .agg(F.count(F.lit(1)).alias("n_known"),
-                    F.element_at(F.sort_array(F.collect_list(known_f), asc=False), k).alias("t_k"),
+                    F.try_element_at(F.sort_array(F.collect_list(known_f), asc=False), F.lit(k)).alias("t_k"),
                     F.min("vec_score").alias("v_k"))
                .withColumn("n_top", F.when(F.col("n_known") >= depth, F.lit(k)).otherwise(F.lit(0)))
                .join(vs, "query_id"))

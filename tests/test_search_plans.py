@@ -104,3 +104,13 @@ def test_each_issue_searches_only_its_own_snapshot(spark):
     own = {10: {1, 2}, 20: {3, 4}}
     assert h and all(r.doc_id in own[r.query_id] for r in h)
     assert {r.doc_id for r in h if r.query_id == 20} == {3, 4}
+
+
+def test_hybrid_with_fewer_documents_than_k(spark):
+    from codeloom.operators.vector import embed
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox")], "doc_id long, text string")
+    qs = spark.createDataFrame([(7, "fox")], "query_id long, text string")
+    dv = embed(docs).select(F.col("doc_id").alias("vec_id"), "embedding")
+    qv = embed(qs).select(F.col("query_id").alias("vec_id"), "embedding")
+    rows = hybrid(docs, qs, doc_vectors=dv, query_vectors=qv, k=10).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2]
