@@ -45,5 +45,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompts": workflow.prompts,
     "parsed_queries": workflow.parsed_queries,
     "embed_rows": workflow.embed_rows,
-    "issue_pipeline": workflow.issue_pipeline,
+    "issue_workflow": workflow.issue_workflow,
 }

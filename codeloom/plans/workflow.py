@@ -149,7 +149,7 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
                     F.lit(provider_prefix).alias("model_provider")))
 
 
-def issue_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def issue_workflow(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as issues against the F1 corpus snapshot."""
     from . import code
     # the corpus's knowledge base: parsed once per application and shared with the code queries

@@ -1,7 +1,7 @@
 """The workflow's resumable issue loop as a stream.
 
 New issue files landing in a folder are read with ``readStream``; each
-micro-batch runs the same batch pipeline (``run_issues``) against the
+micro-batch runs the same batch job (``run_issues``) against the
 ingested knowledge base and appends its result rows through the resumable
 sink (finished issues are skipped).  Stream progress lives under the
 session's checkpoint folder, so a restarted query resumes where it stopped.

@@ -70,7 +70,7 @@ def test_no_registered_query_plans_a_pair_product(spark):
     import __spark_entry__ as E
     bad = []
     for name, q in E.queries().items():
-        if name == "issue_pipeline":
+        if name == "issue_workflow":
             continue  # composed of the operators checked here; slow to plan
         text = _plan(q(spark, SF0001))
         if "CartesianProduct" in text or "BroadcastNestedLoopJoin" in text:
