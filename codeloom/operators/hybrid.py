@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import fits
+from ..functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, fits
 from ..session import cut_lineage
 from .keyword import bm25
 from .ranking import rounded, top_k
@@ -33,10 +33,14 @@ LIMIT = 10
 # Depth of the fully scored vector neighbours used for the pruning bound (not a cap:
 # documents outside it are scored exactly whenever the bound cannot exclude them).
 PRUNE_DEPTH = 256
+# Budget for the vector leg's partial rows (depth x queries x scan tasks) that the
+# depth may spend; beyond it the depth falls back towards k (pruning stays exact).
+PARTIAL_ROW_BUDGET = 50_000_000
 # Safety margin of the pruning bound, well above the 1e-6 score rounding.
 PRUNE_MARGIN = 1e-3
-# Query rows under which per-query tables are broadcast.
-MAX_QUERIES = 200_000
+# Query rows under which per-query tables (one row, or one query vector, per query)
+# are broadcast: 50k x 64 doubles is about 25 MB.
+MAX_QUERIES = 50_000
 
 
 def _scaled(x: str, lo: str, hi: str) -> Column:
@@ -88,11 +92,18 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
               .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id",
                     "inner" if by else "left_semi"))
-        depth = max(k, prune_depth)
+        if q_small:
+            n_q = queries.count()  # bounded by the probe above
+            n_tasks = max(1, dv.rdd.getNumPartitions(), dv.sparkSession.sparkContext.defaultParallelism)
+            depth = max(k, min(prune_depth, PARTIAL_ROW_BUDGET // max(1, n_q * n_tasks)))
+        else:
+            depth = k
+        # The scored neighbours are `depth` rows per query: their own bound.
+        deep = F.broadcast if fits(queries, max(1, DEFAULT_MAX_BROADCAST_ROWS // depth)) else (lambda d: d)
         vtop, vstats = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec",
                                    query_id="query_id", query_vec="qvec", group=by)
         # At most k rows per query: broadcast, so the large keyword side is only filtered narrowly.
-        vt = per_query(vtop.select("query_id", "doc_id", "vec_score"))
+        vt = deep(vtop.select("query_id", "doc_id", "vec_score"))
         vs = per_query(vstats)
 
         # Exact fused scores of the vector top-k (their keyword score by a narrow semi join).
