@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.observation import Observation
 
 from ..functions.sizing import bounded_broadcast
 
@@ -58,18 +59,40 @@ def upsert_nodes(updates: DataFrame, state: DataFrame | None = None) -> DataFram
     return _overlay(_with_state(updates, state, NODE_KEY), NODE_KEY)
 
 
-def endpoints_exist(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """C20: keep edges whose source and target nodes both exist (label aware)."""
+class EdgeReport:
+    """Counts of a C20 endpoint check, observed by the job that consumes the edges."""
+
+    def __init__(self, name: str = "edges"):
+        self.seen = Observation(f"{name}_seen")
+        self.kept = Observation(f"{name}_kept")
+
+    @property
+    def dropped(self) -> int:
+        """Edges silently not created because an end is missing (after an action)."""
+        return int(self.seen.get["rows"]) - int(self.kept.get["rows"])
+
+
+def endpoints_exist(edges: DataFrame, nodes: DataFrame, report: EdgeReport | None = None) -> DataFrame:
+    """C20: keep edges whose source and target nodes both exist (label aware).
+
+    With ``report``, the numbers of edges seen and kept are observed in the
+    same job (no extra pass); ``report.dropped`` is available after an action."""
     n = nodes.select("label", "id").distinct()
     src = n.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"))
     dst = n.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"))
-    return (edges.join(src, ["src_label", "src_id"], "left_semi")
+    if report is not None:
+        edges = edges.observe(report.seen, F.count(F.lit(1)).alias("rows"))
+    kept = (edges.join(src, ["src_label", "src_id"], "left_semi")
             .join(dst, ["dst_label", "dst_id"], "left_semi"))
+    if report is not None:
+        kept = kept.observe(report.kept, F.count(F.lit(1)).alias("rows"))
+    return kept
 
 
-def upsert_edges(updates: DataFrame, nodes: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def upsert_edges(updates: DataFrame, nodes: DataFrame, state: DataFrame | None = None,
+                 report: EdgeReport | None = None) -> DataFrame:
     """Edges whose ends exist, overlaid like nodes on the 5-column key + label pair."""
-    checked = endpoints_exist(updates, nodes)
+    checked = endpoints_exist(updates, nodes, report)
     return _overlay(_with_state(checked, state, EDGE_KEY), EDGE_KEY)
 
 

@@ -34,8 +34,11 @@ def test_edges_need_both_ends_and_merge_on_key(spark):
     nodes = upsert_nodes(spark.createDataFrame([("U", "1", {}, 0), ("U", "2", {}, 0)], NODE_T))
     e = spark.createDataFrame([("U", "1", "R", "U", "2", {"w": "1"}, 1), ("U", "1", "R", "U", "2", {"w": "2"}, 2),
                                ("U", "1", "R", "U", "3", {"w": "9"}, 1), ("U", "1", "R", "V", "2", {}, 1)], EDGE_T)
-    got = [(r.dst_label, r.dst_id, dict(r.props)) for r in upsert_edges(e, nodes).collect()]
+    from codeloom.operators.upsert import EdgeReport
+    report = EdgeReport("t")
+    got = [(r.dst_label, r.dst_id, dict(r.props)) for r in upsert_edges(e, nodes, report=report).collect()]
     assert got == [("U", "2", {"w": "2"})]
+    assert report.dropped == 2
 
 
 def test_detach_delete(spark):
