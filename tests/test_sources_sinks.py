@@ -59,3 +59,17 @@ def test_results_are_resumable(spark, scratch):
     r2 = spark.createDataFrame([(2, "b"), (3, "c")], "issue_id long, v string")
     assert sinks.append_results(r2, path, "run2") == 1
     assert sorted(x.issue_id for x in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_checkout_to_results_end_to_end(spark, scratch):
+    from codeloom.plans.workflow import ingest, run_issues
+    _write(scratch, "pkg/tags.py", b"def has_tag(d, t):\n    return t in d\n\ndef read(d):\n    return has_tag(d, 1)\n")
+    _write(scratch, "pkg/util.py", b"import pkg.tags as T\n\nclass Reader:\n    def run(self):\n        return T.read({})\n")
+    kb = ingest(files.source_files(spark, scratch, "snap"))
+    issues = spark.createDataFrame([(1, 0, "snap", "org/repo", "abc", "has_tag fails in read")],
+                                   "issue_id long, issue_idx long, snapshot_id string, repo string, "
+                                   "base_commit string, problem_statement string")
+    rows = run_issues(issues, kb).collect()
+    assert len(rows) == 1 and len(rows[0]) == 17  # issue_id + the 16 result columns
+    r = rows[0]
+    assert r.serial_no == 1 and r.vector_query and r.best_patch_score is not None and r.all_patches
