@@ -36,6 +36,8 @@ PRUNE_DEPTH = 256
 # Budget for the vector leg's partial rows (depth x queries x scan tasks) that the
 # depth may spend; beyond it the depth falls back towards k (pruning stays exact).
 PARTIAL_ROW_BUDGET = 50_000_000
+# Each scan task keeps a running (queries x depth) list: at most this many entries (~80 MB).
+TASK_STATE_BUDGET = 5_000_000
 # Safety margin of the pruning bound, well above the 1e-6 score rounding.
 PRUNE_MARGIN = 1e-3
 # Query rows under which per-query tables (one row, or one query vector, per query)
@@ -95,7 +97,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         if q_small:
             n_q = queries.count()  # bounded by the probe above
             n_tasks = max(1, dv.rdd.getNumPartitions(), dv.sparkSession.sparkContext.defaultParallelism)
-            depth = max(k, min(prune_depth, PARTIAL_ROW_BUDGET // max(1, n_q * n_tasks)))
+            depth = max(k, min(prune_depth, PARTIAL_ROW_BUDGET // max(1, n_q * n_tasks),
+                               TASK_STATE_BUDGET // max(1, n_q)))
         else:
             depth = k
         # The scored neighbours are `depth` rows per query: their own bound.
