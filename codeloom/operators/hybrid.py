@@ -70,8 +70,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
                           query_text=query_text, by=[by] if by else ())
                      .select(F.col(query_id).cast("long").alias("query_id"),
                              F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
-    # Every per-query table below (stats, thresholds: one row per query; vector
-    # top-k: k rows per query) is bounded once the query count is: one probe.
+    # Every per-query table below (stats, thresholds, query vectors: one row per query)
+    # is bounded once the query count is: one probe.
     q_small = fits(queries, MAX_QUERIES)
     per_query = F.broadcast if q_small else (lambda d: d)
     kstats = kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max"))
@@ -105,11 +105,12 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         deep = F.broadcast if fits(queries, max(1, DEFAULT_MAX_BROADCAST_ROWS // depth)) else (lambda d: d)
         vtop, vstats = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec",
                                    query_id="query_id", query_vec="qvec", group=by)
-        # At most k rows per query: broadcast, so the large keyword side is only filtered narrowly.
+        # `depth` rows per query: broadcast when bounded, so the large keyword side is only
+        # filtered narrowly.
         vt = deep(vtop.select("query_id", "doc_id", "vec_score"))
         vs = per_query(vstats)
 
-        # Exact fused scores of the vector top-k (their keyword score by a narrow semi join).
+        # Exact fused scores of the scored vector neighbours (their keyword score by a narrow semi join).
         vt_kw = kw_only.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
         known = (vt.join(vt_kw, ["query_id", "doc_id"], "left").join(kwb, "query_id", "left")
                  .join(vs, "query_id", "left"))
