@@ -20,7 +20,7 @@ import __spark_entry__ as E  # noqa: E402
 from codeloom.sources.tables import TABLES  # noqa: E402
 
 
-def _norm(v, nd=4):
+def _norm(v, nd=int(__import__("os").environ.get("COMPARE_DECIMALS", "4"))):
     if v is None:
         return None
     if isinstance(v, float):
