@@ -6,7 +6,7 @@
 3. Documents that share a band key are candidates.  A bucket's members are compared with one
    leader of the bucket, not with each other: first with the smallest id; then, where a bucket
    still holds several components, with another leader; at last the pairs of different
-   components that remain in a bucket, and only those whose set sizes allow the threshold.
+   components that remain together in a bucket and whose sizes and signatures allow the threshold.
    Pairs inside a known component are never formed, so a group of n near copies costs about
    n pairs a round.
 4. Each pair's signatures are compared in batches.  After a batch the posterior of the
@@ -16,7 +16,7 @@
 5. Confirmed links are joined to components; a document is kept if its id is its component's.
 
 Miss probabilities: a pair of similarity 0.75 shares no band with probability
-(1 - 0.75**ROWS)**BANDS = 2.4e-5, less for more similar ones; MISS adds at most 1e-6 a batch.
+(1 - 0.75**ROWS)**BANDS = 1.2e-6, more similar ones far less; MISS adds at most 1e-6 a look.
 
 Cases: null texts and texts without words have empty sets and are linked with nothing, not
 even with each other; fewer than 5 words are one shingle; every row is judged by its own
@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, pick, staged, text_slices
@@ -40,7 +40,8 @@ from .textarrays import Words, mix, signed
 
 SHINGLE = 5
 THRESHOLD = (75, 100)        # intersection / union >= 75 / 100
-BANDS, ROWS = 28, 4
+BANDS, ROWS = 36, 4
+QUARTERS = BANDS * ROWS // 16
 BATCH = 16                   # signature bytes compared between two looks at the posterior
 MISS = 1e-6
 LEADER_ROUNDS = 2
@@ -89,7 +90,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
+_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, quarters array<long>, bands array<long>"
 
 
 def _sketch(batches):
@@ -109,16 +110,33 @@ def _sketch(batches):
                 "doc_id": part["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array(signed(digest[:, 0].copy())), "d2": pa.array(signed(digest[:, 1].copy())),
                 "signature": pa.array([x.tobytes() for x in signature], pa.binary()),
+                "quarters": pa.ListArray.from_arrays(np.arange(0, len(sets) * QUARTERS + 1, QUARTERS, dtype=np.int32), signed(_quarters(low).ravel())),
                 "bands": pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), signed(keys.ravel()))})
 
 
-def least_matches(n: int, threshold: float, miss: float = MISS) -> int:
-    """The fewest of n compared signature bytes that must match for P(similarity >= threshold) to reach ``miss``.
+def _quarters(low: np.ndarray) -> np.ndarray:
+    """The lowest 4 bits of every minimum, 16 to a 64-bit word."""
+    four = (low & 15).astype(_U).reshape(len(low), QUARTERS, 16)
+    return np.bitwise_or.reduce(four << (np.arange(16, dtype=_U) * _U(4)), axis=2)
 
-    A byte matches with probability s + (1 - s) / 256; the prior of s is uniform.
+
+def _differing(a: str, b: str) -> Column:
+    """In how many 4-bit values two ``quarters`` arrays differ."""
+    def one(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return functools.reduce(lambda x, y: x + y, [one(i) for i in range(QUARTERS)])
+
+
+def least_matches(n: int, threshold: float, miss: float = MISS, values: int = 256) -> int:
+    """The fewest of n compared signature values that must match for P(similarity >= threshold) to reach ``miss``.
+
+    A value matches with probability s + (1 - s) / values; the prior of s is uniform.
     """
     s = (np.arange(4000) + 0.5) / 4000
-    c = s + (1 - s) / 256
+    c = s + (1 - s) / values
     for m in range(n + 1):
         logl = m * np.log(c) + (n - m) * np.log(1 - c)
         like = np.exp(logl - logl.max())
@@ -195,19 +213,31 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
             .select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that still share a bucket and whose sizes are close enough.
+def _rest_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components that still share a bucket and may reach the threshold.
 
-    Sizes within the threshold's ratio lie in the same or the next power of that ratio, so each
-    member joins under its own class and the one above.
+    The largest component of a bucket is only compared with the bucket's other members, never with
+    itself.  Sizes within the threshold's ratio lie in the same or a neighbouring power of that ratio,
+    which is part of the join key; the posterior's first look, at 4 bits of every minimum, is part of
+    the join's condition, so pairs that cannot reach the threshold never become rows.
     """
     step = math.log(THRESHOLD[1] / THRESHOLD[0])
-    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / step)
-    m = members.withColumn("c", F.explode(F.array(size_class, size_class + 1)))
-    left = m.select("key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"))
-    right = m.select("key", "c", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
+    m = members.join(nodes.select("doc_id", "quarters"), "doc_id").withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / step))
+    largest = (members.groupBy("key", "label").count().groupBy("key")
+               .agg(F.max_by("label", F.struct("count", "label")).alias("largest")))
+    m = staged(m.join(largest, "key"), "open")
+    left = m.where(F.col("label") != F.col("largest")).select(
+        "key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("quarters").alias("qa"))
+    right = m.select(F.col("key").alias("key_b"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("cb"), "largest",
+                     F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("quarters").alias("qb"))
     near = THRESHOLD[1] * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")
-    return left.join(right, ["key", "c"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+    n = BANDS * ROWS
+    able = _differing("qa", "qb") <= n - least_matches(n, THRESHOLD[0] / THRESHOLD[1], values=16)
+    once = (F.col("lb") == F.col("largest")) | (F.col("a") < F.col("b"))
+    on = (F.col("key") == F.col("key_b")) & (F.col("c") == F.col("cb")) & (F.col("la") != F.col("lb")) & once & near & able
+    pairs = staged(left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    discard(m)
+    return pairs
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -216,8 +246,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sketches = staged(d.mapInArrow(_sketch, _SKETCH), "sketches")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "d1", "d2"]
-    nodes = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s"))
-                   .select(*same, "doc_id", "s.signature", "s.bands"), "nodes")
+    nodes = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "quarters", "bands"), "doc_id").alias("s"))
+                   .select(*same, "doc_id", "s.signature", "s.quarters", "s.bands"), "nodes")
     run = _Run(d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), nodes)
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -233,7 +263,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             members = labelled.join(open_keys, "key")
             rest = staged(members.select("key", "doc_id", "n_shingles", "label"), "buckets")
             members = rest
-        found = run.verified(_leader_pairs(members, turn) if turn < LEADER_ROUNDS else _rest_pairs(members))
+        found = run.verified(_leader_pairs(members, turn) if turn < LEADER_ROUNDS else _rest_pairs(members, nodes))
         if labels is not None:
             discard(rest)
         any_new = found.limit(1).count() > 0
