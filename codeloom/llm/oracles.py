@@ -1,5 +1,47 @@
 """DuckDB SQL for the queries that SQL can express, over the whole tables."""
 
+_OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS g FROM starts),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+named AS (SELECT doc_id, dense_rank() OVER (ORDER BY g) AS g FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM named x JOIN named y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
+_OP5 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS h FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS position FROM s),
+w AS (SELECT *, CAST([5, 2, 1][1 + (position - 1) % 3] AS DOUBLE) AS weight, 3 * source_size AS cap FROM p),
+l AS (
+  SELECT *, coalesce(sum(cap) OVER b, 0) AS capped,
+         (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / weight, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level, cap / weight * 1e6 + position) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM v) * weight) AS target FROM w),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+o AS (
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM d)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size + greatest(0, least(size, quota % source_size - place)) END AS BIGINT) AS taken
+FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
+"""
+
 _OP8 = """
 WITH usable AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -45,4 +87,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES: dict[str, str] = {"op8_exact_topk": _OP8, "op10_quality_rules": _OP10}
+ORACLES: dict[str, str] = {"op4_near_dedup": _OP4, "op5_mixing": _OP5, "op8_exact_topk": _OP8, "op10_quality_rules": _OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, language_id, quality_classifier, quality_rules, toxicity, url_filter
+from . import bpe, exact_topk, language_id, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -25,6 +25,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
@@ -50,6 +58,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_bpe": op3_bpe,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
     "op8_exact_topk": op8_exact_topk,
