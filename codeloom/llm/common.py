@@ -88,6 +88,17 @@ def bounded_sample(df: DataFrame, key: Column, most: int, by: str | None = None,
     return (df.join(keep, df[by] == keep["_by"]).where(where < F.col("_share") * _HASH_RANGE).drop("_by", "_share"))
 
 
+def labelled_sample(docs: DataFrame, marks: DataFrame, most: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of ``docs`` (doc_id, text) for about ``most`` labelled ids a label, and the labels' counts.
+
+    The sample is drawn from the (doc_id, label) table, so its ids are few and are sent to the
+    documents; no text is shuffled.  The counts are one number a label, two labels.
+    """
+    sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    ids = bounded_sample(marks, F.col("doc_id"), most, by="label", seed=seed)
+    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), sizes
+
+
 def text_slices(batch_texts, most_bytes: int = 1 << 21):
     """(from, to) row ranges of an Arrow string array whose text stays near ``most_bytes``; one longer text stands alone."""
     import numpy as np

@@ -1,5 +1,20 @@
 """DuckDB SQL for the queries that SQL can express, over the whole tables."""
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM starts),
+firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM firsts, range(13) r(j) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+marked AS (SELECT words.doc_id, words.p, x, gone.p IS NOT NULL AS g FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p),
+kept AS (
+  SELECT doc_id, count(*) FILTER (g) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT g) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _OP4 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -87,4 +102,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES: dict[str, str] = {"op4_near_dedup": _OP4, "op5_mixing": _OP5, "op8_exact_topk": _OP8, "op10_quality_rules": _OP10}
+ORACLES: dict[str, str] = {"op2_repeated_phrases": _OP2, "op4_near_dedup": _OP4, "op5_mixing": _OP5, "op8_exact_topk": _OP8, "op10_quality_rules": _OP10}

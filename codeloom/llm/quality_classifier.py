@@ -6,7 +6,7 @@ resembles, and a logistic fit on labelled texts kept out of the dictionaries tur
 difference into a calibrated score (weighted by the true class sizes).
 
 Both steps take a bounded sample: about SAMPLE_PER_CLASS labelled texts a class, chosen by a
-hash of the id against the class's count; half builds the dictionaries, half calibrates.  A
+hash of the id against the class's count in the labels table; half builds the dictionaries, half calibrates.  A
 dictionary holds DICT_BYTES of content.  Every text is then compressed whole, twice, where
 it lies; nothing is shuffled.
 
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, pick
+from .common import held_out, labelled_sample, pick
 from .toxicity import platt
 
 SAMPLE_PER_CLASS = 2_000
@@ -73,12 +73,11 @@ class Sizer:
         return (bad - good) / (bad + good)
 
 
-def train(labelled: DataFrame, most: int = SAMPLE_PER_CLASS) -> tuple[bytes, bytes, float, float]:
-    """(good dictionary, bad dictionary, scale, offset) from rows (doc_id, text, label 0/1)."""
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}   # two rows at most
+def train(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_PER_CLASS) -> tuple[bytes, bytes, float, float]:
+    """(good dictionary, bad dictionary, scale, offset) from docs (doc_id, text) and marks (doc_id, label 0/1)."""
+    sample, sizes = labelled_sample(docs, marks, most, seed=9)
     if len(sizes) < 2:
         return b"", b"", 0.0, 40.0 if 1 in sizes else -40.0
-    sample = bounded_sample(labelled, F.col("doc_id"), most, by="label", seed=9)
     # The driver gets the texts of the dictionary half only (about SAMPLE_PER_CLASS of them).
     half = F.pmod(F.xxhash64("doc_id", F.lit(91)), F.lit(2))
     head = sample.where(half == 0).select("label", F.encode("text", "utf-8").alias("t")).toArrow()
@@ -86,7 +85,7 @@ def train(labelled: DataFrame, most: int = SAMPLE_PER_CLASS) -> tuple[bytes, byt
     good, bad = (build_dictionary([t for x, t in rows if x == k]) for k in (1, 0))
     if not good or not bad:
         return good, bad, 0.0, 0.0
-    cast = labelled.sparkSession.sparkContext.broadcast((good, bad))
+    cast = docs.sparkSession.sparkContext.broadcast((good, bad))
 
     def measure(batches):
         sizer = Sizer(*cast.value)
@@ -106,9 +105,8 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_CLASS) ->
     """doc_id, held_out, score, predicted, size_difference for every row of ``docs``."""
     d = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
     marks = pick(labels, doc_id="long", quality="int").select("doc_id", F.col("quality").alias("label")).where("label IN (0, 1)")
-    marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
-    labelled = d.where(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "text", "label")
-    cast = docs.sparkSession.sparkContext.broadcast(train(labelled, most))
+    marks = marks.where(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    cast = docs.sparkSession.sparkContext.broadcast(train(d.select("doc_id", "text"), marks, most))
 
     def run(batches):
         good, bad, scale, offset = cast.value

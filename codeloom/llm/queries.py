@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, language_id, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter
+from . import bpe, exact_topk, language_id, mixing, near_dedup, quality_classifier, quality_rules, repeated_phrases, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def _vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_repeated_phrases": op2_repeated_phrases,
     "op3_bpe": op3_bpe,
     "op4_near_dedup": op4_near_dedup,
     "op5_mixing": op5_mixing,

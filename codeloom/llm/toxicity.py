@@ -7,7 +7,7 @@ still shares most n-grams with the word it stands for.  Buckets that occur in fe
 MIN_SHARE of the training texts have no vector and do not count in the average.
 
 Training takes a bounded sample: about SAMPLE_PER_CLASS labelled texts a class, chosen by
-a hash of the id against the class's count.  Workers turn the sampled texts into bucket
+a hash of the id against the class's count in the labels table.  Workers turn the sampled texts into bucket
 counts; the trainer gets those counts (a few KB a text), never the corpus.  A fifth of the
 sample is kept out of training to fit the score's scale and offset (Platt), weighted by the
 true class sizes.  After training a bucket needs one number, its part of the logit, so
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chargrams import Letters
-from .common import bounded_sample, held_out, pick, text_slices
+from .common import held_out, labelled_sample, pick, text_slices
 
 N_BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
@@ -134,15 +134,14 @@ def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return float(beta[0] / s), float(beta[1] - beta[0] * m / s)
 
 
-def train(labelled: DataFrame, most: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from rows (doc_id, text, label 0/1); see the module's notes on the sample."""
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}   # two rows at most
+def train(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_PER_CLASS) -> Model:
+    """A model from docs (doc_id, text) and marks (doc_id, label 0/1); see the module's notes on the sample."""
+    sample, sizes = labelled_sample(docs, marks, most, seed=7)
     total = sum(sizes.values())
     empty = Model(np.zeros(N_BUCKETS, np.float32), np.zeros(N_BUCKETS, bool), 0.0, 1.0, 0.0)
     if len(sizes) < 2:
         empty.offset = 40.0 if total and 1 in sizes else -40.0
         return empty
-    sample = bounded_sample(labelled, F.col("doc_id"), most, by="label", seed=7)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(71)), F.lit(5)).cast("int")
     rows = (sample.select("label", fold.alias("fold"), "text")
             .mapInArrow(_bags, "label int, fold int, buckets binary, counts binary").toArrow())
@@ -187,7 +186,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_CLASS) -
     """doc_id, held_out, score, predicted for every row of ``docs``; learns from rows that are not held out."""
     d = pick(docs, doc_id="long", text="string").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
     marks = pick(labels, doc_id="long", toxic="int").select("doc_id", F.col("toxic").alias("label")).where("label IN (0, 1)")
-    marks = marks.groupBy("doc_id").agg(F.max("label").alias("label"))
-    labelled = d.where(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "text", "label")
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled, most))
+    marks = marks.where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    model = docs.sparkSession.sparkContext.broadcast(train(d.select("doc_id", "text"), marks, most))
     return d.select("doc_id", "held_out", "text").mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
