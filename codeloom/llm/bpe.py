@@ -220,37 +220,53 @@ def loaded(text: str) -> BytePairs:
     return _LOADED[key]
 
 
-def _encode_batches(vocabulary, full: bool):
+def _encode_batches(vocabulary, describe, carried: list[str]):
+    """describe(texts, ids, decoded) gives the output's own columns."""
     def run(batches):
         pairs = loaded(vocabulary.value)
         for batch in batches:
             for a, b in text_slices(batch["text"]):
                 part = batch.slice(a, b - a)
-                ids = [pairs.encode(t or "") for t in part["text"].to_pylist()]
-                back = [pairs.decode(x) for x in ids]
-                out = {"doc_id": part["doc_id"], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-                if full:
-                    out |= {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(back, pa.string())}
-                else:
-                    out |= {"ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                            "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])}
-                yield pa.record_batch(out)
+                texts = [t or "" for t in part["text"].to_pylist()]
+                ids = [pairs.encode(t) for t in texts]
+                yield pa.record_batch({"doc_id": part["doc_id"], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                       **describe(texts, ids, [pairs.decode(x) for x in ids]), **{c: part[c] for c in carried}})
     return run
 
 
-def _run(docs: DataFrame, vocabulary_path: str, full: bool, columns: str) -> DataFrame:
+def _digests(texts, ids, decoded):
+    return {"ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())}
+
+
+def _full(texts, ids, decoded):
+    return {"ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string())}
+
+
+def _checked(texts, ids, decoded):
+    return {"ids": pa.array(ids, pa.binary()), "round_trip": pa.array([x == y for x, y in zip(texts, decoded, strict=True)], pa.bool_())}
+
+
+def _run(docs: DataFrame, vocabulary_path: str, describe, columns: str, carry: tuple[str, ...] = ()) -> DataFrame:
     with open(vocabulary_path, encoding="utf-8") as f:
         text = f.read()
     BytePairs(text)     # a vocabulary of another kind is refused here, not in a task
     cast = docs.sparkSession.sparkContext.broadcast(text)
-    return pick(docs, doc_id="long", text="string").mapInArrow(_encode_batches(cast, full), f"doc_id long, n_tokens long, {columns}")
+    d = pick(docs, doc_id="long", text="string", **{c: "string" for c in carry})
+    return d.mapInArrow(_encode_batches(cast, describe, list(carry)),
+                        f"doc_id long, n_tokens long, {columns}" + "".join(f", {c} string" for c in carry))
 
 
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit), decoded (text of the ids)."""
-    return _run(docs, vocabulary_path, True, "ids binary, decoded string")
+    return _run(docs, vocabulary_path, _full, "ids binary, decoded string")
+
+
+def encode_rows(docs: DataFrame, vocabulary_path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip (whether the decoded text is the text) and the string columns of ``carry``."""
+    return _run(docs, vocabulary_path, _checked, "ids binary, round_trip boolean", carry)
 
 
 def encode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode`` with its two long columns hashed where they arise."""
-    return _run(docs, vocabulary_path, False, "ids_sha256 string, decoded_sha256 string")
+    return _run(docs, vocabulary_path, _digests, "ids_sha256 string, decoded_sha256 string")

@@ -126,7 +126,7 @@ def counts_by_language(f: Filter, h: np.ndarray, row: np.ndarray, n: int) -> tup
     return out, total
 
 
-def _judge(model):
+def _judge(model, carried: list[str]):
     def run(batches):
         f = model.value
         names = np.array(f.languages, dtype=object)
@@ -144,13 +144,20 @@ def _judge(model):
                     lang[known] = names[best[known]]
                     score = np.where(known, count.max(axis=1) / np.maximum(total, 1), 0.0).clip(0.0, 1.0)
                 yield pa.record_batch({"doc_id": part["doc_id"], "held_out": part["held_out"],
-                                       "lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score)})
+                                       "lang_pred": pa.array(lang.tolist(), pa.string()), "score": pa.array(score),
+                                       **{c: part[c] for c in carried}})
     return run
 
 
-def language_id(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``; learns from rows that are not held out."""
-    d = pick(docs, doc_id="long", text="string", lang="string").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+def language_id(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (and the string columns named in ``carry``) for every row of ``docs``.
+
+    Learns from rows that are not held out.
+    """
+    kinds = {"text": "string", "lang": "string", **{c: "string" for c in carry}}
+    d = pick(docs, doc_id="long", **kinds).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     labelled = d.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     model = docs.sparkSession.sparkContext.broadcast(train(labelled, most))
-    return d.select("doc_id", "held_out", "text").mapInArrow(_judge(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    columns = ["doc_id", "held_out", *dict.fromkeys(["text", *carry])]
+    return d.select(*columns).mapInArrow(_judge(model, list(carry)), "doc_id long, held_out boolean, lang_pred string, score double"
+                                         + "".join(f", {c} string" for c in carry))

@@ -67,19 +67,19 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "position", "weight", "target", F.floor(F.col("target") + 0.5).alias("quota"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """doc_id, text, source, size, order hash and its chunk for every row."""
-    d = pick(docs, doc_id="long", text="string", source="string").withColumn("size", n_words(F.col("text")))
+    d = pick(docs, doc_id="long", **{c: "string" for c in dict.fromkeys(("text", "source", *carry))}).withColumn("size", n_words(F.col("text")))
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":mix")))
     return d.withColumn("hash", order).withColumn("chunk", F.left("hash", F.lit(ORDER_DIGITS)))
 
 
-def positions(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+def positions(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Every row with ``start``, its first word's place in its source's line, and its source's target; and the sources.
 
     doc_id, size, source_size, target, position (of the source), quota, start (and text).
     """
-    d = _lines(docs)
+    d = _lines(docs, carry)
     if not keep_text:
         # Rows equal in id and source are ordered by size; their texts no longer matter.
         d = d.select("doc_id", "source", "size", "hash", "chunk")
@@ -94,7 +94,7 @@ def positions(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, Data
     d = d.join(offsets, d["source"].eqNullSafe(offsets["_s"]) & (d["chunk"] == offsets["_c"]))
     s = sources.withColumnRenamed("source", "_name").drop("weight")
     d = d.join(s, d["source"].eqNullSafe(s["_name"]))
-    return d.select("doc_id", *(["text", "source"] if keep_text else []), "size", "source_size", "target", "position", "quota",
+    return d.select("doc_id", *(["text", "source", *carry] if keep_text else []), "size", "source_size", "target", "position", "quota",
                     (F.col("offset") + F.col("_before")).alias("start")), sources
 
 
@@ -154,16 +154,16 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", got.alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, text, source, repeat, n_taken: a row a document and repeat that the schedule takes.
+def mixed_documents(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, source, repeat, n_taken (and the string columns named in ``carry``): a row a document and repeat that the schedule takes.
 
     The text is the document's own; only the document at which a quota ends inside a repeat is
     cut, to its first ``n_taken`` words joined by a blank.
     """
-    placed, sources = positions(docs, keep_text=True)
+    placed, sources = positions(docs, keep_text=True, carry=carry)
     placed = staged(placed, "mix-placed")
     scheduled = pieces(placed, block).join(schedule(sources, block), ["position", "block"])
     taken = scheduled.groupBy("position", "start", "repeat").agg(F.sum("words").alias("n_taken"))
     out = placed.where("size > 0").join(taken, ["position", "start"])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("n_taken").cast("int")), " ")
-    return out.select("doc_id", F.when(F.col("n_taken") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "source", "repeat", "n_taken")
+    return out.select("doc_id", F.when(F.col("n_taken") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "source", "repeat", "n_taken", *carry)
