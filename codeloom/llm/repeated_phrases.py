@@ -71,13 +71,16 @@ def _seeds(batches):
                                    "seeds": pa.ListArray.from_arrays(first.astype(np.int32), signed(seed[at]))})
 
 
-_PHRASE = "h1 long, h2 int, shard long, first long, at int, last long"
+_PHRASE = "h1 long, h2 int, shard long, first long, row int, at int, last long"
 
 
 def _candidates(key, docs: pa.Table, seeds: pa.Table) -> pa.Table:
-    """The distinct windows of a shard that name a recurring seed: hash, first and last document, a place in the first."""
-    names = ["h1", "h2", "shard", "first", "at", "last"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    """The distinct windows of a shard that name a recurring seed: hash, first and last document, a place.
+
+    The place is a row of the shard in (key, text) order and a word of it.
+    """
+    names = ["h1", "h2", "shard", "first", "row", "at", "last"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     none = pa.table([pa.array([], t) for t in types], names=names)
     if not docs.num_rows or not seeds.num_rows:
         return none
@@ -101,7 +104,7 @@ def _candidates(key, docs: pa.Table, seeds: pa.Table) -> pa.Table:
     first = np.flatnonzero(start)
     last = np.append(first[1:], len(at)) - 1
     doc = w.doc[at[first]]
-    out = [h1[first], h2[first], np.full(len(first), key[0].as_py()), keys[doc], (at[first] - w.first[doc]).astype(np.int32), keys[w.doc[at[last]]]]
+    out = [h1[first], h2[first], np.full(len(first), key[0].as_py()), keys[doc], doc.astype(np.int32), (at[first] - w.first[doc]).astype(np.int32), keys[w.doc[at[last]]]]
     return pa.table([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
 
@@ -111,9 +114,8 @@ def _marked(ids: list[list[int]], keys: list[int], phrases) -> list[np.ndarray]:
     before: list[int] = []
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for words, first in phrases:
-        if len(words) == WINDOW:
-            automaton.add_word(words, len(before))
-            before.append(first)
+        automaton.add_word(words, len(before))
+        before.append(first)
     if not before:
         return gone
     automaton.make_automaton()
@@ -132,12 +134,8 @@ def _remove(carried: list[str], full: bool):
         numbers: dict[bytes, int] = {}
         split = [raw.split() for raw in raws]                                    # ASCII white space: the word's own definition
         ids = [[numbers.setdefault(x, len(numbers)) for x in words] for words in split]
-        holder: dict[int, list[int]] = {}
-        for i, key in enumerate(keys):
-            holder.setdefault(key, []).append(i)
-        rows = zip(phrases["first"].to_pylist(), phrases["at"].to_pylist(), phrases["before"].to_pylist(), strict=True)
-        # Rows that repeat an id each offer the place; only words that a document holds can match.
-        found = ((tuple(ids[i][at:at + WINDOW]), before) for key, at, before in rows for i in holder.get(key, ()))
+        rows = zip(phrases["row"].to_pylist(), phrases["at"].to_pylist(), phrases["before"].to_pylist(), strict=True)
+        found = ((tuple(ids[i][at:at + WINDOW]), before) for i, at, before in rows)
         gone = _marked(ids, keys, found)
         out = {"doc_id": docs["doc_id"], "n_words": pa.array([len(x) for x in ids], pa.int64()),
                "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64())}
@@ -166,7 +164,7 @@ def _without(raw: bytes, gone: np.ndarray) -> str:
 
 
 def phrases(d: DataFrame) -> DataFrame:
-    """(shard, first, at, before): the confirmed phrases every shard needs; staged."""
+    """(shard, row, at, before): the confirmed phrases every shard needs; staged."""
     seeds = d.select("shard", "key", "text").mapInArrow(_seeds, "shard long, key long, seeds array<long>")
     occurring = seeds.select("shard", "key", F.explode("seeds").alias("seed"))
     recurring = staged(occurring.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("seed"), "seeds")
@@ -177,7 +175,7 @@ def phrases(d: DataFrame) -> DataFrame:
     discard(routed)
     repeated = (windows.groupBy("h1", "h2").agg(F.min("first").alias("before"), F.max("last").alias("latest"))
                 .where("before < latest").select("h1", "h2", "before"))
-    out = staged(windows.join(repeated, ["h1", "h2"]).where("last > before").select("shard", "first", "at", "before"), "phrases")
+    out = staged(windows.join(repeated, ["h1", "h2"]).where("last > before").select("shard", "row", "at", "before"), "phrases")
     discard(windows)
     return out
 
