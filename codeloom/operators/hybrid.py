@@ -6,13 +6,15 @@ leg's max equals its min, its scaled score is 1).
 
 Exactness without a query x document product: the keyword leg's candidates
 are all matching documents; the vector leg's min/max come from the partial
-aggregates of the full scan.  A document that is neither a keyword
-candidate nor in the vector top-k has k documents whose fused score is at
-least its own, so it cannot enter the top-k.  The vector top-k's fused
-scores are known exactly, and their minimum T bounds the k-th best from
-below; a keyword candidate outside the vector top-k has vector score at most
-the k-th best v_k, so it is scored exactly (an equi join to its vector) only
-if a * scaled(v_k) + (1 - a) * scaled(kw) can still reach T.
+aggregates of the full scan.  Fused scores are rounded before they are ranked,
+so the vector neighbours kept are the DEPTH best and all rows so close below
+them that rounding could tie them (of one vector score, the DEPTH smallest
+ids).  A document that is neither a keyword candidate nor kept has DEPTH
+documents that rank before it.  The kept rows' fused scores are known
+exactly, and their k-th best T bounds the true one from below; another keyword
+candidate has vector score at most the DEPTH-th best v, so it is scored exactly
+(an equi join to its vector) only if a * scaled(v) + (1 - a) * scaled(kw) can
+still reach T.  The depth is a constant: it steers cost, never the result.
 """
 
 from __future__ import annotations
@@ -22,27 +24,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, fits
 from ..session import cut_lineage
 from .keyword import bm25
 from .ranking import rounded, top_k
-from .vector import cosine, pair_cosine, vector_topk
+from .vector import pair_cosine, vector_topk
 
 ALPHA = 0.7
 LIMIT = 10
-# Depth of the fully scored vector neighbours used for the pruning bound (not a cap:
-# documents outside it are scored exactly whenever the bound cannot exclude them).
-PRUNE_DEPTH = 256
-# Budget for the vector leg's partial rows (depth x queries x scan tasks) that the
-# depth may spend; beyond it the depth falls back towards k (pruning stays exact).
-PARTIAL_ROW_BUDGET = 50_000_000
-# Each scan task keeps a running (queries x depth) list: at most this many entries (~80 MB).
-TASK_STATE_BUDGET = 5_000_000
+# Depth of the fully scored vector neighbours behind the pruning bound (at least k).
+DEPTH = 32
+# Vector scores this close below the DEPTH-th could tie with it once the fused score is rounded to
+# 6 places: alpha * difference / (max - min) < 1e-6, max - min <= 2.
+def _tie_margin(alpha: float) -> float:
+    return 2 * 1.5e-6 / alpha + 1e-6
+
+
+# Hits (ids and scores, under 100 bytes each) sent to the snippet table at most.
+HITS_SENT = 200_000
 # Safety margin of the pruning bound, well above the 1e-6 score rounding.
 PRUNE_MARGIN = 1e-3
-# Query rows under which per-query tables (one row, or one query vector, per query)
-# are broadcast: 50k x 64 doubles is about 25 MB.
-MAX_QUERIES = 50_000
 
 
 def _scaled(x: str, lo: str, hi: str) -> Column:
@@ -56,7 +56,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
            doc_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
            vec_id: str = "vec_id", vec: str = "embedding",
            alpha: float = ALPHA, k: int = LIMIT, by: str | None = None,
-           prune_depth: int = PRUNE_DEPTH) -> DataFrame:
+           depth: int = DEPTH) -> DataFrame:
     """Top-k fused hits: (query_id, rank, doc_id, score, kw_score, kw_scaled, vec_score, vec_scaled).
 
     ``doc_vectors`` / ``query_vectors`` are (vec_id, embedding) tables keyed by
@@ -65,18 +65,15 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     queries, e.g. snapshot_id) each query searches only its own collection,
     with collection-level keyword statistics; query ids must be unique.
     """
-    # The keyword candidates feed three consumers: materialise them once.
-    kw = cut_lineage(bm25(docs, queries, doc_id=doc_id, doc_text=doc_text, query_id=query_id,
-                          query_text=query_text, by=[by] if by else ())
-                     .select(F.col(query_id).cast("long").alias("query_id"),
-                             F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
-    # Every per-query table below (stats, thresholds, query vectors: one row per query)
-    # is bounded once the query count is: one probe.
-    q_small = fits(queries, MAX_QUERIES)
-    per_query = F.broadcast if q_small else (lambda d: d)
-    kstats = kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max"))
+    # The keyword pairs are summed again from the checkpointed postings wherever they are needed,
+    # inside document partitions; only per-query statistics and winners leave them.
+    kw = (bm25(docs, queries, doc_id=doc_id, doc_text=doc_text, query_id=query_id,
+               query_text=query_text, by=[by] if by else ())
+          .select(F.col(query_id).cast("long").alias("query_id"),
+                  F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
+    kstats = cut_lineage(kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max")))
     kw_only = kw
-    kwb = per_query(kstats)
+    kwb = kstats
     kw = kw.join(kwb, "query_id")
 
     if doc_vectors is None or query_vectors is None:
@@ -94,21 +91,11 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
               .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id",
                     "inner" if by else "left_semi"))
-        if q_small:
-            n_q = queries.count()  # bounded by the probe above
-            n_tasks = max(1, dv.rdd.getNumPartitions(), dv.sparkSession.sparkContext.defaultParallelism)
-            depth = max(k, min(prune_depth, PARTIAL_ROW_BUDGET // max(1, n_q * n_tasks),
-                               TASK_STATE_BUDGET // max(1, n_q)))
-        else:
-            depth = k
-        # The scored neighbours are `depth` rows per query: their own bound.
-        deep = F.broadcast if fits(queries, max(1, DEFAULT_MAX_BROADCAST_ROWS // depth)) else (lambda d: d)
-        vtop, vstats = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec",
-                                   query_id="query_id", query_vec="qvec", group=by)
-        # `depth` rows per query: broadcast when bounded, so the large keyword side is only
-        # filtered narrowly.
-        vt = deep(vtop.select("query_id", "doc_id", "vec_score"))
-        vs = per_query(vstats)
+        depth = max(k, depth)
+        vtop, vstats = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec", query_id="query_id",
+                                   query_vec="qvec", group=by, margin=_tie_margin(a))
+        vt = cut_lineage(vtop.select("query_id", "doc_id", "vec_score"))
+        vs = vstats
 
         # Exact fused scores of the scored vector neighbours (their keyword score by a narrow semi join).
         vt_kw = kw_only.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
@@ -116,31 +103,21 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
                  .join(vs, "query_id", "left"))
         known_f = F.lit(a) * _scaled("vec_score", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
         # Per query: T = k-th best fused among them (a lower bound of the true k-th best),
-        # v_k = the deepest vector score known (every other document scores at most this).
+        # v_k = the DEPTH-th best vector score (every other document scores at most this).
         thr = (known.groupBy("query_id")
-               .agg(F.count(F.lit(1)).alias("n_known"),
-                    F.try_element_at(F.sort_array(F.collect_list(known_f), asc=False), F.lit(k)).alias("t_k"),
-                    F.min("vec_score").alias("v_k"))
-               .withColumn("n_top", F.when(F.col("n_known") >= depth, F.lit(k)).otherwise(F.lit(0)))
+               .agg(F.try_element_at(F.sort_array(F.collect_list(known_f), asc=False), F.lit(k)).alias("t_k"),
+                    F.try_element_at(F.sort_array(F.collect_list("vec_score"), asc=False), F.lit(depth)).alias("v_k"))
                .join(vs, "query_id"))
         # Any other keyword candidate has vector score <= v_k, so its fused score is at most
         # a * scaled(v_k) + (1 - a) * scaled(kw); below T (minus a rounding margin) it cannot rank.
         rest = (kw.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-                .join(per_query(thr), "query_id", "left"))
+                .join(thr, "query_id", "left"))
         bound = F.lit(a) * _scaled("v_k", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
-        keep = F.col("t_k").isNull() | (F.col("n_top") < k) | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))
+        keep = F.col("t_k").isNull() | F.col("v_k").isNull() | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))
         survivors = rest.filter(keep).select("query_id", "doc_id", "kw_score", "kw_min", "kw_max")
         # Exact vector score of the survivors: equi joins on doc and query id.
         joined = survivors.join(dv.select("doc_id", "dvec"), "doc_id", "left")
-        if q_small:
-            # numpy row-wise dot against the broadcast (bounded) query matrix
-            kwv = pair_cosine(joined, qv.select("query_id", "qvec"), query_id="query_id", doc_vec="dvec",
-                              query_vec="qvec")
-        else:
-            kwv = (joined.join(qv.select("query_id", "qvec"), "query_id", "left")
-                   .withColumn("vec_score", F.when(F.col("dvec").isNotNull() & F.col("qvec").isNotNull(),
-                                                   rounded(cosine("dvec", "qvec"))))
-                   .drop("dvec", "qvec"))
+        kwv = pair_cosine(joined.join(qv.select("query_id", "qvec"), "query_id", "left"), "dvec", "qvec")
         cand = (kwv.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score")
                 .unionByName(known.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score"))
                 .join(vs, "query_id", "left"))
@@ -159,8 +136,12 @@ def typed_hits(hits: DataFrame, snippets: DataFrame, issues: DataFrame, issue_id
                types: Sequence[str], doc_id: str = "doc_id") -> DataFrame:
     """V7 type filter after the top-k, V8 projection, V11 empty result for issues without hits.
 
-    Snippet text is joined back only for the k survivors per issue.
+    Snippet text is joined back only for the k survivors per issue; the hits (at most LIMIT-like k
+    rows an issue) are sent to the snippets while they are few, so no text is shuffled for them.
     """
+    hits = cut_lineage(hits)
+    if hits.count() <= HITS_SENT:
+        hits = F.broadcast(hits)
     kept = hits.join(snippets.select(F.col(doc_id).cast("long").alias("doc_id"), "file", "name", "type", "text"),
                      "doc_id").filter(F.col("type").isin(list(types)))
     proj = kept.select(F.col("query_id").alias(issue_id), "rank", "file",

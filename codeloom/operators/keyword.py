@@ -5,7 +5,9 @@ score(q, d) = sum over query terms t of
 idf(t) = ln(1 + (N - n(t) + 0.5) / (n(t) + 0.5))
 
 Only documents that contain a query term are scored; there is never a
-query x document product.  Statistics (N, avgdl, n(t)) are per collection,
+query x document product.  Postings are partitioned by document, so the sums
+per (query, document) are made where a document's postings lie: pairs are not
+shuffled, a top-k above them sends only its per-task winners.  Statistics (N, avgdl, n(t)) are per collection,
 where a collection is the value of the ``by`` columns (e.g. snapshot_id).
 """
 
@@ -59,7 +61,7 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",
             .groupBy(*by, doc_id, "dl", "term")
             .agg(F.count(F.lit(1)).alias("tf")))
     rows = cut_lineage(rows)
-    postings = rows.filter(F.col("term").isNotNull())
+    postings = rows.filter(F.col("term").isNotNull()).repartition(doc_id)
     stats = (rows.filter(F.col("term").isNull()).groupBy(*by)
              .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
     doc_freq = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))

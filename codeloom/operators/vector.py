@@ -45,15 +45,26 @@ def _to_matrix(arr: pa.Array) -> np.ndarray:
     return flat.reshape(len(arr), -1) if len(arr) else flat.reshape(0, 0)
 
 
+def _nearest(scores: np.ndarray, ids: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by (score, smaller id), and with a margin the rows at most that far below the
+    k-th; of rows with one score the k smallest ids, so equal vectors stay bounded."""
+    order = np.lexsort((ids, -scores))
+    s, i = scores[order], ids[order]
+    if margin == 0:
+        return s[:k], i[:k]
+    s, i = s[s >= s[min(k, len(s)) - 1] - margin], i[:int((s >= s[min(k, len(s)) - 1] - margin).sum())]
+    place = np.arange(len(s)) - np.searchsorted(-s, -s, side="left")
+    return s[place < k], i[place < k]
+
+
 def _partial_topk_fn(bc, k: int, doc_id: str, vec: str,
-                     group: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+                     group: str | None = None, margin: float = 0.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qmat, qgroups = bc.value
         codes = {g: i for i, g in enumerate(sorted(set(qgroups)))} if group else {}
         qcode = np.array([codes[g] for g in qgroups], dtype=np.int64) if group else None
         nq = len(qids)
-        best_s = np.full((nq, 0), -np.inf)
-        best_i = np.zeros((nq, 0), dtype=np.int64)
+        best = [(np.zeros(0), np.zeros(0, dtype=np.int64))] * nq
         vmin = np.full(nq, np.inf)
         vmax = np.full(nq, -np.inf)
         for b in batches:
@@ -75,8 +86,6 @@ def _partial_topk_fn(bc, k: int, doc_id: str, vec: str,
                 ids, vecs = b.column(doc_id), b.column(vec)
             d = _unit_rows(_to_matrix(vecs))
             did = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-            new_s = np.empty((nq, min(k, len(did)) + best_s.shape[1]))
-            new_i = np.empty(new_s.shape, dtype=np.int64)
             for lo in range(0, nq, _QUERY_BLOCK):
                 hi = min(lo + _QUERY_BLOCK, nq)
                 s = np.round(qmat[lo:hi] @ d.T, SCORE_DECIMALS)
@@ -88,24 +97,25 @@ def _partial_topk_fn(bc, k: int, doc_id: str, vec: str,
                 else:
                     vmin[lo:hi] = np.minimum(vmin[lo:hi], s.min(axis=1))
                     vmax[lo:hi] = np.maximum(vmax[lo:hi], s.max(axis=1))
-                cs = np.concatenate([best_s[lo:hi], s], axis=1)
-                ci = np.concatenate([best_i[lo:hi], np.broadcast_to(did, s.shape)], axis=1)
-                order = np.lexsort((ci, -cs), axis=1)[:, :new_s.shape[1]]
-                new_s[lo:hi] = np.take_along_axis(cs, order, axis=1)
-                new_i[lo:hi] = np.take_along_axis(ci, order, axis=1)
-            keep_n = min(k, new_s.shape[1])
-            best_s, best_i = new_s[:, :keep_n], new_i[:, :keep_n]
-        if best_s.shape[1] == 0:
+                if len(did) > k:
+                    floor = np.partition(s, len(did) - k, axis=1)[:, len(did) - k]
+                    near = s >= floor[:, None] - margin
+                else:
+                    near = np.ones(s.shape, dtype=bool)
+                near &= np.isfinite(s)  # masked: another collection
+                for q in np.flatnonzero(near.any(axis=1)):
+                    at = np.flatnonzero(near[q])
+                    have = best[lo + q]
+                    best[lo + q] = _nearest(np.concatenate([have[0], s[q, at]]), np.concatenate([have[1], did[at]]), k, margin)
+        sizes = [len(x[0]) for x in best]
+        n = sum(sizes)
+        if not np.isfinite(vmin).any():
             return
-        kk = best_s.shape[1]
-        rows_q = np.repeat(qids, kk)
-        flat_s = best_s.ravel()
-        real = np.isfinite(flat_s)  # masked (other collection) slots are dropped
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows_q[real], pa.int64()), pa.array(best_i.ravel()[real], pa.int64()),
-             pa.array(flat_s[real], pa.float64()),
-             pa.nulls(int(real.sum()), pa.float64()), pa.nulls(int(real.sum()), pa.float64())],
-            schema=_ARROW_SCHEMA)
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qids, sizes), pa.int64()), pa.array(np.concatenate([x[1] for x in best]), pa.int64()),
+                 pa.array(np.concatenate([x[0] for x in best]), pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())],
+                schema=_ARROW_SCHEMA)
         seen = np.isfinite(vmin)
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids[seen], pa.int64()), pa.nulls(int(seen.sum()), pa.int64()),
@@ -133,7 +143,7 @@ def _query_chunks(queries: DataFrame, query_id: str, vec: str, group: str | None
 
 def vector_partials(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id",
                     doc_vec: str = "embedding", query_id: str = "query_id",
-                    query_vec: str = "embedding", group: str | None = None) -> DataFrame:
+                    query_vec: str = "embedding", group: str | None = None, margin: float = 0.0) -> DataFrame:
     """Per-task partial results: top rows (doc_id set) and stat rows (doc_id null).
 
     With ``group`` (a column of both tables, e.g. snapshot_id) a query only
@@ -148,7 +158,7 @@ def vector_partials(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str
         qm = [r["vec"] for r in rows]
         qmat = _unit_rows(np.asarray(qm, dtype=np.float64)) if qm else np.zeros((0, 0))
         bc = spark.sparkContext.broadcast((qids, qmat, [r["grp"] for r in rows]))
-        parts.append(d.mapInArrow(_partial_topk_fn(bc, k, doc_id, doc_vec, group), PARTIAL_SCHEMA))
+        parts.append(d.mapInArrow(_partial_topk_fn(bc, k, doc_id, doc_vec, group, margin), PARTIAL_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -156,11 +166,17 @@ def vector_partials(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str
 
 
 def vector_topk(docs: DataFrame, queries: DataFrame, k: int, **kw) -> tuple[DataFrame, DataFrame]:
-    """(top, stats): top-k (query_id, doc_id, vec_score, rank) and per-query (vec_min, vec_max)."""
+    """(top, stats): top-k (query_id, doc_id, vec_score, vec_rank) and per-query (vec_min, vec_max).
+
+    With ``margin`` also the rows at most that far below the k-th score, the k smallest ids of a score."""
     # Partials (k rows per query per task, plus min/max rows) feed two consumers.
     part = cut_lineage(vector_partials(docs, queries, k, **kw))
-    top = top_k(part.filter(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "vec_score"),
-                ["query_id"], "vec_score", ["doc_id"], k, "vec_rank")
+    rows = part.filter(F.col("doc_id").isNotNull()).select("query_id", "doc_id", "vec_score")
+    top = top_k(rows, ["query_id"], "vec_score", ["doc_id"], k, "vec_rank")
+    if kw.get("margin"):
+        floor = top.groupBy("query_id").agg((F.min("vec_score") - kw["margin"]).alias("floor"))
+        near = rows.join(floor, "query_id").filter(F.col("vec_score") >= F.col("floor")).drop("floor")
+        top = top_k(near, ["query_id", "vec_score"], "vec_score", ["doc_id"], k, "vec_rank")
     stats = (part.filter(F.col("doc_id").isNull())
              .groupBy("query_id")
              .agg(F.min("vec_min").alias("vec_min"), F.max("vec_max").alias("vec_max")))
@@ -215,42 +231,23 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding", model=None,
     return df.withColumn(out, udf(F.col(text)))
 
 
-def query_matrix(queries: DataFrame, query_id: str, vec: str):
-    """(ids, unit-row matrix) of a query-vector table the caller has proven small."""
-    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vec).alias("v")).collect()
-    rows = [r for r in rows if r["v"] is not None]
-    ids = np.array([r["q"] for r in rows], dtype=np.int64)
-    mat = _unit_rows(np.asarray([r["v"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
-    return ids, mat
-
-
-def pair_cosine(pairs: DataFrame, query_vectors: DataFrame, *, query_id: str, doc_vec: str,
-                query_vec: str = "embedding", out: str = "vec_score") -> DataFrame:
-    """Cosine of (query, doc-vector) pairs, vectorised per Arrow batch.
+def pair_cosine(pairs: DataFrame, doc_vec: str, query_vec: str, out: str = "vec_score") -> DataFrame:
+    """Cosine of the two vectors of every row, vectorised per Arrow batch; both columns are dropped.
 
-    ``query_vectors`` (query_id, vector) must be bounded: it is broadcast as a
-    numpy matrix.  ``doc_vec`` is dropped; rows without a vector (or whose
-    query has none) get null.  Scores are rounded like the rest of the search.
+    Rows without one of the vectors get null.  Scores are rounded like the rest of the search.
     """
-    spark = pairs.sparkSession
-    ids, mat = query_matrix(query_vectors, query_id, query_vec)
-    bc = spark.sparkContext.broadcast((ids, mat))
-    keep = [f for f in pairs.schema.fields if f.name != doc_vec]
+    keep = [f for f in pairs.schema.fields if f.name not in (doc_vec, query_vec)]
     schema = T.StructType(keep + [T.StructField(out, T.DoubleType(), True)])
     names = [f.name for f in keep]
 
     def run(batches):
-        qids, qm = bc.value
-        index = {int(q): i for i, q in enumerate(qids)}
         for b in batches:
-            qs = b.column(query_id).to_pylist()
-            vecs = b.column(doc_vec)
-            pos = np.array([index.get(q, -1) if q is not None else -1 for q in qs], dtype=np.int64)
-            ok = (pos >= 0) & np.asarray(pc.is_valid(vecs).to_numpy(zero_copy_only=False), dtype=bool)
-            res = np.full(len(qs), np.nan)
+            dv, qv = b.column(doc_vec), b.column(query_vec)
+            ok = np.asarray(pc.and_(pc.is_valid(dv), pc.is_valid(qv)).to_numpy(zero_copy_only=False), dtype=bool)
+            res = np.full(b.num_rows, np.nan)
             if ok.any():
-                d = _unit_rows(_to_matrix(vecs.filter(pa.array(ok))))
-                res[ok] = np.round(np.einsum("ij,ij->i", d, qm[pos[ok]]), SCORE_DECIMALS)
+                d, q = (_unit_rows(_to_matrix(x.filter(pa.array(ok)))) for x in (dv, qv))
+                res[ok] = np.round(np.einsum("ij,ij->i", d, q), SCORE_DECIMALS)
             col = pa.array(res, pa.float64(), mask=~ok)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [col],
                                              schema=pa.schema([(n, b.schema.field(n).type) for n in names]
