@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-_LINE_BREAK = re.compile(r"\r\n|\r|\n")
+_LINE_BREAK = re.compile(rb"\r\n|\r|\n")
 
 _FUNC_T = pa.struct([
     ("name", pa.string()), ("lineno", pa.int32()), ("col_offset", pa.int32()),
@@ -61,11 +61,7 @@ class _Source:
 
     def __init__(self, text: str):
         self.b = text.encode("utf-8", "surrogatepass")
-        starts = [0]
-        for m in _LINE_BREAK.finditer(text):
-            starts.append(m.end())
-        # convert character offsets of line starts to byte offsets
-        self.starts = [len(text[:s].encode("utf-8", "surrogatepass")) for s in starts] if not text.isascii() else starts
+        self.starts = [0, *(m.end() for m in _LINE_BREAK.finditer(self.b))]
 
     def seg(self, node) -> str:
         a = self.starts[node.lineno - 1] + node.col_offset
@@ -147,23 +143,36 @@ def extract_symbols(text: str, as_coded: bool = False) -> dict:
     return out
 
 
+# Content parsed into one output batch; symbols repeat parts of it, so batches stay far below Arrow's limit.
+_BATCH_CHARS = 4 << 20
+
+
 def parse_batches(batches: Iterator[pa.RecordBatch], as_coded: bool = False) -> Iterator[pa.RecordBatch]:
     import sys
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+    rows = {n: [] for n in ARROW_SCHEMA.names}
+    held = 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[n], type=ARROW_SCHEMA.field(n).type)
+                                           for n in ARROW_SCHEMA.names], schema=ARROW_SCHEMA)
     for b in batches:
-        cols = {n: b.column(n).to_pylist() for n in ("snapshot_id", "path", "content")}
-        rows = {n: [] for n in ARROW_SCHEMA.names}
-        for snap, path, content in zip(cols["snapshot_id"], cols["path"], cols["content"]):
-            rows["snapshot_id"].append(snap)
-            rows["path"].append(path)
+        for i in range(b.num_rows):
+            content = b.column("content")[i].as_py()
             try:
                 sym = extract_symbols(content if content is not None else "", as_coded)
                 err = None
             except Exception as e:  # noqa: BLE001 - X13: isolate the failing file
                 sym = {"functions": [], "classes": [], "imports": [], "aliases": []}
                 err = f"{type(e).__name__}: {e}"
+            for key in ("snapshot_id", "path"):
+                rows[key].append(b.column(key)[i].as_py())
             rows["parse_error"].append(err)
             for key in ("functions", "classes", "imports", "aliases"):
                 rows[key].append(sym[key])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[n], type=ARROW_SCHEMA.field(n).type)
-                                          for n in ARROW_SCHEMA.names], schema=ARROW_SCHEMA)
+            held += len(content or "")
+            if held >= _BATCH_CHARS:
+                yield done()
+                rows, held = {n: [] for n in ARROW_SCHEMA.names}, 0
+    if rows["path"]:
+        yield done()

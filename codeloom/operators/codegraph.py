@@ -107,6 +107,10 @@ def nodes(parsed: DataFrame) -> DataFrame:
     return out
 
 
+# What makes an edge: it exists once per snapshot, source, relation and target.
+EDGE = [SNAP, "src_label", "src_id", "rel", "dst_label", "dst_id"]
+
+
 def _edge(df: DataFrame, src_label: str, src: str, rel: str, dst_label: str, dst: str, props=None) -> DataFrame:
     p = props if props is not None else F.create_map().cast("map<string,string>")
     return df.select(SNAP, F.lit(src_label).alias("src_label"), F.col(src).alias("src_id"), F.lit(rel).alias("rel"),
@@ -121,7 +125,7 @@ def contains_edges(parsed: DataFrame) -> DataFrame:
     return (_edge(f, "File", "path", "CONTAINS_FUNCTION", "Function", "fid")
             .unionByName(_edge(c, "File", "path", "CONTAINS_CLASS", "Class", "cid"))
             .unionByName(_edge(a, "Class", "class_id", "HAS_ATTRIBUTE", "Attribute", "aid"))
-            .dropDuplicates([SNAP, "src_label", "src_id", "rel", "dst_label", "dst_id"]))
+            .dropDuplicates(EDGE))
 
 
 def _resolve(df: DataFrame, st: DataFrame, name_col: str, out_col: str) -> DataFrame:
@@ -160,7 +164,8 @@ def inherits_overrides(parsed: DataFrame, st: DataFrame, as_coded: bool = False)
     if as_coded:
         ov = ov.filter(F.substring_index("target_id", "::", 1) <= F.col("path"))
     overrides = _edge(ov, "Function", "fid", "OVERRIDES", "Function", "target_id")
-    return inherits.unionByName(overrides)
+    # Getter and setter, or a class defined in both branches of an if, name one edge.
+    return inherits.unionByName(overrides).dropDuplicates(EDGE)
 
 
 def calls_edges(parsed: DataFrame, st: DataFrame, as_coded: bool = False) -> DataFrame:
@@ -184,8 +189,7 @@ def calls_edges(parsed: DataFrame, st: DataFrame, as_coded: bool = False) -> Dat
            .withColumn("caller_id", F.concat("path", F.lit("::"), "caller")))
     if as_coded:
         res = res.filter(F.substring_index("callee_id", "::", 1) <= F.col("path"))
-    return _edge(res, "Function", "caller_id", "CALLS", "Function", "callee_id").dropDuplicates(
-        [SNAP, "src_label", "src_id", "rel", "dst_label", "dst_id"])
+    return _edge(res, "Function", "caller_id", "CALLS", "Function", "callee_id").dropDuplicates(EDGE)
 
 
 def imports_edges(parsed: DataFrame) -> DataFrame:
@@ -200,7 +204,7 @@ def pattern_edges(parsed: DataFrame) -> DataFrame:
                                                     F.lit("Singleton").alias("pattern"),
                                                     F.lit("Singleton").alias("role"))
     return _edge(s, "Class", "cid", "PARTICIPATES_IN", "DesignPattern", "pattern",
-                 _props(("role", F.coalesce(F.col("role"), F.lit(PATTERN_ROLE_DEFAULT)))))
+                 _props(("role", F.coalesce(F.col("role"), F.lit(PATTERN_ROLE_DEFAULT))))).dropDuplicates(EDGE)
 
 
 def check_endpoints(edges: DataFrame, node_table: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ O["graph_inherits_overrides"] = f"""
 WITH {BASE},
 inh AS (SELECT cl.path, cl.name, cl.k, 'Part' || CAST(cl.k // 2 AS VARCHAR) AS base, t.symbol_id AS base_id
         FROM cl JOIN symtab t ON t.name = 'Part' || CAST(cl.k // 2 AS VARCHAR) WHERE cl.k <> 0)
-SELECT 'Class' AS src_label, path || '::' || name AS src_id, 'INHERITS' AS rel, 'Class' AS dst_label, base_id AS dst_id
+SELECT DISTINCT 'Class' AS src_label, path || '::' || name AS src_id, 'INHERITS' AS rel, 'Class' AS dst_label, base_id AS dst_id
 FROM inh WHERE base_id IN (SELECT id FROM cnodes)
 UNION ALL
 SELECT DISTINCT 'Function', f.path || '::' || f.name, 'OVERRIDES', 'Function', t.symbol_id

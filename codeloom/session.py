@@ -47,13 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder; make a scratch one only if unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we never
-    override it.  Local runs (tests) get a fresh scratch folder.
+    override it.  Local runs (tests) get a fresh scratch folder; on a cluster
+    without the setting this is an error, as executors share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not (sc.master or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="codeloom-ckpt-")
     sc.setCheckpointDir(d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,15 @@ def append_snippets(df: DataFrame, path: str, quarantine: str | None = None,
     """
     bad = F.col("text").isNull() | F.col("type").isNull()
     obs = Observation("ingest")
+    # With a quarantine both halves read one stored result, so embeddings are computed once.
+    df = df.persist(StorageLevel.DISK_ONLY) if quarantine else df
     tagged = df.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("failed"))
     tagged.filter(~bad).write.mode("append").partitionBy(partition_by).parquet(path)
     stats = obs.get
-    if quarantine and stats.get("failed", 0):
-        df.filter(bad).write.mode("append").parquet(quarantine)
+    if quarantine:
+        if stats.get("failed", 0):
+            df.filter(bad).write.mode("append").parquet(quarantine)
+        df.unpersist()
     return stats
 
 
@@ -62,7 +67,9 @@ def replace_snapshots(df: DataFrame, path: str, partition_by: str = "snapshot_id
 
 def drop_snapshot(spark: SparkSession, path: str, snapshot_id: str, partition_by: str = "snapshot_id") -> bool:
     """S7 (delete): remove one snapshot's partition from a collection or graph table."""
-    fs, p = _fs(spark, f"{path.rstrip('/')}/{partition_by}={snapshot_id}")
+    # The folder name as Spark writes it: owner/name@sha is escaped, so no id reaches outside the table.
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(snapshot_id)
+    fs, p = _fs(spark, f"{path.rstrip('/')}/{partition_by}={name}")
     return bool(fs.delete(p, True)) if fs.exists(p) else False
 
 

@@ -145,3 +145,29 @@ def test_as_coded_inherits_sees_only_earlier_bases(spark):
     # as written file by file: a later class in the same file and a later file are not there yet,
     # but a file's functions are all written before its classes, so the same-file override exists
     assert coded == {("OVERRIDES", "a.py::Late.m", "a.py::Early.m")} and coded <= free
+
+
+def test_edges_are_unique(spark):
+    """A getter and setter, a class in both branches and a repeated singleton each give one edge."""
+    from codeloom.operators import codegraph as G
+    base = "class Base:\n    def size(self): pass\n"
+    child = ("if x:\n    class Child(Base):\n        @property\n        def size(self): pass\n        @size.setter\n        def size(self, v): pass\n"
+             "else:\n    class Child(Base):\n        def size(self): pass\n"
+             "class One:\n    def __new__(cls):\n        cls._instance = 1\nclass One:\n    def __new__(cls):\n        cls._instance = 2\n")
+    files = spark.createDataFrame([("s", "a.py", base), ("s", "b.py", child)], "snapshot_id string, path string, content string")
+    p = X.parse(files, persist=False)
+    rows = G.inherits_overrides(p, X.symbol_table(p)).unionByName(G.pattern_edges(p)).collect()
+    assert sorted((r.rel, r.src_id, r.dst_id) for r in rows) == [
+        ("INHERITS", "b.py::Child", "a.py::Base"), ("OVERRIDES", "b.py::Child.size", "a.py::Base.size"),
+        ("PARTICIPATES_IN", "b.py::One", "Singleton")]
+
+
+def test_large_non_ascii_file_parses_in_linear_time():
+    import time
+
+    from codeloom.functions.pyparse import extract_symbols
+    text = "# é\n" + "".join(f"def f{i}(x):\r\n    return 'ü' + g{i}(x)\r\n" for i in range(12_000))
+    t0 = time.perf_counter()
+    out = extract_symbols(text)
+    assert time.perf_counter() - t0 < 6 and out["functions"][7]["calls"] == ["g7"]
+    assert out["functions"][7]["code_snippet"] == "def f7(x):\r\n    return 'ü' + g7(x)"

@@ -52,6 +52,17 @@ def test_collection_lifecycle(spark, scratch):
     assert sinks.drop_snapshot(spark, path, "s1")
 
 
+def test_drop_snapshot_of_any_name(spark, scratch):
+    path = os.path.join(scratch, "snippets")
+    ids = ["org/repo@abc", "..", "../other", "a=b", "x y%2F"]
+    rows = [(i, "t", "comment", "f.py", "f", 1, "id", None) for i in ids]
+    sinks.append_snippets(spark.createDataFrame(rows, sinks.SNIPPET_SCHEMA), path)
+    for n, i in enumerate(ids, 1):
+        assert sinks.drop_snapshot(spark, path, i) and not sinks.drop_snapshot(spark, path, i)
+        assert spark.read.schema(sinks.SNIPPET_SCHEMA).parquet(path).count() == len(ids) - n
+    assert os.path.isdir(path)
+
+
 def test_results_are_resumable(spark, scratch):
     path = os.path.join(scratch, "results")
     r = spark.createDataFrame([(1, "a"), (2, "b")], "issue_id long, v string")
