@@ -10,6 +10,7 @@ downstream fan-out or a retried stage does not call the model again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -95,32 +96,58 @@ PROVIDERS: dict[str, Factory] = {
     "stub-score": score_stub,
 }
 
-_WORKER_CACHE: dict[str, Predictor] = {}
+# Calls a batch of prompts goes to the model with.
+BATCH = 32
+_MODELS: dict[str, Predictor] = {}
+_TOKENS: dict[int, tuple[Factory, str]] = {}
 
 
 def resolve(provider: str | Factory) -> tuple[str, Factory]:
-    if callable(provider):
-        return getattr(provider, "__name__", "custom"), provider
-    if provider not in PROVIDERS:
+    """(token, factory): the token is one factory's for the whole application, whatever its name."""
+    if not callable(provider) and provider not in PROVIDERS:
         raise ValueError(f"Unsupported model provider: {provider!r}")
-    return provider, PROVIDERS[provider]
+    factory = provider if callable(provider) else PROVIDERS[provider]
+    if id(factory) not in _TOKENS:
+        _TOKENS[id(factory)] = (factory, uuid.uuid4().hex)      # held, so that the id stays its own
+    return _TOKENS[id(factory)][1], factory
+
+
+def worker_model(token: str, factory: Factory) -> Predictor:
+    """The model, built once a worker process.  Tasks call this by reference, so its table outlives them."""
+    if token not in _MODELS:
+        _MODELS[token] = factory()
+    return _MODELS[token]
 
 
 def predict(df: DataFrame, prompt: str, out: str, provider: str | Factory,
-            persist: bool = True) -> DataFrame:
-    """Add ``out`` = the model's stripped reply to ``prompt``."""
-    name, factory = resolve(provider)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType(), True)])
+            persist: bool = True, batch_size: int = BATCH, error: str | None = None) -> DataFrame:
+    """Add ``out`` = the model's stripped reply to ``prompt``.
+
+    A failing call gives its batch null replies (and, in the column named by ``error``, the
+    exception's text) and leaves the other batches alone.
+    """
+    token, factory = resolve(provider)
+    fields = [T.StructField(out, T.StringType(), True)] + ([T.StructField(error, T.StringType(), True)] if error else [])
+    schema = T.StructType(df.schema.fields + fields)
 
     def run(batches):
-        fn = _WORKER_CACHE.get(name)
-        if fn is None:
-            fn = _WORKER_CACHE[name] = factory()
+        from codeloom.operators.predict import worker_model
         for pdf in batches:
             prompts = pdf[prompt].fillna("").astype(str).tolist()
-            replies = fn(prompts) if prompts else []
-            pdf[out] = pd.Series([r.strip() if r is not None else None for r in replies], index=pdf.index,
-                                 dtype=object)
+            replies, errors = [], []
+            for at in range(0, len(prompts), batch_size):
+                part = prompts[at:at + batch_size]
+                try:
+                    got, failed = list(worker_model(token, factory)(part)), None
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} replies to {len(part)} prompts")
+                except Exception as e:  # noqa: BLE001 - a failing call must not end the other issues' work
+                    got, failed = [None] * len(part), f"{type(e).__name__}: {e}"
+                replies += [r.strip() if r is not None else None for r in got]
+                errors += [failed] * len(part)
+            pdf[out] = pd.Series(replies, index=pdf.index, dtype=object)
+            if error:
+                pdf[error] = pd.Series(errors, index=pdf.index, dtype=object)
             yield pdf
 
     res = df.mapInPandas(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import codegraph as G
 from ..operators import replies as R
@@ -80,7 +81,11 @@ def ingest(source_files: DataFrame | None = None, *, parsed: DataFrame | None =
     parsed = parsed if parsed is not None else X.parse(source_files)
     st = symbols if symbols is not None else cut_lineage(X.symbol_table(parsed))
     snippets = build_snippets(X.functions(parsed), X.classes(parsed), X.call_lists(parsed))
-    snippets = cut_lineage(embed(snippets.withColumn("doc_id", F.monotonically_increasing_id())))
+    # Ids follow from the content, so every ingest of a corpus gives the same ones; rows equal in all
+    # of it are told apart by their count.
+    content = ["snapshot_id", "snippet_id", "type", "file", "name", "text"]
+    nth = F.row_number().over(Window.partitionBy(*content).orderBy("lineno"))
+    snippets = cut_lineage(embed(snippets.withColumn("doc_id", F.xxhash64(*content, nth))))
     if nodes is None:
         nodes = cut_lineage(G.nodes(parsed))  # read by every endpoint check and name lookup
     edges = (G.contains_edges(parsed).unionByName(G.inherits_overrides(parsed, st))
@@ -103,10 +108,11 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
                 by="snapshot_id")
     hits = typed_hits(hy, sn, q.select("issue_id"), "issue_id", HIT_TYPES)
     hit_lists = hits_text(hits, "issue_id")
-    # Graph leg: the neighbourhood of the functions named by the hits.
-    seeds = (hits.filter(F.col("function_type").isNotNull())
-             .select("issue_id", F.col("function_type").alias("name"))
-             .join(q.select("issue_id", "snapshot_id"), "issue_id"))
+    # Graph leg: the neighbourhood of the names the model's replies give (quoted in the graph query, or
+    # among the keywords), whatever the text leg found.
+    quoted = F.regexp_extract_all("cypher_query", F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
+    keywords = F.regexp_extract_all("vector_query", F.lit(r"([\p{L}_][\p{L}\p{N}_.]*)"), F.lit(1))
+    seeds = q.select("issue_id", "snapshot_id", F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (quoted, keywords)])).alias("name")).distinct()
     gn = kb["nodes"].select("snapshot_id", "label", "id", F.when(F.col("label") == "File", F.col("props")["path"])
                             .otherwise(F.col("props")["name"]).alias("name"))
     ge = kb["edges"].select("snapshot_id", "src_label", "src_id", "rel", "dst_label", "dst_id")

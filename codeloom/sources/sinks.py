@@ -87,3 +87,11 @@ def append_results(results: DataFrame, path: str, run_id: str, key: str = "issue
     obs = Observation("results")
     out.observe(obs, F.count(F.lit(1)).alias("written")).write.mode("append").partitionBy("run_id").parquet(path)
     return int(obs.get.get("written", 0))
+
+
+def unfinished(issues: DataFrame, path: str, key: str = "issue_id") -> DataFrame:
+    """The issues without a row in the result table; asked before any model runs."""
+    fs, p = _fs(issues.sparkSession, path)
+    if not fs.exists(p):
+        return issues
+    return issues.join(issues.sparkSession.read.parquet(path).select(key).distinct(), key, "left_anti")

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.workflow import run_issues
-from ..session import ensure_checkpoint_dir
-from ..sources.sinks import append_results
+from ..sources.sinks import append_results, unfinished
 
 ISSUE_SCHEMA = T.StructType([
     T.StructField("issue_id", T.LongType()), T.StructField("issue_idx", T.LongType()),
@@ -25,16 +24,19 @@ ISSUE_SCHEMA = T.StructType([
 
 
 def start(spark: SparkSession, issue_dir: str, kb: dict[str, DataFrame], results_path: str,
-          name: str = "issues", available_now: bool = True, provider_prefix: str = "stub"):
-    """Start the stream; returns the StreamingQuery.  ``kb`` comes from ``plans.workflow.ingest``."""
+          progress_path: str, name: str = "issues", available_now: bool = True, provider_prefix: str = "stub"):
+    """Start the stream; returns the StreamingQuery.  ``kb`` comes from ``plans.workflow.ingest``.
+
+    ``progress_path`` (shared, kept between applications) holds the stream's progress, so a restart
+    reads new files only; issues that already have a result are left out before any model runs.
+    """
     issues = spark.readStream.schema(ISSUE_SCHEMA).parquet(issue_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        append_results(run_issues(batch, kb, provider_prefix), results_path, f"batch-{batch_id}")
+        todo = unfinished(batch, results_path)
+        if not todo.isEmpty():
+            append_results(run_issues(todo, kb, provider_prefix), results_path, f"batch-{batch_id}")
 
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    w = issues.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).queryName(name)
+    w = issues.writeStream.foreachBatch(each).option("checkpointLocation", progress_path).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -12,9 +12,22 @@ def test_stream_appends_each_issue_once(spark, scratch):
     inbox, out = os.path.join(scratch, "inbox"), os.path.join(scratch, "results")
     rows = [(1, 0, "s", "r", "c", "helper fails on check"), (2, 1, "s", "r", "c", "check returns v")]
     spark.createDataFrame(rows, ISSUE_SCHEMA).write.mode("append").parquet(inbox)
-    start(spark, inbox, kb, out, name="t1").awaitTermination()
+    progress = os.path.join(scratch, "progress")
+    start(spark, inbox, kb, out, progress, name="t1").awaitTermination()
     assert spark.read.parquet(out).count() == 2
     # a restarted stream sees nothing new, and a re-delivered issue is skipped
     spark.createDataFrame(rows[:1], ISSUE_SCHEMA).write.mode("append").parquet(inbox)
-    start(spark, inbox, kb, out, name="t1").awaitTermination()
+    start(spark, inbox, kb, out, progress, name="t1").awaitTermination()
     assert sorted(r.issue_id for r in spark.read.parquet(out).collect()) == [1, 2]
+    # a stream without its progress (another application) finds nothing to ask a model about
+    from codeloom.operators import predict as P
+    before = dict(P.PROVIDERS)
+
+    def none():
+        raise AssertionError("a model was asked for")
+    P.PROVIDERS.update({k: none for k in before})
+    try:
+        start(spark, inbox, kb, out, os.path.join(scratch, "progress2"), name="t2").awaitTermination()
+    finally:
+        P.PROVIDERS.update(before)
+    assert spark.read.parquet(out).count() == 2
