@@ -19,15 +19,6 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it is provably small, else ``df`` unchanged.
-
-    Beyond the bound the join falls back to a shuffle join on the keys, where
-    AQE can still split skewed partitions.
-    """
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-repartition ``df`` on ``keys`` only if it has fewer partitions than the
     cluster can run at once.
@@ -35,7 +26,7 @@ def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> Data
     Used before CPU-heavy row work (parsing, tokenizing, Python batches): a
     large input already arrives in many splits and is left alone, so no text
     is shuffled at scale; a few big files are spread over all cores.
-    Decided from the plan, without running a job.
+    Asking for the partitions of an aggregated input runs its shuffles; use it on table scans.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import bounded_broadcast
 from . import symbols as X
 from .snippets import singleton_classes
 from .upsert import NODE_KEY
@@ -175,11 +174,11 @@ def calls_edges(parsed: DataFrame, st: DataFrame, as_coded: bool = False) -> Dat
     dotted = F.col("callee").contains(".")
     cand = (cl.withColumn("head", F.when(dotted, F.substring_index("callee", ".", 1)))
             .withColumn("rest", F.when(dotted, F.expr("substr(callee, instr(callee, '.') + 1)")))
-            .join(bounded_broadcast(al), [SNAP, "path", "head"], "left")
+            .join(al, [SNAP, "path", "head"], "left")
             .withColumn("expanded", F.when(dotted, F.concat(F.coalesce("expanded_head", "head"), F.lit("."), "rest"))))
-    # One row per symbol name: broadcast when bounded, so the exploded call stream (where
-    # one callee may be a third of all calls) is resolved without shuffling on the callee.
-    names = bounded_broadcast(st.select(SNAP, "name", "symbol_id"))
+    # One row per symbol name; Spark broadcasts it by its bytes or splits the callees that are
+    # a large share of all calls.
+    names = st.select(SNAP, "name", "symbol_id")
     direct = names.select(SNAP, F.col("name").alias("callee"), F.col("symbol_id").alias("direct_id"))
     viaalias = names.select(SNAP, F.col("name").alias("expanded"), F.col("symbol_id").alias("alias_id"))
     res = (cand.join(direct, [SNAP, "callee"], "left")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, fits, spread
+from ..functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, fits, spread
 from ..functions.text import tokens
 from ..session import cut_lineage
 
@@ -80,7 +80,25 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",
     scored = postings.join(bc(doc_freq), [*by, "term"]).join(bc(qt), [*by, "term"])
     if by:
         # one row per collection
-        scored = scored.join(bounded_broadcast(stats), by)
+        scored = scored.join(stats, by)
     return (scored
             .groupBy(*by, query_id, doc_id)
             .agg(F.sum(term_score).alias("kw_score")))
+
+
+def bm25_fields(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, doc_id: str = "doc_id",
+                query_id: str = "query_id", query_text: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., query_id, doc_id, kw_score): BM25 over several text columns of ``docs``.
+
+    Each field has its own statistics; a document's score is the sum of its fields'
+    scores times their boosts, summed in the order of ``fields``.
+    """
+    total = None
+    names = []
+    for i, (field, boost) in enumerate(fields.items()):
+        one = bm25(docs, queries, doc_id=doc_id, doc_text=field, query_id=query_id, query_text=query_text, by=by)
+        one = one.select(*by, query_id, doc_id, (F.col("kw_score") * boost).alias(f"_f{i}"))
+        names.append(f"_f{i}")
+        total = one if total is None else total.join(one, [*by, query_id, doc_id], "full")
+    score = names and [F.coalesce(F.col(n), F.lit(0.0)) for n in names]
+    return total.select(*by, query_id, doc_id, sum(score[1:], score[0]).alias("kw_score"))

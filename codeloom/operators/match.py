@@ -14,7 +14,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import bounded_broadcast
 from ..session import cut_lineage
 from .ranking import top_k
 
@@ -82,7 +81,7 @@ def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges:
     by = list(by)
     # The matched primaries feed the aggregation and the final rows: materialise once.
     prim = cut_lineage(seed_match(seeds, nodes, label, issue_id, by))
-    pids = bounded_broadcast(prim.select(*by, "pid").distinct())
+    pids = prim.select(*by, "pid").distinct()
 
     out_e = edges.filter(F.col("src_label") == label).select(
         *by, F.col("src_id").alias("pid"), "rel", F.lit("out").alias("dir"),

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.observation import Observation
 
-from ..functions.sizing import bounded_broadcast
 
 NODE_KEY = ["label", "id"]
 EDGE_KEY = ["src_label", "src_id", "rel", "dst_label", "dst_id"]
@@ -103,7 +102,7 @@ def flatten_props(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def detach_delete(nodes: DataFrame, edges: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove ``doomed`` (label, id) nodes and every edge touching them (two anti joins)."""
-    d = bounded_broadcast(doomed.select("label", "id").distinct())
+    d = doomed.select("label", "id").distinct()
     kept_nodes = nodes.join(d, ["label", "id"], "left_anti").select(*nodes.columns)
     ds = d.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"))
     dd = d.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"))

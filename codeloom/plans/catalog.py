@@ -10,6 +10,7 @@ from . import code, commits_fixture, corpus, graphs, patches, search, workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
+    "bm25_fields_topk": search.bm25_fields_topk,
     "vector_topk": search.vector_topk,
     "hybrid_topk": search.hybrid_topk,
     "hybrid_typed_hits": search.hybrid_typed_hits,

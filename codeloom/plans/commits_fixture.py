@@ -1,9 +1,9 @@
 """commits derived from events.
 
 hexsha = event_id, author = user_id, message = event_type, committed_date = ts;
-parent = the previous event of the same user by (ts, event_id), none for the
-first; every 25th event's parent is replaced by 'missing_<event_id>' (a stub
-node).  One diff per event on f_<props.k>.py: error -> D with empty b_path
+parent = an earlier event named by the row itself (event_id - 1 - event_id % 3; a
+stub node if there is none), none for every 10th event; every 25th event's parent
+is replaced by 'missing_<event_id>' (a stub node).  One diff per event on f_<props.k>.py: error -> D with empty b_path
 (except every 40th, which keeps it and so becomes MODIFIES), signup -> A,
 others -> M.
 """
@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.commits import commit_graph as _graph
-from ..operators.sequence import previous_row
 from ..sources.tables import table
 
 
 def commits(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    ev = previous_row(ev, "user_id", ["ts", "event_id"], "event_id", out="prev_id")
+    ev = ev.withColumn("prev_id", F.when(F.col("event_id") % 10 != 0, F.col("event_id") - 1 - F.col("event_id") % 3))
     eid = F.col("event_id").cast("string")
     parents = (F.when(F.col("prev_id").isNull(), F.array().cast("array<string>"))
                .when(F.col("event_id") % 25 == 0, F.array(F.concat(F.lit("missing_"), eid)))

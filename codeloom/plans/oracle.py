@@ -36,6 +36,29 @@ r AS (SELECT item_id, doc_id, round(kw_score, 6) AS score,
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+_TITLE_SCORES = f"""
+td AS (SELECT doc_id, {_tok('string_split(text, chr(10))[1]')} AS toks FROM documents),
+tst AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM td),
+tp AS (SELECT doc_id, dl, term, count(*) AS tf
+       FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM td)
+       WHERE term IN (SELECT term FROM q) GROUP BY doc_id, dl, term),
+tdf AS (SELECT term, count(*) AS n FROM tp GROUP BY term),
+tkw AS (SELECT q.item_id, tp.doc_id,
+               sum(q.qtf * ln(1 + (tst.n_docs - tdf.n + 0.5) / (tdf.n + 0.5)) * tp.tf * 2.2
+                   / (tp.tf + 1.2 * (1 - 0.75 + 0.75 * tp.dl / tst.avgdl))) AS kw_score
+        FROM tp JOIN tdf USING (term) JOIN q USING (term) CROSS JOIN tst
+        GROUP BY q.item_id, tp.doc_id)
+"""
+
+ORACLES["bm25_fields_topk"] = f"""
+WITH {BM25_SCORES}, {_TITLE_SCORES},
+s AS (SELECT item_id, doc_id, round(2.0 * coalesce(tkw.kw_score, 0) + coalesce(kw.kw_score, 0), 6) AS score
+      FROM kw FULL JOIN tkw USING (item_id, doc_id)),
+r AS (SELECT item_id, doc_id, score,
+             CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 VECTORS = """
 qv AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
        WHERE vec_id IN (SELECT item_id FROM benchmark)),
@@ -275,7 +298,7 @@ ORACLES.update(_CODE)
 
 ORACLES["commit_graph"] = """
 WITH ev AS (SELECT event_id, ts, user_id, event_type, value, props,
-                   lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events),
+                   CASE WHEN event_id % 10 <> 0 THEN event_id - 1 - event_id % 3 END AS prev_id FROM events),
 c AS (SELECT CAST(event_id AS VARCHAR) AS hexsha, CAST(user_id AS VARCHAR) AS author, event_type AS message,
              CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
                   ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS tstamp,

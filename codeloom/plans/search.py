@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyword import bm25
+from ..operators.keyword import bm25, bm25_fields
 from ..operators.ranking import rounded, top_k
 from ..sources.tables import table
 
@@ -21,6 +21,19 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
             .select("item_id", "rank", "doc_id", "score"))
 
 
+# Fields of a document searched together, with their boosts: its first line as a title, and the whole.
+FIELDS = {"title": 2.0, "text": 1.0}
+
+
+def bm25_fields_topk(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
+    issues = table(spark, sf, "benchmark")
+    s = bm25_fields(docs, issues, FIELDS, doc_id="doc_id", query_id="item_id")
+    s = s.withColumn("score", rounded("kw_score"))
+    return (top_k(s, ["item_id"], "score", ["doc_id"], LIMIT)
+            .select("item_id", "rank", "doc_id", "score"))
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "embedding")
 

@@ -2,10 +2,7 @@
 
 import random
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
 
-from codeloom.operators.sequence import previous_row
 from codeloom.operators.upsert import detach_delete, upsert_edges, upsert_nodes
 
 NODE_T = "label string, id string, props map<string,string>, ord long"
@@ -50,24 +47,6 @@ def test_detach_delete(spark):
     assert [tuple(r) for r in ke.collect()] == [("A", "2", "R", "B", "1")]
 
 
-def test_previous_row_matches_window_lag_under_a_hot_key(spark):
-    rnd = random.Random(7)
-    # key 0 holds about a third of the rows
-    rows = [(i, 0 if rnd.random() < 0.34 else rnd.randrange(1, 50), rnd.randrange(1000)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id long, k long, t long")
-    got = previous_row(df, "k", ["t", "id"], "id", out="prev", num_partitions=16)
-    want = df.withColumn("prev", F.lag("id").over(Window.partitionBy("k").orderBy("t", "id")))
-    assert sorted(map(tuple, got.select("id", "prev").collect())) == \
-        sorted(map(tuple, want.select("id", "prev").collect()))
-
-
-def test_previous_row_plan_has_no_per_key_window(spark):
-    df = spark.range(0, 200).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), "id")
-    p = previous_row(df, "k", ["t"], "id", num_partitions=8)
-    p.collect()
-    assert "Window" not in p._jdf.queryExecution().executedPlan().toString()
-
-
 def test_upsert_hot_node_matches_naive_last_wins(spark):
     rnd = random.Random(3)
     rows = []
