@@ -4,11 +4,10 @@
    BANDS x ROWS minima, the band keys, and one byte of each minimum as its signature.
 2. Equal sets are one node, named by the smallest id; only one member goes on.
 3. Documents that share a band key are candidates.  A bucket's members are compared with one
-   leader of the bucket, not with each other: first with the smallest id; then, where a bucket
-   still holds several components, with another leader; at last the pairs of different
-   components that remain together in a bucket and whose sizes and signatures allow the threshold.
-   Pairs inside a known component are never formed, so a group of n near copies costs about
-   n pairs a round.
+   leader of the bucket, its smallest id, not with each other; that gives stars.  Where a bucket then
+   still holds documents of different stars, those pairs follow whose sizes and signatures allow
+   the threshold.  Pairs inside a star are never formed, so a group of n near copies costs about
+   n pairs.
 4. Each pair's signatures are compared in batches.  After a batch the posterior of the
    similarity, given the matches so far and a uniform prior, bounds it: when
    P(similarity >= threshold) falls below MISS the pair is dropped.  Survivors are decided on
@@ -41,10 +40,10 @@ from .textarrays import Words, mix, signed
 SHINGLE = 5
 THRESHOLD = (75, 100)        # intersection / union >= 75 / 100
 BANDS, ROWS = 36, 4
-QUARTERS = BANDS * ROWS // 16
+FINE = 1024                  # hashes of the last round's signature, 4 bits each
+COARSE = 144                 # as many of them as are looked at first
 BATCH = 16                   # signature bytes compared between two looks at the posterior
 MISS = 1e-6
-LEADER_ROUNDS = 2
 _U = np.uint64
 
 
@@ -70,27 +69,26 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-@functools.lru_cache(maxsize=1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(4)
-    n = BANDS * ROWS
+@functools.lru_cache(maxsize=2)
+def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return (rng.integers(1, 1 << 63, n, dtype=np.int64).astype(_U) * _U(2) + _U(1),
             rng.integers(0, 1 << 63, n, dtype=np.int64).astype(_U))
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS * ROWS 32-bit minima of every non-empty set; zeros for empty ones."""
-    out = np.zeros((len(sets), BANDS * ROWS), dtype=np.uint32)
+def minima(sets: list[np.ndarray], n: int = BANDS * ROWS, seed: int = 4) -> np.ndarray:
+    """n 32-bit minima of every non-empty set; zeros for empty ones."""
+    out = np.zeros((len(sets), n), dtype=np.uint32)
     full = [i for i, s in enumerate(sets) if len(s)]
     if full:
         flat = np.concatenate([sets[i] for i in full])
         first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
-        for j, (a, b) in enumerate(zip(*_permutations(), strict=True)):
+        for j, (a, b) in enumerate(zip(*_permutations(n, seed), strict=True)):
             out[full, j] = np.minimum.reduceat(((flat * a + b) >> _U(32)).astype(np.uint32), first)
     return out
 
 
-_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, quarters array<long>, bands array<long>"
+_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
 
 
 def _sketch(batches):
@@ -110,24 +108,35 @@ def _sketch(batches):
                 "doc_id": part["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array(signed(digest[:, 0].copy())), "d2": pa.array(signed(digest[:, 1].copy())),
                 "signature": pa.array([x.tobytes() for x in signature], pa.binary()),
-                "quarters": pa.ListArray.from_arrays(np.arange(0, len(sets) * QUARTERS + 1, QUARTERS, dtype=np.int32), signed(_quarters(low).ravel())),
                 "bands": pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), signed(keys.ravel()))})
 
 
-def _quarters(low: np.ndarray) -> np.ndarray:
-    """The lowest 4 bits of every minimum, 16 to a 64-bit word."""
-    four = (low & 15).astype(_U).reshape(len(low), QUARTERS, 16)
-    return np.bitwise_or.reduce(four << (np.arange(16, dtype=_U) * _U(4)), axis=2)
+def _fine(batches):
+    """(doc_id, quarters): the lowest 4 bits of FINE minima, 16 to a 64-bit word."""
+    words = FINE // 16
+    for batch in batches:
+        for a, b in text_slices(batch["text"]):
+            part = batch.slice(a, b - a)
+            four = (minima(shingle_sets(part["text"]), FINE, 5) & 15).astype(_U).reshape(-1, words, 16)
+            packed = np.bitwise_or.reduce(four << (np.arange(16, dtype=_U) * _U(4)), axis=2)
+            yield pa.record_batch({"doc_id": part["doc_id"],
+                                   "quarters": pa.ListArray.from_arrays(np.arange(0, packed.size + 1, words, dtype=np.int32), signed(packed.ravel()))})
 
 
-def _differing(a: str, b: str) -> Column:
-    """In how many 4-bit values two ``quarters`` arrays differ."""
-    def one(i: int) -> Column:
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return functools.reduce(lambda x, y: x + y, [one(i) for i in range(QUARTERS)])
+def _differ(x: Column, y: Column) -> Column:
+    """In how many of their 16 4-bit values two words differ."""
+    d = x.bitwiseXOR(y)
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _able(a: str, b: str) -> Column:
+    """Whether the posterior leaves the threshold possible after COARSE, then after FINE values."""
+    t = THRESHOLD[0] / THRESHOLD[1]
+    coarse = functools.reduce(lambda x, y: x + y, [_differ(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(COARSE // 16)])
+    fine = F.aggregate(F.zip_with(a, b, _differ), F.lit(0), lambda x, y: x + y)
+    return ((coarse <= COARSE - least_matches(COARSE, t, values=16)) & (fine <= FINE - least_matches(FINE, t, values=16)))
 
 
 def least_matches(n: int, threshold: float, miss: float = MISS, values: int = 256) -> int:
@@ -179,63 +188,49 @@ def _confirm(batches):
             yield pa.record_batch({"a": part["a"].filter(mask), "b": part["b"].filter(mask)})
 
 
-class _Run:
-    """The staged tables of one run: one row a distinct set."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
-        self.texts = None
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) pairs whose full sets reach the threshold; staged."""
-        small = self.nodes.select("doc_id", "n_shingles", "signature")
-        t = THRESHOLD[0] / THRESHOLD[1]
-        left = small.toDF("a", "na", "sa")
-        right = small.toDF("b", "nb", "sb")
-        sized = pairs.join(left, "a").join(right, "b").where(
-            THRESHOLD[1] * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb"))
-        alive = staged(sized.select("a", "sa", "b", "sb").mapInArrow(_prune(t), "a long, b long"), "alive")
-        wanted = alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct()
-        texts = staged(self.docs.join(wanted, "doc_id"), "texts")
-        # The smaller-fan-out side first: b is a bucket's member, a its leader.
-        with_b = alive.join(texts.toDF("b", "tb"), "b")
-        both = with_b.join(texts.toDF("a", "ta"), "a").select("a", "ta", "b", "tb")
-        links = staged(both.mapInArrow(_confirm, "a long, b long"), "links")
-        discard(alive, texts)
-        return links
-
-
-def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each bucket's leader of this turn with the members of other components."""
-    order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-    leaders = members.groupBy("key").agg(F.min_by(F.struct("doc_id", "label"), order).alias("leader"))
-    return (members.join(leaders, "key").where(F.col("leader.label") != F.col("label"))
-            .select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-
-
-def _rest_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different components that still share a bucket and may reach the threshold.
-
-    The largest component of a bucket is only compared with the bucket's other members, never with
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) pairs whose full sets reach the threshold; staged."""
+    small = nodes.select("doc_id", "n_shingles", "signature")
+    near = THRESHOLD[1] * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")
+    sized = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b").where(near)
+    alive = sized.select("a", "sa", "b", "sb").mapInArrow(_prune(THRESHOLD[0] / THRESHOLD[1]), "a long, b long")
+    # A member's text joins before its leader's, which many pairs share.
+    both = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "ta", "b", "tb")
+    return staged(both.mapInArrow(_confirm, "a long, b long"), "links")
+
+
+def _leader_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b): each bucket's smallest id with the bucket's other members."""
+    leaders = buckets.groupBy("key").agg(F.min("doc_id").alias("a"))
+    return (buckets.join(leaders, "key").where(F.col("a") != F.col("doc_id"))
+            .select("a", F.col("doc_id").alias("b")).distinct())
+
+
+def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different stars that share a bucket and may reach the threshold; staged.
+
+    ``members`` has key, doc_id, n_shingles and label.  The largest star of a bucket is only compared with the bucket's other members, never with
     itself.  Sizes within the threshold's ratio lie in the same or a neighbouring power of that ratio,
-    which is part of the join key; the posterior's first look, at 4 bits of every minimum, is part of
-    the join's condition, so pairs that cannot reach the threshold never become rows.
+    which is part of the join key.  These documents get a longer signature, and the posterior given it
+    is part of the join's condition, so pairs that cannot reach the threshold never become rows; a pair
+    becomes a row in the first of its shared buckets only.
     """
     step = math.log(THRESHOLD[1] / THRESHOLD[0])
-    m = members.join(nodes.select("doc_id", "quarters"), "doc_id").withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / step))
+    signed_ = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, quarters array<long>")
+    shared = members.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))      # BANDS keys at most
+    m = members.join(signed_, "doc_id").join(shared, "doc_id").withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / step))
     largest = (members.groupBy("key", "label").count().groupBy("key")
                .agg(F.max_by("label", F.struct("count", "label")).alias("largest")))
-    m = staged(m.join(largest, "key"), "open")
+    m = staged(m.join(largest, "key"), "classes")
     left = m.where(F.col("label") != F.col("largest")).select(
-        "key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("quarters").alias("qa"))
+        "key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("quarters").alias("qa"), F.col("keys").alias("ka"))
     right = m.select(F.col("key").alias("key_b"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("cb"), "largest",
-                     F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("quarters").alias("qb"))
+                     F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("quarters").alias("qb"), F.col("keys").alias("kb"))
     near = THRESHOLD[1] * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")
-    n = BANDS * ROWS
-    able = _differing("qa", "qb") <= n - least_matches(n, THRESHOLD[0] / THRESHOLD[1], values=16)
     once = (F.col("lb") == F.col("largest")) | (F.col("a") < F.col("b"))
-    on = (F.col("key") == F.col("key_b")) & (F.col("c") == F.col("cb")) & (F.col("la") != F.col("lb")) & once & near & able
-    pairs = staged(left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    here = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")      # of all buckets a pair shares, the first
+    on = (F.col("key") == F.col("key_b")) & (F.col("c") == F.col("cb")) & (F.col("la") != F.col("lb")) & once & near & _able("qa", "qb") & here
+    pairs = staged(left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "rest")
     discard(m)
     return pairs
 
@@ -246,39 +241,28 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sketches = staged(d.mapInArrow(_sketch, _SKETCH), "sketches")
     usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "d1", "d2"]
-    nodes = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "quarters", "bands"), "doc_id").alias("s"))
-                   .select(*same, "doc_id", "s.signature", "s.quarters", "s.bands"), "nodes")
-    run = _Run(d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), nodes)
+    nodes = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s"))
+                   .select(*same, "doc_id", "s.signature", "s.bands"), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = staged(rows.join(shared, "key"), "buckets")
-    links, labels = [], None
-    for turn in range(LEADER_ROUNDS + 1):
-        if labels is None:
-            members = buckets.withColumn("label", F.col("doc_id"))
-        else:
-            known = labels.select(F.col("node").alias("doc_id"), "label")
-            labelled = buckets.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-            open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            members = labelled.join(open_keys, "key")
-            rest = staged(members.select("key", "doc_id", "n_shingles", "label"), "buckets")
-            members = rest
-        found = run.verified(_leader_pairs(members, turn) if turn < LEADER_ROUNDS else _rest_pairs(members, nodes))
-        if labels is not None:
-            discard(rest)
-        any_new = found.limit(1).count() > 0
-        links.append(found)
-        if any_new or labels is None:
-            old = labels
-            edges = functools.reduce(DataFrame.union, links)
-            labels = components(edges)
-            if old is not None:
-                discard(old)
-    discard(buckets)
+    # The texts of all candidates, fetched once for both rounds.
+    own = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = staged(own.join(buckets.select("doc_id").distinct(), "doc_id"), "texts")
+    # Each leader's star is connected: its smallest leader names what a document is already known to belong to.
+    stars = _verified(_leader_pairs(buckets), nodes, texts)
+    known = stars.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("star"))
+    labelled = staged(buckets.join(known, "doc_id", "left").withColumn("label", F.coalesce("star", "doc_id")).drop("star"), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    members = staged(labelled.join(open_keys, "key"), "open")
+    rest = _rest_pairs(members, texts)
+    links = _verified(rest, nodes, texts)
+    labels = components(stars.union(links))
+    discard(buckets, texts, labelled, members, rest)
     member = (sketches.join(nodes.select(*same, F.col("doc_id").alias("node")), same, "left")
               .join(labels, "node", "left")
               .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))))
     out = staged(member.select("doc_id", "n_shingles", "component_id",
                                F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dedup")
-    discard(sketches, nodes, labels, *links)
+    discard(sketches, nodes, labels, stars, links)
     return out

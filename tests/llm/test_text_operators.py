@@ -167,8 +167,8 @@ def test_near_dedup_equals_brute_force(spark):
 
 
 def test_near_dedup_rest_round_finds_links_that_leaders_miss(spark, monkeypatch):
-    """A bucket without leader rounds: every link must come from the last round."""
-    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 0)
+    """Without any star every link must come from the last round."""
+    monkeypatch.setattr(near_dedup, "_leader_pairs", lambda buckets: buckets.select("doc_id", "doc_id").toDF("a", "b").limit(0))
     data = X.rows(seed=4, n=40)
     out = near_dedup.near_dedup(X.frame(spark, data)).collect()
     want = groups(data)
