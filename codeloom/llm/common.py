@@ -52,7 +52,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: survives lost executors, cuts lineage."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -3,14 +3,16 @@
 A window is WINDOW consecutive words of a text.  A word goes if a window covers it whose word
 sequence also starts in a document with a smaller id; windows are judged on the input.
 
-1. Seeds.  Every window names the smallest hash among its ANCHOR-word runs.  Equal windows name
-   the same seed, so a seed that occurs in one document only rules out all its windows; a text
-   has about one seed in six words.  Seeds are counted with partial aggregates.
-2. Confirmation.  Documents are dealt into shards of about SHARD_ROWS by a hash of the id.  The
+1. Copies.  A text with the word sequence (128-bit digest) of a document with a smaller id loses all
+   its words, if it has WINDOW of them, and takes no further part.
+2. Seeds.  Every window names the smallest hash among its ANCHOR-word runs.  Equal windows name
+   the same seed, so a seed that occurs in one word sequence only rules out all its windows; a
+   text has about one seed in six words.  Seeds are counted with partial aggregates.
+3. Confirmation.  Documents are dealt into shards of about SHARD_ROWS by a hash of the id.  The
    windows of a shard that name a recurring seed are hashed (96 bits) once a shard, and counted
    over all shards: a phrase is confirmed if it occurs in two documents, and its first document
    is known.
-3. Automata.  A shard receives the confirmed phrases whose first document comes before one of the
+4. Automata.  A shard receives the confirmed phrases whose first document comes before one of the
    shard's documents that hold them, each once, however many of its documents do.  The phrases
    are compiled into an Aho-Corasick automaton over the shard's words, and the shard's documents
    are streamed through it whole: every occurrence is located on the words themselves, and marks
@@ -34,7 +36,8 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, pick, release, staged, text_slices
@@ -56,6 +59,7 @@ def _seeds_of(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(batches):
+    """(shard, key, words, d1, d2, seeds): a text's shard and id, its number of words, the digest of its words, its seeds."""
     for batch in batches:
         for a, b in text_slices(batch["text"]):
             part = batch.slice(a, b - a)
@@ -67,29 +71,43 @@ def _seeds(batches):
                 new[1:] = (seed[at[1:]] != seed[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])
                 at = at[new]
             first = np.searchsorted(w.doc[at], np.arange(part.num_rows + 1))
-            yield pa.record_batch({"shard": part["shard"], "key": part["key"],
+            digest = b"".join(hashlib.blake2b(b" ".join((t or "").encode().split()), digest_size=16).digest() for t in part["text"].to_pylist())
+            two = np.frombuffer(digest, dtype="<i8").reshape(-1, 2)
+            yield pa.record_batch({"shard": part["shard"], "key": part["key"], "words": pa.array(np.diff(w.first).astype(np.int64)),
+                                   "d1": pa.array(two[:, 0].copy()), "d2": pa.array(two[:, 1].copy()),
                                    "seeds": pa.ListArray.from_arrays(first.astype(np.int32), signed(seed[at]))})
 
 
-_PHRASE = "h1 long, h2 int, shard long, first long, row int, at int, last long"
+_SEEDS = "shard long, key long, words long, d1 long, d2 long, seeds array<long>"
+_PHRASE = "h1 long, h2 int, first long, at int, last long"
 
 
-def _candidates(key, docs: pa.Table, seeds: pa.Table) -> pa.Table:
-    """The distinct windows of a shard that name a recurring seed: hash, first and last document, a place.
+def _in_order(docs: pa.Table, copies: pa.Table) -> tuple[pa.Table, list[bool]]:
+    """A shard's documents by (key, text), the order in which words are numbered, and which of them are copies."""
+    docs = docs.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
+    known = {x for x in copies["copy"].to_pylist() if x is not None}
+    return docs, [k in known for k in docs["key"].to_pylist()]
 
-    The place is a row of the shard in (key, text) order and a word of it.
+
+def _candidates(docs: pa.Table, seeds: pa.Table) -> pa.Table:
+    """The distinct windows of a shard that name a recurring seed: hash, first and last document (null: the first), a place.
+
+    The place is a word of the shard, counted over its documents in order, without copies.
     """
-    names = ["h1", "h2", "shard", "first", "row", "at", "last"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["h1", "h2", "first", "at", "last"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
     none = pa.table([pa.array([], t) for t in types], names=names)
-    if not docs.num_rows or not seeds.num_rows:
+    wanted = np.unique(seeds["seed"].drop_null().to_numpy().view(np.uint64))
+    if not docs.num_rows or not len(wanted):
+        return none
+    order, copy = _in_order(docs, seeds)
+    order = order.filter(pa.array([not c for c in copy])).combine_chunks()
+    if not order.num_rows:
         return none
-    order = docs.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
     keys = order["key"].to_numpy()
-    w = Words(order["text"].combine_chunks() if isinstance(order["text"], pa.ChunkedArray) else order["text"])
+    w = Words(order["text"].chunk(0))
     hashes = w.hashes()
     seed, inside = _seeds_of(w, hashes)
-    wanted = np.unique(seeds["seed"].to_numpy().view(np.uint64))
     found = np.minimum(np.searchsorted(wanted, seed), len(wanted) - 1)
     at = np.flatnonzero(inside & (wanted[found] == seed))
     if not len(at):
@@ -103,9 +121,11 @@ def _candidates(key, docs: pa.Table, seeds: pa.Table) -> pa.Table:
     start[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     first = np.flatnonzero(start)
     last = np.append(first[1:], len(at)) - 1
-    doc = w.doc[at[first]]
-    out = [h1[first], h2[first], np.full(len(first), key[0].as_py()), keys[doc], doc.astype(np.int32), (at[first] - w.first[doc]).astype(np.int32), keys[w.doc[at[last]]]]
-    return pa.table([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+    lowest, highest = keys[w.doc[at[first]]], keys[w.doc[at[last]]]
+    out = [h1[first], h2[first], lowest, at[first].astype(np.int32), highest]
+    # Most windows stand in one document of the shard; a null last takes no room.
+    masks = [None, None, None, None, highest == lowest]
+    return pa.table([pa.array(x, t, mask=m) for x, t, m in zip(out, types, masks, strict=True)], names=names)
 
 
 def _marked(ids: list[list[int]], keys: list[int], phrases) -> list[np.ndarray]:
@@ -128,16 +148,18 @@ def _marked(ids: list[list[int]], keys: list[int], phrases) -> list[np.ndarray]:
 
 def _remove(carried: list[str], full: bool):
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        docs = docs.sort_by([("key", "ascending"), ("text", "ascending")])      # the order _candidates counted in
+        docs, copy = _in_order(docs, phrases)
         raws = [(t or "").encode() for t in docs["text"].to_pylist()]
         keys = docs["key"].to_pylist()
         numbers: dict[bytes, int] = {}
         split = [raw.split() for raw in raws]                                    # ASCII white space: the word's own definition
-        ids = [[numbers.setdefault(x, len(numbers)) for x in words] for words in split]
-        rows = zip(phrases["row"].to_pylist(), phrases["at"].to_pylist(), phrases["before"].to_pylist(), strict=True)
-        found = ((tuple(ids[i][at:at + WINDOW]), before) for i, at, before in rows)
+        ids = [[] if c else [numbers.setdefault(x, len(numbers)) for x in words] for words, c in zip(split, copy, strict=True)]
+        stream = [x for words in ids for x in words]
+        places = phrases.filter(pc.is_valid(phrases["at"]))
+        found = ((tuple(stream[at:at + WINDOW]), before) for at, before in zip(places["at"].to_pylist(), places["before"].to_pylist(), strict=True))
         gone = _marked(ids, keys, found)
-        out = {"doc_id": docs["doc_id"], "n_words": pa.array([len(x) for x in ids], pa.int64()),
+        gone = [np.ones(len(words), dtype=bool) if c else g for words, c, g in zip(split, copy, gone, strict=True)]
+        out = {"doc_id": docs["doc_id"], "n_words": pa.array([len(x) for x in split], pa.int64()),
                "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64())}
         if full:
             out |= {"text": pa.array([t if t is None or not g.any() else _without(raw, g)
@@ -163,20 +185,32 @@ def _without(raw: bytes, gone: np.ndarray) -> str:
     return b"".join(out).rstrip(b" \t\n\x0b\x0c\r").decode()
 
 
-def phrases(d: DataFrame) -> DataFrame:
-    """(shard, row, at, before): the confirmed phrases every shard needs; staged."""
-    seeds = d.select("shard", "key", "text").mapInArrow(_seeds, "shard long, key long, seeds array<long>")
-    occurring = seeds.select("shard", "key", F.explode("seeds").alias("seed"))
-    recurring = staged(occurring.groupBy("seed").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("seed"), "seeds")
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards))
+
+
+def phrases(d: DataFrame, shards: int) -> DataFrame:
+    """(shard, at, before, copy): the confirmed phrases every shard needs, and the ids of its copies; staged."""
+    seeds = d.select("shard", "key", "text").mapInArrow(_seeds, _SEEDS)
+    same = ["d1", "d2"]
+    long_ = seeds.where(F.col("words") >= WINDOW).select("shard", "key", *same)
+    firsts = long_.groupBy(*same).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    copies = staged(long_.join(firsts, same).where("key > lo").select("shard", F.col("key").alias("copy")), "copies")
+    occurring = seeds.select("shard", "d1", F.explode("seeds").alias("seed"))
+    recurring = staged(occurring.groupBy("seed").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("seed"), "seeds")
     release(d.sparkSession)
-    routed = staged(occurring.select("shard", "seed").join(recurring, "seed", "left_semi").select("shard", "seed"), "routed")
+    none = F.lit(None).cast("long")
+    routed = staged(occurring.select("shard", "seed").join(recurring, "seed", "left_semi").select("shard", "seed", none.alias("copy"))
+                    .unionByName(copies.select("shard", none.alias("seed"), "copy")), "routed")
     discard(recurring)
     windows = staged(d.select("shard", "key", "text").groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_candidates, _PHRASE), "windows")
     discard(routed)
-    repeated = (windows.groupBy("h1", "h2").agg(F.min("first").alias("before"), F.max("last").alias("latest"))
+    repeated = (windows.groupBy("h1", "h2").agg(F.min("first").alias("before"), F.max(F.coalesce("last", "first")).alias("latest"))
                 .where("before < latest").select("h1", "h2", "before"))
-    out = staged(windows.join(repeated, ["h1", "h2"]).where("last > before").select("shard", "row", "at", "before"), "phrases")
-    discard(windows)
+    out = staged(windows.join(repeated, ["h1", "h2"]).where("coalesce(last, first) > before")
+                 .select(_shard(F.col("first"), shards).alias("shard"), "at", "before", none.alias("copy"))
+                 .unionByName(copies.select("shard", F.lit(None).cast("int").alias("at"), none.alias("before"), "copy")), "phrases")
+    discard(windows, copies)
     return out
 
 
@@ -188,8 +222,8 @@ def remove_repeated(docs: DataFrame, full: bool = False, carry: tuple[str, ...]
     """
     d = pick(docs, doc_id="long", text="string", **{c: "string" for c in carry})
     shards = max(1, -(-d.count() // SHARD_ROWS))
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(_AFTER_ALL))).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    known = phrases(d)
+    d = d.withColumn("key", F.coalesce("doc_id", F.lit(_AFTER_ALL))).withColumn("shard", _shard(F.col("key"), shards))
+    known = phrases(d, shards)
     last = "text string" + "".join(f", {c} string" for c in carry) if full else "kept_sha256 string"
     out = (d.groupBy("shard").cogroup(known.groupBy("shard"))
            .applyInArrow(_remove(list(carry), full), f"doc_id long, n_words long, n_removed long, {last}"))
