@@ -67,34 +67,30 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "position", "weight", "target", F.floor(F.col("target") + 0.5).alias("quota"))
 
 
-def _lines(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """doc_id, text, source, size, order hash and its chunk for every row."""
-    d = pick(docs, doc_id="long", **{c: "string" for c in dict.fromkeys(("text", "source", *carry))}).withColumn("size", n_words(F.col("text")))
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":mix")))
-    return d.withColumn("hash", order).withColumn("chunk", F.left("hash", F.lit(ORDER_DIGITS)))
+def _row_key() -> list[Column]:
+    """128 bits that name a row by id, source and text; equal rows share them."""
+    return [F.xxhash64("doc_id", "source", "text").alias("k1"), F.xxhash64("text", F.lit(1), "source", F.lit(2), "doc_id").alias("k2")]
 
 
-def positions(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def positions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row with ``start``, its first word's place in its source's line, and its source's target; and the sources.
 
-    doc_id, size, source_size, target, position (of the source), quota, start (and text).
+    doc_id, k1, k2 (see _row_key), size, source_size, target, position (of the source), quota, start; no texts.
     """
-    d = _lines(docs, carry)
-    if not keep_text:
-        # Rows equal in id and source are ordered by size; their texts no longer matter.
-        d = d.select("doc_id", "source", "size", "hash", "chunk")
-    d = staged(d, "mix-sizes")
+    d = pick(docs, doc_id="long", text="string", source="string")
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":mix")))
+    d = d.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("hash"), *_row_key())
+    d = staged(d.withColumn("chunk", F.left("hash", F.lit(ORDER_DIGITS))), "mix-sizes")
     sources = staged(targets(d.select("source", "size")), "mix-sources")
     chunks = d.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.select(F.col("source").alias("_s"), F.col("chunk").alias("_c"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    ties = ["hash", "doc_id", "size", *(["text"] if keep_text else [])]
-    inside = Window.partitionBy("source", "chunk").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "chunk").orderBy("hash", "doc_id", "size", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(offsets, d["source"].eqNullSafe(offsets["_s"]) & (d["chunk"] == offsets["_c"]))
     s = sources.withColumnRenamed("source", "_name").drop("weight")
     d = d.join(s, d["source"].eqNullSafe(s["_name"]))
-    return d.select("doc_id", *(["text", "source", *carry] if keep_text else []), "size", "source_size", "target", "position", "quota",
+    return d.select("doc_id", "k1", "k2", "size", "source_size", "target", "position", "quota",
                     (F.col("offset") + F.col("_before")).alias("start")), sources
 
 
@@ -160,10 +156,14 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...]
     The text is the document's own; only the document at which a quota ends inside a repeat is
     cut, to its first ``n_taken`` words joined by a blank.
     """
-    placed, sources = positions(docs, keep_text=True, carry=carry)
+    placed, sources = positions(docs)
     placed = staged(placed, "mix-placed")
     scheduled = pieces(placed, block).join(schedule(sources, block), ["position", "block"])
     taken = scheduled.groupBy("position", "start", "repeat").agg(F.sum("words").alias("n_taken"))
-    out = placed.where("size > 0").join(taken, ["position", "start"])
+    chosen = placed.where("size > 0").join(taken, ["position", "start"]).select("k1", "k2", "size", "repeat", "n_taken")
+    # The texts move once, to the rows that name them; equal rows are one text under several places.
+    d = pick(docs, doc_id="long", **{c: "string" for c in dict.fromkeys(("text", "source", *carry))})
+    texts = d.select(*d.columns, *_row_key()).dropDuplicates(["k1", "k2"])
+    out = texts.join(chosen, ["k1", "k2"])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("n_taken").cast("int")), " ")
     return out.select("doc_id", F.when(F.col("n_taken") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "source", "repeat", "n_taken", *carry)
