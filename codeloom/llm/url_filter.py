@@ -82,8 +82,8 @@ def model(grams: DataFrame) -> DataFrame:
     out = grams.select("gram")
     shortest = grams.groupBy(F.right("gram", F.lit(1)).alias("g")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     total = shortest.agg(*[F.sum(c).alias(f"t_{c}") for c in ("accepted", "rejected")], F.count("*").alias("v"))
-    p0 = (shortest.crossJoin(F.broadcast(total))   # one row
-          .select("g", *[((F.col(c) + 1) / (F.col(f"t_{c}") + F.col("v"))).alias(f"p_{c}") for c in ("accepted", "rejected")]))
+    n = {c: total.select(c).scalar() for c in total.columns}
+    p0 = shortest.select("g", *[((F.col(c) + 1) / (n[f"t_{c}"] + n["v"])).alias(f"p_{c}") for c in ("accepted", "rejected")])
     out = out.withColumn("g", F.right("gram", F.lit(1))).join(p0, "g").drop("g")
     for k in range(1, ORDER + 1):
         own = grams.groupBy(F.right("gram", F.lit(k + 1)).alias("g")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
@@ -94,9 +94,8 @@ def model(grams: DataFrame) -> DataFrame:
         smoothed = [F.when(F.col(f"n_{c}") > 0, (F.col(c) + F.col(f"d_{c}") * F.col(f"p_{c}")) / (F.col(f"n_{c}") + F.col(f"d_{c}")))
                     .otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in ("accepted", "rejected")]
         out = out.withColumn("g", F.right("gram", F.lit(k + 1))).join(step, "g").select("gram", *smoothed)
-    both = (F.col("t_accepted") > 0) & (F.col("t_rejected") > 0)
-    return (out.crossJoin(F.broadcast(total))
-            .select("gram", F.when(both, F.log("p_accepted") - F.log("p_rejected")).otherwise(F.lit(0.0)).alias("llr")))
+    both = (n["t_accepted"] > 0) & (n["t_rejected"] > 0)
+    return out.select("gram", F.when(both, F.log("p_accepted") - F.log("p_rejected")).otherwise(F.lit(0.0)).alias("llr"))
 
 
 def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
@@ -122,9 +121,8 @@ def url_filter(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFram
     spread = lambda v: F.sqrt(F.greatest(F.col(f"q_{v}") - F.col(f"m_{v}") * F.col(f"m_{v}"), F.lit(0.0))) + 1e-9
     threshold = stats.select(F.coalesce((F.col("m_allow") * spread("block") + F.col("m_block") * spread("allow"))
                                         / (spread("allow") + spread("block")), F.lit(0.0)).alias("threshold"))
-    judged = (ruled.join(scored.select("url", "score"), ruled["url"].eqNullSafe(scored["url"]), "left").drop(scored["url"])
-              .crossJoin(F.broadcast(threshold)))   # one row
+    judged = ruled.join(scored.select("url", "score"), ruled["url"].eqNullSafe(scored["url"]), "left").drop(scored["url"])
     score = F.coalesce("score", F.lit(0.0))
     return judged.select("page_id", "host", "path", "rule",
-                         F.coalesce("ruled", F.when(score >= F.col("threshold"), "allow").otherwise("block")).alias("verdict"),
+                         F.coalesce("ruled", F.when(score >= threshold.scalar(), "allow").otherwise("block")).alias("verdict"),
                          score.alias("score"))
