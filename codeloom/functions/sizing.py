@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Row bound under which a side is broadcast.  Rows here are narrow (ids,
 # terms, short vectors); the byte bound follows from the row bound.

@@ -36,7 +36,7 @@ DEPTH = 32
 # Vector scores this close below the DEPTH-th could tie with it once the fused score is rounded to
 # 6 places: alpha * difference / (max - min) < 1e-6, max - min <= 2.
 def _tie_margin(alpha: float) -> float:
-    return 2 * 1.5e-6 / alpha + 1e-6
+    return 2 * 1.5e-6 / alpha + 1e-6 if alpha > 0 else 0.0
 
 
 # Hits (ids and scores, under 100 bytes each) sent to the snippet table at most.
