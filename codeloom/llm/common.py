@@ -77,7 +77,8 @@ def release(spark: SparkSession) -> None:
 def bounded_sample(df: DataFrame, key: Column, most: int, by: str | None = None, seed: int = 17) -> DataFrame:
     """About ``most`` rows (per value of ``by``), chosen by a hash of ``key`` against the row count.
 
-    Repeatable, order-free and without a sort; the bound holds in expectation.
+    Repeatable, order-free and without a sort; the bound holds in expectation.  ``by`` must have few
+    values: callers have them on the driver.
     """
     where = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_HASH_RANGE))
     if by is None:
@@ -85,7 +86,8 @@ def bounded_sample(df: DataFrame, key: Column, most: int, by: str | None = None,
         return df if n <= most else df.where(where < int(_HASH_RANGE * most / n))
     counts = df.groupBy(by).count()
     keep = counts.select(F.col(by).alias("_by"), F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")).alias("_share"))
-    return (df.join(keep, df[by] == keep["_by"]).where(where < F.col("_share") * _HASH_RANGE).drop("_by", "_share"))
+    # One row a value of ``by`` (languages, labels): sent to the rows, so no text is dealt by it.
+    return (df.join(F.broadcast(keep), df[by] == keep["_by"]).where(where < F.col("_share") * _HASH_RANGE).drop("_by", "_share"))
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, most: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
