@@ -4,7 +4,8 @@ A window is WINDOW consecutive words of a text.  A word goes if a window covers
 sequence also starts in a document with a smaller id; windows are judged on the input.
 
 1. Copies.  A text with the word sequence (128-bit digest) of a document with a smaller id loses all
-   its words, if it has WINDOW of them, and takes no further part.
+   its words, if it has WINDOW of them, and takes no further part.  A copy is named by its id and
+   its digest: other texts under the same id, or under null ids, are judged by themselves.
 2. Seeds.  Every window names the smallest hash among its ANCHOR-word runs.  Equal windows name
    the same seed, so a seed that occurs in one word sequence only rules out all its windows; a
    text has about one seed in six words.  Seeds are counted with partial aggregates.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -47,6 +49,7 @@ WINDOW = 13
 ANCHOR = 4
 SHARD_ROWS = 64
 _AFTER_ALL = (1 << 63) - 1          # stands for a null id
+_TWO = struct.Struct("<qq")         # a digest as two longs
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -58,6 +61,11 @@ def _seeds_of(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seed, w.doc[:n] == w.doc[WINDOW - 1:WINDOW - 1 + n]
 
 
+def _digest(text: str | None) -> bytes:
+    """Names a text's word sequence."""
+    return hashlib.blake2b(b" ".join((text or "").encode().split()), digest_size=16).digest()
+
+
 def _seeds(batches):
     """(shard, key, words, d1, d2, seeds): a text's shard and id, its number of words, the digest of its words, its seeds."""
     for batch in batches:
@@ -71,7 +79,7 @@ def _seeds(batches):
                 new[1:] = (seed[at[1:]] != seed[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])
                 at = at[new]
             first = np.searchsorted(w.doc[at], np.arange(part.num_rows + 1))
-            digest = b"".join(hashlib.blake2b(b" ".join((t or "").encode().split()), digest_size=16).digest() for t in part["text"].to_pylist())
+            digest = b"".join(map(_digest, part["text"].to_pylist()))
             two = np.frombuffer(digest, dtype="<i8").reshape(-1, 2)
             yield pa.record_batch({"shard": part["shard"], "key": part["key"], "words": pa.array(np.diff(w.first).astype(np.int64)),
                                    "d1": pa.array(two[:, 0].copy()), "d2": pa.array(two[:, 1].copy()),
@@ -85,8 +93,10 @@ _PHRASE = "h1 long, h2 int, first long, at int, last long"
 def _in_order(docs: pa.Table, copies: pa.Table) -> tuple[pa.Table, list[bool]]:
     """A shard's documents by (key, text), the order in which words are numbered, and which of them are copies."""
     docs = docs.sort_by([("key", "ascending"), ("text", "ascending")]).combine_chunks()
-    known = {x for x in copies["copy"].to_pylist() if x is not None}
-    return docs, [k in known for k in docs["key"].to_pylist()]
+    copies = copies.filter(pc.is_valid(copies["copy"]))
+    known = set(zip(copies["copy"].to_pylist(), copies["d1"].to_pylist(), copies["d2"].to_pylist(), strict=True))
+    keys = {k for k, *_ in known}
+    return docs, [k in keys and (k, *_TWO.unpack(_digest(t))) in known for k, t in zip(docs["key"].to_pylist(), docs["text"].to_pylist(), strict=True)]
 
 
 def _candidates(docs: pa.Table, seeds: pa.Table) -> pa.Table:
@@ -190,26 +200,27 @@ def _shard(key: Column, shards: int) -> Column:
 
 
 def phrases(d: DataFrame, shards: int) -> DataFrame:
-    """(shard, at, before, copy): the confirmed phrases every shard needs, and the ids of its copies; staged."""
+    """(shard, at, before, copy, d1, d2): the confirmed phrases every shard needs, and its copies' ids and digests; staged."""
     seeds = d.select("shard", "key", "text").mapInArrow(_seeds, _SEEDS)
     same = ["d1", "d2"]
     long_ = seeds.where(F.col("words") >= WINDOW).select("shard", "key", *same)
     firsts = long_.groupBy(*same).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    copies = staged(long_.join(firsts, same).where("key > lo").select("shard", F.col("key").alias("copy")), "copies")
+    copies = staged(long_.join(firsts, same).where("key > lo").select("shard", F.col("key").alias("copy"), *same).distinct(), "copies")
     occurring = seeds.select("shard", "d1", F.explode("seeds").alias("seed"))
     recurring = staged(occurring.groupBy("seed").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("seed"), "seeds")
     release(d.sparkSession)
     none = F.lit(None).cast("long")
-    routed = staged(occurring.select("shard", "seed").join(recurring, "seed", "left_semi").select("shard", "seed", none.alias("copy"))
-                    .unionByName(copies.select("shard", none.alias("seed"), "copy")), "routed")
+    no_copy = [none.alias(c) for c in ("copy", *same)]
+    routed = staged(occurring.select("shard", "seed").join(recurring, "seed", "left_semi").select("shard", "seed", *no_copy)
+                    .unionByName(copies.select("shard", none.alias("seed"), "copy", *same)), "routed")
     discard(recurring)
     windows = staged(d.select("shard", "key", "text").groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_candidates, _PHRASE), "windows")
     discard(routed)
     repeated = (windows.groupBy("h1", "h2").agg(F.min("first").alias("before"), F.max(F.coalesce("last", "first")).alias("latest"))
                 .where("before < latest").select("h1", "h2", "before"))
     out = staged(windows.join(repeated, ["h1", "h2"]).where("coalesce(last, first) > before")
-                 .select(_shard(F.col("first"), shards).alias("shard"), "at", "before", none.alias("copy"))
-                 .unionByName(copies.select("shard", F.lit(None).cast("int").alias("at"), none.alias("before"), "copy")), "phrases")
+                 .select(_shard(F.col("first"), shards).alias("shard"), "at", "before", *no_copy)
+                 .unionByName(copies.select("shard", F.lit(None).cast("int").alias("at"), none.alias("before"), "copy", *same)), "phrases")
     discard(windows, copies)
     return out
 

@@ -88,6 +88,18 @@ def test_repeated_phrases_equal_brute_force(spark, monkeypatch, shard_rows):
     assert all(r.text == texts[r.doc_id] for r in full if r.doc_id in texts and r.n_removed == 0)     # untouched texts stay as they are
 
 
+def test_copies_are_single_texts_not_ids(spark):
+    """A copy under a null or repeated id takes only its own text along."""
+    rng = random.Random(21)
+    base, unique, other = (X.sentence(rng, "en", 40) for _ in range(3))
+    data = [[3, base, "en", "s"], [None, base, "en", "s"], [None, unique, "en", "s"], [None, "too short", "en", "s"], [None, None, "en", "s"],
+            [5, base, "en", "s"], [5, other, "en", "s"], [9, "start " + other + " end", "en", "s"], [8, X.sentence(rng, "de", 30), "de", "s"]]
+    out = repeated_phrases.remove_repeated(X.frame(spark, data)).collect()
+    want = sorted((i is None, i or 0, n, g, hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, g, k in kept_words(data))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in out) == want
+    assert sorted(r.n_removed for r in out if r.doc_id in (None, 5)) == [0, 0, 0, 0, 40, 40]
+
+
 # --- operator 3 ---
 
 @pytest.fixture(scope="module")
