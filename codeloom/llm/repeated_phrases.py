@@ -9,7 +9,9 @@ sequence also starts in a document with a smaller id; windows are judged on the
 2. Seeds.  Every window names the smallest hash among its ANCHOR-word runs.  Equal windows name
    the same seed, so a seed that occurs in one word sequence only rules out all its windows; a
    text has about one seed in six words.  Seeds are counted with partial aggregates.
-3. Confirmation.  Documents are dealt into shards of about SHARD_ROWS by a hash of the id.  The
+3. Confirmation.  Documents are dealt into shards of about SHARD_ROWS by a hash of the id and the
+   text, so rows of one id, or of no id, lie in many shards.  More than SHARD_ROWS rows equal in
+   both are judged as one row, whose result is joined to them.  The
    windows of a shard that name a recurring seed are hashed (96 bits) once a shard, and counted
    over all shards: a phrase is confirmed if it occurs in two documents, and its first document
    is known.
@@ -39,7 +41,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, pick, release, staged, text_slices
@@ -48,6 +50,7 @@ from .textarrays import BASES, Words, signed, sliding_min
 WINDOW = 13
 ANCHOR = 4
 SHARD_ROWS = 64
+_TEXT = ("t1", "t2")               # two hashes that name a text
 _AFTER_ALL = (1 << 63) - 1          # stands for a null id
 _TWO = struct.Struct("<qq")         # a digest as two longs
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -87,7 +90,7 @@ def _seeds(batches):
 
 
 _SEEDS = "shard long, key long, words long, d1 long, d2 long, seeds array<long>"
-_PHRASE = "h1 long, h2 int, first long, at int, last long"
+_PHRASE = "shard long, h1 long, h2 int, first long, at int, last long"
 
 
 def _in_order(docs: pa.Table, copies: pa.Table) -> tuple[pa.Table, list[bool]]:
@@ -100,12 +103,12 @@ def _in_order(docs: pa.Table, copies: pa.Table) -> tuple[pa.Table, list[bool]]:
 
 
 def _candidates(docs: pa.Table, seeds: pa.Table) -> pa.Table:
-    """The distinct windows of a shard that name a recurring seed: hash, first and last document (null: the first), a place.
+    """The distinct windows of a shard that name a recurring seed: shard, hash, first and last document (null: the first), a place.
 
     The place is a word of the shard, counted over its documents in order, without copies.
     """
-    names = ["h1", "h2", "first", "at", "last"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["shard", "h1", "h2", "first", "at", "last"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
     none = pa.table([pa.array([], t) for t in types], names=names)
     wanted = np.unique(seeds["seed"].drop_null().to_numpy().view(np.uint64))
     if not docs.num_rows or not len(wanted):
@@ -132,9 +135,9 @@ def _candidates(docs: pa.Table, seeds: pa.Table) -> pa.Table:
     first = np.flatnonzero(start)
     last = np.append(first[1:], len(at)) - 1
     lowest, highest = keys[w.doc[at[first]]], keys[w.doc[at[last]]]
-    out = [h1[first], h2[first], lowest, at[first].astype(np.int32), highest]
+    out = [np.full(len(first), docs["shard"][0].as_py()), h1[first], h2[first], lowest, at[first].astype(np.int32), highest]
     # Most windows stand in one document of the shard; a null last takes no room.
-    masks = [None, None, None, None, highest == lowest]
+    masks = [None, None, None, None, None, highest == lowest]
     return pa.table([pa.array(x, t, mask=m) for x, t, m in zip(out, types, masks, strict=True)], names=names)
 
 
@@ -175,7 +178,9 @@ def _remove(carried: list[str], full: bool):
             out |= {"text": pa.array([t if t is None or not g.any() else _without(raw, g)
                                       for t, raw, g in zip(docs["text"].to_pylist(), raws, gone, strict=True)], pa.string())}
             out |= {c: docs[c] for c in carried}
-        else:
+        if "many" in docs.column_names:
+            out |= {c: docs[c] for c in ("many", "key", *_TEXT)}
+        if not full:
             out["kept_sha256"] = pa.array([hashlib.sha256(b" ".join(words if not g.any() else [x for x, y in zip(words, g, strict=True) if not y])).hexdigest()
                                            for words, g in zip(split, gone, strict=True)])
         return pa.table(out)
@@ -195,11 +200,7 @@ def _without(raw: bytes, gone: np.ndarray) -> str:
     return b"".join(out).rstrip(b" \t\n\x0b\x0c\r").decode()
 
 
-def _shard(key: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards))
-
-
-def phrases(d: DataFrame, shards: int) -> DataFrame:
+def phrases(d: DataFrame) -> DataFrame:
     """(shard, at, before, copy, d1, d2): the confirmed phrases every shard needs, and its copies' ids and digests; staged."""
     seeds = d.select("shard", "key", "text").mapInArrow(_seeds, _SEEDS)
     same = ["d1", "d2"]
@@ -219,7 +220,7 @@ def phrases(d: DataFrame, shards: int) -> DataFrame:
     repeated = (windows.groupBy("h1", "h2").agg(F.min("first").alias("before"), F.max(F.coalesce("last", "first")).alias("latest"))
                 .where("before < latest").select("h1", "h2", "before"))
     out = staged(windows.join(repeated, ["h1", "h2"]).where("coalesce(last, first) > before")
-                 .select(_shard(F.col("first"), shards).alias("shard"), "at", "before", *no_copy)
+                 .select("shard", "at", "before", *no_copy)
                  .unionByName(copies.select("shard", F.lit(None).cast("int").alias("at"), none.alias("before"), "copy", *same)), "phrases")
     discard(windows, copies)
     return out
@@ -232,10 +233,32 @@ def remove_repeated(docs: DataFrame, full: bool = False, carry: tuple[str, ...]
     string columns named in ``carry``.
     """
     d = pick(docs, doc_id="long", text="string", **{c: "string" for c in carry})
+    d = d.withColumns({"key": F.coalesce("doc_id", F.lit(_AFTER_ALL)), "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
+    row = ["key", *_TEXT]
+    many = staged(d.groupBy(*row).count().where(F.col("count") > SHARD_ROWS).select(*row), "many")
+    if not many.limit(1).count():
+        discard(many)
+        return _judged(d, full, carry)
+    # Equal rows have equal results: each such group is judged as one row among the others.
+    alike = d.join(many, row, "left_semi")
+    one = alike.groupBy(*row).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rest = d.join(many, row, "left_anti").withColumn("many", F.lit(False))
+    one = one.withColumns({c: F.lit(None).cast("string") for c in carry}).withColumn("many", F.lit(True))
+    out = staged(_judged(staged(rest.unionByName(one), "single"), full, carry), "judged")
+    columns = [c for c in out.columns if c not in (*row, "many")]
+    result = out.where("many").drop("many", "doc_id", *carry)
+    return out.where("NOT many").select(*columns).unionByName(alike.drop("text").join(result, row).select(*columns))
+
+
+def _judged(d: DataFrame, full: bool, carry: tuple[str, ...]) -> DataFrame:
+    """The result for every row of ``d``, with the columns that name a row if it has ``many``."""
     shards = max(1, -(-d.count() // SHARD_ROWS))
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(_AFTER_ALL))).withColumn("shard", _shard(F.col("key"), shards))
-    known = phrases(d, shards)
+    d = d.withColumn("shard", F.pmod(F.xxhash64("key", "t1"), F.lit(shards)))
+    known = phrases(d)
     last = "text string" + "".join(f", {c} string" for c in carry) if full else "kept_sha256 string"
-    out = (d.groupBy("shard").cogroup(known.groupBy("shard"))
-           .applyInArrow(_remove(list(carry), full), f"doc_id long, n_words long, n_removed long, {last}"))
-    return out
+    if "many" in d.columns:
+        last = "many boolean, key long, t1 long, t2 long, " + last
+    else:
+        d = d.drop("t1", "t2")
+    return (d.groupBy("shard").cogroup(known.groupBy("shard"))
+            .applyInArrow(_remove(list(carry), full), f"doc_id long, n_words long, n_removed long, {last}"))

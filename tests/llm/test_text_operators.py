@@ -100,6 +100,27 @@ def test_copies_are_single_texts_not_ids(spark):
     assert sorted(r.n_removed for r in out if r.doc_id in (None, 5)) == [0, 0, 0, 0, 40, 40]
 
 
+def test_rows_of_one_id_are_dealt_to_many_shards(spark, monkeypatch):
+    """A third of the rows under null, a third under one id, some of them equal: no shard holds more than its share, results stay."""
+    monkeypatch.setattr(repeated_phrases, "SHARD_ROWS", 4)
+    rng = random.Random(22)
+    passage = X.sentence(rng, "en", 15)
+    text = lambda i: X.sentence(rng, "en", 20) + (" " + passage if i % 5 == 0 else "") + " " + X.sentence(rng, "de", 3)
+    data = [[i % 3 and (7 if i % 3 == 1 else 100 + i) or None, text(i), "en", "s"] for i in range(90)]
+    data += [[None, data[0][1], "en", f"s{i}"] for i in range(20)] + [[200 + i, data[0][1], "en", "s"] for i in range(3)] + [[None, None, None, "s"]] * 20
+    sizes, judged = [], repeated_phrases.phrases
+    def watched(d):
+        sizes.append(max(r["count"] for r in d.groupBy("shard").count().collect()))
+        return judged(d)
+    monkeypatch.setattr(repeated_phrases, "phrases", watched)
+    out = repeated_phrases.remove_repeated(X.frame(spark, data)).collect()
+    want = sorted(((i is None, i or 0, n, g, hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, g, k in kept_words(data)))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in out) == want
+    full = repeated_phrases.remove_repeated(X.frame(spark, data), full=True, carry=("source",)).collect()
+    assert sorted((r.doc_id or -1, r.source, r.text is None, words(r.text)) for r in full) == sorted((i or -1, s, t is None, k) for (_, t, _, s), (i, _, _, k) in zip(data, kept_words(data), strict=True))
+    assert max(sizes) <= 16
+
+
 # --- operator 3 ---
 
 @pytest.fixture(scope="module")
