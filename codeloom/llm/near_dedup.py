@@ -2,7 +2,9 @@
 
 1. Every document's set of 5-word shingles (hashed) gives a size, a digest of the whole set,
    BANDS x ROWS minima, the band keys, and one byte of each minimum as its signature.
-2. Equal sets are one node, named by the smallest id; only one member goes on.
+2. Equal sets are one node with a number of its own; only the member with the smallest id and
+   text hashes goes on.  Up to step 5 a "doc_id" below is such a number, so rows that share an id
+   but not a set are different nodes with their own texts.
 3. Documents that share a band key are candidates.  A bucket's members are compared with one
    leader of the bucket, its smallest id, not with each other; that gives stars.  Where a bucket then
    still holds documents of different stars, those pairs follow whose sizes and signatures allow
@@ -12,14 +14,15 @@
    similarity, given the matches so far and a uniform prior, bounds it: when
    P(similarity >= threshold) falls below MISS the pair is dropped.  Survivors are decided on
    the two full shingle sets, computed from the two whole texts.
-5. Confirmed links are joined to components; a document is kept if its id is its component's.
+5. Confirmed links, and links between the nodes of a repeated id, are joined to components named
+   by their smallest id; a document is kept if its id is its component's.
 
 Miss probabilities: a pair of similarity 0.75 shares no band with probability
 (1 - 0.75**ROWS)**BANDS = 1.2e-6, more similar ones far less; MISS adds at most 1e-6 a look.
 
 Cases: null texts and texts without words have empty sets and are linked with nothing, not
 even with each other; fewer than 5 words are one shingle; every row is judged by its own
-text, repeated rows with one id fall into one node; rows with a null id have a null component
+text, repeated rows with one id fall into one component; rows with a null id have a null component
 and are kept; other columns are ignored; an empty table gives no rows.
 """
 
@@ -88,7 +91,10 @@ def minima(sets: list[np.ndarray], n: int = BANDS * ROWS, seed: int = 4) -> np.n
     return out
 
 
-_SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
+_AFTER_ALL = (1 << 63) - 1   # stands for a null id
+_ROW = ["key", "t1", "t2"]   # names a row up to rows equal in id and text
+_SAME = ["n_shingles", "d1", "d2"]
+_SKETCH = "doc_id long, key long, t1 long, t2 long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
 
 
 def _sketch(batches):
@@ -104,8 +110,8 @@ def _sketch(batches):
             digest = [(int(mix(s).sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))) for s in sets]
             digest = np.array(digest, dtype=_U).reshape(-1, 2)
             signature = low.astype(np.uint8)
-            yield pa.record_batch({
-                "doc_id": part["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            yield pa.record_batch({c: part[c] for c in ("doc_id", *_ROW)} | {
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array(signed(digest[:, 0].copy())), "d2": pa.array(signed(digest[:, 1].copy())),
                 "signature": pa.array([x.tobytes() for x in signature], pa.binary()),
                 "bands": pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), signed(keys.ravel()))})
@@ -235,20 +241,27 @@ def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``; see the module's notes."""
-    d = pick(docs, doc_id="long", text="string")
+def addressed(d: DataFrame) -> DataFrame:
+    """``d`` (doc_id, text, ...) with the columns that name a row."""
+    return d.withColumns({"key": F.coalesce("doc_id", F.lit(_AFTER_ALL)), "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
+
+
+def _linked(docs: DataFrame, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' sketches, the nodes, and the links of either round; staged.  Rows without an id are no nodes unless ``null_ids``."""
+    d = addressed(pick(docs, doc_id="long", text="string"))
     sketches = staged(d.mapInArrow(_sketch, _SKETCH), "sketches")
-    usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "d1", "d2"]
-    nodes = staged(usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("s"))
-                   .select(*same, "doc_id", "s.signature", "s.bands"), "nodes")
+    usable = sketches.where("n_shingles > 0" if null_ids else "n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = staged(usable.groupBy(*_SAME).agg(F.min(F.struct(*_ROW)).alias("r"), F.min_by(F.struct("signature", "bands"), F.struct(*_ROW)).alias("s"))
+                   .select(*_SAME, F.monotonically_increasing_id().alias("doc_id"), "r.*", "s.signature", "s.bands"), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = staged(rows.join(shared, "key"), "buckets")
     # The texts of all candidates, fetched once for both rounds.
-    own = d.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    texts = staged(own.join(buckets.select("doc_id").distinct(), "doc_id"), "texts")
+    wanted = staged(nodes.select("doc_id", *_ROW).join(buckets.select("doc_id").distinct(), "doc_id"), "wanted")
+    texts = staged(d.where(F.col("text").isNotNull()).drop("doc_id").join(wanted, _ROW).select("doc_id", "text"), "texts")
+    if texts.count() > wanted.count():      # rows equal in id and text
+        repeated, texts = texts, staged(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        discard(repeated)
     # Each leader's star is connected: its smallest leader names what a document is already known to belong to.
     stars = _verified(_leader_pairs(buckets), nodes, texts)
     known = stars.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("star"))
@@ -257,11 +270,33 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     members = staged(labelled.join(open_keys, "key"), "open")
     rest = _rest_pairs(members, texts)
     links = _verified(rest, nodes, texts)
-    labels = components(stars.union(links))
-    discard(buckets, texts, labelled, members, rest)
-    member = (sketches.join(nodes.select(*same, F.col("doc_id").alias("node")), same, "left")
-              .join(labels, "node", "left")
-              .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id"))))
+    discard(buckets, wanted, texts, labelled, members, rest)
+    return sketches, nodes, stars, links
+
+
+def _grouped(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes with ``group``, their component."""
+    return (nodes.drop("signature", "bands").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .withColumn("group", F.coalesce("label", "doc_id")))
+
+
+def _of_one_id(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): the first and every other node of an id whose rows have different sets."""
+    usable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), *_SAME)
+    several = (usable.groupBy("id").agg(*[f(c).alias(f"{n}_{c}") for c in ("d1", "d2") for n, f in (("lo", F.min), ("hi", F.max))])
+               .where("lo_d1 < hi_d1 OR lo_d2 < hi_d2").select("id"))
+    named = usable.join(several, "id").join(nodes.select(*_SAME, "doc_id"), _SAME).select("id", "doc_id").distinct()
+    return named.join(named.groupBy("id").agg(F.min("doc_id").alias("a")), "id").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; see the module's notes."""
+    sketches, nodes, stars, links = _linked(docs, null_ids=False)
+    labels = components(stars.union(links).union(_of_one_id(sketches, nodes)))
+    grouped = _grouped(nodes, labels)
+    lowest = grouped.groupBy("group").agg(F.min("key").alias("lowest"))
+    member = (sketches.join(grouped.join(lowest, "group").select(*_SAME, "lowest"), _SAME, "left")
+              .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))))
     out = staged(member.select("doc_id", "n_shingles", "component_id",
                                F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dedup")
     discard(sketches, nodes, labels, stars, links)

@@ -208,6 +208,16 @@ def test_near_dedup_rest_round_finds_links_that_leaders_miss(spark, monkeypatch)
     assert all(r.component_id == want[r.doc_id] for r in out)
 
 
+def test_near_dedup_judges_every_text_of_a_repeated_id(spark):
+    """Both texts of id 1 lead near copies; each link is decided on its own text, whichever stands first."""
+    rng = random.Random(23)
+    first, second = X.sentence(rng, "en", 100), X.sentence(rng, "de", 100)
+    data = [[1, first, "en", "s"], [1, second, "en", "s"], [2, first + " x", "en", "s"], [3, second + " x", "en", "s"], [4, X.sentence(rng, "fr", 100), "en", "s"]]
+    for rows in (data, data[::-1]):
+        out = near_dedup.near_dedup(X.frame(spark, rows, partitions=1)).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
 def test_posterior_bound_follows_matches():
     least = [near_dedup.least_matches(n, 0.75) for n in (16, 64, 144)]
     assert least == sorted(least) and 0 < least[0] < 12 and least[2] < 108
