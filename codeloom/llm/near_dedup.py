@@ -92,7 +92,7 @@ def minima(sets: list[np.ndarray], n: int = BANDS * ROWS, seed: int = 4) -> np.n
 
 
 _AFTER_ALL = (1 << 63) - 1   # stands for a null id
-_ROW = ["key", "t1", "t2"]   # names a row up to rows equal in id and text
+ROW = ["key", "t1", "t2"]   # names a row up to rows equal in id and text
 _SAME = ["n_shingles", "d1", "d2"]
 _SKETCH = "doc_id long, key long, t1 long, t2 long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
 
@@ -110,7 +110,7 @@ def _sketch(batches):
             digest = [(int(mix(s).sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))) for s in sets]
             digest = np.array(digest, dtype=_U).reshape(-1, 2)
             signature = low.astype(np.uint8)
-            yield pa.record_batch({c: part[c] for c in ("doc_id", *_ROW)} | {
+            yield pa.record_batch({c: part[c] for c in ("doc_id", *ROW)} | {
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "d1": pa.array(signed(digest[:, 0].copy())), "d2": pa.array(signed(digest[:, 1].copy())),
                 "signature": pa.array([x.tobytes() for x in signature], pa.binary()),
@@ -251,14 +251,14 @@ def _linked(docs: DataFrame, null_ids: bool) -> tuple[DataFrame, DataFrame, Data
     d = addressed(pick(docs, doc_id="long", text="string"))
     sketches = staged(d.mapInArrow(_sketch, _SKETCH), "sketches")
     usable = sketches.where("n_shingles > 0" if null_ids else "n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = staged(usable.groupBy(*_SAME).agg(F.min(F.struct(*_ROW)).alias("r"), F.min_by(F.struct("signature", "bands"), F.struct(*_ROW)).alias("s"))
+    nodes = staged(usable.groupBy(*_SAME).agg(F.min(F.struct(*ROW)).alias("r"), F.min_by(F.struct("signature", "bands"), F.struct(*ROW)).alias("s"))
                    .select(*_SAME, F.monotonically_increasing_id().alias("doc_id"), "r.*", "s.signature", "s.bands"), "nodes")
     rows = nodes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = staged(rows.join(shared, "key"), "buckets")
     # The texts of all candidates, fetched once for both rounds.
-    wanted = staged(nodes.select("doc_id", *_ROW).join(buckets.select("doc_id").distinct(), "doc_id"), "wanted")
-    texts = staged(d.where(F.col("text").isNotNull()).drop("doc_id").join(wanted, _ROW).select("doc_id", "text"), "texts")
+    wanted = staged(nodes.select("doc_id", *ROW).join(buckets.select("doc_id").distinct(), "doc_id"), "wanted")
+    texts = staged(d.where(F.col("text").isNotNull()).drop("doc_id").join(wanted, ROW).select("doc_id", "text"), "texts")
     if texts.count() > wanted.count():      # rows equal in id and text
         repeated, texts = texts, staged(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
         discard(repeated)
@@ -289,6 +289,18 @@ def _of_one_id(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(named.groupBy("id").agg(F.min("doc_id").alias("a")), "id").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """key, t1, t2 of the one row that every group of near-duplicate rows keeps: the smallest id, null last; staged.
+
+    Rows are linked by their texts alone, those under null or repeated ids too; rows without words are in no group.
+    """
+    sketches, nodes, stars, links = _linked(docs, null_ids=True)
+    labels = components(stars.union(links))
+    out = staged(_grouped(nodes, labels).groupBy("group").agg(F.min(F.struct(*ROW)).alias("r")).select("r.*"), "kept")
+    discard(sketches, nodes, labels, stars, links)
+    return out
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; see the module's notes."""
     sketches, nodes, stars, links = _linked(docs, null_ids=False)

@@ -6,7 +6,8 @@ the last return the columns of ``documents``.
 
 1. language_id: documents without a letter, or with hardly any n-gram of a learned language, go;
    a missing language is filled in.
-2. near_dedup: of every group of near duplicates the document with the smallest id stays.
+2. near_dedup: of every group of near-duplicate rows the one with the smallest id (null last) stays;
+   rows under one id or under null ids are linked by their texts only, so different texts stay.
 3. repeated_phrases: words of passages that start in an earlier document go.
 4. mixing: documents are repeated, kept or left out so that sources reach their target weights; a
    row a repeat, the last document of a source may be cut.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, language_id, mixing, near_dedup, repeated_phrases
-from codeloom.llm.common import pick, staged, table
+from codeloom.llm.common import WORD, pick, staged, table
 from codeloom.session import ship_package
 
 # A text this far from every learned language is rejected; clean text scores above 0.5.
@@ -42,11 +43,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    d = pick(docs, **DOCUMENT)
-    kept = near_dedup.near_dedup(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    # One row a kept id: repeated rows of one document are a group too.
-    named = d.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _as_documents(named.unionByName(d.where("doc_id IS NULL")))
+    d, row = near_dedup.addressed(pick(docs, **DOCUMENT)), near_dedup.ROW
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    kept = d.where(~wordless).join(near_dedup.kept_rows(docs), row, "left_semi")
+    # Rows equal in id and text are one; rows without words are near duplicates of nothing else.
+    alike = kept.unionByName(d.where(wordless & F.col("doc_id").isNotNull())).groupBy(*row).agg(
+        F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.min(F.struct("source", "lang")).alias("s"))
+    named = alike.select("doc_id", "text", "s.source", "s.lang")
+    return _as_documents(named.unionByName(d.where(wordless & F.col("doc_id").isNull()).select(*named.columns)))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,6 +147,16 @@ def test_pipeline_equals_brute_force(spark, scratch):
     assert len(got[4]) == len(got[3]) and all(r["round_trip"] and 4 * r["n_tokens"] == len(r["ids"]) for r in got[4])
 
 
+def test_near_dedup_stage_keeps_unrelated_texts_of_an_id(spark, scratch):
+    import corpus_pipeline as P
+    rng = random.Random(31)
+    a, b, c, d = (X.sentence(rng, "en", 60) for _ in range(4))
+    data = [(3, a, "en", "s"), (5, a + " x", "en", "s"), (5, b, "en", "s"), (6, c, "en", "s"), (6, d, "en", "s"), (6, d, "en", "s"),
+            *[(None, t, "en", "s") for t in (a, "null " + c, "y z " + a, *["own " * 30 + X.word(rng, "de")] * 4)], (None, None, None, None)]
+    out = P.drop_near_duplicates(spark, X.frame(spark, data), scratch).collect()
+    assert sorted(((r.doc_id or -1, r.text or "") for r in out)) == sorted([(3, a), (5, b), (6, c), (6, d), (-1, data[-2][1]), (-1, "")])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = [q for q in E.queries() if q.startswith("op") or q == "pipeline"]
