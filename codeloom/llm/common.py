@@ -91,14 +91,17 @@ def bounded_sample(df: DataFrame, key: Column, most: int, by: str | None = None,
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, most: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
-    """Rows of ``docs`` (doc_id, text) for about ``most`` labelled ids a label, and the labels' counts.
+    """One row of ``docs`` (doc_id, text) for each of about ``most`` labelled ids a label, and the labels' counts.
+
+    Of rows that repeat an id the text with the smallest hash is taken, whatever their order.
 
     The sample is drawn from the (doc_id, label) table, so its ids are few and are sent to the
     documents; no text is shuffled.  The counts are one number a label, two labels.
     """
     sizes = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     ids = bounded_sample(marks, F.col("doc_id"), most, by="label", seed=seed)
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), sizes
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+    return rows.select("doc_id", "r.text", "label"), sizes
 
 
 def text_slices(batch_texts, most_bytes: int = 1 << 21):

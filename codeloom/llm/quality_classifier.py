@@ -7,7 +7,9 @@ difference into a calibrated score (weighted by the true class sizes).
 
 Both steps take a bounded sample: about SAMPLE_PER_CLASS labelled texts a class, chosen by a
 hash of the id against the class's count in the labels table; half builds the dictionaries, half calibrates.  A
-dictionary holds DICT_BYTES of content.  Every text is then compressed whole, twice, where
+dictionary holds DICT_BYTES of content and is made from MOST_BYTES of text at most, so no more
+than that (and one PIECE a text) of a class is sent to the driver: the texts' heads, as long as the
+round robin over the pieces reaches, known from their lengths.  Every text is then compressed whole, twice, where
 it lies; nothing is shuffled.
 
 Cases: a null or empty text has difference 0; without both classes among the training rows
@@ -24,13 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, pick
+from .common import held_out, labelled_sample, pick, staged
 from .toxicity import platt
 
 SAMPLE_PER_CLASS = 2_000
 DICT_BYTES = 112_640
 PIECE = 512              # bytes of one training piece
 LEVEL = 3
+MOST_BYTES = 100 * DICT_BYTES    # of a class, for one dictionary
 
 
 def _pieces(texts: list[bytes], most_bytes: int) -> list[bytes]:
@@ -46,9 +49,26 @@ def _pieces(texts: list[bytes], most_bytes: int) -> list[bytes]:
     return out
 
 
+def _reach(lengths: np.ndarray, most_bytes: int) -> int:
+    """How many bytes of each text _pieces looks at."""
+    size = at = 0
+    while size < most_bytes and (lengths > at).any():
+        size += int((lengths - at).clip(0, PIECE).sum())
+        at += PIECE
+    return at
+
+
+def _heads(sample: DataFrame, most_bytes: int = MOST_BYTES) -> pa.Table:
+    """label and t, the bytes of every text that a dictionary is made from."""
+    lengths = sample.select("label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow()
+    label, n = lengths["label"].to_numpy(), lengths["n"].to_numpy().astype(np.int64)
+    good, bad = (F.lit(_reach(n[label == k], most_bytes)) for k in (1, 0))
+    return sample.select("label", F.encode("text", "utf-8").substr(F.lit(1), F.when(F.col("label") == 1, good).otherwise(bad)).alias("t")).toArrow()
+
+
 def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A trained dictionary; raw text where there is too little to train on."""
-    pieces = _pieces(texts, 100 * size)
+    pieces = _pieces(texts, MOST_BYTES)
     try:
         return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -78,9 +98,10 @@ def train(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_PER_CLASS) -> tu
     sample, sizes = labelled_sample(docs, marks, most, seed=9)
     if len(sizes) < 2:
         return b"", b"", 0.0, 40.0 if 1 in sizes else -40.0
-    # The driver gets the texts of the dictionary half only (about SAMPLE_PER_CLASS of them).
+    # The driver gets heads of the dictionary half only (about SAMPLE_PER_CLASS of them).
+    sample = staged(sample, "sample")
     half = F.pmod(F.xxhash64("doc_id", F.lit(91)), F.lit(2))
-    head = sample.where(half == 0).select("label", F.encode("text", "utf-8").alias("t")).toArrow()
+    head = _heads(sample.where(half == 0))
     rows = sorted((int(a), b) for a, b in zip(head["label"].to_pylist(), head["t"].to_pylist(), strict=True) if b)
     good, bad = (build_dictionary([t for x, t in rows if x == k]) for k in (1, 0))
     if not good or not bad:

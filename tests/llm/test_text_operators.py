@@ -327,6 +327,21 @@ def test_quality_by_compression(spark):
     assert {r.predicted for r in quality_classifier.quality(X.frame(spark, data), marks.where("quality = 1")).collect()} == {1}
 
 
+def test_sample_has_one_row_an_id_and_bounded_heads(spark):
+    from codeloom.llm.common import labelled_sample
+    data = [[i, f"text {i} " * (5_000 if i % 2 else 50), "en", "s"] for i in range(12)] + [[3, f"other {i}", "en", "s"] for i in range(200)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, label int")
+    samples = [labelled_sample(X.frame(spark, data, partitions=n).select("doc_id", "text"), marks, 100, seed=9)[0] for n in (2, 5)]
+    got = [sorted((r.doc_id, r.text) for r in s.collect()) for s in samples]
+    assert [i for i, _ in got[0]] == list(range(12)) and got[0] == got[1]
+    most = 20_000
+    heads = quality_classifier._heads(samples[0], most).to_pylist()
+    for k in (0, 1):
+        whole, cut = sorted(t.encode() for i, t in got[0] if i % 2 == k), sorted(h["t"] for h in heads if h["label"] == k)
+        assert quality_classifier._pieces(whole, most) == quality_classifier._pieces(cut, most)
+        assert sum(map(len, cut)) <= most + quality_classifier.PIECE * len(cut)
+
+
 # --- operator 10 ---
 
 def counts(t):
