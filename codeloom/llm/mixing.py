@@ -11,7 +11,8 @@
   the golden ratio: a golden-ratio point sequence in which every cell comes exactly once, so in
   any stretch of the schedule each source has its share to within a few blocks.
 * Slots are ranked within their source, rank r takes the source's block r, and blocks take the
-  pieces of documents they cut.
+  pieces of documents they cut.  ``mixture`` is that table, the interleaved mixture in slot order;
+  ``mix`` and ``mixed_documents`` sum up its rows.
 
 Ranks and positions in a line are prefix sums in two levels (per chunk, then inside the chunk),
 so no window holds a whole source.  The table of sources has a row a source; ranking and capping
@@ -128,42 +129,59 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The parts of documents that blocks cut: position, block, start (of the document), repeat, words."""
+    """The parts of documents that blocks cut: position, block, start (of the document), repeat, first and last (word of the document, from 0)."""
     repeats = F.when((F.col("size") > 0) & (F.col("quota") > F.col("start")),
                      F.sequence(F.lit(0), F.floor((F.col("quota") - 1 - F.col("start")) / F.col("source_size")).cast("int")))
     p = placed.select("position", "start", "size", "quota", "source_size", F.explode(repeats).alias("repeat"))
     lo = F.col("start") + F.col("repeat") * F.col("source_size")
     p = p.select("position", "start", "repeat", lo.alias("lo"), F.least(lo + F.col("size"), F.col("quota")).alias("hi"))
     p = p.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-    words = F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)
-    return p.select("position", "block", "start", "repeat", words.alias("words"))
+    p = p.withColumn("line", F.col("start") + F.col("repeat") * F.col("source_size"))
+    first, end = F.greatest("lo", F.col("block") * block), F.least("hi", (F.col("block") + 1) * block)
+    return p.select("position", "block", "start", "repeat", (first - F.col("line")).alias("first"), (end - 1 - F.col("line")).alias("last"))
+
+
+def _scheduled(placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """The pieces with the slot of their block, and their words."""
+    return (pieces(placed, block).join(schedule(sources, block), ["position", "block"])
+            .withColumn("words", F.col("last") - F.col("first") + 1))
+
+
+def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """slot, source, block, doc_id, repeat, start, first, last: the mixture; ordered by slot, repeat, start it can be read off.
+
+    first and last are words of the document, from 0; ``start`` is the document's place in its source's line.
+    """
+    placed, sources = positions(docs)
+    placed = staged(placed, "mix-placed")
+    rows = _scheduled(placed, sources, block).join(placed.where("size > 0").select("position", "start", "doc_id"), ["position", "start"])
+    return rows.join(sources.select("position", "source"), "position").select("slot", "source", "block", "doc_id", "repeat", "start", "first", "last")
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``."""
     placed, sources = positions(docs)
     placed = staged(placed, "mix-placed")
-    scheduled = pieces(placed, block).join(schedule(sources, block), ["position", "block"])
-    taken = scheduled.groupBy("position", "start").agg(F.sum("words").alias("taken"))
+    taken = _scheduled(placed, sources, block).groupBy("position", "start").agg(F.sum("words").alias("taken"))
     out = placed.join(taken, ["position", "start"], "left")
     got = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", got.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, source, repeat, n_taken (and the string columns named in ``carry``): a row a document and repeat that the schedule takes.
+    """doc_id, text, source, repeat, n_taken, slot (and the string columns named in ``carry``): a row a document and repeat that the schedule takes.
 
+    ``slot`` is the first slot that has words of the row; ``mixture`` has all of them.
     The text is the document's own; only the document at which a quota ends inside a repeat is
     cut, to its first ``n_taken`` words joined by a blank.
     """
     placed, sources = positions(docs)
     placed = staged(placed, "mix-placed")
-    scheduled = pieces(placed, block).join(schedule(sources, block), ["position", "block"])
-    taken = scheduled.groupBy("position", "start", "repeat").agg(F.sum("words").alias("n_taken"))
-    chosen = placed.where("size > 0").join(taken, ["position", "start"]).select("k1", "k2", "size", "repeat", "n_taken")
+    taken = _scheduled(placed, sources, block).groupBy("position", "start", "repeat").agg(F.sum("words").alias("n_taken"), F.min("slot").alias("slot"))
+    chosen = placed.where("size > 0").join(taken, ["position", "start"]).select("k1", "k2", "size", "repeat", "n_taken", "slot")
     # The texts move once, to the rows that name them; equal rows are one text under several places.
     d = pick(docs, doc_id="long", **{c: "string" for c in dict.fromkeys(("text", "source", *carry))})
     texts = d.select(*d.columns, *_row_key()).dropDuplicates(["k1", "k2"])
     out = texts.join(chosen, ["k1", "k2"])
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("n_taken").cast("int")), " ")
-    return out.select("doc_id", F.when(F.col("n_taken") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "source", "repeat", "n_taken", *carry)
+    return out.select("doc_id", F.when(F.col("n_taken") < F.col("size"), cut).otherwise(F.col("text")).alias("text"), "source", "repeat", "n_taken", "slot", *carry)

@@ -281,6 +281,28 @@ def test_mixed_documents_sum_to_taken(spark):
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 
+def test_mixture_lists_every_block_in_slot_order(spark):
+    data = X.rows(n=30, long_words=500)
+    d = X.frame(spark, data)
+    rows = sorted(mixing.mixture(d, 16).collect(), key=lambda r: (r.slot, r.repeat, r.start))
+    taken = collections.Counter()
+    blocks = collections.defaultdict(int)
+    for r in rows:
+        assert 0 <= r.first <= r.last < len(words(data[r.doc_id][1])) and r.source == data[r.doc_id][3]
+        taken[r.doc_id] += r.last - r.first + 1
+        blocks[r.slot, r.source, r.block] += r.last - r.first + 1
+    assert {r.doc_id: r.taken for r in mixing.mix(d, 16).collect() if r.taken} == dict(taken)
+    assert [s for s, *_ in blocks] == list(range(len(blocks))) and max(blocks.values()) == 16
+    by_source = collections.defaultdict(list)
+    for _, s, b in blocks:
+        by_source[s].append(b)
+    assert all(b == list(range(len(b))) for b in by_source.values()) and len({s for _, s, _ in list(blocks)[:12]}) > 2     # interleaved
+    first = collections.defaultdict(lambda: math.inf)
+    for r in rows:
+        first[r.doc_id, r.repeat] = min(first[r.doc_id, r.repeat], r.slot)
+    assert {(r.doc_id, r.repeat): r.slot for r in mixing.mixed_documents(d, 16).collect()} == dict(first)
+
+
 # --- operators 7 and 9 ---
 
 def test_toxicity_finds_misspellings(spark):
