@@ -149,15 +149,24 @@ def _judge(model, carried: list[str]):
     return run
 
 
-def language_id(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE, carry: tuple[str, ...] = ()) -> DataFrame:
+def _with_fold(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    kinds = {"text": "string", "lang": "string", **{c: "string" for c in carry}}
+    return pick(docs, doc_id="long", **kinds).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+
+
+def learn(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> Filter:
+    """The model of the rows that are not held out."""
+    d = _with_fold(docs)
+    return train(d.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), most)
+
+
+def language_id(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE, carry: tuple[str, ...] = (), model: Filter | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (and the string columns named in ``carry``) for every row of ``docs``.
 
-    Learns from rows that are not held out.
+    Learns from rows that are not held out, unless the ``model`` is given.
     """
-    kinds = {"text": "string", "lang": "string", **{c: "string" for c in carry}}
-    d = pick(docs, doc_id="long", **kinds).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
-    labelled = d.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled, most))
+    d = _with_fold(docs, carry)
+    model = docs.sparkSession.sparkContext.broadcast(model or learn(docs, most))
     columns = ["doc_id", "held_out", *dict.fromkeys(["text", *carry])]
     return d.select(*columns).mapInArrow(_judge(model, list(carry)), "doc_id long, held_out boolean, lang_pred string, score double"
                                          + "".join(f", {c} string" for c in carry))

@@ -5,7 +5,8 @@ result as Parquet in the shared folder and rereads it as the next one's docs.  A
 the last return the columns of ``documents``.
 
 1. language_id: documents without a letter, or with hardly any n-gram of a learned language, go;
-   a missing language is filled in.
+   a missing language is filled in.  Where no language could be learned (no training row has one,
+   or none with n-grams), every document with a letter passes as it is.
 2. near_dedup: of every group of near-duplicate rows the one with the smallest id (null last) stays;
    rows under one id or under null ids are linked by their texts only, so different texts stay.
 3. repeated_phrases: words of passages that start in an earlier document go.
@@ -36,7 +37,10 @@ def _as_documents(rows: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    judged = language_id.language_id(docs, carry=("text", "lang", "source"))
+    model = language_id.learn(docs)
+    if not model.slots.any():
+        return _as_documents(pick(docs, **DOCUMENT).where(F.col("text").rlike(r"\p{L}")))
+    judged = language_id.language_id(docs, carry=("text", "lang", "source"), model=model)
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
     return _as_documents(judged.where(sure).withColumn("lang", F.coalesce("lang", "lang_pred")))
 

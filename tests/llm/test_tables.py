@@ -147,6 +147,15 @@ def test_pipeline_equals_brute_force(spark, scratch):
     assert len(got[4]) == len(got[3]) and all(r["round_trip"] and 4 * r["n_tokens"] == len(r["ids"]) for r in got[4])
 
 
+def test_language_stage_without_a_learned_language(spark, scratch):
+    import corpus_pipeline as P
+    held = next(i for i in range(1, 99) if __import__("zlib").crc32(str(i).encode()) % 4 == 2)
+    data = [(1000, "some clean words", None, "s"), (None, "É", None, None), (held, "held out text", "en", "s"), (1002, "12 -- 34", None, "s"), (1003, None, None, "s")]
+    for extra in ([], [(next(i for i in range(100, 199) if __import__("zlib").crc32(str(i).encode()) % 4 != 2), "12", "en", "s")]):
+        out = P.identify_language(spark, X.frame(spark, data + extra), scratch).collect()
+        assert sorted((r.doc_id or -1, r.text, r.lang or "") for r in out) == sorted([(1000, "some clean words", ""), (-1, "É", ""), (held, "held out text", "en")])
+
+
 def test_near_dedup_stage_keeps_unrelated_texts_of_an_id(spark, scratch):
     import corpus_pipeline as P
     rng = random.Random(31)
