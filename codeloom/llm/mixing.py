@@ -136,9 +136,8 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     lo = F.col("start") + F.col("repeat") * F.col("source_size")
     p = p.select("position", "start", "repeat", lo.alias("lo"), F.least(lo + F.col("size"), F.col("quota")).alias("hi"))
     p = p.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-    p = p.withColumn("line", F.col("start") + F.col("repeat") * F.col("source_size"))
     first, end = F.greatest("lo", F.col("block") * block), F.least("hi", (F.col("block") + 1) * block)
-    return p.select("position", "block", "start", "repeat", (first - F.col("line")).alias("first"), (end - 1 - F.col("line")).alias("last"))
+    return p.select("position", "block", "start", "repeat", (first - F.col("lo")).alias("first"), (end - 1 - F.col("lo")).alias("last"))
 
 
 def _scheduled(placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:

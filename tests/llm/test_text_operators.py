@@ -282,7 +282,7 @@ def test_mixed_documents_sum_to_taken(spark):
 
 
 def test_mixture_lists_every_block_in_slot_order(spark):
-    data = X.rows(n=30, long_words=500)
+    data = X.rows(n=40, long_words=500)
     d = X.frame(spark, data)
     rows = sorted(mixing.mixture(d, 16).collect(), key=lambda r: (r.slot, r.repeat, r.start))
     taken = collections.Counter()
@@ -350,10 +350,10 @@ def test_quality_by_compression(spark):
 
 
 def test_sample_has_one_row_an_id_and_bounded_heads(spark):
-    from codeloom.llm.common import labelled_sample
+    from codeloom.llm.common import labelled_sample, pick
     data = [[i, f"text {i} " * (5_000 if i % 2 else 50), "en", "s"] for i in range(12)] + [[3, f"other {i}", "en", "s"] for i in range(200)]
     marks = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, label int")
-    samples = [labelled_sample(X.frame(spark, data, partitions=n).select("doc_id", "text"), marks, 100, seed=9)[0] for n in (2, 5)]
+    samples = [labelled_sample(pick(X.frame(spark, data, partitions=n), doc_id="long", text="string"), marks, 100, seed=9)[0] for n in (2, 5)]
     got = [sorted((r.doc_id, r.text) for r in s.collect()) for s in samples]
     assert [i for i, _ in got[0]] == list(range(12)) and got[0] == got[1]
     most = 20_000
