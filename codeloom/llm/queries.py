@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, language_id, mixing, near_dedup, quality_classifier, quality_rules, repeated_phrases, token_alignment, token_files, toxicity, url_filter
+from . import bpe, exact_topk, hard_negatives, language_id, mixing, near_dedup, quality_classifier, quality_rules, repeated_phrases, token_alignment, token_files, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -70,6 +70,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder, ids=False)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings"), changed=F.col("vec_id") % 7 == 0)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_repeated_phrases": op2_repeated_phrases,
@@ -83,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
     "op12_token_files": op12_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
 }
