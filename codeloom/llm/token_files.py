@@ -16,10 +16,11 @@ Texts are dealt into parts by ranges of the document id, sorted there, encoded a
 one task a part.  The driver sees one row a part.  Files are named by the task's attempt, so a
 lost executor's or a doubled task's files are never mixed up; what no result names is deleted.
 
-Encoding is the ``tokenizers`` library's.  Where its vocabulary drops white space before
-merging, each distinct run of other characters is encoded once a worker and kept in a table of
-bounded size: no merge, special token or normalisation step reaches over ASCII white space, so
-the ids are those of the whole text.  Other vocabularies get whole texts.
+Encoding is the ``tokenizers`` library's.  Where its vocabulary drops white space before merging,
+no merge, special token or normalisation step reaches over ASCII white space, so distinct runs of other
+characters are encoded once a worker and kept in a table of bounded size.  In texts of plain Latin
+characters the same holds for the words of the vocabulary's own pattern, which only the library's merges
+are applied to.  Other vocabularies get whole texts.
 
 Cases: null is the empty text (only the end id); documents are ordered by id, null ids last,
 rows of one id by a hash of the text, rows equal in both as they are scanned; one id or null may
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import uuid
 import zlib
 
@@ -41,12 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .bpe import byte_alphabet
 from .common import pick, text_slices
 from .flatfiles import Flat, create, delete_others, read_text, write_text
 
 END_ID = 2
-PART_BYTES = 256 << 20      # bytes of text a part, in expectation
-CACHED_RUNS = 400_000
+PART_BYTES = 64 << 20       # bytes of text a part, in expectation
+CACHED = 600_000
 CACHED_LENGTH = 64
 READ_IDS = 4 << 20          # ids converted at a time when reading
 _WRITTEN = "part int, name string, docs long, nulls long, ids long"
@@ -62,10 +65,14 @@ def plain_tokenizer(spec: str):
     return t
 
 
+# Fixed value: the word pattern of lower-casing vocabularies with word ends.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def drops_spaces(spec: str) -> bool:
     """Whether white space ends every token and is itself in none: the runs between can be encoded apart.
 
-    Fixed values: the kinds of normaliser and pre-tokeniser that work within such runs.
+    True for the word pattern above after normalisers that work within such runs.
     """
     s = json.loads(spec)
     kinds = lambda x, parts: [y for y in (x.get(parts) or [x])] if x else []
@@ -73,37 +80,65 @@ def drops_spaces(spec: str) -> bool:
                  for n in kinds(s.get("normalizer"), "normalizers"))
     pre = kinds(s.get("pre_tokenizer"), "pretokenizers")
     first = pre[0] if pre else {}
-    split = (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-             and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and r"\s" not in first["pattern"]["Regex"].replace(r"[^\s\p{L}\p{N}]+", ""))
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"].get("Regex") == _WORDS
     rest = all(p["type"] == "ByteLevel" and not p["use_regex"] and not p["add_prefix_space"] for p in pre[1:])
     added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in s.get("added_tokens", []))
     return bool(normal and split and rest and added and s["model"]["type"] == "BPE" and not s["model"].get("dropout"))
 
 
-class Encoder(dict):
-    """Texts to ids (bytes of little-endian items); run of non-space bytes -> its ids, forgotten when full."""
+# Plain texts: ASCII and Latin letters and signs, each lower-cased to one character, none changed by NFC,
+# no control characters but ASCII white space.
+_PLAIN = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]*")
+# The word pattern above on lower-cased plain texts; the letters and digits of that range are written out.
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]"
+                          "|[^\\sa-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+")
 
-    def __init__(self, spec: str, dtype: str):
+
+class _Table(dict):
+    """key -> what ``make`` gives for it; short keys are kept, all are forgotten when full."""
+
+    def __init__(self, make):
         super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        ids = self.make(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHED:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class Encoder:
+    """Texts to ids (bytes of little-endian items), word by word or run by run where that is the same."""
+
+    def __init__(self, spec: str, dtype: str):
         self.tokenizer, self.dtype = plain_tokenizer(spec), dtype
+        s = json.loads(spec)
+        normal = s.get("normalizer") or {}
         self.by_runs = drops_spaces(spec)
+        self.lowers = any(n.get("type") == "Lowercase" for n in normal.get("normalizers") or [normal])
+        # Special tokens are looked for before lower-casing; texts that might hold one go to the library whole.
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in s.get("added_tokens", [])) or r"(?!)", re.IGNORECASE)
+        self.model, self.as_char = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
+        self.words, self.runs = _Table(self._word), _Table(lambda run: self._ids(run.decode()))
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def __missing__(self, run: bytes) -> bytes:
-        ids = self._ids(run.decode())
-        if len(run) <= CACHED_LENGTH:
-            if len(self) >= CACHED_RUNS:
-                self.clear()
-            self[run] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        """A word of the pattern: only its bytes' characters and the merges are left to do."""
+        return np.array([t.id for t in self.model.tokenize("".join([self.as_char[b] for b in word.encode()]))], dtype=self.dtype).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        if self.by_runs:
-            # bytes.split cuts at ASCII white space alone.
-            return b"".join(map(self.__getitem__, text.split()))
-        return self._ids(text.decode())
+        if not self.by_runs:
+            return self._ids(text.decode())
+        said = text.decode()
+        if self.lowers and _PLAIN.fullmatch(said) and not self.special.search(said):
+            return b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(said.lower())))
+        # bytes.split cuts at ASCII white space alone.
+        return b"".join(map(self.runs.__getitem__, text.split()))
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}

@@ -89,7 +89,7 @@ def test_empty_table_and_missing_column(spark):
         T.write_tokens(spark.createDataFrame([(1,)], "doc_id long"), WORDS_49K)
 
 
-ALPHABET = st.sampled_from(list("aAÉéß ΣσςİIı̸́<=>'std09٠!?-#\n\t\r\x0b\x0c\x1c\x1f\x85   　​İ中文\U0001f600|") + ["<|endoftext|>", "'re", "ll"])
+ALPHABET = st.sampled_from(list("aAÉéß ΣσςİIı̸́<=>'std09٠!?-#\n\t\r\x0b\x0c\x1c\x1f\x85   　​İ中文\U0001f600|") + ["<|endoftext|>", "'re", "ll", "<|EndOfText|>", "!?", "&&&", "Word", "12", "…", "“"])
 
 
 @settings(max_examples=600, deadline=None)
@@ -100,6 +100,7 @@ def test_encoding_by_runs_is_the_librarys(text):
         _ENCODER = T.Encoder(_spec(WORDS_49K), "<u2")
     assert _ENCODER.by_runs
     assert _ENCODER.encode(text.encode()) == _ENCODER._ids(text)
+    assert _ENCODER.encode(text.upper().encode()) == _ENCODER._ids(text.upper())
 
 
 def test_query_reads_back_its_whole_table(spark):
@@ -111,3 +112,10 @@ def test_query_reads_back_its_whole_table(spark):
         want[i] = (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in op12_token_files(spark, sf).collect()} == want
+
+
+def test_every_plain_character_in_words_and_signs():
+    e = T.Encoder(_spec(WORDS_49K), "<u2")
+    for c in map(chr, range(1, 0x180)):
+        for text in (f"a{c}b", f"{c}!", f"?{c}", f"{c}'s {c}", f"9{c}9 A{c}"):
+            assert e.encode(text.encode()) == e._ids(text), text
