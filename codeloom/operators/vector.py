@@ -253,34 +253,3 @@ def pair_cosine(pairs: DataFrame, doc_vec: str, query_vec: str, out: str = "vec_
                                              schema=pa.schema([(n, b.schema.field(n).type) for n in names]
                                                               + [(out, pa.float64())]))
     return pairs.mapInArrow(run, schema)
-
-
-def _unit(c: Column) -> Column:
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(c, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
-
-
-def vector_topk_approx(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id",
-                       doc_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
-                       bucket_length: float = 1.0, num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate nearest neighbours for collections too large for the exact scan (opt-in).
-
-    Random-projection LSH on unit vectors: a (query, document) pair is a
-    candidate if they share a bucket in any hash table, found by an equi join
-    on bucket ids (no query x document product); candidates are re-ranked by
-    their exact cosine and the top-k kept.  Recall depends on ``bucket_length``
-    and ``num_tables``; the exact ``vector_topk`` stays the default.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), array_to_vector(_unit(F.col(doc_vec))).alias("v"))
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"),
-                       array_to_vector(_unit(F.col(query_vec))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(d)
-    # unit vectors are at most 2 apart, so every bucket collision is kept as a candidate
-    pairs = lsh.approxSimilarityJoin(q, d, 2.0, distCol="dist")
-    cand = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"),
-                        F.round(1.0 - F.col("dist") * F.col("dist") / 2.0, SCORE_DECIMALS).alias("vec_score"))
-    return top_k(cand, ["query_id"], "vec_score", ["doc_id"], k, "vec_rank")

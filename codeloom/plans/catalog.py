@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
     "bm25_fields_topk": search.bm25_fields_topk,
     "vector_topk": search.vector_topk,
+    "vector_topk_indexed": search.vector_topk_indexed,
     "hybrid_topk": search.hybrid_topk,
     "hybrid_typed_hits": search.hybrid_typed_hits,
     "issue_slice": corpus.issue_slice,

@@ -75,6 +75,8 @@ r AS (SELECT item_id, doc_id, vec_score AS score,
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+ORACLES["vector_topk_indexed"] = ORACLES["vector_topk"]
+
 KW_SCALED = """
 kwr AS (SELECT item_id, doc_id, round(kw_score, 6) AS kw_score FROM kw),
 ks AS (SELECT *, min(kw_score) OVER (PARTITION BY item_id) AS kw_min,

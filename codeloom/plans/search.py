@@ -50,6 +50,21 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
                       "doc_id", F.col("vec_score").alias("score"))
 
 
+def vector_topk_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``vector_topk`` out of a vector index built over the collection."""
+    from ..operators.vector_index import VectorIndex
+    from ..session import cut_lineage
+    docs = table(spark, sf, "documents").select("doc_id")
+    issues = table(spark, sf, "benchmark").select("item_id")
+    vec = _vectors(spark, sf)
+    dv = vec.join(docs, vec.vec_id == docs.doc_id, "left_semi").select(F.col("vec_id").alias("doc_id"), "embedding")
+    qv = vec.join(issues, vec.vec_id == issues.item_id, "left_semi").select(F.col("vec_id").alias("item_id"), "embedding")
+    index = VectorIndex.build(dv)
+    top = cut_lineage(index.topk(qv, LIMIT, query_id="item_id"))
+    index.drop()
+    return top.select(F.col("query_id").alias("item_id"), F.col("vec_rank").alias("rank"), "doc_id", F.col("vec_score").alias("score"))
+
+
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.hybrid import hybrid
     docs = table(spark, sf, "documents")

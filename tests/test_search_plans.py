@@ -114,17 +114,3 @@ def test_hybrid_with_fewer_documents_than_k(spark):
     qv = embed(qs).select(F.col("query_id").alias("vec_id"), "embedding")
     rows = hybrid(docs, qs, doc_vectors=dv, query_vectors=qv, k=10).collect()
     assert sorted(r.doc_id for r in rows) == [1, 2]
-
-
-def test_approximate_vector_search_reranks_exactly(spark):
-    from codeloom.operators.vector import vector_topk, vector_topk_approx
-    v, b = table(spark, SF0001, "embeddings"), table(spark, SF0001, "benchmark")
-    dv = v.select(F.col("vec_id").alias("doc_id"), "embedding")
-    qv = v.join(b, v.vec_id == b.item_id, "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact_top, _ = vector_topk(dv, qv, 10)
-    exact = {(r.query_id, r.doc_id): r.vec_score for r in exact_top.collect()}
-    approx = vector_topk_approx(dv, qv, 10).collect()
-    assert approx and "CartesianProduct" not in _plan(vector_topk_approx(dv, qv, 10))
-    hits = [r for r in approx if (r.query_id, r.doc_id) in exact]
-    assert len(hits) / len(exact) >= 0.9
-    assert all(abs(r.vec_score - exact[(r.query_id, r.doc_id)]) < 1e-6 for r in hits)
