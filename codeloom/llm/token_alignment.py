@@ -17,11 +17,12 @@ group, and every A token of a group is linked with every B token of it.
    taken.  Only a block's distinct pairs are shuffled, never tokens or texts.
 4. Each block gets its pairs' counts back and sums them for each document.
 
-Encodings: a text is cut where both tokenizers always cut (before a space between two other
-characters), each distinct piece is encoded once a worker by the library and kept in a table of
-bounded size; texts with characters for which this is not proven (white space beyond ASCII,
-control separators) are encoded whole.  The rule for B is checked on the model's pieces, else all
-texts are encoded whole.  Special tokens written in a text are plain text.
+Encodings: a text is cut where both tokenizers always cut, each distinct piece is encoded once a
+worker by the library and kept in a table of bounded size.  Texts of plain Latin characters are cut
+into the words of A's pattern, and for B where letters, digits, other signs and spaces meet (the model's
+pieces are checked to hold one kind only); other texts before a space between two other characters;
+texts with characters for which this is not proven (white space beyond ASCII, control separators), or of
+models whose pieces do not allow it, are encoded whole.  Special tokens written in a text are plain text.
 
 Cases: null and empty texts, and texts that A or B do not spell byte for byte, have no tokens: zeros
 and an empty digest; repeated rows and repeated ids are documents of their own; null ids
@@ -35,6 +36,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +47,13 @@ from .bpe import byte_alphabet
 from .common import discard, pick, staged
 from .token_files import plain_tokenizer
 
-BLOCK_BYTES = 8 << 20       # text of a block
+BLOCK_BYTES = 4 << 20       # text of a block
+BLOCK_DOCS = 50_000         # documents of a block, at most
 SLAB_BYTES = 2 << 20        # text aligned at once
 LANE = 256                  # A tokens of a lane, about
 LOOK = 32                   # tokens looked at for a lane's first cut
 WIDE = 4_096                # links of a group that are written out one by one
-CACHED_PIECES = 300_000
+CACHED_PIECES = 250_000
 CACHED_LENGTH = 64
 
 _PIECES_A = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -58,6 +61,16 @@ _PIECES_B = re.compile(r" *[^ ]+(?: +\Z)?| +")     # spaces at the end belong to
 # White space beyond ASCII, zero-width and control characters, and the sign that stands for a space in B's pieces.
 _UNPROVEN = re.compile("[" + "".join(chr(c) for c in (0, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F,
                                                       0x205F, 0x2060, 0x2581, 0x3000, 0xFEFF)) + "]")
+# Plain texts: ASCII and Latin letters and signs, no control characters but ASCII white space.  In them the classes
+# of characters can be written out: letters, A's other numbers, and the rest.
+_PLAIN = re.compile("[\t-\r -~\u00a1-\u00ac\u00ae-\u017f]*")
+_LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+# Fixed value: A's word pattern (see bpe.WORDS), its classes written out for plain texts.
+_WORDS_A = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+# Letters, digits and other characters with the spaces before them; spaces at the end belong to the last.
+_WORDS_B = re.compile(f" *(?:[{_LETTERS}]+|[0-9]+|[^ {_LETTERS}0-9]+)(?: +\\Z)?| +")
+_ONE_CLASS = re.compile(f"\u2581*(?:[{_LETTERS}]*|[0-9]*|[^\u2581{_LETTERS}0-9]*)")
 _SLAB_END = re.compile(r"(?<=[^ \t-\r]) (?=[^ \t-\r])")
 
 
@@ -72,7 +85,7 @@ class _Pieces(dict):
         ids = self.encode(piece)
         if b"".join([self.spelling[i] for i in ids]) != piece.encode():
             return None
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes | None:
         ids = self.ids(piece)
@@ -106,26 +119,44 @@ class Tokenizers:
         self.size_a, self.size_b = size, n
         self.bytes_a, self.bytes_b = (np.array([len(x) for x in s], dtype=np.int64) for s in (spell_a, spell_b))
         # B's own space before the text is the one before every piece here.
+        as_char, merges = {c: x for x, c in as_byte.items()}, a.model
         self.a = _Pieces(lambda t: a.encode(t, add_special_tokens=False).ids, spell_a)
-        self.b = _Pieces(lambda t: b.encode(t[1:], num_threads=1), spell_b)
+        # A word of the pattern: only its bytes' characters and the merges are left to do.
+        self.words_a = _Pieces(lambda t: [x.id for x in merges.tokenize("".join([as_char[y] for y in t.encode()]))], spell_a)
+        # Words without a space before them are encoded behind a character of another class, whose tokens are dropped.
+        drop = {c: len(b.encode(c)) for c in ".a"}
+
+        def encode_b(t: str) -> list[int]:
+            if t[0] == " ":
+                return b.encode(t[1:], num_threads=1)
+            other = "." if re.match(f"[{_LETTERS}0-9]", t) else "a"
+            return b.encode(other + t, num_threads=1)[drop[other]:]
+
+        self.b = _Pieces(encode_b, spell_b)
         # A merge over the border before a space needs a piece with a space behind another character.
         self.cuts_b = not any(re.search("[^▁]▁", p) for p in names)
         self.cuts_a = bool(pre.get("use_regex", True))
+# Pieces with other characters occur in no plain text.
+        self.classes_b = self.cuts_b and all(_ONE_CLASS.fullmatch(p) for i, p in enumerate(names)
+                                             if _PLAIN.fullmatch(p.replace("\u2581", " ")) and not b.is_byte(i) and not b.is_control(i) and not b.is_unknown(i))
         # Written forms: id with the sign that follows it, for digests.
         self.written = [f"{i}{sign}" for i in range(size) for sign in ",|"] + [f"{i}{sign}" for i in range(n) for sign in ",;"]
 
     def encode(self, full: str, first: bool, whole: bool) -> tuple[bytes, bytes] | None:
         """Ids of a slab (it begins with a space; ``whole`` if it is the whole text), None if it is not spelled."""
-        if self.cuts_a and self.cuts_b and not _UNPROVEN.search(full):
+        table_a = self.a
+        if self.cuts_a and self.classes_b and _PLAIN.fullmatch(full):
+            table_a, pieces_a, pieces_b = self.words_a, _WORDS_A.findall(full), _WORDS_B.findall(full)
+        elif self.cuts_a and self.cuts_b and not _UNPROVEN.search(full):
             pieces_a, pieces_b = _PIECES_A.findall(full), _PIECES_B.findall(full)
         elif whole:
             pieces_a = pieces_b = [full]
         else:
             raise ValueError("such a text is one slab")
-        ids_a, ids_b = [self.a[p] for p in pieces_a], [self.b[p] for p in pieces_b]
-        if None in ids_a or None in ids_b:
+        try:
+            return b"".join(map(table_a.__getitem__, pieces_a)), b"".join(map(self.b.__getitem__, pieces_b))
+        except TypeError:                       # a None: a piece that its ids do not spell
             return None
-        return b"".join(ids_a), b"".join(ids_b)
 
     def slabs(self, text: str) -> list[str]:
         """The text, a space before it, in slabs that are encoded apart."""
@@ -212,26 +243,26 @@ def lockstep(ends_a, ends_b, first_a, first_b):
     return tuple(g[order] for g in groups), (np.concatenate(link_a) if link_a else none, np.concatenate(link_b) if link_b else none)
 
 
-def _wide_links(groups, ids_a, ids_b, doc_of_a):
-    """(document, pair, times) of the groups with more than WIDE links: distinct ids multiplied, not tokens."""
+def _wide_links(groups, ids_a, ids_b, doc_of_a, code):
+    """(code, times) of the groups with more than WIDE links: distinct ids multiplied, not tokens."""
     a, la, b, lb = groups
-    out = []
+    codes, times = [], []
     for g in np.flatnonzero((la - a + 1) * (lb - b + 1) > WIDE):
         x, times_x = np.unique(ids_a[a[g]:la[g] + 1], return_counts=True)
         y, times_y = np.unique(ids_b[b[g]:lb[g] + 1], return_counts=True)
-        pairs = ((x.astype(np.int64) << 32)[:, None] | y[None, :].astype(np.int64)).ravel()
-        out.append((np.full(len(pairs), doc_of_a[a[g]]), pairs, (times_x[:, None] * times_y[None, :]).ravel()))
-    return out
+        codes.append(code(doc_of_a[a[g]], x[:, None], y[None, :]).ravel())
+        times.append((times_x[:, None] * times_y[None, :]).ravel())
+    return codes, times
 
 
-def _summed(doc, pair, times):
-    """Equal (document, pair) entries added up, sorted by document, then pair."""
-    order = np.lexsort((pair, doc))
-    doc, pair, times = doc[order], pair[order], times[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
+def _summed(code, times):
+    """Equal codes' times added up, in the codes' order."""
+    order = np.argsort(code)
+    code, times = code[order], times[order]
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
     at = np.flatnonzero(new)
-    return doc[at], pair[at], np.add.reduceat(times, at) if len(at) else times
+    return code[at], np.add.reduceat(times, at) if len(at) else times
 
 
 class _Block:
@@ -241,7 +272,7 @@ class _Block:
         self.t = tokenizers
         self.doc_id, self.digest = [], []
         self.n_a, self.n_b, self.n_groups, self.n_links = [], [], [], []
-        self.links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []        # (code of document and pair, times)
         self.bytes = 0
         self._slab: list[tuple[int, bool, bytes, bytes]] = []   # (document, whether its last slab, A ids, B ids)
         self._slab_bytes = 0
@@ -285,8 +316,11 @@ class _Block:
         per_group = np.bincount(part, minlength=len(parts))
         links = np.bincount(part, weights=wide_a * wide_b, minlength=len(parts)).astype(np.int64)
         doc_of_a = np.repeat(doc, np.diff(first_a))
-        entries = [(doc_of_a[link_a], ids_a[link_a] << 32 | ids_b[link_b], np.ones(len(link_a), np.int64)), *_wide_links(groups, ids_a, ids_b, doc_of_a)]
-        self.links.append(_summed(*(np.concatenate(c) for c in zip(*entries, strict=True))))
+        # A document's codes fill one stretch of numbers, below 2**63 for BLOCK_DOCS documents.
+        code = lambda d, x, y: (d * t.size_a + x) * t.size_b + y
+        single = np.unique(code(doc_of_a[link_a], ids_a[link_a], ids_b[link_b]), return_counts=True)
+        codes, times = _wide_links(groups, ids_a, ids_b, doc_of_a, code)
+        self.links.append(_summed(np.concatenate([single[0], *codes]), np.concatenate([single[1], *times])) if codes else single)
         # Written order: the groups one after another, A ids then B ids.
         at = np.cumsum(wide_a + wide_b) - (wide_a + wide_b)
         codes = np.empty(len(ids_a) + len(ids_b), np.int64)
@@ -306,8 +340,10 @@ class _Block:
     def row(self) -> pa.RecordBatch:
         self._align()
         none = np.zeros(0, np.int64)
-        doc, pair, times = _summed(*(np.concatenate(c) for c in zip(*self.links, strict=True))) if self.links else (none, none, none)
+        code, times = _summed(*(np.concatenate(c) for c in zip(*self.links, strict=True))) if self.links else (none, none)
+        doc, pair = np.divmod(code, self.t.size_a * self.t.size_b)
         keys, place, holders = np.unique(pair, return_inverse=True, return_counts=True)
+        keys = keys // self.t.size_b << 32 | keys % self.t.size_b
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         held = np.bincount(doc, minlength=len(self.doc_id))
         step = np.diff(place.reshape(-1), prepend=0)            # small but where a document begins
@@ -339,7 +375,7 @@ def _blocks(spec_a, model_b):
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 block.add(doc_id, text.as_py())
-                if block.bytes >= BLOCK_BYTES or len(block.doc_id) >= 50_000:
+                if block.bytes >= BLOCK_BYTES or len(block.doc_id) >= BLOCK_DOCS:
                     yield block.row()
                     block = _Block(t)
         if block.doc_id:

@@ -113,9 +113,16 @@ def test_groups_with_very_many_links():
     groups, (x, y) = T.lockstep(ends_a, ends_b, np.array([0, n]), np.array([0, len(ends_b)]))
     assert len(groups[0]) == 1 and len(x) == 0
     ids_a, ids_b = np.arange(n) % 3, np.arange(len(ends_b)) % 5
-    doc, pair, times = (np.concatenate(c) for c in zip(*T._wide_links(groups, ids_a, ids_b, np.zeros(n, int)), strict=True))
+    codes, times = T._wide_links(groups, ids_a, ids_b, np.zeros(n, int), lambda d, x, y: (d * 3 + x) * 5 + y)
+    code, times = T._summed(np.concatenate(codes), np.concatenate(times))
     want = collections.Counter((int(a), int(b)) for a in ids_a for b in ids_b)
-    assert {(int(p) >> 32, int(p) & 0xFFFFFFFF): int(t) for p, t in zip(pair, times, strict=True)} == want
+    assert {(int(p) // 5, int(p) % 5): int(t) for p, t in zip(code, times, strict=True)} == want
+
+
+def test_every_plain_character_beside_words_signs_and_spaces():
+    for c in map(chr, range(1, 0x180)):
+        for text in (f"a{c}b", f"{c} !", f"?{c}{c}1", f" {c}'s  {c}", f"9{c}9 A{c} ", f"\n{c}x"):
+            assert T.aligned_text(text, A, B) == plain(text), text
 
 
 PARTS = st.sampled_from([*"aZé ßЖ中\n\t\r'.!?0 ▁‍", "  ", " the", "ing", "\U0001f600", "<|endoftext|>", "'re", "<s>", "x" * 9])
