@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-# Row bound under which a side is broadcast.  Rows here are narrow (ids,
-# terms, short vectors); the byte bound follows from the row bound.
+# Row bound of a side that is sent whole; for rows of fixed width (ids, vectors).
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# Byte bound of a side with strings.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -18,6 +20,12 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def fits_bytes(df: DataFrame, strings: list[str | Column], row_bytes: int = 48, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True if the rows of ``df``, with these string columns and ``row_bytes`` for the rest of a row, fit ``max_bytes``."""
+    size = sum([F.coalesce(F.octet_length(c), F.lit(0)) for c in strings], F.lit(row_bytes))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= max_bytes
+
+
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-repartition ``df`` on ``keys`` only if it has fewer partitions than the
     cluster can run at once.

@@ -1,24 +1,29 @@
-"""V3 keyword leg: BM25 over lower-cased letter/digit tokens.
+"""V3 keyword leg: BM25 and BM25F over lower-cased letter/digit tokens.
 
-score(q, d) = sum over query terms t of
-    qtf(t) * idf(t) * tf(t, d) * (k1 + 1) / (tf(t, d) + k1 * (1 - b + b * dl(d) / avgdl))
+score(q, d) = sum over query terms t of  qtf(t) * idf(t) * x * (k1 + 1) / (x + k1)
 idf(t) = ln(1 + (N - n(t) + 0.5) / (n(t) + 0.5))
 
-Only documents that contain a query term are scored; there is never a
-query x document product.  Postings are partitioned by document, so the sums
-per (query, document) are made where a document's postings lie: pairs are not
-shuffled, a top-k above them sends only its per-task winners.  Statistics (N, avgdl, n(t)) are per collection,
-where a collection is the value of the ``by`` columns (e.g. snapshot_id).
+where x is the term's length-normalised frequency in the document,
+tf / (1 - b + b * dl / avgdl).  With several fields (BM25F) x is the sum over fields of
+boost * tf / (1 - b + b * dl / avgdl), each field with its own lengths, *before* it saturates, and
+n(t) counts the documents that hold t in any field.
+
+Only documents that contain a query term are scored; there is never a query x document
+product.  All fields are tokenized in one scan; a posting is one row with a frequency a field.  Postings are
+partitioned by document, so the sums per (query, document) are made where a document's
+postings lie: pairs are not shuffled, a top-k above them sends only its per-task winners.
+Statistics (N, avgdl, n(t)) are per collection, where a collection is the value of the ``by``
+columns (e.g. snapshot_id).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, fits, spread
+from ..functions.sizing import fits_bytes, spread
 from ..functions.text import tokens
 from ..session import cut_lineage
 
@@ -35,70 +40,97 @@ def query_terms(queries: DataFrame, query_id: str, text: str,
             .agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",
-         doc_text: str = "text", query_id: str = "query_id",
-         query_text: str = "text", by: Sequence[str] = (),
-         k1: float = K1, b: float = B) -> DataFrame:
-    """(by..., query_id, doc_id, kw_score) for every document matching a query term.
+def term_rows(docs: DataFrame, fields: Sequence[str], doc_id: str, by: Sequence[str] = (), vocabulary: DataFrame | None = None) -> DataFrame:
+    """(by..., doc_id, dl, term, tf): a row a document and term, and one with a null term; dl and tf are arrays over ``fields``.
 
-    Documents are tokenized once.  Each document emits its matching tokens
-    plus one sentinel row (term null) that carries its length; the aggregated
-    slice is checkpointed, so the statistics, document frequencies and
-    postings all read it instead of re-scanning and re-tokenizing the text.
+    One scan: every field's tokens leave a document in one pass.  With ``vocabulary`` (by..., term, hit) only its terms do.
     """
     by = list(by)
+    toks = docs.select(*by, doc_id, *[tokens(f).alias(f"_t{i}") for i, f in enumerate(fields)])
+    toks = toks.withColumns({f"_t{i}": F.coalesce(f"_t{i}", F.array().cast("array<string>")) for i in range(len(fields))})
+    def mark(i: int) -> Column:
+        return F.transform(f"_t{i}", lambda t: F.struct(t.alias("term"), F.lit(i).alias("f")))
+
+    marked = [mark(i) for i in range(len(fields))]
+    end = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("f")))
+    rows = toks.select(*by, doc_id, F.array(*[F.size(f"_t{i}") for i in range(len(fields))]).alias("dl"), F.explode(F.concat(*marked, end)).alias("e"))
+    rows = rows.select(*by, doc_id, "dl", "e.term", "e.f")
+    if vocabulary is not None:
+        rows = rows.join(vocabulary, [*by, "term"], "left").filter(F.col("hit") | F.col("term").isNull())
+    return rows.groupBy(*by, doc_id, "dl", "term").agg(F.array(*[F.count_if(F.col("f") == i) for i in range(len(fields))]).alias("tf"))
+
+
+def normalised(tf: Column | str, dl: Column | str, avgdl: Column, boosts: Sequence[float], b: float = B) -> Column:
+    """Sum over fields of boost * tf / (1 - b + b * dl / avgdl)."""
+    at = lambda c, i: F.get(F.col(c) if isinstance(c, str) else c, F.lit(i))
+    parts = [F.lit(float(w)) * at(tf, i) / (1 - b + b * at(dl, i) / F.when(F.get(avgdl, F.lit(i)) > 0, F.get(avgdl, F.lit(i))).otherwise(1.0))
+             for i, w in enumerate(boosts)]
+    return sum(parts[1:], parts[0])
+
+
+def idf(n_docs: Column, n: Column) -> Column:
+    return F.log(1 + (n_docs - n + 0.5) / (n + 0.5))
+
+
+def _scored(docs: DataFrame, queries: DataFrame, fields: Sequence[str], per_term, *, doc_id: str, query_id: str, query_text: str,
+            by: Sequence[str]) -> DataFrame:
+    """(by..., query_id, doc_id, kw_score): the sums of ``per_term(n_docs, avgdl)`` over matching terms.
+
+    The aggregated slice of matching terms is checkpointed, so the statistics, document frequencies and
+    postings all read it instead of scanning and tokenizing the text again.
+    """
+    by, nf = list(by), len(fields)
     qt = query_terms(queries, query_id, query_text, by)
-    # |vocab| <= |doc_freq| bound: both are at most the number of query-term rows.
-    small = fits(qt, DEFAULT_MAX_BROADCAST_ROWS)
-    bc = F.broadcast if small else (lambda d: d)
+    # The vocabulary and its document frequencies are at most as large as the query terms.
+    bc = F.broadcast if fits_bytes(qt, ["term", *by]) else (lambda d: d)
     vocab = qt.select(*by, "term").distinct().withColumn("hit", F.lit(True))
-
-    toks = spread(docs.select(*by, doc_id, doc_text), doc_id).select(*by, doc_id, tokens(doc_text).alias("toks"))
-    rows = (toks.select(*by, doc_id, F.size("toks").alias("dl"),
-                        F.explode(F.concat("toks", F.array(F.lit(None).cast("string")))).alias("term"))
-            .join(bc(vocab), [*by, "term"], "left")
-            .filter(F.col("hit") | F.col("term").isNull())
-            .groupBy(*by, doc_id, "dl", "term")
-            .agg(F.count(F.lit(1)).alias("tf")))
-    rows = cut_lineage(rows)
+    rows = cut_lineage(term_rows(spread(docs.select(*by, doc_id, *fields), doc_id), fields, doc_id, by, bc(vocab)))
     postings = rows.filter(F.col("term").isNotNull()).repartition(doc_id)
     stats = (rows.filter(F.col("term").isNull()).groupBy(*by)
-             .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
-    doc_freq = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
-
+             .agg(F.count(F.lit(1)).alias("n_docs"), F.array(*[F.avg(F.get("dl", F.lit(i))) for i in range(nf)]).alias("avgdl")))
+    holds = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"n{i}") for i in range(nf)]
+    doc_freq = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"), *holds)
     if by:
         n_docs, avgdl = F.col("n_docs"), F.col("avgdl")
     else:
-        n_docs = stats.select("n_docs").scalar()
-        avgdl = stats.select("avgdl").scalar()
-
-    idf = F.log(1 + (n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    tf = F.col("tf")
-    norm = tf + k1 * (1 - b + b * F.col("dl") / avgdl)
-    term_score = F.col("qtf") * idf * tf * (k1 + 1) / norm
-
+        n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     scored = postings.join(bc(doc_freq), [*by, "term"]).join(bc(qt), [*by, "term"])
     if by:
         # one row per collection
         scored = scored.join(stats, by)
     return (scored
             .groupBy(*by, query_id, doc_id)
-            .agg(F.sum(term_score).alias("kw_score")))
+            .agg(F.sum(per_term(n_docs, avgdl)).alias("kw_score")))
+
+
+def bm25f(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, doc_id: str = "doc_id", query_id: str = "query_id",
+          query_text: str = "text", by: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
+    """(by..., query_id, doc_id, kw_score): BM25F over the text columns ``fields`` (name -> boost)."""
+    def per_term(n_docs, avgdl):
+        x = normalised("tf", "dl", avgdl, list(fields.values()), b)
+        return F.col("qtf") * idf(n_docs, F.col("n")) * x * (k1 + 1) / (x + k1)
+    return _scored(docs, queries, list(fields), per_term, doc_id=doc_id, query_id=query_id, query_text=query_text, by=by)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",
+         doc_text: str = "text", query_id: str = "query_id",
+         query_text: str = "text", by: Sequence[str] = (),
+         k1: float = K1, b: float = B) -> DataFrame:
+    """(by..., query_id, doc_id, kw_score) for every document matching a query term: BM25F of one field."""
+    return bm25f(docs, queries, {doc_text: 1.0}, doc_id=doc_id, query_id=query_id, query_text=query_text, by=by, k1=k1, b=b)
 
 
 def bm25_fields(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, doc_id: str = "doc_id",
-                query_id: str = "query_id", query_text: str = "text", by: Sequence[str] = ()) -> DataFrame:
-    """(by..., query_id, doc_id, kw_score): BM25 over several text columns of ``docs``.
+                query_id: str = "query_id", query_text: str = "text", by: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
+    """(by..., query_id, doc_id, kw_score): the sum of separate BM25 scores of several text columns times their boosts.
 
-    Each field has its own statistics; a document's score is the sum of its fields'
-    scores times their boosts, summed in the order of ``fields``.
+    Each field saturates by itself and has its own document frequencies.  One scan and one sum, as ``bm25f``.
     """
-    total = None
-    names = []
-    for i, (field, boost) in enumerate(fields.items()):
-        one = bm25(docs, queries, doc_id=doc_id, doc_text=field, query_id=query_id, query_text=query_text, by=by)
-        one = one.select(*by, query_id, doc_id, (F.col("kw_score") * boost).alias(f"_f{i}"))
-        names.append(f"_f{i}")
-        total = one if total is None else total.join(one, [*by, query_id, doc_id], "full")
-    score = names and [F.coalesce(F.col(n), F.lit(0.0)) for n in names]
-    return total.select(*by, query_id, doc_id, sum(score[1:], score[0]).alias("kw_score"))
+    def per_term(n_docs, avgdl):
+        parts = []
+        for i, boost in enumerate(fields.values()):
+            one = F.array(F.get("tf", F.lit(i))), F.array(F.get("dl", F.lit(i))), F.array(F.get(avgdl, F.lit(i)))
+            x = normalised(*one, [1.0], b)
+            parts.append(F.lit(float(boost)) * idf(n_docs, F.col(f"n{i}")) * x * (k1 + 1) / (x + k1))
+        return F.col("qtf") * sum(parts[1:], parts[0])
+    return _scored(docs, queries, list(fields), per_term, doc_id=doc_id, query_id=query_id, query_text=query_text, by=by)

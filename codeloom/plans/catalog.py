@@ -11,6 +11,7 @@ from . import code, commits_fixture, corpus, graphs, patches, search, workflow
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
     "bm25_fields_topk": search.bm25_fields_topk,
+    "bm25f_topk": search.bm25f_topk,
     "vector_topk": search.vector_topk,
     "vector_topk_indexed": search.vector_topk_indexed,
     "hybrid_topk": search.hybrid_topk,

@@ -59,6 +59,29 @@ r AS (SELECT item_id, doc_id, score,
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+_BOTH = f"""
+bd AS (SELECT doc_id, {_tok('string_split(text, chr(10))[1]')} AS title, {_tok('text')} AS body FROM documents),
+bst AS (SELECT count(*) AS n_docs, avg(len(title)) AS title_avg, avg(len(body)) AS body_avg FROM bd),
+bt AS (SELECT doc_id, unnest(title) AS term, 1 AS in_title, 0 AS in_body FROM bd
+       UNION ALL SELECT doc_id, unnest(body), 0, 1 FROM bd),
+bp AS (SELECT doc_id, term, sum(in_title) AS title_tf, sum(in_body) AS body_tf FROM bt
+       WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+bdf AS (SELECT term, count(*) AS n FROM bp GROUP BY term),
+bx AS (SELECT bp.doc_id, term,
+              2.0 * title_tf / (1 - 0.75 + 0.75 * len(title) / title_avg) + body_tf / (1 - 0.75 + 0.75 * len(body) / body_avg) AS x
+       FROM bp JOIN bd USING (doc_id) CROSS JOIN bst),
+bkw AS (SELECT q.item_id, bx.doc_id, sum(q.qtf * ln(1 + (bst.n_docs - bdf.n + 0.5) / (bdf.n + 0.5)) * x * 2.2 / (x + 1.2)) AS kw_score
+        FROM bx JOIN bdf USING (term) JOIN q USING (term) CROSS JOIN bst GROUP BY q.item_id, bx.doc_id)
+"""
+
+ORACLES["bm25f_topk"] = f"""
+WITH {BM25_SCORES}, {_BOTH},
+r AS (SELECT item_id, doc_id, round(kw_score, 6) AS score,
+             CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(kw_score, 6) DESC, doc_id) AS INTEGER) AS rank
+      FROM bkw)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 VECTORS = """
 qv AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
        WHERE vec_id IN (SELECT item_id FROM benchmark)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.keyword import bm25, bm25_fields
+from ..operators.keyword import bm25, bm25_fields, bm25f
 from ..operators.ranking import rounded, top_k
 from ..sources.tables import table
 
@@ -34,6 +34,14 @@ def bm25_fields_topk(spark: SparkSession, sf: str) -> DataFrame:
             .select("item_id", "rank", "doc_id", "score"))
 
 
+def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``bm25_fields_topk``, but the fields' frequencies are weighed and added before they saturate (BM25F)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"))
+    s = bm25f(docs, table(spark, sf, "benchmark"), FIELDS, doc_id="doc_id", query_id="item_id")
+    return (top_k(s.withColumn("score", rounded("kw_score")), ["item_id"], "score", ["doc_id"], LIMIT)
+            .select("item_id", "rank", "doc_id", "score"))
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "embedding")
 
