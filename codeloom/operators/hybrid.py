@@ -24,10 +24,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import fits
 from ..session import cut_lineage
-from .keyword import bm25
+from .keyword import bm25f
 from .ranking import rounded, top_k
-from .vector import pair_cosine, vector_topk
+from .vector import pair_cosine, vector_ranks, vector_topk
+from .vector_index import VectorIndex
 
 ALPHA = 0.7
 LIMIT = 10
@@ -41,6 +43,8 @@ def _tie_margin(alpha: float) -> float:
 
 # Hits (ids and scores, under 100 bytes each) sent to the snippet table at most.
 HITS_SENT = 200_000
+# Queries whose limits or thresholds (a few hundred bytes each) are sent to the pairs at most.
+MARKED_QUERIES = 200_000
 # Safety margin of the pruning bound, well above the 1e-6 score rounding.
 PRUNE_MARGIN = 1e-3
 
@@ -51,73 +55,110 @@ def _scaled(x: str, lo: str, hi: str) -> Column:
             .otherwise((F.col(x) - F.col(lo)) / (F.col(hi) - F.col(lo))))
 
 
+def _near(vt: DataFrame) -> DataFrame:
+    """(doc_id, near): the vector neighbours by document, query id -> score."""
+    once = vt.groupBy("doc_id", "query_id").agg(F.max("vec_score").alias("vec_score"))
+    return once.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "vec_score"))).alias("near"))
+
+
+def _leg_ranks(hits: DataFrame, kw: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, kw_rank): 1 + the keyword candidates before each hit, counted against at most k thresholds a query.
+
+    Counts are summed where the pairs lie; no leg is sorted.
+    """
+    marks = (hits.where(F.col("kw_score").isNotNull()).groupBy("query_id")
+             .agg(F.collect_list(F.struct("kw_score", "doc_id")).alias("marks")))
+    sent = F.broadcast(marks) if fits(marks, MARKED_QUERIES) else marks
+    one = lambda i: F.get("marks", F.lit(i))
+    before = [F.count_if((F.col("kw_score") > one(i)["kw_score"]) | ((F.col("kw_score") == one(i)["kw_score"]) & (F.col("doc_id") < one(i)["doc_id"])))
+              for i in range(k)]
+    counts = kw.join(sent, "query_id").groupBy("query_id").agg(F.first("marks").alias("marks"), F.array(*before).alias("n"))
+    each = counts.select("query_id", F.explode(F.arrays_zip("marks", F.slice("n", 1, F.size("marks")))).alias("e"))
+    return each.select("query_id", F.col("e.marks.doc_id").alias("doc_id"), (F.col("e.1") + 1).alias("kw_rank"))
+
+
 def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text",
            query_id: str = "query_id", query_text: str = "text",
            doc_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
            vec_id: str = "vec_id", vec: str = "embedding",
            alpha: float = ALPHA, k: int = LIMIT, by: str | None = None,
-           depth: int = DEPTH) -> DataFrame:
-    """Top-k fused hits: (query_id, rank, doc_id, score, kw_score, kw_scaled, vec_score, vec_scaled).
+           depth: int = DEPTH, fields: dict[str, float] | None = None,
+           vector_index: VectorIndex | None = None, ranks: bool = False) -> DataFrame:
+    """Top-k fused hits: (query_id, rank, doc_id, score, kw_score, kw_scaled, vec_score, vec_scaled[, kw_rank, vec_rank]).
 
     ``doc_vectors`` / ``query_vectors`` are (vec_id, embedding) tables keyed by
     doc id / query id.  Without them the vector leg is absent (V10) and the
     score is the scaled keyword score.  With ``by`` (a column of docs and
     queries, e.g. snapshot_id) each query searches only its own collection,
     with collection-level keyword statistics; query ids must be unique.
+    ``fields`` (name -> boost) are searched by BM25F instead of ``doc_text``.
+    With ``vector_index`` (and ``query_vectors``) the vector leg is what the index returns, the ``depth`` best,
+    scaled among themselves; other documents have no vector leg.  ``ranks`` adds each hit's place in either leg.
     """
-    # The keyword pairs are summed again from the checkpointed postings wherever they are needed,
-    # inside document partitions; only per-query statistics and winners leave them.
-    kw = (bm25(docs, queries, doc_id=doc_id, doc_text=doc_text, query_id=query_id,
-               query_text=query_text, by=[by] if by else ())
+    # The keyword pairs are summed from the checkpointed postings wherever they are needed, inside document
+    # partitions; neighbours are brought to the documents, so no exchange is made on (query, document).
+    kw = (bm25f(docs, queries, fields or {doc_text: 1.0}, doc_id=doc_id, query_id=query_id,
+                query_text=query_text, by=[by] if by else ())
           .select(F.col(query_id).cast("long").alias("query_id"),
                   F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
-    kstats = cut_lineage(kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max")))
-    kw_only = kw
-    kwb = kstats
-    kw = kw.join(kwb, "query_id")
-
-    if doc_vectors is None or query_vectors is None:
-        cand = (kw.withColumn("vec_score", F.lit(None).cast("double"))
+    g = [by] if by else []
+    if query_vectors is None or (doc_vectors is None and vector_index is None):
+        a, dv = 0.0, None
+        kstats = cut_lineage(kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max")))
+        cand = (kw.join(kstats, "query_id").withColumn("vec_score", F.lit(None).cast("double"))
                 .withColumn("vec_min", F.lit(None).cast("double"))
                 .withColumn("vec_max", F.lit(None).cast("double")))
-        a = 0.0
     else:
         a = alpha
         b1 = round(1.0 - a, 12)
-        g = [by] if by else []
-        dv = (doc_vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vec).alias("dvec"))
-              .join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *g), "doc_id",
-                    "inner" if by else "left_semi"))
+        depth = max(k, depth)
         qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
               .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id",
                     "inner" if by else "left_semi"))
-        depth = max(k, depth)
-        vtop, vstats = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec", query_id="query_id",
+        if vector_index is not None:
+            dv = None
+            vt = cut_lineage(vector_index.topk(qv, depth, query_id="query_id", query_vec="qvec", by=by))
+            vs = vt.groupBy("query_id").agg(F.min("vec_score").alias("vec_min"), F.max("vec_score").alias("vec_max"))
+        else:
+            dv = (doc_vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vec).alias("dvec"))
+                  .join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *g), "doc_id",
+                        "inner" if by else "left_semi"))
+            vtop, vs = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec", query_id="query_id",
                                    query_vec="qvec", group=by, margin=_tie_margin(a))
-        vt = cut_lineage(vtop.select("query_id", "doc_id", "vec_score"))
-        vs = vstats
+            vt = cut_lineage(vtop.select("query_id", "doc_id", "vec_score"))
 
-        # Exact fused scores of the scored vector neighbours (their keyword score by a narrow semi join).
-        vt_kw = kw_only.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-        known = (vt.join(vt_kw, ["query_id", "doc_id"], "left").join(kwb, "query_id", "left")
+        # One pass: each query's keyword range, and the keyword scores of its neighbours (about DEPTH a query).
+        pairs = kw.join(_near(vt), "doc_id", "left").withColumn("vec_score", F.element_at("near", F.col("query_id"))).drop("near")
+        met = F.when(F.col("vec_score").isNotNull(), F.struct("doc_id", "kw_score"))
+        once = cut_lineage(pairs.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max"), F.collect_list(met).alias("met")))
+        kstats = once.select("query_id", "kw_min", "kw_max")
+        vt_kw = once.select("query_id", F.explode("met").alias("m")).select("query_id", "m.doc_id", "m.kw_score")
+
+        # Exact fused scores of the scored vector neighbours.
+        known = (vt.select("query_id", "doc_id", "vec_score").join(vt_kw, ["query_id", "doc_id"], "left").join(kstats, "query_id", "left")
                  .join(vs, "query_id", "left"))
         known_f = F.lit(a) * _scaled("vec_score", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
         # Per query: T = k-th best fused among them (a lower bound of the true k-th best),
         # v_k = the DEPTH-th best vector score (every other document scores at most this).
+        best_v = F.try_element_at(F.sort_array(F.collect_list("vec_score"), asc=False), F.lit(depth))
         thr = (known.groupBy("query_id")
-               .agg(F.try_element_at(F.sort_array(F.collect_list(known_f), asc=False), F.lit(k)).alias("t_k"),
-                    F.try_element_at(F.sort_array(F.collect_list("vec_score"), asc=False), F.lit(depth)).alias("v_k"))
+               .agg(F.try_element_at(F.sort_array(F.collect_list(known_f), asc=False), F.lit(k)).alias("t_k"), best_v.alias("v_k"))
                .join(vs, "query_id"))
-        # Any other keyword candidate has vector score <= v_k, so its fused score is at most
+        # Any other keyword candidate has vector score <= v_k (none with an index), so its fused score is at most
         # a * scaled(v_k) + (1 - a) * scaled(kw); below T (minus a rounding margin) it cannot rank.
-        rest = (kw.join(vt.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-                .join(thr, "query_id", "left"))
-        bound = F.lit(a) * _scaled("v_k", "vec_min", "vec_max") + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
-        keep = F.col("t_k").isNull() | F.col("v_k").isNull() | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))
-        survivors = rest.filter(keep).select("query_id", "doc_id", "kw_score", "kw_min", "kw_max")
-        # Exact vector score of the survivors: equi joins on doc and query id.
-        joined = survivors.join(dv.select("doc_id", "dvec"), "doc_id", "left")
-        kwv = pair_cosine(joined.join(qv.select("query_id", "qvec"), "query_id", "left"), "dvec", "qvec")
+        limits = cut_lineage(kstats.join(thr, "query_id", "left"))
+        sent = F.broadcast(limits) if fits(limits, MARKED_QUERIES) else limits
+        rest = pairs.where(F.col("vec_score").isNull()).drop("vec_score").join(sent, "query_id")
+        reach = F.lit(0.0) if dv is None else F.lit(a) * _scaled("v_k", "vec_min", "vec_max")
+        bound = reach + F.lit(b1) * _scaled("kw_score", "kw_min", "kw_max")
+        unknown = F.col("t_k").isNull() if dv is None else F.col("t_k").isNull() | F.col("v_k").isNull()
+        survivors = rest.filter(unknown | (bound >= F.col("t_k") - F.lit(PRUNE_MARGIN))).select("query_id", "doc_id", "kw_score", "kw_min", "kw_max")
+        if dv is None:
+            kwv = survivors.withColumn("vec_score", F.lit(None).cast("double"))
+        else:
+            # Exact vector score of the survivors: equi joins on doc and query id.
+            joined = survivors.join(dv.select("doc_id", "dvec"), "doc_id", "left")
+            kwv = pair_cosine(joined.join(qv.select("query_id", "qvec"), "query_id", "left"), "dvec", "qvec")
         cand = (kwv.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score")
                 .unionByName(known.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score"))
                 .join(vs, "query_id", "left"))
@@ -128,8 +169,20 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
              .withColumn("kw_scaled", F.when(F.col("kw_score").isNotNull(), rounded(k_s)))
              .withColumn("vec_scaled", F.when(F.col("vec_score").isNotNull(), rounded(v_s)))
              .withColumn("score", rounded(F.lit(a) * v_s + F.lit(round(1.0 - a, 12)) * k_s)))
-    return (top_k(fused, ["query_id"], "score", ["doc_id"], k)
-            .select("query_id", "rank", "doc_id", "score", "kw_score", "kw_scaled", "vec_score", "vec_scaled"))
+    columns = ["query_id", "rank", "doc_id", "score", "kw_score", "kw_scaled", "vec_score", "vec_scaled"]
+    hits = top_k(fused, ["query_id"], "score", ["doc_id"], k).select(*columns)
+    if not ranks:
+        return hits
+    hits = cut_lineage(hits)
+    hits = hits.join(_leg_ranks(hits, kw, k), ["query_id", "doc_id"], "left")
+    if a and dv is not None:
+        places = vector_ranks(dv, qv, hits.where(F.col("vec_score").isNotNull()), doc_id="doc_id", doc_vec="dvec", query_id="query_id", query_vec="qvec", group=by)
+        hits = hits.join(places, ["query_id", "doc_id"], "left")
+    elif a:
+        hits = hits.join(vt.select("query_id", "doc_id", F.col("vec_rank").cast("long").alias("vec_rank")), ["query_id", "doc_id"], "left")
+    else:
+        hits = hits.withColumn("vec_rank", F.lit(None).cast("long"))
+    return hits.select(*columns, "kw_rank", "vec_rank")
 
 
 def typed_hits(hits: DataFrame, snippets: DataFrame, issues: DataFrame, issue_id: str,

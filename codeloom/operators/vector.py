@@ -183,6 +183,58 @@ def vector_topk(docs: DataFrame, queries: DataFrame, k: int, **kw) -> tuple[Data
     return top, stats
 
 
+def _ranks_fn(sent, doc_id: str, vec: str, group: str | None):
+    """How many of the task's documents come before each marked hit of each query."""
+    def run(batches):
+        qids, qmat, qgroups, score, ids = sent.value            # score, ids: queries x marks, NaN where there is none
+        before = np.zeros(score.shape, dtype=np.int64)
+        for b in batches:
+            b = b.filter(pc.and_(pc.is_valid(b.column(doc_id)), pc.is_valid(b.column(vec))))
+            if not b.num_rows:
+                continue
+            d, did = _unit_rows(_to_matrix(b.column(vec))), b.column(doc_id).to_numpy(zero_copy_only=False)
+            own = np.array(b.column(group).to_pylist(), dtype=object) if group else None
+            for lo in range(0, len(qids), _QUERY_BLOCK):
+                s = np.round(qmat[lo:lo + _QUERY_BLOCK] @ d.T, SCORE_DECIMALS)
+                if group:
+                    s = np.where(qgroups[lo:lo + _QUERY_BLOCK, None] == own[None, :], s, -np.inf)
+                for m in range(score.shape[1]):
+                    t, i = score[lo:lo + _QUERY_BLOCK, m, None], ids[lo:lo + _QUERY_BLOCK, m, None]
+                    before[lo:lo + _QUERY_BLOCK, m] += ((s > t) | ((s == t) & (did[None, :] < i))).sum(axis=1)
+        some = ~np.isnan(score)
+        yield pa.record_batch({"query_id": pa.array(np.broadcast_to(qids[:, None], score.shape)[some], pa.int64()),
+                               "doc_id": pa.array(ids[some], pa.int64()), "n": pa.array(before[some], pa.int64())})
+    return run
+
+
+def vector_ranks(docs: DataFrame, queries: DataFrame, hits: DataFrame, *, doc_id: str = "doc_id", doc_vec: str = "embedding",
+                 query_id: str = "query_id", query_vec: str = "embedding", group: str | None = None) -> DataFrame:
+    """(query_id, doc_id, vec_rank): 1 + the documents before each hit (query_id, doc_id, vec_score), by score, then id.
+
+    A scan per chunk of queries counts against the hits' scores; a task gives one number a hit, no scores are sorted.
+    """
+    gcol = [F.col(group).cast("string").alias(group)] if group else []
+    d = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec), *gcol)
+    marks = hits.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list(F.struct("vec_score", "doc_id")).alias("marks"))
+    out = None
+    for chunk in _query_chunks(queries, query_id, query_vec, group):
+        rows = chunk.where(F.col("vec").isNotNull()).join(marks, "query_id").collect()      # bounded by MAX_QUERY_ROWS
+        if not rows:
+            continue
+        most = max(len(r["marks"]) for r in rows)
+        score, ids = np.full((len(rows), most), np.nan), np.zeros((len(rows), most), dtype=np.int64)
+        for i, r in enumerate(rows):
+            score[i, :len(r["marks"])], ids[i, :len(r["marks"])] = [m[0] for m in r["marks"]], [m[1] for m in r["marks"]]
+        sent = docs.sparkSession.sparkContext.broadcast((
+            np.array([r["query_id"] for r in rows], dtype=np.int64), _unit_rows(np.asarray([r["vec"] for r in rows], dtype=np.float64)),
+            np.array([r["grp"] for r in rows], dtype=object), score, ids))
+        counted = d.mapInArrow(_ranks_fn(sent, doc_id, doc_vec, group), "query_id long, doc_id long, n long")
+        one = cut_lineage(counted.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).alias("vec_rank")))
+        sent.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else docs.sparkSession.createDataFrame([], "query_id long, doc_id long, vec_rank long")
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Native cosine similarity of two numeric arrays (stays in codegen)."""
     a = F.col(a) if isinstance(a, str) else a

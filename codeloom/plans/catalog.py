@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": search.bm25_topk,
     "bm25_fields_topk": search.bm25_fields_topk,
     "bm25f_topk": search.bm25f_topk,
+    "bm25_stored_topk": search.bm25_stored_topk,
     "vector_topk": search.vector_topk,
     "vector_topk_indexed": search.vector_topk_indexed,
     "hybrid_topk": search.hybrid_topk,

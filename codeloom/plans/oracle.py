@@ -36,6 +36,8 @@ r AS (SELECT item_id, doc_id, round(kw_score, 6) AS score,
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
+ORACLES["bm25_stored_topk"] = ORACLES["bm25_topk"]
+
 _TITLE_SCORES = f"""
 td AS (SELECT doc_id, {_tok('string_split(text, chr(10))[1]')} AS toks FROM documents),
 tst AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM td),
@@ -108,6 +110,8 @@ ks AS (SELECT *, min(kw_score) OVER (PARTITION BY item_id) AS kw_min,
 
 ORACLES["hybrid_topk"] = f"""
 WITH {BM25_SCORES}, {KW_SCALED}, {VECTORS},
+kr AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY kw_score DESC, doc_id) AS kw_rank FROM kwr),
+vp AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY vec_score DESC, doc_id) AS vec_rank FROM vr),
 vs AS (SELECT *, min(vec_score) OVER (PARTITION BY item_id) AS vec_min,
                  max(vec_score) OVER (PARTITION BY item_id) AS vec_max FROM vr),
 j AS (SELECT coalesce(ks.item_id, vs.item_id) AS item_id, coalesce(ks.doc_id, vs.doc_id) AS doc_id,
@@ -122,8 +126,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank, doc_id, score, kw_score,
        CASE WHEN kw_score IS NOT NULL THEN round(ksc, 6) END AS kw_scaled,
        vec_score,
-       CASE WHEN vec_score IS NOT NULL THEN round(vsc, 6) END AS vec_scaled
-FROM r WHERE rank <= 10
+       CASE WHEN vec_score IS NOT NULL THEN round(vsc, 6) END AS vec_scaled,
+       kw_rank, vec_rank
+FROM r LEFT JOIN kr USING (item_id, doc_id) LEFT JOIN vp USING (item_id, doc_id) WHERE rank <= 10
 """
 
 ORACLES["hybrid_typed_hits"] = f"""

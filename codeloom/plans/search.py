@@ -42,6 +42,17 @@ def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
             .select("item_id", "rank", "doc_id", "score"))
 
 
+def bm25_stored_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``bm25_topk`` out of a postings index that the collection was appended to in two snapshots."""
+    from ..operators.postings import PostingsIndex
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = PostingsIndex.build(docs.where("doc_id % 2 = 0"), ["text"])
+    index.append(docs.where("doc_id % 2 <> 0"))
+    top = index.topk(table(spark, sf, "benchmark"), LIMIT, query_id="item_id")
+    index.drop()
+    return top.withColumnRenamed("query_id", "item_id")
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "embedding")
 
@@ -78,7 +89,7 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     issues = table(spark, sf, "benchmark")
     vec = _vectors(spark, sf)
-    h = hybrid(docs, issues, doc_id="doc_id", query_id="item_id", doc_vectors=vec, query_vectors=vec)
+    h = hybrid(docs, issues, doc_id="doc_id", query_id="item_id", doc_vectors=vec, query_vectors=vec, ranks=True)
     return h.withColumnRenamed("query_id", "item_id")
 
 
