@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_patch": patches.best_patch,
     "extraction_stats": patches.extraction_stats,
     "code_functions": code.code_functions,
+    "code_snapshots": code.code_snapshots,
     "code_classes": code.code_classes,
     "code_bases_attrs": code.code_bases_attrs,
     "code_imports_aliases": code.code_imports_aliases,

@@ -55,6 +55,19 @@ def code_functions(spark: SparkSession, sf: str) -> DataFrame:
         "def_ord")
 
 
+def code_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Two snapshots through one parse store: a file's functions, and whether its blob was parsed for this snapshot."""
+    from ..operators.parse_store import ParseStore
+    first = F1.source_files(spark, sf)
+    store, out = ParseStore(spark), []
+    for files in (first, F1.second_snapshot(first)):
+        fresh = store.add(files)
+        parsed = store.parsed(files).select("snapshot_id", "path", "blob_sha", F.when(F.col("parse_error").isNull(), F.size("functions")).alias("n_functions"))
+        out.append(parsed.join(fresh.withColumn("parsed_now", F.lit(True)), "blob_sha", "left")
+                   .select("snapshot_id", "path", "n_functions", F.coalesce("parsed_now", F.lit(False)).alias("parsed_now")))
+    return out[0].unionByName(out[1])
+
+
 def code_classes(spark: SparkSession, sf: str) -> DataFrame:
     return X.classes(_parsed(spark, sf)).select(
         "path", "name", "lineno", "col_offset", "end_lineno", "end_col_offset", "code_snippet", "def_ord")

@@ -32,6 +32,15 @@ WITH {BASE}
 SELECT path, name, lineno, col_offset, end_lineno, end_col_offset, code_snippet, is_static, ord AS def_ord FROM fn
 """
 
+O["code_snapshots"] = f"""
+WITH {BASE},
+nf AS (SELECT fp.k, fp.path, CASE WHEN fp.cut THEN NULL ELSE CAST(coalesce(c.n, 0) AS INTEGER) END AS n
+       FROM fp LEFT JOIN (SELECT path, count(*) AS n FROM fn GROUP BY path) c USING (path))
+SELECT '{F1.SNAPSHOT}' AS snapshot_id, path, n AS n_functions, TRUE AS parsed_now FROM nf
+UNION ALL
+SELECT 'later', path, CAST(n + CASE WHEN k % 10 = {F1.CHANGED} THEN 1 ELSE 0 END AS INTEGER), k % 10 = {F1.CHANGED} FROM nf
+"""
+
 O["code_classes"] = f"""
 WITH {BASE}
 SELECT path, name, lineno, col_offset, end_lineno, end_col_offset, code_snippet, ord AS def_ord FROM cl

@@ -84,6 +84,18 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("blob_sha", F.sha1(F.col("content"))))
 
 
+# Files of the second snapshot that differ: one function more at the end.
+CHANGED = 3
+
+
+def second_snapshot(files: DataFrame) -> DataFrame:
+    """The corpus a commit later: every file whose part key ends in CHANGED has one function more."""
+    k = F.regexp_extract("path", r"part_(\d+)\.py$", 1)
+    more = F.concat(F.lit("def extra_"), k, F.lit("():\n    return 1\n"))
+    content = F.when(k.cast("long") % 10 == CHANGED, F.concat("content", more)).otherwise(F.col("content"))
+    return files.select(F.lit("later").alias("snapshot_id"), "path", content.alias("content")).withColumn("blob_sha", F.sha1("content"))
+
+
 # ---------------------------------------------------------------- SQL side
 
 def _q(x: str) -> str:
