@@ -124,16 +124,21 @@ def predict(df: DataFrame, prompt: str, out: str, provider: str | Factory,
     """Add ``out`` = the model's stripped reply to ``prompt``.
 
     A failing call gives its batch null replies (and, in the column named by ``error``, the
-    exception's text) and leaves the other batches alone.
+    exception's text) and leaves the other batches alone.  Where the rows have that column from an
+    earlier step, rows with an error are not sent to the model again and keep it.
     """
     token, factory = resolve(provider)
-    fields = [T.StructField(out, T.StringType(), True)] + ([T.StructField(error, T.StringType(), True)] if error else [])
+    carried = error is not None and error in df.columns
+    fields = [T.StructField(out, T.StringType(), True)] + ([T.StructField(error, T.StringType(), True)] if error and not carried else [])
     schema = T.StructType(df.schema.fields + fields)
 
     def run(batches):
         from codeloom.operators.predict import worker_model
         for pdf in batches:
-            prompts = pdf[prompt].fillna("").astype(str).tolist()
+            before = pdf[error].tolist() if carried else [None] * len(pdf)
+            sent = [i for i, e in enumerate(before) if e is None or e != e]
+            all_prompts = pdf[prompt].fillna("").astype(str).tolist()
+            prompts = [all_prompts[i] for i in sent]
             replies, errors = [], []
             for at in range(0, len(prompts), batch_size):
                 part = prompts[at:at + batch_size]
@@ -145,10 +150,13 @@ def predict(df: DataFrame, prompt: str, out: str, provider: str | Factory,
                     got, failed = [None] * len(part), f"{type(e).__name__}: {e}"
                 replies += [r.strip() if r is not None else None for r in got]
                 errors += [failed] * len(part)
-            pdf[out] = pd.Series(replies, index=pdf.index, dtype=object)
+            told, failed_at = [None] * len(pdf), list(before)
+            for i, r, e in zip(sent, replies, errors, strict=True):
+                told[i], failed_at[i] = r, e
+            pdf[out] = pd.Series(told, index=pdf.index, dtype=object)
             if error:
-                pdf[error] = pd.Series(errors, index=pdf.index, dtype=object)
-            yield pdf
+                pdf[error] = pd.Series(failed_at, index=pdf.index, dtype=object)
+            yield pdf[[f.name for f in schema.fields]]
 
     res = df.mapInPandas(run, schema)
     return cut_lineage(res) if persist else res

@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_typed_hits": search.hybrid_typed_hits,
     "issue_slice": corpus.issue_slice,
     "snippet_count": corpus.snippet_count,
+    "sink_batches": corpus.sink_batches,
+    "issue_states": corpus.issue_states,
     "inline_comments": corpus.inline_comments,
     "node_upsert": graphs.node_upsert,
     "edge_upsert": graphs.edge_upsert,

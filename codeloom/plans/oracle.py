@@ -131,6 +131,19 @@ SELECT item_id, rank, doc_id, score, kw_score,
 FROM r LEFT JOIN kr USING (item_id, doc_id) LEFT JOIN vp USING (item_id, doc_id) WHERE rank <= 10
 """
 
+ORACLES["sink_batches"] = """
+SELECT 'rows' AS kind, source AS name, count(*) AS n FROM documents WHERE length(text) >= 30 GROUP BY source
+UNION ALL
+SELECT 'failed', 'batch-' || CAST(doc_id % 3 AS VARCHAR), count(*) FILTER (WHERE coalesce(length(text) < 30, TRUE)) FROM documents GROUP BY doc_id % 3
+"""
+
+ORACLES["issue_states"] = """
+SELECT item_id AS issue_id, CASE WHEN length(text) % 3 = 1 THEN 'failed' ELSE 'done' END AS after_first, 'done' AS after_second,
+       CAST(CASE WHEN length(text) % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS failures, CAST(length(text) AS VARCHAR) AS answer,
+       CASE WHEN length(text) % 3 = 1 THEN 'second' ELSE 'first' END AS run
+FROM benchmark
+"""
+
 ORACLES["hybrid_typed_hits"] = f"""
 WITH {BM25_SCORES}, {KW_SCALED},
 f AS (SELECT item_id, doc_id,

@@ -50,12 +50,14 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def analyse(issues: DataFrame, text: str, analysis_provider="stub-keywords",
-            query_provider="stub-queries") -> DataFrame:
-    """Analysis, then the two queries from it; each model step runs once (checkpointed)."""
+            query_provider="stub-queries", error: str | None = None) -> DataFrame:
+    """Analysis, then the two queries from it; each model step runs once (checkpointed).
+
+    With ``error`` a column of that name says why a step failed; the second step leaves such rows alone."""
     a = predict(issues.withColumn("p1", render(ANALYSIS_TEMPLATE, issue=F.col(text))), "p1", "analysis",
-                analysis_provider)
+                analysis_provider, error=error)
     q = predict(a.withColumn("p2", render(QUERY_TEMPLATE, analysis=F.col("analysis"))), "p2", "queries_reply",
-                query_provider)
+                query_provider, error=error)
     vq, cq = R.parse_queries("queries_reply")
     return q.withColumn("vector_query", vq).withColumn("cypher_query", cq).drop("p1", "p2")
 
@@ -95,9 +97,12 @@ def ingest(source_files: DataFrame | None = None, *, parsed: DataFrame | None =
     return {"parsed": parsed, "symbols": st, "snippets": snippets, "nodes": nodes, "edges": edges}
 
 
-def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str = "stub") -> DataFrame:
-    """Issues (issue_id, snapshot_id, repo, base_commit, problem_statement) -> one result row each."""
-    q = analyse(issues, "problem_statement", f"{provider_prefix}-keywords", f"{provider_prefix}-queries")
+def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str = "stub", errors: bool = False) -> DataFrame:
+    """Issues (issue_id, snapshot_id, repo, base_commit, problem_statement) -> one result row each.
+
+    With ``errors`` a column ``error`` says which model call an issue failed at (a failed scoring call is no
+    failure: the model score is then its default); the sink leaves such issues open."""
+    q = analyse(issues, "problem_statement", f"{provider_prefix}-keywords", f"{provider_prefix}-queries", error="error")
     sn = kb["snippets"]
     # Dual retrieval, per snapshot: hybrid search of the vector query over that snapshot's snippets.
     qv = embed(q.select(F.col("issue_id").alias("vec_id"), F.col("vector_query").alias("text")))
@@ -127,7 +132,7 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
            .withColumn("p3", render(PATCH_TEMPLATE, issue=F.col("problem_statement"),
                                     hits=F.coalesce("hits", F.lit(NO_HITS)),
                                     graph=F.coalesce("graph", F.lit(NO_GRAPH)))))
-    gen = predict(gen, "p3", "generated_patch", f"{provider_prefix}-patch")
+    gen = predict(gen, "p3", "generated_patch", f"{provider_prefix}-patch", error="error")
     meta, cands = R.extract(gen.select("issue_id", F.col("generated_patch").alias("reply")), "issue_id")
     cands = cands.join(gen.select("issue_id", "problem_statement"), "issue_id")
     cands = predict(cands.withColumn("p4", render(SCORE_TEMPLATE, issue=F.col("problem_statement"),
@@ -152,7 +157,7 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
                     F.coalesce("patch_scores", F.array()).alias("patch_scores"),
                     best.alias("best_patch_dict"), F.col("best_total").alias("best_patch_score"),
                     F.col("best_func").alias("best_patch_code"), "file_name", "function_name",
-                    F.lit(provider_prefix).alias("model_provider")))
+                    F.lit(provider_prefix).alias("model_provider"), *(["error"] if errors else [])))
 
 
 def issue_workflow(spark: SparkSession, sf: str) -> DataFrame:

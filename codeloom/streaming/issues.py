@@ -2,8 +2,9 @@
 
 New issue files landing in a folder are read with ``readStream``; each
 micro-batch runs the same batch job (``run_issues``) against the
-ingested knowledge base and appends its result rows through the resumable
-sink (finished issues are skipped).  Stream progress lives under the
+ingested knowledge base and appends its result rows through the exactly-once
+sink (finished issues are skipped, a repeated micro-batch writes nothing, issues
+whose model calls failed stay open and are tried again with the next files).  Stream progress lives under the
 session's checkpoint folder, so a restarted query resumes where it stopped.
 No new operator: this is W2-W4 + S8 driven by file arrival.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.workflow import run_issues
-from ..sources.sinks import append_results, unfinished
+from ..sources.ledger import IssueResults
 
 ISSUE_SCHEMA = T.StructType([
     T.StructField("issue_id", T.LongType()), T.StructField("issue_idx", T.LongType()),
@@ -33,9 +34,13 @@ def start(spark: SparkSession, issue_dir: str, kb: dict[str, DataFrame], results
     issues = spark.readStream.schema(ISSUE_SCHEMA).parquet(issue_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        todo = unfinished(batch, results_path)
+        results = IssueResults(spark, results_path)
+        # Failed issues of earlier files are tried again beside the new ones.
+        known = spark.read.schema(ISSUE_SCHEMA).parquet(issue_dir)
+        again = known.join(results.failed.read().select("issue_id").distinct(), "issue_id", "left_semi")
+        todo = results.todo(batch.unionByName(again.select(*batch.columns)).dropDuplicates(["issue_id"]))
         if not todo.isEmpty():
-            append_results(run_issues(todo, kb, provider_prefix), results_path, f"batch-{batch_id}")
+            results.write(run_issues(todo, kb, provider_prefix, errors=True), f"batch-{batch_id}")
 
     w = issues.writeStream.foreachBatch(each).option("checkpointLocation", progress_path).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
