@@ -53,9 +53,10 @@ def _with_state(updates: DataFrame, state: DataFrame | None, key: Sequence[str])
     return s.unionByName(updates.select(*key, "props", "ord"))
 
 
-def upsert_nodes(updates: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """(label, id, props) after applying ``updates`` on top of ``state``."""
-    return _overlay(_with_state(updates, state, NODE_KEY), NODE_KEY)
+def upsert_nodes(updates: DataFrame, state: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., label, id, props) after applying ``updates`` on top of ``state``; ``by`` (e.g. snapshot_id) keeps graphs apart."""
+    key = [*by, *NODE_KEY]
+    return _overlay(_with_state(updates, state, key), key)
 
 
 class EdgeReport:
@@ -71,28 +72,29 @@ class EdgeReport:
         return int(self.seen.get["rows"]) - int(self.kept.get["rows"])
 
 
-def endpoints_exist(edges: DataFrame, nodes: DataFrame, report: EdgeReport | None = None) -> DataFrame:
-    """C20: keep edges whose source and target nodes both exist (label aware).
+def endpoints_exist(edges: DataFrame, nodes: DataFrame, report: EdgeReport | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """C20: keep edges whose source and target nodes both exist (label aware, within one ``by``).
 
     With ``report``, the numbers of edges seen and kept are observed in the
     same job (no extra pass); ``report.dropped`` is available after an action."""
-    n = nodes.select("label", "id").distinct()
-    src = n.select(F.col("label").alias("src_label"), F.col("id").alias("src_id"))
-    dst = n.select(F.col("label").alias("dst_label"), F.col("id").alias("dst_id"))
+    n = nodes.select(*by, "label", "id").distinct()
+    src = n.select(*by, F.col("label").alias("src_label"), F.col("id").alias("src_id"))
+    dst = n.select(*by, F.col("label").alias("dst_label"), F.col("id").alias("dst_id"))
     if report is not None:
         edges = edges.observe(report.seen, F.count(F.lit(1)).alias("rows"))
-    kept = (edges.join(src, ["src_label", "src_id"], "left_semi")
-            .join(dst, ["dst_label", "dst_id"], "left_semi"))
+    kept = (edges.join(src, [*by, "src_label", "src_id"], "left_semi")
+            .join(dst, [*by, "dst_label", "dst_id"], "left_semi"))
     if report is not None:
         kept = kept.observe(report.kept, F.count(F.lit(1)).alias("rows"))
     return kept
 
 
 def upsert_edges(updates: DataFrame, nodes: DataFrame, state: DataFrame | None = None,
-                 report: EdgeReport | None = None) -> DataFrame:
+                 report: EdgeReport | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Edges whose ends exist, overlaid like nodes on the 5-column key + label pair."""
-    checked = endpoints_exist(updates, nodes, report)
-    return _overlay(_with_state(checked, state, EDGE_KEY), EDGE_KEY)
+    key = [*by, *EDGE_KEY]
+    checked = endpoints_exist(updates, nodes, report, by)
+    return _overlay(_with_state(checked, state, key), key)
 
 
 def flatten_props(df: DataFrame, key: Sequence[str]) -> DataFrame:

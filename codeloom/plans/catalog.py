@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_states": corpus.issue_states,
     "inline_comments": corpus.inline_comments,
     "node_upsert": graphs.node_upsert,
+    "node_upsert_state": graphs.node_upsert_state,
     "edge_upsert": graphs.edge_upsert,
     "detach_delete": graphs.detach_delete,
     "neighbourhood": graphs.neighbourhood,

@@ -40,6 +40,20 @@ def node_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return flatten_props(nodes, NODE_KEY)
 
 
+def node_upsert_state(spark: SparkSession, sf: str) -> DataFrame:
+    """C1 against a stored graph: two snapshots with the same ids, their updates arriving in two batches (by time)."""
+    from ..operators.graph_state import GraphState
+    ev = table(spark, sf, "events")
+    at = F.col("ts").cast("timestamp").cast("long")
+    middle = ev.agg(((F.min(at) + F.max(at)) / 2).alias("t"))
+    state = GraphState(spark)
+    for part in (at <= middle.scalar(), at > middle.scalar()):
+        for i, snapshot in enumerate(("even", "odd")):
+            updates = user_node_updates(ev.where(part & (F.pmod("event_id", F.lit(2)) == i)))
+            state.apply_nodes(updates.withColumn("snapshot_id", F.lit(snapshot)))
+    return flatten_props(state.nodes(), ["snapshot_id", *NODE_KEY])
+
+
 def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     signed_up = upsert_nodes(user_node_updates(ev.filter(F.col("event_type") == "signup")))

@@ -205,6 +205,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id, prop ORDER BY ts DESC, event
 SELECT 'User' AS label, id, prop, value FROM r WHERE rn = 1 AND value IS NOT NULL
 """
 
+ORACLES["node_upsert_state"] = f"""
+WITH {USER_UPDATES},
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id % 2, id, prop ORDER BY ts DESC, event_id DESC) AS rn FROM u)
+SELECT CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS snapshot_id, 'User' AS label, id, prop, value
+FROM r WHERE rn = 1 AND value IS NOT NULL
+"""
+
 ORACLES["edge_upsert"] = """
 WITH n AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events WHERE event_type = 'signup'),
 e AS (SELECT CAST(user_id AS VARCHAR) AS src_id, json_extract_string(props, '$.k') AS dst_id, ts, event_id,
