@@ -58,9 +58,39 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """``df``, one row a key, as a table bucketed by ``key``: joins on it move only their other side.  ``discard`` drops it."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"llm_{tag}_{uuid.uuid4().hex}"
+    rest = [F.min(c).alias(c) for c in df.columns if c != key]
+    dealt = df.repartition(n, key).groupBy(key).agg(*rest)       # repeats go in the buckets' own partitions
+    dealt.write.format("parquet").option("compression", "zstd").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.staged_table = name
+    return out
+
+
+FILTER_BITS = 1 << 24
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key is, up to hash collisions, one of ``wanted``'s: spares a join the others' shuffle.
+
+    A bitmap of FILTER_BITS bits, at most FILTER_BITS / 64 rows of 16 bytes, is sent to ``rows``; where it is full it drops nothing.
+    """
+    spot = lambda: F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    words = (wanted.select(spot().alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")))
+    marked = rows.withColumn("at", spot()).withColumn("word", F.shiftright("at", 6)).join(F.broadcast(words), "word")
+    return marked.where(F.expr("(bits & shiftleft(1L, cast(at & 63 as int))) <> 0")).drop("at", "word", "bits")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that no later job reads, and let the shuffles behind them go."""
     for t in tables:
+        if hasattr(t, "staged_table"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.staged_table}")
+            continue
         jvm, jsc = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc
         path = jvm.org.apache.hadoop.fs.Path(t.staged_path)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)

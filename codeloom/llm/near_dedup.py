@@ -5,11 +5,13 @@
 2. Equal sets are one node with a number of its own; only the member with the smallest id and
    text hashes goes on.  Up to step 5 a "doc_id" below is such a number, so rows that share an id
    but not a set are different nodes with their own texts.
-3. Documents that share a band key are candidates.  A bucket's members are compared with one
-   leader of the bucket, its smallest id, not with each other; that gives stars.  Where a bucket then
-   still holds documents of different stars, those pairs follow whose sizes and signatures allow
-   the threshold.  Pairs inside a star are never formed, so a group of n near copies costs about
-   n pairs.
+3. Documents that share a band key are candidates.  In a leader round the members of a bucket are
+   compared with one leader of the bucket, not with each other, and after it linked documents are
+   contracted to one label.  A round passes over the members that already have the leader's label and
+   over buckets with one label; ROUNDS rounds have a leader each, chosen by a hash.  Then those
+   pairs follow which are in one bucket, still have different labels, and whose sizes and
+   signatures allow the threshold.  Pairs inside a label are never formed: a group of n near copies
+   costs about n pairs a round, and what stays open is compared because nothing links it so far.
 4. Each pair's signatures are compared in batches.  After a batch the posterior of the
    similarity, given the matches so far and a uniform prior, bounds it: when
    P(similarity >= threshold) falls below MISS the pair is dropped.  Survivors are decided on
@@ -36,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, pick, staged, text_slices
+from .common import bucketed, discard, likely, pick, staged, text_slices
 from .components import components
 from .textarrays import Words, mix, signed
 
 SHINGLE = 5
 THRESHOLD = (75, 100)        # intersection / union >= 75 / 100
 BANDS, ROWS = 36, 4
-FINE = 1024                  # hashes of the last round's signature, 4 bits each
-COARSE = 144                 # as many of them as are looked at first
+ROUNDS = 2                   # leader rounds before the pairs of different labels
+FINE = 4096                  # hashes of the last round's signature, 1 bit each
+COARSE = 512                 # as many of them as are looked at first
 BATCH = 16                   # signature bytes compared between two looks at the posterior
 MISS = 1e-6
 _U = np.uint64
@@ -118,33 +121,30 @@ def _sketch(batches):
 
 
 def _fine(batches):
-    """(doc_id, quarters): the lowest 4 bits of FINE minima, 16 to a 64-bit word."""
-    words = FINE // 16
+    """(doc_id, signs): the lowest bit of FINE minima, 64 to a word."""
+    words = FINE // 64
     for batch in batches:
-        for a, b in text_slices(batch["text"]):
+        for a, b in text_slices(batch["text"], 1 << 19):
             part = batch.slice(a, b - a)
-            four = (minima(shingle_sets(part["text"]), FINE, 5) & 15).astype(_U).reshape(-1, words, 16)
-            packed = np.bitwise_or.reduce(four << (np.arange(16, dtype=_U) * _U(4)), axis=2)
+            bits = np.packbits((minima(shingle_sets(part["text"]), FINE, 5) & 1).astype(np.uint8), axis=1)
+            packed = np.ascontiguousarray(bits).view(_U)
             yield pa.record_batch({"doc_id": part["doc_id"],
-                                   "quarters": pa.ListArray.from_arrays(np.arange(0, packed.size + 1, words, dtype=np.int32), signed(packed.ravel()))})
-
-
-def _differ(x: Column, y: Column) -> Column:
-    """In how many of their 16 4-bit values two words differ."""
-    d = x.bitwiseXOR(y)
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-    d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-    return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+                                   "signs": pa.ListArray.from_arrays(np.arange(0, packed.size + 1, words, dtype=np.int32), signed(packed.ravel()))})
 
 
 def _able(a: str, b: str) -> Column:
     """Whether the posterior leaves the threshold possible after COARSE, then after FINE values."""
     t = THRESHOLD[0] / THRESHOLD[1]
-    coarse = functools.reduce(lambda x, y: x + y, [_differ(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(COARSE // 16)])
-    fine = F.aggregate(F.zip_with(a, b, _differ), F.lit(0), lambda x, y: x + y)
-    return ((coarse <= COARSE - least_matches(COARSE, t, values=16)) & (fine <= FINE - least_matches(FINE, t, values=16)))
 
+    def differ(x: Column, y: Column) -> Column:
+        return F.bit_count(x.bitwiseXOR(y))
+
+    coarse = functools.reduce(lambda x, y: x + y, [differ(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(COARSE // 64)])
+    fine = F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda x, y: x + y)
+    return ((coarse <= COARSE - least_matches(COARSE, t, values=2)) & (fine <= FINE - least_matches(FINE, t, values=2)))
 
+
+@functools.lru_cache(maxsize=16)
 def least_matches(n: int, threshold: float, miss: float = MISS, values: int = 256) -> int:
     """The fewest of n compared signature values that must match for P(similarity >= threshold) to reach ``miss``.
 
@@ -205,33 +205,39 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return staged(both.mapInArrow(_confirm, "a long, b long"), "links")
 
 
-def _leader_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b): each bucket's smallest id with the bucket's other members."""
-    leaders = buckets.groupBy("key").agg(F.min("doc_id").alias("a"))
-    return (buckets.join(leaders, "key").where(F.col("a") != F.col("doc_id"))
+def _leader_pairs(labelled: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each bucket's leader of this turn with the bucket's members of other labels."""
+    leaders = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "label")).alias("r"))
+    return (labelled.join(leaders.select("key", F.col("r.doc_id").alias("a"), F.col("r.label").alias("of")), "key").where(F.col("label") != F.col("of"))
             .select("a", F.col("doc_id").alias("b")).distinct())
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels; staged."""
+    keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return staged(labelled.join(keys, "key"), "open")
+
+
 def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different stars that share a bucket and may reach the threshold; staged.
+    """(a, b): the pairs of different labels that share a bucket and may reach the threshold; staged.
 
-    ``members`` has key, doc_id, n_shingles and label.  The largest star of a bucket is only compared with the bucket's other members, never with
-    itself.  Sizes within the threshold's ratio lie in the same or a neighbouring power of that ratio,
+    ``members`` has key, doc_id, n_shingles and label.  The most frequent label of a bucket is only compared with the bucket's other members,
+    never with itself.  Sizes within the threshold's ratio lie in the same or a neighbouring power of that ratio,
     which is part of the join key.  These documents get a longer signature, and the posterior given it
     is part of the join's condition, so pairs that cannot reach the threshold never become rows; a pair
     becomes a row in the first of its shared buckets only.
     """
     step = math.log(THRESHOLD[1] / THRESHOLD[0])
-    signed_ = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, quarters array<long>")
+    signed_ = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, signs array<long>")
     shared = members.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))      # BANDS keys at most
     m = members.join(signed_, "doc_id").join(shared, "doc_id").withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / step))
     largest = (members.groupBy("key", "label").count().groupBy("key")
                .agg(F.max_by("label", F.struct("count", "label")).alias("largest")))
     m = staged(m.join(largest, "key"), "classes")
     left = m.where(F.col("label") != F.col("largest")).select(
-        "key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("quarters").alias("qa"), F.col("keys").alias("ka"))
+        "key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("signs").alias("qa"), F.col("keys").alias("ka"))
     right = m.select(F.col("key").alias("key_b"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("cb"), "largest",
-                     F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("quarters").alias("qb"), F.col("keys").alias("kb"))
+                     F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("signs").alias("qb"), F.col("keys").alias("kb"))
     near = THRESHOLD[1] * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")
     once = (F.col("lb") == F.col("largest")) | (F.col("a") < F.col("b"))
     here = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")      # of all buckets a pair shares, the first
@@ -246,8 +252,8 @@ def addressed(d: DataFrame) -> DataFrame:
     return d.withColumns({"key": F.coalesce("doc_id", F.lit(_AFTER_ALL)), "t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
 
 
-def _linked(docs: DataFrame, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The rows' sketches, the nodes, and the links of either round; staged.  Rows without an id are no nodes unless ``null_ids``."""
+def _linked(docs: DataFrame, null_ids: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The rows' sketches, the nodes, and the links of all rounds; staged.  Rows without an id are no nodes unless ``null_ids``."""
     d = addressed(pick(docs, doc_id="long", text="string"))
     sketches = staged(d.mapInArrow(_sketch, _SKETCH), "sketches")
     usable = sketches.where("n_shingles > 0" if null_ids else "n_shingles > 0 AND doc_id IS NOT NULL")
@@ -258,20 +264,23 @@ def _linked(docs: DataFrame, null_ids: bool) -> tuple[DataFrame, DataFrame, Data
     buckets = staged(rows.join(shared, "key"), "buckets")
     # The texts of all candidates, fetched once for both rounds.
     wanted = staged(nodes.select("doc_id", *ROW).join(buckets.select("doc_id").distinct(), "doc_id"), "wanted")
-    texts = staged(d.where(F.col("text").isNotNull()).drop("doc_id").join(wanted, ROW).select("doc_id", "text"), "texts")
-    if texts.count() > wanted.count():      # rows equal in id and text
-        repeated, texts = texts, staged(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-        discard(repeated)
-    # Each leader's star is connected: its smallest leader names what a document is already known to belong to.
-    stars = _verified(_leader_pairs(buckets), nodes, texts)
-    known = stars.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("star"))
-    labelled = staged(buckets.join(known, "doc_id", "left").withColumn("label", F.coalesce("star", "doc_id")).drop("star"), "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    members = staged(labelled.join(open_keys, "key"), "open")
+    named = likely(d.where(F.col("text").isNotNull()).drop("doc_id"), wanted, ROW).join(wanted, ROW).select("doc_id", "text")
+    # Rows equal in id and text are one; the table lies by node, so the rounds below move pairs to it.
+    texts = bucketed(named, "doc_id", "texts")
+    members, links = buckets.withColumn("label", F.col("doc_id")), None
+    for turn in range(ROUNDS):
+        new = _verified(_leader_pairs(members, turn), nodes, texts)
+        links = [*(links or []), new]
+        labels = components(functools.reduce(DataFrame.union, links))
+        old, known = members, labels.select(F.col("node").alias("doc_id"), F.col("label").alias("known"))
+        members = _open(old.join(known, "doc_id", "left").withColumn("label", F.coalesce("known", "label")).drop("known"))
+        discard(labels)
+        if turn:
+            discard(old)
     rest = _rest_pairs(members, texts)
-    links = _verified(rest, nodes, texts)
-    discard(buckets, wanted, texts, labelled, members, rest)
-    return sketches, nodes, stars, links
+    links.append(_verified(rest, nodes, texts))
+    discard(buckets, wanted, texts, members, rest)
+    return sketches, nodes, links
 
 
 def _grouped(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -294,22 +303,22 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
     Rows are linked by their texts alone, those under null or repeated ids too; rows without words are in no group.
     """
-    sketches, nodes, stars, links = _linked(docs, null_ids=True)
-    labels = components(stars.union(links))
+    sketches, nodes, links = _linked(docs, null_ids=True)
+    labels = components(functools.reduce(DataFrame.union, links))
     out = staged(_grouped(nodes, labels).groupBy("group").agg(F.min(F.struct(*ROW)).alias("r")).select("r.*"), "kept")
-    discard(sketches, nodes, labels, stars, links)
+    discard(sketches, nodes, labels, *links)
     return out
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; see the module's notes."""
-    sketches, nodes, stars, links = _linked(docs, null_ids=False)
-    labels = components(stars.union(links).union(_of_one_id(sketches, nodes)))
+    sketches, nodes, links = _linked(docs, null_ids=False)
+    labels = components(functools.reduce(DataFrame.union, [*links, _of_one_id(sketches, nodes)]))
     grouped = _grouped(nodes, labels)
     lowest = grouped.groupBy("group").agg(F.min("key").alias("lowest"))
     member = (sketches.join(grouped.join(lowest, "group").select(*_SAME, "lowest"), _SAME, "left")
               .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))))
     out = staged(member.select("doc_id", "n_shingles", "component_id",
                                F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dedup")
-    discard(sketches, nodes, labels, stars, links)
+    discard(sketches, nodes, labels, *links)
     return out

@@ -201,13 +201,44 @@ def test_near_dedup_equals_brute_force(spark):
 
 def test_near_dedup_rest_round_finds_links_that_leaders_miss(spark, monkeypatch):
     """Without any star every link must come from the last round."""
-    monkeypatch.setattr(near_dedup, "_leader_pairs", lambda buckets: buckets.select("doc_id", "doc_id").toDF("a", "b").limit(0))
+    monkeypatch.setattr(near_dedup, "_leader_pairs", lambda buckets, turn: buckets.select("doc_id", "doc_id").toDF("a", "b").limit(0))
     data = X.rows(seed=4, n=40)
     out = near_dedup.near_dedup(X.frame(spark, data)).collect()
     want = groups(data)
     assert all(r.component_id == want[r.doc_id] for r in out)
 
 
+def _near_copies(rng, n, length=100, changes=2):
+    """n texts of one base text with up to so many words changed: many pairs lie below the threshold, all are connected."""
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, changes)):
+            words[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+        out.append([i, " ".join(words), "en", "s"])
+    return out
+
+
+def test_near_dedup_forms_no_quadratic_pairs_in_one_group(spark, monkeypatch):
+    counted = []
+    verified = near_dedup._verified
+
+    def counting(pairs, nodes, texts):
+        counted.append(pairs.count())
+        return verified(pairs, nodes, texts)
+
+    monkeypatch.setattr(near_dedup, "_verified", counting)
+    per_document = []
+    for n in (400, 800):
+        counted.clear()
+        out = near_dedup.near_dedup(X.frame(spark, _near_copies(random.Random(2), n))).collect()
+        assert len({r["component_id"] for r in out}) < n // 4
+        per_document.append(sum(counted) / n)
+        assert counted[-1] < n                      # what is left after the leader rounds
+    assert per_document[1] < 40 and per_document[1] < 1.5 * per_document[0]
+
+
 def test_near_dedup_judges_every_text_of_a_repeated_id(spark):
     """Both texts of id 1 lead near copies; each link is decided on its own text, whichever stands first."""
     rng = random.Random(23)
