@@ -206,6 +206,21 @@ def pattern_edges(parsed: DataFrame) -> DataFrame:
                  _props(("role", F.coalesce(F.col("role"), F.lit(PATTERN_ROLE_DEFAULT))))).dropDuplicates(EDGE)
 
 
+def participant_edges(findings: DataFrame, node_table: DataFrame) -> DataFrame:
+    """C15 for findings of any detector: (snapshot_id, pattern, participant, role null) -> PARTICIPATES_IN edges.
+
+    A participant is the id of a Class, else of a Function (a file may hold both under one id); findings of
+    neither are left out.  A missing role becomes the default; of several findings of one participant and
+    pattern the last role by name stays.  One join: the label is the first in rank among the ids' nodes.
+    """
+    n = (node_table.where(F.col("label").isin("Class", "Function")).groupBy(SNAP, F.col("id").alias("participant"))
+         .agg(F.min("label").alias("src_label")))           # Class sorts before Function
+    found = findings.select(SNAP, "pattern", "participant", F.coalesce("role", F.lit(PATTERN_ROLE_DEFAULT)).alias("role"))
+    once = found.groupBy(SNAP, "pattern", "participant").agg(F.max("role").alias("role")).join(n, [SNAP, "participant"])
+    return once.select(SNAP, "src_label", F.col("participant").alias("src_id"), F.lit("PARTICIPATES_IN").alias("rel"),
+                       F.lit("DesignPattern").alias("dst_label"), F.col("pattern").alias("dst_id"), _props(("role", F.col("role"))).alias("props"))
+
+
 def check_endpoints(edges: DataFrame, node_table: DataFrame) -> DataFrame:
     """C20 per snapshot: both (label, id) ends must exist."""
     n = node_table.select(SNAP, *NODE_KEY).distinct()

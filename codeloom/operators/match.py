@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -124,6 +124,65 @@ def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges:
     return res.select(issue_id, "id", "name", *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
 
 
+# Neighbours a page of ``neighbour_pages``.
+PAGE = 1_000
+
+
+def neighbour_pages(pids: DataFrame, edges: DataFrame, *, page: int = PAGE, by: Sequence[str] = ()) -> DataFrame:
+    """G2 + G6 + G10 for nodes of any degree: (by..., label, pid, rel, dir, page, n, vals), pages of sorted distinct neighbours.
+
+    ``pids``: (by..., label, pid).  Every page but a list's last holds ``page`` values 'Label:id'.  Distinct neighbours
+    are found under the whole (primary, relation, neighbour) key and sorted by ranges of it, so a hub's list is spread over
+    tasks; its places follow from the ranges' counts, and no task or row holds the list.
+    """
+    by = list(by)
+    key = [*by, "label", "pid", "rel", "dir"]
+    out_e = edges.select(*by, F.col("src_label").alias("label"), F.col("src_id").alias("pid"), "rel", F.lit("out").alias("dir"),
+                         F.concat_ws(":", "dst_label", "dst_id").alias("v"))
+    in_e = edges.select(*by, F.col("dst_label").alias("label"), F.col("dst_id").alias("pid"), "rel", F.lit("in").alias("dir"),
+                        F.concat_ws(":", "src_label", "src_id").alias("v"))
+    touch = out_e.unionByName(in_e).join(pids.select(*by, "label", "pid").distinct(), [*by, "label", "pid"], "left_semi").distinct()
+    order = [*key, "v"]
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Checkpointed, so a value's range is the same in the count and in the places.
+    ranged = cut_lineage(touch.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy(*key, "range").agg(F.count("*").alias("held"))
+    upto = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)     # at most a row a range
+    first = ranges.select(*key, "range", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*key, "range").orderBy("v"))
+    placed = ranged.withColumn("i", place).join(first, [*key, "range"]).withColumn("at", F.col("first") + F.col("i") - 1)
+    return (placed.groupBy(*key, F.floor(F.col("at") / page).cast("int").alias("page"))
+            .agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vals")))
+
+
+# Operators of a predicate row; the value of ``within`` is a folder: the node's path is it or lies below it.
+EQUALS, WITHIN = "=", "within"
+
+
+def filtered_nodes(nodes: DataFrame, predicates: DataFrame, *, issue_id: str, by: Sequence[str] = ()) -> DataFrame:
+    """(issue_id, by..., label, id) of the nodes that meet all of an issue's predicates.
+
+    ``nodes``: (by..., label, id, props map<string,string>); ``predicates``: (issue_id, by..., property, operator, value).
+    Predicates are rows, so any number of issues is one pair of equi joins: equality on (property, value), ``within``
+    on a property's ancestor folders.  ``label`` and ``id`` are properties too.  An issue without predicates matches nothing;
+    a predicate of another operator raises ValueError where it is a literal of the plan's rows, i.e. fails the job.
+    """
+    by = list(by)
+    p = predicates.select(issue_id, *by, "property", "operator", "value").distinct()
+    known = F.col("operator").isin(EQUALS, WITHIN)
+    p = p.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown predicate operator: "), F.col("operator"))).cast("boolean")))
+    wanted = p.groupBy(issue_id, *by).agg(F.count("*").alias("all"))
+    own = F.map_concat(F.map_filter("props", lambda k, v: ~k.isin("label", "id")), F.create_map(F.lit("label"), F.col("label"), F.lit("id"), F.col("id")))
+    values = nodes.select(*by, "label", "id", F.explode(own).alias("property", "value"))
+    used = values.join(p.select("property").distinct(), "property", "left_semi")
+    equal = used.join(p.where(F.col("operator") == EQUALS).drop("operator"), [*by, "property", "value"]).withColumn("operator", F.lit(EQUALS))
+    parts = F.split("value", "/")
+    above = used.select(*by, "label", "id", "property", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("value"))
+    within = above.join(p.where(F.col("operator") == WITHIN).drop("operator"), [*by, "property", "value"]).withColumn("operator", F.lit(WITHIN))
+    met = (equal.unionByName(within).distinct().groupBy(issue_id, *by, "label", "id").agg(F.count("*").alias("met")))
+    return met.join(wanted, [issue_id, *by]).where(F.col("met") == F.col("all")).select(issue_id, *by, "label", "id")
+
+
 def results_per_issue(rows: DataFrame, issue_id: str, fields: list[str]) -> DataFrame:
     """One list of maps per issue, sorted by primary id for determinism."""
     item = F.struct(*[F.col(f) for f in ["id", "name", *fields]])

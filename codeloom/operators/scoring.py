@@ -5,6 +5,8 @@ All scores but the syntax check are native column expressions.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +20,18 @@ WEIGHTS = (("patch_size", 0.15), ("syntax", 0.15), ("style", 0.10), ("exception"
 SIZE_THRESHOLD = 30
 STYLE_IF_NO_LINTER = 0.8
 LLM_DEFAULT = 0.5
-# The reference's score patterns (the Java flag prefixes are ours).
-BARE_EXCEPT_RE = r"(?U)except\s*:"
-BROAD_EXCEPT_RE = r"(?U)except\s+Exception"
+# The reference's score patterns (the Java flag prefixes and the separators that Python also counts as space are ours).
+BARE_EXCEPT_RE = r"(?U)except[\s\x1C-\x1F]*:"
+BROAD_EXCEPT_RE = r"(?U)except[\s\x1C-\x1F]+Exception"
 DOCSTRING_RE = "(?s)\"\"\".*?\"\"\"|'''.*?'''"
-ASSIGNMENT_RE = r"(?Ud)(\w+)\s*=.*"
+ASSIGNMENT_RE = r"(?Ud)(\w+)[\s\x1C-\x1F]*=.*"
 NUMBER_RE = r"\d*\.?\d+"
 
 
+# Decimal digits beyond ASCII, which Python's pattern and float() read as well; they come in tens, 0 to 9.
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd")
+
+
 def size_score(diff: Column, threshold: int = SIZE_THRESHOLD) -> Column:
     """K6: 1 - min((added + removed) / threshold, 1); '+++'/'---' lines not counted."""
     lines = splitlines(diff)
@@ -85,7 +91,7 @@ def pattern_score(code: Column) -> Column:
 
 def llm_score(reply: Column) -> Column:
     """First number in the model reply, clamped to [0, 1]; 0.5 if none or no reply."""
-    num = F.regexp_extract(reply, NUMBER_RE, 0).try_cast("double")
+    num = F.regexp_extract(F.translate(reply, _DIGITS, "0123456789" * (len(_DIGITS) // 10)), NUMBER_RE, 0).try_cast("double")
     # least/greatest skip nulls, so the fallback must be decided first.
     return F.when(num.isNull(), F.lit(LLM_DEFAULT)).otherwise(F.greatest(F.lit(0.0), F.least(num, F.lit(1.0))))
 

@@ -41,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_errors": code.parse_errors,
     "symbol_table": code.symbol_table,
     "design_patterns": code.design_patterns,
+    "pattern_findings": code.pattern_findings,
     "snippets": code.snippets,
     "graph_nodes": code.graph_nodes,
     "graph_contains": code.graph_contains,
@@ -49,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_calls_as_coded": code.graph_calls_as_coded,
     "graph_imports": code.graph_imports,
     "neighbourhood_class": code.neighbourhood_class,
+    "neighbourhood_hub": graphs.neighbourhood_hub,
+    "neighbourhood_filtered": code.neighbourhood_filtered,
     "commit_graph": commits_fixture.commit_graph,
     "prompts": workflow.prompts,
     "parsed_queries": workflow.parsed_queries,

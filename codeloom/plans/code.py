@@ -11,6 +11,7 @@ from ..operators.match import neighbourhood as _neighbourhood
 from ..operators.snippets import build_snippets
 from ..operators.upsert import NODE_KEY
 from ..session import cut_lineage
+from ..sources.tables import table
 from . import source_fixture as F1
 
 
@@ -178,3 +179,29 @@ def neighbourhood_class(spark: SparkSession, sf: str) -> DataFrame:
     owner = F.when(F.col("name").contains("."), F.concat(
         F.substring_index("id", "::", 1), F.lit("::"), F.substring_index("name", ".", 1)))
     return res.withColumn("owner_class", owner)
+
+
+def neighbourhood_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Each issue's predicates as rows: static functions in one package folder, or one class by its name."""
+    from ..operators.match import EQUALS, WITHIN, filtered_nodes
+    issues = table(spark, sf, "benchmark").select(F.col("item_id").alias("issue_id"))
+    k = F.col("issue_id")
+    row = lambda p, o, v: F.struct(F.lit(p).alias("property"), F.lit(o).alias("operator"), v.alias("value"))
+    folder = F.concat(F.lit("pkg_"), (F.pmod(k, F.lit(50)) + 1).cast("string"))
+    static = F.array(row("label", EQUALS, F.lit("Function")), row("is_static", EQUALS, F.lit("true")), row("file_path", WITHIN, folder))
+    named = F.array(row("label", EQUALS, F.lit("Class")), row("name", EQUALS, F.concat(F.lit("Part"), k.cast("string"))))
+    predicates = issues.select("issue_id", F.inline(F.when(k % 2 == 0, static).otherwise(named)))
+    return filtered_nodes(_nodes(spark, sf), predicates, issue_id="issue_id").select("issue_id", "label", "id")
+
+
+def pattern_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """C15 with findings of both kinds: classes and functions of every tenth part as participants of caller-named patterns."""
+    p = table(spark, sf, "part").where(F.col("p_partkey") % 10 == 0)
+    k, path = F.col("p_partkey").cast("string"), F.concat(F.lit("pkg_"), F.col("p_size").cast("string"), F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".py::"))
+    row = lambda pattern, name, role: F.struct(F.lit(pattern).alias("pattern"), F.concat(path, name).alias("participant"), role.alias("role"))
+    findings = p.select(F.lit(F1.SNAPSHOT).alias("snapshot_id"), F.inline(F.array(
+        row("Composite", F.concat(F.lit("Part"), k), F.lit("Node")),
+        row("Factory", F.concat(F.lit("helper_"), k), F.lit(None).cast("string")),
+        row("Factory", F.concat(F.lit("unknown_"), k), F.lit("Maker")))))
+    e = G.participant_edges(findings, _nodes(spark, sf))
+    return e.select("src_label", "src_id", F.col("dst_id").alias("pattern"), F.col("props")["role"].alias("role"))

@@ -14,6 +14,8 @@ from ..operators.match import neighbourhood as _neighbourhood
 from ..operators.upsert import EDGE_KEY, NODE_KEY, detach_delete as _detach, flatten_props, upsert_edges, upsert_nodes
 from ..sources.tables import table
 
+# Neighbours a page in ``neighbourhood_hub``.
+HUB_PAGE = 256
 # Fixed value: the market segment removed by the detach-delete query.
 DELETED_SEGMENT = "AUTOMOBILE"
 
@@ -119,3 +121,14 @@ def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
            "classes": ("SHIPPED", "in", "Supplier"),
            "called": ("CONTAINS", "out", "Part")}
     return _neighbourhood(issues, seeds, nodes, edges, issue_id="issue_id", label="Order", relations=rel)
+
+
+def neighbourhood_hub(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of hub nodes, flattened: each return flag is a node that about a third of all line items' orders hang on."""
+    from ..operators.match import neighbour_pages
+    li = table(spark, sf, "lineitem")
+    edges = li.select(F.lit("Flag").alias("src_label"), F.col("l_returnflag").alias("src_id"), F.lit("MARKS").alias("rel"),
+                      F.lit("Order").alias("dst_label"), F.col("l_orderkey").cast("string").alias("dst_id"))
+    hubs = edges.select(F.col("src_label").alias("label"), F.col("src_id").alias("pid")).distinct()
+    pages = neighbour_pages(hubs, edges, page=HUB_PAGE)
+    return pages.select("pid", "rel", "page", F.col("n").alias("page_size"), F.posexplode("vals").alias("pos", "neighbour"))

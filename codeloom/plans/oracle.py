@@ -205,6 +205,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY id, prop ORDER BY ts DESC, event
 SELECT 'User' AS label, id, prop, value FROM r WHERE rn = 1 AND value IS NOT NULL
 """
 
+ORACLES["neighbourhood_hub"] = """
+WITH d AS (SELECT DISTINCT l_returnflag AS pid, 'Order:' || CAST(l_orderkey AS VARCHAR) AS neighbour FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY neighbour) - 1 AS i FROM d)
+SELECT pid, 'MARKS' AS rel, CAST(i // 256 AS INTEGER) AS page, count(*) OVER (PARTITION BY pid, i // 256) AS page_size,
+       CAST(i % 256 AS INTEGER) AS pos, neighbour FROM r
+"""
+
 ORACLES["node_upsert_state"] = f"""
 WITH {USER_UPDATES},
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id % 2, id, prop ORDER BY ts DESC, event_id DESC) AS rn FROM u)

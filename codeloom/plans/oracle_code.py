@@ -41,6 +41,21 @@ UNION ALL
 SELECT 'later', path, CAST(n + CASE WHEN k % 10 = {F1.CHANGED} THEN 1 ELSE 0 END AS INTEGER), k % 10 = {F1.CHANGED} FROM nf
 """
 
+O["neighbourhood_filtered"] = f"""
+WITH {BASE}
+SELECT DISTINCT b.item_id AS issue_id, 'Function' AS label, f.path || '::' || f.name AS id
+FROM benchmark b JOIN fn f ON b.item_id % 2 = 0 AND f.is_static AND split_part(f.path, '/', 1) = 'pkg_' || CAST(b.item_id % 50 + 1 AS VARCHAR)
+UNION ALL
+SELECT DISTINCT b.item_id, 'Class', c.path || '::' || c.name FROM benchmark b JOIN cl c ON b.item_id % 2 <> 0 AND c.name = 'Part' || CAST(b.item_id AS VARCHAR)
+"""
+
+O["pattern_findings"] = f"""
+WITH {BASE}
+SELECT DISTINCT 'Class' AS src_label, path || '::' || name AS src_id, 'Composite' AS pattern, 'Node' AS role FROM cl WHERE k % 10 = 0
+UNION ALL
+SELECT DISTINCT 'Function', path || '::' || name, 'Factory', 'Participant' FROM fn WHERE k % 10 = 0 AND name = 'helper_' || CAST(k AS VARCHAR)
+"""
+
 O["code_classes"] = f"""
 WITH {BASE}
 SELECT path, name, lineno, col_offset, end_lineno, end_col_offset, code_snippet, ord AS def_ord FROM cl

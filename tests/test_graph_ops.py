@@ -94,3 +94,42 @@ def test_all_scores_lie_in_unit_interval(spark):
     assert s and all(0.0 <= r[c] <= 1.0 for r in s for c in cols)
     h = E.queries()["hybrid_topk"](spark, SF0001).collect()
     assert h and all(0.0 <= r.score <= 1.0 for r in h)
+
+
+def test_pages_of_a_hub_and_of_small_nodes(spark):
+    from codeloom.operators.match import neighbour_pages
+    edges = [("F", "hub", "CALLS", "F", f"n{i:04d}") for i in range(2_500)] * 2 + [("F", "n0001", "CALLS", "F", "hub"), ("C", "hub", "HAS", "F", "x")]
+    e = spark.createDataFrame(edges, "src_label string, src_id string, rel string, dst_label string, dst_id string").repartition(7)
+    pids = spark.createDataFrame([("F", "hub"), ("F", "n0001"), ("F", "nobody")], "label string, pid string")
+    rows = neighbour_pages(pids, e, page=100).collect()
+    out = sorted((r.page, r.n, r.vals) for r in rows if (r.pid, r.dir) == ("hub", "out"))
+    assert [p for p, _, _ in out] == list(range(25)) and {n for _, n, _ in out} == {100}
+    assert [v for _, _, vals in out for v in vals] == [f"F:n{i:04d}" for i in range(2_500)]
+    assert {(r.pid, r.dir): r.vals for r in rows if r.dir == "in" or r.pid != "hub"} == {
+        ("hub", "in"): ["F:n0001"], ("n0001", "in"): ["F:hub"], ("n0001", "out"): ["F:hub"]}
+
+
+def test_predicate_rows(spark):
+    import pytest
+
+    from codeloom.operators.match import filtered_nodes
+    nodes = spark.createDataFrame([
+        ("Function", "a/b/m.py::f", {"name": "f", "file_path": "a/b/m.py"}), ("Function", "a/bc/m.py::f", {"name": "f", "file_path": "a/bc/m.py"}),
+        ("Function", "a/b/m.py::g", {"name": "g", "file_path": "a/b/m.py"}), ("Class", "a/b/m.py::f2", {"name": "f", "file_path": "a/b/m.py"})],
+        "label string, id string, props map<string,string>")
+    schema = "issue_id long, property string, operator string, value string"
+    p = spark.createDataFrame([(1, "name", "=", "f"), (1, "file_path", "within", "a/b"), (2, "file_path", "within", "a"), (2, "label", "=", "Function"),
+                               (3, "name", "=", "f"), (3, "name", "=", "g"), (4, "file_path", "within", "a/b/m.py"), (4, "name", "=", "g")], schema)
+    got = sorted((r.issue_id, r.id) for r in filtered_nodes(nodes, p, issue_id="issue_id").collect())
+    assert got == [(1, "a/b/m.py::f"), (1, "a/b/m.py::f2"), (2, "a/b/m.py::f"), (2, "a/b/m.py::g"), (2, "a/bc/m.py::f"), (4, "a/b/m.py::g")]
+    with pytest.raises(Exception, match="unknown predicate operator"):
+        filtered_nodes(nodes, spark.createDataFrame([(1, "name", "~", "f")], schema), issue_id="issue_id").collect()
+
+
+def test_participants_of_either_label(spark):
+    from codeloom.operators.codegraph import participant_edges
+    nodes = spark.createDataFrame([("s", "Class", "m::A"), ("s", "Function", "m::A"), ("s", "Function", "m::f"), ("t", "Class", "m::f")], "snapshot_id string, label string, id string")
+    found = spark.createDataFrame([("s", "P", "m::A", "Role"), ("s", "P", "m::f", None), ("s", "P", "gone", "x"), ("s", "P", "m::f", None)],
+                                  "snapshot_id string, pattern string, participant string, role string")
+    got = sorted((r.src_label, r.src_id, r.props["role"]) for r in participant_edges(found, nodes).collect())
+    assert got == [("Class", "m::A", "Role"), ("Function", "m::f", "Participant")]
