@@ -7,10 +7,9 @@ difference into a calibrated score (weighted by the true class sizes).
 
 Both steps take a bounded sample: about SAMPLE_PER_CLASS labelled texts a class, chosen by a
 hash of the id against the class's count in the labels table; half builds the dictionaries, half calibrates.  A
-dictionary holds DICT_BYTES of content and is made from MOST_BYTES of text at most, so no more
-than that (and one PIECE a text) of a class is sent to the driver: the texts' heads, as long as the
-round robin over the pieces reaches, known from their lengths.  Every text is then compressed whole, twice, where
-it lies; nothing is shuffled.
+dictionary holds DICT_BYTES of content and is made from about MOST_BYTES of a class, all of its texts' pieces of PIECE
+bytes or as large a share of them, chosen by a hash of id and place over the whole texts; that and no more
+is sent to the driver.  Every text is then compressed whole, twice, where it lies; nothing is shuffled.
 
 Cases: a null or empty text has difference 0; without both classes among the training rows
 the score is 1.0 if only good ones were seen, else 0.0; null or other labels are not learned
@@ -20,13 +19,15 @@ gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, pick, staged
+from .common import discard, held_out, labelled_sample, pick, staged
 from .toxicity import platt
 
 SAMPLE_PER_CLASS = 2_000
@@ -36,43 +37,37 @@ LEVEL = 3
 MOST_BYTES = 100 * DICT_BYTES    # of a class, for one dictionary
 
 
-def _pieces(texts: list[bytes], most_bytes: int) -> list[bytes]:
-    """Pieces of whole texts, round robin over the texts, so that no long text fills the dictionary."""
-    out, size, at = [], 0, 0
-    while size < most_bytes and any(len(t) > at for t in texts):
-        for t in texts:
-            piece = t[at:at + PIECE]
-            if piece:
-                out.append(piece)
-                size += len(piece)
-        at += PIECE
-    return out
-
-
-def _reach(lengths: np.ndarray, most_bytes: int) -> int:
-    """How many bytes of each text _pieces looks at."""
-    size = at = 0
-    while size < most_bytes and (lengths > at).any():
-        size += int((lengths - at).clip(0, PIECE).sum())
-        at += PIECE
-    return at
-
-
-def _heads(sample: DataFrame, most_bytes: int = MOST_BYTES) -> pa.Table:
-    """label and t, the bytes of every text that a dictionary is made from."""
-    lengths = sample.select("label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).toArrow()
-    label, n = lengths["label"].to_numpy(), lengths["n"].to_numpy().astype(np.int64)
-    good, bad = (F.lit(_reach(n[label == k], most_bytes)) for k in (1, 0))
-    return sample.select("label", F.encode("text", "utf-8").substr(F.lit(1), F.when(F.col("label") == 1, good).otherwise(bad)).alias("t")).toArrow()
-
-
-def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary; raw text where there is too little to train on."""
-    pieces = _pieces(texts, MOST_BYTES)
+def _cut(shares: dict[int, float]):
+    """mapInArrow: (label, piece) of the pieces whose hash of id and place lies within the label's share."""
+    def run(batches):
+        for batch in batches:
+            for doc_id, label, text in zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), batch["text"], strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                limit = shares.get(label, 0.0) * (1 << 32)
+                kept = [raw[at:at + PIECE] for at in range(0, len(raw), PIECE) if zlib.crc32(b"%d:%d" % (doc_id, at)) < limit]
+                if kept:
+                    yield pa.record_batch({"label": pa.array([label] * len(kept), pa.int32()), "piece": pa.array(kept, pa.binary())})
+    return run
+
+
+def pieces(sample: DataFrame, most_bytes: int = MOST_BYTES) -> dict[int, list[bytes]]:
+    """label -> pieces of its texts (doc_id, text, label), about ``most_bytes`` of them, in an order of their own."""
+    sizes = sample.groupBy("label").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()
+    shares = {r["label"]: min(1.0, most_bytes / max(r["n"], 1)) for r in sizes}
+    rows = sample.select("doc_id", "label", "text").mapInArrow(_cut(shares), "label int, piece binary").toArrow()
+    out: dict[int, list[bytes]] = {0: [], 1: []}
+    for label, piece in zip(rows["label"].to_pylist(), rows["piece"].to_pylist(), strict=True):
+        out[label].append(piece)
+    # By a hash: neither the partitioning nor the texts' beginnings decide what the trainer sees first.
+    return {label: sorted(p, key=lambda x: (zlib.crc32(x), x)) for label, p in out.items()}
+
+
+def build_dictionary(of: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A dictionary trained on pieces; the pieces themselves where there is too little to train on."""
     try:
-        return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, of, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[:size]
+        return b"".join(of)[:size]
 
 
 class Sizer:
@@ -98,13 +93,12 @@ def train(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_PER_CLASS) -> tu
     sample, sizes = labelled_sample(docs, marks, most, seed=9)
     if len(sizes) < 2:
         return b"", b"", 0.0, 40.0 if 1 in sizes else -40.0
-    # The driver gets heads of the dictionary half only (about SAMPLE_PER_CLASS of them).
     sample = staged(sample, "sample")
     half = F.pmod(F.xxhash64("doc_id", F.lit(91)), F.lit(2))
-    head = _heads(sample.where(half == 0))
-    rows = sorted((int(a), b) for a, b in zip(head["label"].to_pylist(), head["t"].to_pylist(), strict=True) if b)
-    good, bad = (build_dictionary([t for x, t in rows if x == k]) for k in (1, 0))
+    of = pieces(sample.where(half == 0))
+    good, bad = build_dictionary(of[1]), build_dictionary(of[0])
     if not good or not bad:
+        discard(sample)
         return good, bad, 0.0, 0.0
     cast = docs.sparkSession.sparkContext.broadcast((good, bad))
 
@@ -114,6 +108,7 @@ def train(docs: DataFrame, marks: DataFrame, most: int = SAMPLE_PER_CLASS) -> tu
             yield pa.record_batch({"label": batch["label"], "x": pa.array([sizer(t.as_py()) for t in batch["text"]], pa.float64())})
 
     seen = sample.where(half == 1).select("label", "text").mapInArrow(measure, "label int, x double").toArrow()
+    discard(sample)
     order = np.lexsort((seen["x"].to_numpy(), seen["label"].to_numpy()))
     x, y = seen["x"].to_numpy()[order], seen["label"].to_numpy()[order]
     if len(set(y)) < 2:

@@ -14,7 +14,7 @@ aggregate with partial sums, and the score is one join of the URLs' grams with t
 the gram, where Spark may split a frequent gram.
 
 Cases: a null URL, or one without ``://``, has empty host and path and no rule, and its text
-(null: empty) is scored like any other; an empty text has score 0.0; without accepted or
+(null: empty) is scored like any other, by its end alone; without accepted or
 without rejected URLs every score is 0.0 and the threshold 0.0, so unruled URLs are allowed;
 repeated rows are judged each by itself (they count each time); other columns are ignored;
 an empty table gives no rows.

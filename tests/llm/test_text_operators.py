@@ -388,11 +388,27 @@ def test_sample_has_one_row_an_id_and_bounded_heads(spark):
     got = [sorted((r.doc_id, r.text) for r in s.collect()) for s in samples]
     assert [i for i, _ in got[0]] == list(range(12)) and got[0] == got[1]
     most = 20_000
-    heads = quality_classifier._heads(samples[0], most).to_pylist()
-    for k in (0, 1):
-        whole, cut = sorted(t.encode() for i, t in got[0] if i % 2 == k), sorted(h["t"] for h in heads if h["label"] == k)
-        assert quality_classifier._pieces(whole, most) == quality_classifier._pieces(cut, most)
-        assert sum(map(len, cut)) <= most + quality_classifier.PIECE * len(cut)
+    of = quality_classifier.pieces(samples[0], most)
+    text = {r["label"]: [] for r in samples[0].collect()}
+    for r in samples[0].collect():
+        text[r["label"]].append(r["text"].encode())
+    for label, texts in text.items():
+        every = [t[at:at + quality_classifier.PIECE] for t in texts for at in range(0, len(t), quality_classifier.PIECE)]
+        assert set(of[label]) <= set(every) and sum(map(len, of[label])) < 2 * most
+        if sum(map(len, texts)) <= most:
+            assert sorted(of[label]) == sorted(every)
+
+
+def test_dictionary_pieces_come_from_whole_long_texts(spark):
+    long = [(i, "".join(f"{i:03d}{k:07d}" for k in range(20_000)), i % 2) for i in range(12)]
+    rows = spark.createDataFrame(long, "doc_id long, text string, label int").repartition(3)
+    of = quality_classifier.pieces(rows, 60_000)
+    again = quality_classifier.pieces(rows.repartition(5), 60_000)
+    assert of == again
+    for label in (0, 1):
+        assert 30_000 < sum(map(len, of[label])) < 90_000
+        whole = {t.encode() for k, t, x in long if x == label}
+        assert any(t.find(p) > len(t) * 0.8 for p in of[label] for t in whole)
 
 
 # --- operator 10 ---
