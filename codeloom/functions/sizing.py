@@ -26,6 +26,16 @@ def fits_bytes(df: DataFrame, strings: list[str | Column], row_bytes: int = 48,
     return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= max_bytes
 
 
+def exchanged(df: DataFrame) -> DataFrame:
+    """A join side of any size that is never sent whole, whatever its plan's estimate says.
+
+    The estimate does not count the rows that exploded arrays or Python stages make, and a checkpoint
+    keeps it, so tables made of parsed files look small and would be broadcast through the driver at any size.
+    The merge join splits keys that are a large share of the other side.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-repartition ``df`` on ``keys`` only if it has fewer partitions than the
     cluster can run at once.

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import exchanged
 from . import symbols as X
 from .snippets import singleton_classes
 from .upsert import NODE_KEY
@@ -130,7 +131,7 @@ def contains_edges(parsed: DataFrame) -> DataFrame:
 def _resolve(df: DataFrame, st: DataFrame, name_col: str, out_col: str) -> DataFrame:
     """Inner equi join to the symbol table on (snapshot, name)."""
     t = st.select(SNAP, F.col("name").alias(name_col), F.col("symbol_id").alias(out_col))
-    return df.join(t, [SNAP, name_col])
+    return df.join(exchanged(t), [SNAP, name_col])
 
 
 def _class_first_ord(parsed: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def inherits_overrides(parsed: DataFrame, st: DataFrame, as_coded: bool = False)
     inh = cb
     if as_coded:
         fo = _class_first_ord(parsed).select(SNAP, F.col("cid").alias("base_id"), F.col("first_ord").alias("base_ord"))
-        inh = (inh.join(fo, [SNAP, "base_id"], "left")
+        inh = (inh.join(exchanged(fo), [SNAP, "base_id"], "left")
                .filter((F.substring_index("base_id", "::", 1) < F.col("path"))
                        | ((F.substring_index("base_id", "::", 1) == F.col("path"))
                           & (F.col("base_ord") <= F.col("def_ord")))))
@@ -157,7 +158,7 @@ def inherits_overrides(parsed: DataFrame, st: DataFrame, as_coded: bool = False)
         SNAP, "path", "fname", F.substring_index("fname", ".", 1).alias("name"),
         F.element_at(F.split("fname", "\\."), 2).alias("method"))
     ov = (cb.select(SNAP, "path", "name", "base").distinct()
-          .join(meth, [SNAP, "path", "name"])
+          .join(exchanged(meth), [SNAP, "path", "name"])
           .withColumn("target", F.concat("base", F.lit("."), "method")))
     ov = _resolve(ov, st, "target", "target_id").withColumn("fid", F.concat("path", F.lit("::"), "fname"))
     if as_coded:
@@ -174,15 +175,15 @@ def calls_edges(parsed: DataFrame, st: DataFrame, as_coded: bool = False) -> Dat
     dotted = F.col("callee").contains(".")
     cand = (cl.withColumn("head", F.when(dotted, F.substring_index("callee", ".", 1)))
             .withColumn("rest", F.when(dotted, F.expr("substr(callee, instr(callee, '.') + 1)")))
-            .join(al, [SNAP, "path", "head"], "left")
-            .withColumn("expanded", F.when(dotted, F.concat(F.coalesce("expanded_head", "head"), F.lit("."), "rest"))))
-    # One row per symbol name; Spark broadcasts it by its bytes or splits the callees that are
-    # a large share of all calls.
+            .join(exchanged(al), [SNAP, "path", "head"], "left")
+            # A callee without a dot is looked up by its own name again: nulls would be one task's.
+            .withColumn("expanded", F.when(dotted, F.concat(F.coalesce("expanded_head", "head"), F.lit("."), "rest"))
+                        .otherwise(F.col("callee"))))
     names = st.select(SNAP, "name", "symbol_id")
     direct = names.select(SNAP, F.col("name").alias("callee"), F.col("symbol_id").alias("direct_id"))
     viaalias = names.select(SNAP, F.col("name").alias("expanded"), F.col("symbol_id").alias("alias_id"))
-    res = (cand.join(direct, [SNAP, "callee"], "left")
-           .join(viaalias, [SNAP, "expanded"], "left")
+    res = (cand.join(exchanged(direct), [SNAP, "callee"], "left")
+           .join(exchanged(viaalias), [SNAP, "expanded"], "left")
            .withColumn("callee_id", F.coalesce("direct_id", "alias_id"))
            .filter(F.col("callee_id").isNotNull())
            .withColumn("caller_id", F.concat("path", F.lit("::"), "caller")))
@@ -216,15 +217,15 @@ def participant_edges(findings: DataFrame, node_table: DataFrame) -> DataFrame:
     n = (node_table.where(F.col("label").isin("Class", "Function")).groupBy(SNAP, F.col("id").alias("participant"))
          .agg(F.min("label").alias("src_label")))           # Class sorts before Function
     found = findings.select(SNAP, "pattern", "participant", F.coalesce("role", F.lit(PATTERN_ROLE_DEFAULT)).alias("role"))
-    once = found.groupBy(SNAP, "pattern", "participant").agg(F.max("role").alias("role")).join(n, [SNAP, "participant"])
+    once = found.groupBy(SNAP, "pattern", "participant").agg(F.max("role").alias("role")).join(exchanged(n), [SNAP, "participant"])
     return once.select(SNAP, "src_label", F.col("participant").alias("src_id"), F.lit("PARTICIPATES_IN").alias("rel"),
                        F.lit("DesignPattern").alias("dst_label"), F.col("pattern").alias("dst_id"), _props(("role", F.col("role"))).alias("props"))
 
 
 def check_endpoints(edges: DataFrame, node_table: DataFrame) -> DataFrame:
     """C20 per snapshot: both (label, id) ends must exist."""
-    n = node_table.select(SNAP, *NODE_KEY).distinct()
+    n = node_table.select(SNAP, *NODE_KEY)
     src = n.select(SNAP, F.col("label").alias("src_label"), F.col("id").alias("src_id"))
     dst = n.select(SNAP, F.col("label").alias("dst_label"), F.col("id").alias("dst_id"))
-    return (edges.join(src, [SNAP, "src_label", "src_id"], "left_semi")
-            .join(dst, [SNAP, "dst_label", "dst_id"], "left_semi"))
+    return (edges.join(exchanged(src), [SNAP, "src_label", "src_id"], "left_semi")
+            .join(exchanged(dst), [SNAP, "dst_label", "dst_id"], "left_semi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import spread
+from ..functions.sizing import exchanged, spread
 from ..functions.text import py_strip, splitlines
 
 
@@ -36,8 +36,8 @@ def _usage(funcs: DataFrame, calls: DataFrame) -> DataFrame:
     by_tail = calls.select("snapshot_id", "path", F.col("caller").alias("tail"),
                            F.when(F.size("callees") > 0, F.col("callees")).alias("tail_calls"))
     f = funcs.withColumn("tail", F.element_at(F.split("name", "\\."), -1))
-    u = (f.join(by_name, ["snapshot_id", "path", "name"], "left")
-         .join(by_tail, ["snapshot_id", "path", "tail"], "left")
+    u = (f.join(exchanged(by_name), ["snapshot_id", "path", "name"], "left")
+         .join(exchanged(by_tail), ["snapshot_id", "path", "tail"], "left")
          .withColumn("cl", F.coalesce("own", "tail_calls")))
     return u.filter(F.col("cl").isNotNull()).select(
         "snapshot_id", "path", "name", "sid",
