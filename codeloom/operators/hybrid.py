@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import fits
+from ..functions.sizing import exchanged, fits
 from ..session import cut_lineage
 from .keyword import bm25f
 from .ranking import rounded, top_k
@@ -102,6 +102,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
           .select(F.col(query_id).cast("long").alias("query_id"),
                   F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
     g = [by] if by else []
+    # Collections by snapshot are made of parsed files, whose plans misjudge their size; stored tables' do not.
+    sized = exchanged if by else (lambda d: d)
     if query_vectors is None or (doc_vectors is None and vector_index is None):
         a, dv = 0.0, None
         kstats = cut_lineage(kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max")))
@@ -121,7 +123,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
             vs = vt.groupBy("query_id").agg(F.min("vec_score").alias("vec_min"), F.max("vec_score").alias("vec_max"))
         else:
             dv = (doc_vectors.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vec).alias("dvec"))
-                  .join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *g), "doc_id",
+                  .join(sized(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *g)), "doc_id",
                         "inner" if by else "left_semi"))
             vtop, vs = vector_topk(dv, qv, depth, doc_id="doc_id", doc_vec="dvec", query_id="query_id",
                                    query_vec="qvec", group=by, margin=_tie_margin(a))
@@ -157,7 +159,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
             kwv = survivors.withColumn("vec_score", F.lit(None).cast("double"))
         else:
             # Exact vector score of the survivors: equi joins on doc and query id.
-            joined = survivors.join(dv.select("doc_id", "dvec"), "doc_id", "left")
+            joined = survivors.join(sized(dv.select("doc_id", "dvec")), "doc_id", "left")
             kwv = pair_cosine(joined.join(qv.select("query_id", "qvec"), "query_id", "left"), "dvec", "qvec")
         cand = (kwv.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score")
                 .unionByName(known.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score"))

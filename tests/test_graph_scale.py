@@ -29,3 +29,13 @@ def test_joins_of_parsed_tables_are_not_broadcast(spark):
                G.check_endpoints(G.inherits_overrides(parsed, st), nodes), build_snippets(X.functions(parsed), X.classes(parsed), X.call_lists(parsed))):
         assert "BroadcastExchange" not in plan(df)
     assert {(r.src_id, r.dst_id) for r in calls.collect()} == {("a.py::A.f", "a.py::A.g"), ("a.py::A.g", "b.py::top")}
+
+
+def test_hybrid_by_snapshot_sends_no_vectors(spark):
+    from codeloom.operators.hybrid import hybrid
+    from codeloom.operators.vector import embed
+    docs = embed(spark.createDataFrame([("s", i, f"word{i} common") for i in range(30)], "snapshot_id string, doc_id long, text string"))
+    issues = embed(spark.createDataFrame([("s", 1, "word3 common")], "snapshot_id string, issue_id long, text string"))
+    got = hybrid(docs, issues, query_id="issue_id", doc_vectors=docs.selectExpr("doc_id AS vec_id", "embedding"),
+                 query_vectors=issues.selectExpr("issue_id AS vec_id", "embedding"), by="snapshot_id", depth=10)
+    assert "MERGE" in got._jdf.queryExecution().analyzed().toString().upper() and got.first().doc_id == 3
