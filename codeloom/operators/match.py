@@ -14,9 +14,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import exchanged, fits_bytes
 from ..session import cut_lineage
 from .ranking import top_k
 
+# Ids sent whole to the edges, or range starts to the neighbours, at most.
+FEW_BYTES = 8 << 20
 
 
 def _empty():
@@ -29,7 +32,7 @@ def seed_match(seeds: DataFrame, nodes: DataFrame, label: str, issue_id: str,
     seeds (within the issue's own collection when ``by`` is given)."""
     n = nodes.filter(F.col("label") == label).select(*by, F.col("id").alias("pid"), F.col("name").alias("pname"))
     s = seeds.select(issue_id, *by, F.col("name").alias("pname")).distinct()
-    return s.join(n, [*by, "pname"])
+    return s.join(exchanged(n), [*by, "pname"])
 
 
 def expand(edges: DataFrame, nodes: DataFrame, pids: DataFrame, label: str, rel: str,
@@ -72,56 +75,68 @@ def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges:
     ``relations``: output column -> (rel, "in"|"out", other_label).
     ``by``: collection columns present in seeds, nodes and edges (node ids are unique per collection).
 
-    One pass: every edge touching a primary is seen from the primary's side,
-    semi-joined to the (bounded) primary ids once, joined to its other end's
-    node once, and all lists come out of one aggregation with a conditional
-    distinct collect per relation (G6), so no relation multiplies another and
-    the edge table is read and shuffled once.
+    One pass: every edge touching a primary is seen from the primary's side with the relations it
+    answers as bits, joined to its other end's node once, and brought to its primary once; there
+    edges of other nodes fall out (before both, if the ids are few) and all lists come out of one
+    aggregation with a conditional distinct collect per relation (G6), so no relation multiplies another.
     """
     by = list(by)
     # The matched primaries feed the aggregation and the final rows: materialise once.
     prim = cut_lineage(seed_match(seeds, nodes, label, issue_id, by))
     pids = prim.select(*by, "pid").distinct()
 
+    def bits(direction: str, rel: str, other: str):
+        asked = [F.when((F.col(rel) == r) & (F.col(other) == o), F.lit(1 << i)).otherwise(F.lit(0))
+                 for i, (r, d, o) in enumerate(relations.values()) if d == direction]
+        return sum(asked, F.lit(0)).cast("long")
+
     out_e = edges.filter(F.col("src_label") == label).select(
-        *by, F.col("src_id").alias("pid"), "rel", F.lit("out").alias("dir"),
+        *by, F.col("src_id").alias("pid"), bits("out", "rel", "dst_label").alias("asked"),
         F.col("dst_label").alias("olabel"), F.col("dst_id").alias("oid"))
     in_e = edges.filter(F.col("dst_label") == label).select(
-        *by, F.col("dst_id").alias("pid"), "rel", F.lit("in").alias("dir"),
+        *by, F.col("dst_id").alias("pid"), bits("in", "rel", "src_label").alias("asked"),
         F.col("src_label").alias("olabel"), F.col("src_id").alias("oid"))
-    touch = out_e.unionByName(in_e).join(pids, [*by, "pid"], "left_semi")
-
-    def spec(rel, direction, other):
-        return (F.col("rel") == rel) & (F.col("dir") == direction) & (F.col("olabel") == other)
-
-    wanted = F.lit(False)
-    for r in relations.values():
-        wanted = wanted | spec(*r)
+    touch = out_e.unionByName(in_e)
     if not with_one_hop:
-        touch = touch.filter(wanted)
+        touch = touch.filter(F.col("asked") != 0)
+    few = fits_bytes(pids, [*by, "pid"], max_bytes=FEW_BYTES)
+    if few:
+        touch = touch.join(F.broadcast(pids), [*by, "pid"], "left_semi")
     # Names only for the labels a relation asks for (the filter reaches each label's
     # source); one-hop needs no names.
     labels = sorted({o for _, _, o in relations.values()})
     other = (nodes.filter(F.col("label").isin(labels))
              .select(*by, F.col("label").alias("olabel"), F.col("id").alias("oid"), F.col("name").alias("v")))
-    named = touch.join(other, [*by, "olabel", "oid"], "left")
-
-    aggs = [F.array_sort(F.collect_set(F.when(spec(*r), F.col("v")))).alias(col) for col, r in relations.items()]
+    named = touch.join(exchanged(other), [*by, "olabel", "oid"], "left")
+    # One exchange by primary: the join to the ids, the lists and the final rows all lie by it.
+    kept = [*by, "pid", "asked", "v"]
     if with_one_hop:
         # Every immediate neighbour in either direction as 'Label:id'
-        aggs.append(F.array_sort(F.collect_set(F.concat_ws(":", "olabel", "oid"))).alias("neighbours"))
+        named, kept = named.withColumn("nb", F.concat_ws(":", "olabel", "oid")), [*kept, "nb"]
+    named = named.select(*kept)
+    if not few:
+        # (a semi join would be moved below the names, which is an exchange more)
+        named = named.join(exchanged(pids), [*by, "pid"])
+
+    aggs = [F.array_sort(F.collect_set(F.when(F.col("asked").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.col("v")))).alias(col)
+            for i, col in enumerate(relations)]
+    if with_one_hop:
+        aggs.append(F.array_sort(F.collect_set("nb")).alias("neighbours"))
     cols = list(relations) + (["neighbours"] if with_one_hop else [])
-    out = prim
-    if aggs:
-        out = prim.join(named.groupBy(*by, "pid").agg(*aggs), [*by, "pid"], "left")
-    out = out.select(issue_id, F.col("pid").alias("id"), F.col("pname").alias("name"),
-                     *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
+    # G9 and G11 are settled on narrow rows, so the lists are not exchanged again.
+    asking = issues.select(issue_id).distinct()
+    rows = prim.select(issue_id, *by, "pid", "pname").join(exchanged(asking), issue_id, "left_semi")
     if limit is not None:
         # The query's limit parameter, as a rank per issue (primary id order).
-        out = top_k(out.withColumn("_neg", F.lit(0)), [issue_id], "_neg", ["id"], limit, "_r").drop("_neg", "_r")
+        rows = top_k(rows.withColumn("_neg", F.lit(0)), [issue_id], "_neg", ["pid"], limit, "_r").drop("_neg", "_r")
+    out = rows
+    if aggs:
+        out = rows.join(exchanged(named.groupBy(*by, "pid").agg(*aggs)), [*by, "pid"], "left")
+    out = out.select(issue_id, F.col("pid").alias("id"), F.col("pname").alias("name"), *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
     # Every issue appears, with empty lists when nothing matched.
-    res = issues.select(issue_id).distinct().join(out, issue_id, "left")
-    return res.select(issue_id, "id", "name", *[F.coalesce(F.col(c), _empty()).alias(c) for c in cols])
+    null = F.lit(None).cast("string")
+    alone = asking.join(exchanged(prim.select(issue_id)), issue_id, "left_anti")
+    return out.unionByName(alone.select(issue_id, null.alias("id"), null.alias("name"), *[_empty().alias(c) for c in cols]))
 
 
 # Neighbours a page of ``neighbour_pages``.

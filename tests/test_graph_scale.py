@@ -39,3 +39,23 @@ def test_hybrid_by_snapshot_sends_no_vectors(spark):
     got = hybrid(docs, issues, query_id="issue_id", doc_vectors=docs.selectExpr("doc_id AS vec_id", "embedding"),
                  query_vectors=issues.selectExpr("issue_id AS vec_id", "embedding"), by="snapshot_id", depth=10)
     assert "MERGE" in got._jdf.queryExecution().analyzed().toString().upper() and got.first().doc_id == 3
+
+
+def test_neighbourhood_is_the_same_with_many_ids(spark, monkeypatch):
+    nodes = spark.createDataFrame([("F", "1", "f"), ("F", "2", "g"), ("F", "2", "g"), ("D", "x", "dx"), ("D", "y", None)], "label string, id string, name string")
+    edges = spark.createDataFrame([("D", "x", "HAS", "F", "1"), ("D", "y", "HAS", "F", "1"), ("F", "1", "CALLS", "F", "2"), ("F", "9", "CALLS", "F", "1")],
+                                  "src_label string, src_id string, rel string, dst_label string, dst_id string")
+    issues = spark.createDataFrame([(1,), (2,), (3,), (None,)], "issue_id long")
+    seeds = spark.createDataFrame([(1, "f"), (2, "f"), (2, "g"), (4, "f"), (3, "none")], "issue_id long, name string")
+    rel = {"dirs": ("HAS", "in", "D"), "calls": ("CALLS", "out", "F")}
+
+    def rows():
+        out = M.neighbourhood(issues, seeds, nodes, edges, issue_id="issue_id", label="F", relations=rel)
+        return sorted(map(str, out.collect()))
+    few = rows()
+    monkeypatch.setattr(M, "FEW_BYTES", 0)
+    assert rows() == few
+    f = "id='1', name='f', dirs=['dx'], calls=['g'], neighbours=['D:x', 'D:y', 'F:2', 'F:9'])"
+    g = "id='2', name='g', dirs=[], calls=[], neighbours=['F:1'])"
+    none = "id=None, name=None, dirs=[], calls=[], neighbours=[])"
+    assert few == sorted([f"Row(issue_id=1, {f}", f"Row(issue_id=2, {f}", f"Row(issue_id=2, {g}", f"Row(issue_id=2, {g}", f"Row(issue_id=3, {none}", f"Row(issue_id=None, {none}"])
