@@ -141,14 +141,17 @@ def neighbourhood(issues: DataFrame, seeds: DataFrame, nodes: DataFrame, edges:
 
 # Neighbours a page of ``neighbour_pages``.
 PAGE = 1_000
+# Edges a range of ``neighbour_pages``: what one task sorts, whatever the table's size.
+RANGE_EDGES = 250_000
 
 
 def neighbour_pages(pids: DataFrame, edges: DataFrame, *, page: int = PAGE, by: Sequence[str] = ()) -> DataFrame:
     """G2 + G6 + G10 for nodes of any degree: (by..., label, pid, rel, dir, page, n, vals), pages of sorted distinct neighbours.
 
-    ``pids``: (by..., label, pid).  Every page but a list's last holds ``page`` values 'Label:id'.  Distinct neighbours
-    are found under the whole (primary, relation, neighbour) key and sorted by ranges of it, so a hub's list is spread over
-    tasks; its places follow from the ranges' counts, and no task or row holds the list.
+    ``pids``: (by..., label, pid).  Every page but a list's last holds ``page`` values 'Label:id'.  Edges are sorted by
+    ranges of the whole (primary, relation, neighbour) key, as many as the edges need, so a hub's list is spread over
+    tasks; equal ones meet in one range and are dropped there.  Places follow from a row's place in its range and the
+    ranges' counts, so no task or row holds a list.
     """
     by = list(by)
     key = [*by, "label", "pid", "rel", "dir"]
@@ -156,17 +159,23 @@ def neighbour_pages(pids: DataFrame, edges: DataFrame, *, page: int = PAGE, by:
                          F.concat_ws(":", "dst_label", "dst_id").alias("v"))
     in_e = edges.select(*by, F.col("dst_label").alias("label"), F.col("dst_id").alias("pid"), "rel", F.lit("in").alias("dir"),
                         F.concat_ws(":", "src_label", "src_id").alias("v"))
-    touch = out_e.unionByName(in_e).join(pids.select(*by, "label", "pid").distinct(), [*by, "label", "pid"], "left_semi").distinct()
+    wanted = pids.select(*by, "label", "pid").distinct()
+    few = fits_bytes(wanted, [*by, "label", "pid"], max_bytes=FEW_BYTES)
+    touch = out_e.unionByName(in_e).join(F.broadcast(wanted) if few else exchanged(wanted), [*by, "label", "pid"], "left_semi")
     order = [*key, "v"]
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Checkpointed, so a value's range is the same in the count and in the places.
-    ranged = cut_lineage(touch.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
-    ranges = ranged.groupBy(*key, "range").agg(F.count("*").alias("held"))
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-touch.count() // RANGE_EDGES))
+    # Checkpointed, so a value's range and place are the same in the count and in the pages.
+    ranged = cut_lineage(touch.repartitionByRange(n, *order).distinct().sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id())
+                         .select(*order, F.shiftright("_at", 33).cast("int").alias("range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
+    ranges = ranged.groupBy(*key, "range").agg(F.count("*").alias("held"), F.min("i").alias("start"))
     upto = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)     # at most a row a range
-    first = ranges.select(*key, "range", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy(*key, "range").orderBy("v"))
-    placed = ranged.withColumn("i", place).join(first, [*key, "range"]).withColumn("at", F.col("first") + F.col("i") - 1)
-    return (placed.groupBy(*key, F.floor(F.col("at") / page).cast("int").alias("page"))
+    first = cut_lineage(ranges.select(*key, "range", (F.coalesce(F.sum("held").over(upto), F.lit(0)) - F.col("start")).alias("first")))
+    sent = F.broadcast(first) if fits_bytes(first, key, max_bytes=FEW_BYTES) else exchanged(first)
+    placed = ranged.join(sent, [*key, "range"]).withColumn("at", F.col("first") + F.col("i"))
+    # Dealt to as many tasks as there are ranges: a task holds a few hundred pages.
+    dealt = placed.withColumn("page", F.floor(F.col("at") / page).cast("int")).repartition(n, *key, "page")
+    return (dealt.groupBy(*key, "page")
             .agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vals")))
 
 

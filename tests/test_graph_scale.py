@@ -59,3 +59,20 @@ def test_neighbourhood_is_the_same_with_many_ids(spark, monkeypatch):
     g = "id='2', name='g', dirs=[], calls=[], neighbours=['F:1'])"
     none = "id=None, name=None, dirs=[], calls=[], neighbours=[])"
     assert few == sorted([f"Row(issue_id=1, {f}", f"Row(issue_id=2, {f}", f"Row(issue_id=2, {g}", f"Row(issue_id=2, {g}", f"Row(issue_id=3, {none}", f"Row(issue_id=None, {none}"])
+
+
+def test_pages_over_many_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    held = {p: sorted({f"N:{rng.randrange(400):03d}" for _ in range(k)}) for p, k in (("hub", 900), ("mid", 30), ("one", 1))}
+    edges = spark.createDataFrame([("H", p, "R", "N", v[2:]) for p, vs in held.items() for v in vs * 3], "src_label string, src_id string, rel string, dst_label string, dst_id string")
+    pids = spark.createDataFrame([("H", p) for p in held], "label string, pid string")
+    monkeypatch.setattr(M, "RANGE_EDGES", 40)
+    for few in (M.FEW_BYTES, 0):
+        monkeypatch.setattr(M, "FEW_BYTES", few)
+        pages = M.neighbour_pages(pids, edges, page=16)
+        assert pages.rdd.getNumPartitions() > 8         # more than spark.sql.shuffle.partitions
+        got = {}
+        for r in sorted(pages.collect(), key=lambda r: (r.pid, r.page)):
+            assert r.n == len(r.vals) and len(r.vals) <= 16
+            got.setdefault(r.pid, []).extend(r.vals)
+        assert got == held
