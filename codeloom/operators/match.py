@@ -187,24 +187,54 @@ def filtered_nodes(nodes: DataFrame, predicates: DataFrame, *, issue_id: str, by
     """(issue_id, by..., label, id) of the nodes that meet all of an issue's predicates.
 
     ``nodes``: (by..., label, id, props map<string,string>); ``predicates``: (issue_id, by..., property, operator, value).
-    Predicates are rows, so any number of issues is one pair of equi joins: equality on (property, value), ``within``
-    on a property's ancestor folders.  ``label`` and ``id`` are properties too.  An issue without predicates matches nothing;
-    a predicate of another operator raises ValueError where it is a literal of the plan's rows, i.e. fails the job.
+    ``label`` and ``id`` are properties too; a repeated node has the properties of all its rows.  An issue without predicates
+    matches nothing; a predicate of another operator raises ValueError where it is a literal of the plan's rows, i.e. fails the job.
+
+    Predicates are rows, so any number of issues is one equi join: an issue is joined to the nodes that meet the one of its
+    predicates that the fewest node rows meet (equality on (property, value), ``within`` on a property's ancestor folders),
+    and the others are judged on the joined row.  So predicates that most nodes meet make no rows.
     """
     by = list(by)
     p = predicates.select(issue_id, *by, "property", "operator", "value").distinct()
     known = F.col("operator").isin(EQUALS, WITHIN)
     p = p.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown predicate operator: "), F.col("operator"))).cast("boolean")))
-    wanted = p.groupBy(issue_id, *by).agg(F.count("*").alias("all"))
+    p = cut_lineage(p)
+    small = fits_bytes(p, [*by, "property", "value"], max_bytes=FEW_BYTES)
+
+    def sent(d: DataFrame) -> DataFrame:
+        return F.broadcast(d) if small else exchanged(d)
+
+    # Only properties that a predicate names leave a node: their names are a few of the schema's.
+    names = p.agg(F.collect_set("property").alias("names"), F.collect_set(F.when(F.col("operator") == WITHIN, F.col("property"))).alias("paths"))
     own = F.map_concat(F.map_filter("props", lambda k, v: ~k.isin("label", "id")), F.create_map(F.lit("label"), F.col("label"), F.lit("id"), F.col("id")))
-    values = nodes.select(*by, "label", "id", F.explode(own).alias("property", "value"))
-    used = values.join(p.select("property").distinct(), "property", "left_semi")
-    equal = used.join(p.where(F.col("operator") == EQUALS).drop("operator"), [*by, "property", "value"]).withColumn("operator", F.lit(EQUALS))
-    parts = F.split("value", "/")
-    above = used.select(*by, "label", "id", "property", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("value"))
-    within = above.join(p.where(F.col("operator") == WITHIN).drop("operator"), [*by, "property", "value"]).withColumn("operator", F.lit(WITHIN))
-    met = (equal.unionByName(within).distinct().groupBy(issue_id, *by, "label", "id").agg(F.count("*").alias("met")))
-    return met.join(wanted, [issue_id, *by]).where(F.col("met") == F.col("all")).select(issue_id, *by, "label", "id")
+    held = F.filter(F.map_entries(own), lambda e: F.array_contains("names", e["key"]) & e["value"].isNotNull())
+    named = nodes.withColumns({"names": names.select("names").scalar(), "paths": names.select("paths").scalar()})
+    narrow = named.select(*by, "label", "id", "paths", held.alias("held"))
+
+    def met(d: DataFrame) -> DataFrame:
+        """``d`` with what its rows meet: (property, operator, value) for every property, and for every folder above a path."""
+        exact = F.transform("held", lambda e: F.struct(e["key"].alias("property"), F.lit(EQUALS).alias("operator"), e["value"].alias("value")))
+        folders = lambda v: F.transform(F.sequence(F.lit(1), F.size(F.split(v, "/"))), lambda k: F.array_join(F.slice(F.split(v, "/"), 1, k), "/"))
+        above = F.flatten(F.transform(F.filter("held", lambda e: F.array_contains("paths", e["key"])), lambda e: F.transform(
+            folders(e["value"]), lambda v: F.struct(e["key"].alias("property"), F.lit(WITHIN).alias("operator"), v.alias("value")))))
+        return d.select(*[c for c in d.columns if c != "paths"], F.inline(F.array_distinct(F.concat(exact, above))))
+
+    rule = [*by, "property", "operator", "value"]
+    rules = p.select(*rule).distinct()
+    counts = met(narrow).join(sent(rules), rule).groupBy(*rule).agg(F.count("*").alias("n"))
+    # A rule that no node meets counts 0 and is then its issue's rarest, which gives no rows.
+    rarest = F.min_by(F.struct("property", "operator", "value"), F.struct(F.coalesce("n", F.lit(0)), "property", "operator", "value"))
+    asked = (p.join(exchanged(counts), rule, "left").groupBy(issue_id, *by)
+             .agg(F.collect_list(F.struct("property", "operator", "value")).alias("all"), rarest.alias("r"))
+             .select(issue_id, *by, "r.property", "r.operator", "r.value", "all").where(F.col(issue_id).isNotNull()))
+    # Rows of one node are one: its properties' distinct values.
+    once = narrow.groupBy(*by, "label", "id").agg(F.first("paths").alias("paths"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+    found = met(once).join(sent(cut_lineage(asked)), rule)
+
+    def holds(x):
+        return F.exists("held", lambda e: (e["key"] == x["property"]) & F.when(x["operator"] == EQUALS, e["value"] == x["value"])
+                        .otherwise((e["value"] == x["value"]) | F.startswith(e["value"], F.concat(x["value"], F.lit("/")))))
+    return found.where(F.forall("all", lambda x: F.coalesce(holds(x), F.lit(False)))).select(issue_id, *by, "label", "id")
 
 
 def results_per_issue(rows: DataFrame, issue_id: str, fields: list[str]) -> DataFrame:

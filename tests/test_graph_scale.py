@@ -76,3 +76,15 @@ def test_pages_over_many_ranges(spark, monkeypatch):
             assert r.n == len(r.vals) and len(r.vals) <= 16
             got.setdefault(r.pid, []).extend(r.vals)
         assert got == held
+
+
+def test_common_predicates_make_no_rows(spark):
+    nodes = spark.createDataFrame([("F", f"f{i}", {"name": f"n{i}", "path": f"d{i % 3}/x/f{i}.py", "static": "true"}) for i in range(30)]
+                                  + [("F", "two", {"path": "d9/a"}), ("F", "two", {"name": "later"}), ("C", "c", {"name": "n1"})],
+                                  "label string, id string, props map<string,string>")
+    p = [(k, *x) for k in range(5) for x in (("label", "=", "F"), ("static", "=", "true"), ("path", "within", "d1/x"), ("name", "=", f"n{k}"))]
+    p += [(7, "path", "within", "d9"), (7, "name", "=", "later"), (8, "label", "=", None), (8, "label", "=", "F"), (9, "name", "=", "absent"), (9, "label", "=", "F")]
+    found = M.filtered_nodes(nodes, spark.createDataFrame(p, "issue_id long, property string, operator string, value string"), issue_id="issue_id")
+    assert sorted(map(tuple, found.collect())) == [(1, "F", "f1"), (4, "F", "f4"), (7, "F", "two")]
+    # issues are not counted against the nodes that meet any one of their predicates
+    assert not re.search(r"hashpartitioning\(issue_id#\d+L?, label", plan(found))
