@@ -222,21 +222,23 @@ def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): the pairs of different labels that share a bucket and may reach the threshold; staged.
 
     ``members`` has key, doc_id, n_shingles and label.  The most frequent label of a bucket is only compared with the bucket's other members,
-    never with itself.  Sizes within the threshold's ratio lie in the same or a neighbouring power of that ratio,
-    which is part of the join key.  These documents get a longer signature, and the posterior given it
+    never with itself.  Size classes are powers of the squared ratio of the threshold, so the sizes within the ratio of one
+    lie in at most two, and the class is part of the join key.  These documents get a longer signature, and the posterior given it
     is part of the join's condition, so pairs that cannot reach the threshold never become rows; a pair
     becomes a row in the first of its shared buckets only.
     """
     step = math.log(THRESHOLD[1] / THRESHOLD[0])
     signed_ = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_fine, "doc_id long, signs array<long>")
     shared = members.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))      # BANDS keys at most
-    m = members.join(signed_, "doc_id").join(shared, "doc_id").withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / step))
     largest = (members.groupBy("key", "label").count().groupBy("key")
                .agg(F.max_by("label", F.struct("count", "label")).alias("largest")))
-    m = staged(m.join(largest, "key"), "classes")
+    # Signatures come last, so only these rows and what they join to are exchanged with them.
+    m = staged(members.join(largest, "key").join(shared, "doc_id").join(signed_, "doc_id"), "classes")
+    power = F.log(F.col("n_shingles").cast("double")) / step
+    lo, hi = (F.floor((power + reach) / 2) for reach in (-1 - 1e-9, 1 + 1e-9))      # rounding of the logarithm included
     left = m.where(F.col("label") != F.col("largest")).select(
-        "key", "c", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("signs").alias("qa"), F.col("keys").alias("ka"))
-    right = m.select(F.col("key").alias("key_b"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("cb"), "largest",
+        "key", F.floor(power / 2).alias("c"), F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("signs").alias("qa"), F.col("keys").alias("ka"))
+    right = m.select(F.col("key").alias("key_b"), F.explode(F.sequence(lo, hi)).alias("cb"), "largest",
                      F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("signs").alias("qb"), F.col("keys").alias("kb"))
     near = THRESHOLD[1] * F.least("na", "nb") >= THRESHOLD[0] * F.greatest("na", "nb")
     once = (F.col("lb") == F.col("largest")) | (F.col("a") < F.col("b"))
