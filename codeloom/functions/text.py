@@ -43,5 +43,10 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(_col(c)), TOKEN_SPLIT_RE, -1), lambda t: t != "")
 
 
+def token_line(c: Column | str) -> Column:
+    """``tokens`` as one string, a blank between two (and perhaps one at either end); null for null."""
+    return F.regexp_replace(F.lower(_col(c)), TOKEN_SPLIT_RE, " ")
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

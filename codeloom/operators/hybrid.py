@@ -68,11 +68,13 @@ def _leg_ranks(hits: DataFrame, kw: DataFrame, k: int) -> DataFrame:
     """
     marks = (hits.where(F.col("kw_score").isNotNull()).groupBy("query_id")
              .agg(F.collect_list(F.struct("kw_score", "doc_id")).alias("marks")))
-    sent = F.broadcast(marks) if fits(marks, MARKED_QUERIES) else marks
-    one = lambda i: F.get("marks", F.lit(i))
-    before = [F.count_if((F.col("kw_score") > one(i)["kw_score"]) | ((F.col("kw_score") == one(i)["kw_score"]) & (F.col("doc_id") < one(i)["doc_id"])))
+    # Only plain numbers go to the pairs, so the counts are one hash aggregation.
+    ends = marks.select("query_id", *[F.get("marks", F.lit(i))[c].alias(f"{c}_{i}") for i in range(k) for c in ("kw_score", "doc_id")])
+    sent = F.broadcast(ends) if fits(marks, MARKED_QUERIES) else ends
+    before = [F.count_if((F.col("kw_score") > F.col(f"kw_score_{i}")) | ((F.col("kw_score") == F.col(f"kw_score_{i}")) & (F.col("doc_id") < F.col(f"doc_id_{i}"))))
               for i in range(k)]
-    counts = kw.join(sent, "query_id").groupBy("query_id").agg(F.first("marks").alias("marks"), F.array(*before).alias("n"))
+    counted = kw.join(sent, "query_id").groupBy("query_id").agg(*[n.alias(f"n_{i}") for i, n in enumerate(before)])
+    counts = marks.join(counted, "query_id").select("query_id", "marks", F.array(*[f"n_{i}" for i in range(k)]).alias("n"))
     each = counts.select("query_id", F.explode(F.arrays_zip("marks", F.slice("n", 1, F.size("marks")))).alias("e"))
     return each.select("query_id", F.col("e.marks.doc_id").alias("doc_id"), (F.col("e.1") + 1).alias("kw_rank"))
 
@@ -95,7 +97,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     With ``vector_index`` (and ``query_vectors``) the vector leg is what the index returns, the ``depth`` best,
     scaled among themselves; other documents have no vector leg.  ``ranks`` adds each hit's place in either leg.
     """
-    # The keyword pairs are summed from the checkpointed postings wherever they are needed, inside document
+    # The keyword pairs are summed from the checkpointed document rows wherever they are needed, inside document
     # partitions; neighbours are brought to the documents, so no exchange is made on (query, document).
     kw = (bm25f(docs, queries, fields or {doc_text: 1.0}, doc_id=doc_id, query_id=query_id,
                 query_text=query_text, by=[by] if by else ())
@@ -107,7 +109,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     if query_vectors is None or (doc_vectors is None and vector_index is None):
         a, dv = 0.0, None
         kstats = cut_lineage(kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max")))
-        cand = (kw.join(kstats, "query_id").withColumn("vec_score", F.lit(None).cast("double"))
+        sent = F.broadcast(kstats) if fits(kstats, MARKED_QUERIES) else kstats
+        cand = (kw.join(sent, "query_id").withColumn("vec_score", F.lit(None).cast("double"))
                 .withColumn("vec_min", F.lit(None).cast("double"))
                 .withColumn("vec_max", F.lit(None).cast("double")))
     else:
@@ -175,10 +178,10 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     hits = top_k(fused, ["query_id"], "score", ["doc_id"], k).select(*columns)
     if not ranks:
         return hits
-    hits = cut_lineage(hits)
-    hits = hits.join(_leg_ranks(hits, kw, k), ["query_id", "doc_id"], "left")
+    found = cut_lineage(hits)
+    hits = found.join(_leg_ranks(found, kw, k), ["query_id", "doc_id"], "left")
     if a and dv is not None:
-        places = vector_ranks(dv, qv, hits.where(F.col("vec_score").isNotNull()), doc_id="doc_id", doc_vec="dvec", query_id="query_id", query_vec="qvec", group=by)
+        places = vector_ranks(dv, qv, found.where(F.col("vec_score").isNotNull()), doc_id="doc_id", doc_vec="dvec", query_id="query_id", query_vec="qvec", group=by)
         hits = hits.join(places, ["query_id", "doc_id"], "left")
     elif a:
         hits = hits.join(vt.select("query_id", "doc_id", F.col("vec_rank").cast("long").alias("vec_rank")), ["query_id", "doc_id"], "left")

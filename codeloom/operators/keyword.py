@@ -9,26 +9,35 @@ boost * tf / (1 - b + b * dl / avgdl), each field with its own lengths, *before*
 n(t) counts the documents that hold t in any field.
 
 Only documents that contain a query term are scored; there is never a query x document
-product.  All fields are tokenized in one scan; a posting is one row with a frequency a field.  Postings are
-partitioned by document, so the sums per (query, document) are made where a document's
-postings lie: pairs are not shuffled, a top-k above them sends only its per-task winners.
+product.  All fields are tokenized in one scan.  A document is one row with the codes and frequencies of its query
+terms, counted per Arrow batch; rows, not postings, are brought together by document id, and the sums per
+(query, document) are made in the task that holds the row: pairs are not shuffled, a top-k above them sends only its
+per-task winners.  The terms go to the tasks in chunks of queries of bounded bytes.
 Statistics (N, avgdl, n(t)) are per collection, where a collection is the value of the ``by``
 columns (e.g. snapshot_id).
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.sizing import fits_bytes, spread
-from ..functions.text import tokens
+from ..functions.sizing import MAX_BROADCAST_BYTES, spread
+from ..functions.text import token_line, tokens
 from ..session import cut_lineage
 
 K1 = 1.2
 B = 0.75
+QUERY_BYTES = MAX_BROADCAST_BYTES   # of query terms sent to the tasks at once
+_ROWS = 1024                        # documents whose words are counted at once in a task
+_CELLS = 1 << 20                    # (document, query) sums, and four times as many addends, held at once in a task
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str,
@@ -72,43 +81,212 @@ def idf(n_docs: Column, n: Column) -> Column:
     return F.log(1 + (n_docs - n + 0.5) / (n + 0.5))
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive ``sizes`` of the values as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _flat(c: pa.Array, width: int | None = None) -> np.ndarray:
+    v = c.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return v if width is None else v.reshape(-1, width)
+
+
+def _count_fn(sent, keep: Sequence[str], nf: int):
+    """Rows (keep..., _c, _t0...) -> (keep..., _c, dl, codes, tf): a document's words that queries of its collection ask for."""
+    def run(batches):
+        terms, asked = sent.value           # distinct terms; sorted collection * len(terms) + term, a code's place in it
+        k = max(1, len(terms))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
+                n = b.num_rows
+                group = b.column("_c").to_numpy(zero_copy_only=False).astype(np.int64)
+                dl, found = np.zeros((n, nf), dtype=np.int64), []
+                for i in range(nf):
+                    words = pc.split_pattern(b.column(f"_t{i}"), " ")
+                    row, flat = pc.list_parent_indices(words).to_numpy(zero_copy_only=False), words.flatten()
+                    dl[:, i] = np.bincount(row[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=n)
+                    at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False)
+                    row, at = row[at >= 0].astype(np.int64), at[at >= 0]
+                    key = group[row] * k + at
+                    code = np.searchsorted(asked, key)
+                    ok = asked[np.minimum(code, len(asked) - 1)] == key if len(asked) else np.zeros(len(key), dtype=bool)
+                    found.append(row[ok] * max(1, len(asked)) + code[ok])
+                posting, inverse = np.unique(np.concatenate(found), return_inverse=True)
+                tf, upto = np.zeros((len(posting), nf), dtype=np.int64), 0
+                for i, f in enumerate(found):
+                    tf[:, i], upto = np.bincount(inverse[upto:upto + len(f)], minlength=len(posting)), upto + len(f)
+                row, code = np.divmod(posting, max(1, len(asked)))
+                held = np.bincount(row, minlength=n)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_c"), _lists(dl.ravel(), np.full(n, nf)), _lists(code, held), _lists(tf.ravel(), held * nf)],
+                                                 names=[*keep, "_c", "dl", "codes", "tf"])
+    return run
+
+
+def _merge_fn(keep: Sequence[str], nf: int):
+    """(keep..., _c, v) -> (keep..., _c, dl, held, codes, tf): the rows ``v`` of one id, those of like lengths added up.
+
+    ``dl`` has ``nf`` lengths a row that is left, ``held`` its number of codes; codes and tf follow row by row.
+    """
+    def run(batches):
+        for b in batches:
+            n, rows = b.num_rows, b.column("v").flatten()
+            doc = pc.list_parent_indices(b.column("v")).to_numpy(zero_copy_only=False)
+            dl, code, tf = _flat(rows.field("dl"), nf), _flat(rows.field("codes")), _flat(rows.field("tf"), nf)
+            of = np.repeat(np.arange(len(doc)), pc.list_value_length(rows.field("codes")).to_numpy(zero_copy_only=False))
+            if len(doc) > n:
+                one, place = np.unique(np.column_stack([doc, dl]), axis=0, return_inverse=True)
+                doc, dl, of = one[:, 0], one[:, 1:], place.reshape(-1)[of]
+                both, place = np.unique(np.column_stack([of, code]), axis=0, return_inverse=True)
+                of, code = both[:, 0], both[:, 1]
+                tf = np.column_stack([np.bincount(place.reshape(-1), weights=tf[:, i], minlength=len(both)).astype(np.int64) for i in range(nf)])
+            held, rows_of = np.bincount(of, minlength=len(doc)), np.bincount(doc, minlength=n)
+            codes_of = np.bincount(doc[of], minlength=n)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_c"), _lists(dl.ravel(), rows_of * nf), _lists(held, rows_of),
+                                              _lists(code, codes_of), _lists(tf.ravel(), codes_of * nf)], names=[*keep, "_c", "dl", "held", "codes", "tf"])
+    return run
+
+
+def _stats_fn(nf: int, collections: int, codes: int):
+    """A task's (code, n, holds) of every code, and (-1 - collection, rows, sums of lengths)."""
+    def run(batches):
+        n, holds = np.zeros(codes, dtype=np.int64), np.zeros((codes, nf), dtype=np.int64)
+        rows, sums = np.zeros(collections, dtype=np.int64), np.zeros((collections, nf), dtype=np.int64)
+        for b in batches:
+            code, tf, dl = _flat(b.column("codes")), _flat(b.column("tf"), nf), _flat(b.column("dl"), nf)
+            group = b.column("_c").to_numpy(zero_copy_only=False).astype(np.int64)[pc.list_parent_indices(b.column("held")).to_numpy(zero_copy_only=False)]
+            n += np.bincount(code, minlength=codes)
+            np.add.at(rows, group, 1)
+            for i in range(nf):
+                holds[:, i] += np.bincount(code[tf[:, i] > 0], minlength=codes)
+                np.add.at(sums[:, i], group, dl[:, i])
+        some, seen = np.flatnonzero(n), np.flatnonzero(rows)
+        yield pa.record_batch({"code": pa.array(np.concatenate([some, -1 - seen]), pa.int64()), "n": pa.array(np.concatenate([n[some], rows[seen]]), pa.int64()),
+                               **{f"n{i}": pa.array(np.concatenate([holds[some, i], sums[seen, i]]), pa.int64()) for i in range(nf)}})
+    return run
+
+
+def _score_fn(sent, by: Sequence[str], doc_id: str, names: Sequence[str], nf: int, per_term):
+    """(by..., query_id, doc_id, kw_score) of each document row, over the query terms sent."""
+    def run(batches):
+        start, place, qtf, ids, first, width, n_docs, avgdl, n, holds = sent.value
+        many = np.diff(start)
+        for b in batches:
+            code, tf = _flat(b.column("codes")), _flat(b.column("tf"), nf)
+            dl = np.repeat(_flat(b.column("dl"), nf), _flat(b.column("held")), axis=0)
+            row = pc.list_parent_indices(b.column("codes")).to_numpy(zero_copy_only=False)
+            group = b.column("_c").to_numpy(zero_copy_only=False).astype(np.int64)
+            of = group[row]
+            worth = per_term(tf, dl, avgdl[of], n_docs[of], n[code], holds[code])
+            times = many[code]
+            cost = np.bincount(row, weights=times, minlength=b.num_rows)
+            lo, ends = 0, np.searchsorted(row, np.arange(b.num_rows + 1))
+            upto = np.concatenate([[0], np.cumsum(cost)])
+            while lo < b.num_rows:
+                # Documents whose sums and addends fit, one at least.
+                hi = max(lo + 1, min(lo + max(1, _CELLS // width), int(np.searchsorted(upto, upto[lo] + 4 * _CELLS, side="right")) - 1))
+                p = slice(ends[lo], ends[hi])
+                t = times[p]
+                total = int(t.sum())
+                if total:
+                    at = np.repeat(start[code[p]] - np.concatenate([[0], np.cumsum(t)[:-1]]), t) + np.arange(total)
+                    cell = np.repeat((row[p] - lo) * width, t) + place[at]
+                    score = np.bincount(cell, weights=np.repeat(worth[p], t) * qtf[at], minlength=(hi - lo) * width)
+                    met = np.zeros(len(score), dtype=bool)
+                    met[cell] = True
+                    r, q = np.divmod(np.flatnonzero(met), width)
+                    docs = pa.array(r + lo)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(docs) for c in by], ids.take(pa.array(first[group[r + lo]] + q)), b.column(doc_id).take(docs),
+                                                      pa.array(score[met], pa.float64())], names=list(names))
+                lo = hi
+    return run
+
+
+def _query_chunks(qt: DataFrame, by: Sequence[str], query_id: str) -> list[DataFrame]:
+    """The query terms in parts of bounded bytes; a query is in one."""
+    size = sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ["term", *by]], F.lit(48)).cast("long")
+    chunks = max(1, -(-(qt.agg(F.sum(size)).first()[0] or 0) // QUERY_BYTES))
+    if chunks == 1:
+        return [qt]
+    return [qt.where(F.pmod(F.xxhash64(*by, query_id), F.lit(chunks)) == i) for i in range(chunks)]
+
+
 def _scored(docs: DataFrame, queries: DataFrame, fields: Sequence[str], per_term, *, doc_id: str, query_id: str, query_text: str,
             by: Sequence[str]) -> DataFrame:
-    """(by..., query_id, doc_id, kw_score): the sums of ``per_term(n_docs, avgdl)`` over matching terms.
+    """(by..., query_id, doc_id, kw_score): the sums of ``per_term(tf, dl, avgdl, n_docs, n, holds)`` over matching terms."""
+    by = list(by)
+    chunks = _query_chunks(cut_lineage(query_terms(queries, query_id, query_text, by)), by, query_id)
+    parts = [_scored_chunk(docs, qt, fields, per_term, doc_id, query_id, by) for qt in chunks]
+    return functools.reduce(DataFrame.unionByName, parts)
+
 
-    The aggregated slice of matching terms is checkpointed, so the statistics, document frequencies and
-    postings all read it instead of scanning and tokenizing the text again.
+def _scored_chunk(docs: DataFrame, qt: DataFrame, fields: Sequence[str], per_term, doc_id: str, query_id: str, by: list[str]) -> DataFrame:
+    """``_scored`` of query terms that fit QUERY_BYTES.
+
+    The counted rows are checkpointed, so the statistics and scores read them instead of the text; everything sent to
+    the tasks is at most as large as the query terms.
     """
-    by, nf = list(by), len(fields)
-    qt = query_terms(queries, query_id, query_text, by)
-    # The vocabulary and its document frequencies are at most as large as the query terms.
-    bc = F.broadcast if fits_bytes(qt, ["term", *by]) else (lambda d: d)
-    vocab = qt.select(*by, "term").distinct().withColumn("hit", F.lit(True))
-    rows = cut_lineage(term_rows(spread(docs.select(*by, doc_id, *fields), doc_id), fields, doc_id, by, bc(vocab)))
-    postings = rows.filter(F.col("term").isNotNull()).repartition(doc_id)
-    stats = (rows.filter(F.col("term").isNull()).groupBy(*by)
-             .agg(F.count(F.lit(1)).alias("n_docs"), F.array(*[F.avg(F.get("dl", F.lit(i))) for i in range(nf)]).alias("avgdl")))
-    holds = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"n{i}") for i in range(nf)]
-    doc_freq = postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"), *holds)
+    spark, nf, keep = docs.sparkSession, len(fields), [*by, doc_id]
+    # Collections, queries and terms by number: a code is a collection's term, a collection's queries are consecutive.
     if by:
-        n_docs, avgdl = F.col("n_docs"), F.col("avgdl")
+        held = [tuple(r) for r in qt.select(*by).dropna().distinct().collect()]
+        numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(held)], T.StructType([*[qt.schema[c] for c in by], T.StructField("_c", T.IntegerType())]))
+        collections, numbers = max(1, len(held)), lambda d: d.join(F.broadcast(numbered), by)
     else:
-        n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    scored = postings.join(bc(doc_freq), [*by, "term"]).join(bc(qt), [*by, "term"])
-    if by:
-        # one row per collection
-        scored = scored.join(stats, by)
-    return (scored
-            .groupBy(*by, query_id, doc_id)
-            .agg(F.sum(per_term(n_docs, avgdl)).alias("kw_score")))
+        collections, numbers = 1, lambda d: d.withColumn("_c", F.lit(0))
+    asked = numbers(qt).select("_c", F.col(query_id).alias("q"), "term", "qtf").toArrow().combine_chunks()
+    group = asked.column("_c").to_numpy().astype(np.int64)
+    terms = pa.array(asked.column("term").unique(), pa.string())
+    term = pc.index_in(asked.column("term"), value_set=terms).to_numpy().astype(np.int64)
+    codes, code = np.unique(group * max(1, len(terms)) + term, return_inverse=True)
+    q = pa.concat_arrays(asked.column("q").chunks or [pa.array([], asked.schema.field("q").type)]).dictionary_encode(null_encoding="encode")
+    both, query = np.unique(np.column_stack([group, q.indices.to_numpy()]), axis=0, return_inverse=True)
+    ids, first = q.dictionary.take(pa.array(both[:, 1], pa.int64())), np.searchsorted(both[:, 0], np.arange(collections + 1))
+    order = np.argsort(code, kind="stable")
+    start = np.searchsorted(code[order], np.arange(len(codes) + 1))
+    place, qtf = (query.reshape(-1) - first[group])[order], asked.column("qtf").to_numpy()[order].astype(np.float64)
+    width = max(1, int(np.diff(first).max()))
+
+    d = spread(docs.select(*keep, *fields), doc_id).select(*keep, *[token_line(f).alias(f"_t{i}") for i, f in enumerate(fields)])
+    d = numbers(d)          # a document whose collection no query searches has no part
+    given = [docs.schema[c] for c in keep]
+    ints = lambda *cs: [T.StructField(c, T.ArrayType(T.IntegerType())) for c in cs]
+    number = T.StructField("_c", T.IntegerType())
+    vocabulary = spark.sparkContext.broadcast((terms, codes))
+    counted = d.mapInArrow(_count_fn(vocabulary, keep, nf), T.StructType([*given, number, *ints("dl", "codes", "tf")]))
+    grouped = counted.groupBy(*keep, "_c").agg(F.collect_list(F.struct("dl", "codes", "tf")).alias("v"))
+    rows = cut_lineage(grouped.mapInArrow(_merge_fn(keep, nf), T.StructType([*given, number, *ints("dl", "held", "codes", "tf")])))
+    vocabulary.destroy()
+
+    stats = (rows.select("_c", "dl", "held", "codes", "tf").mapInArrow(_stats_fn(nf, collections, len(codes)), "code long, n long, " + ", ".join(f"n{i} long" for i in range(nf)))
+             .groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(nf)]).toArrow())
+    at = stats.column("code").to_numpy()
+    n = np.zeros((collections + len(codes), 1 + nf), dtype=np.int64)
+    n[np.where(at < 0, -1 - at, collections + at)] = np.column_stack([stats.column(c).to_numpy() for c in ["n", *[f"n{i}" for i in range(nf)]]])
+    n_docs = n[:collections, 0]
+    avgdl = n[:collections, 1:] / np.maximum(n_docs, 1)[:, None]
+    sent = spark.sparkContext.broadcast((start, place, qtf, ids, first, width, n_docs, avgdl, n[collections:, 0], n[collections:, 1:]))
+    schema = T.StructType([*[docs.schema[c] for c in by], T.StructField(query_id, qt.schema[query_id].dataType), docs.schema[doc_id], T.StructField("kw_score", T.DoubleType())])
+    return rows.mapInArrow(_score_fn(sent, by, doc_id, schema.names, nf, per_term), schema)
+
+
+def _x(tf: np.ndarray, dl: np.ndarray, avgdl: np.ndarray, boosts: Sequence[float], b: float) -> np.ndarray:
+    """``normalised`` of arrays (posting, field)."""
+    return sum(float(w) * tf[:, i] / (1 - b + b * dl[:, i] / np.where(avgdl[:, i] > 0, avgdl[:, i], 1.0)) for i, w in enumerate(boosts))
+
+
+def _idf(n_docs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
 
 
 def bm25f(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, doc_id: str = "doc_id", query_id: str = "query_id",
           query_text: str = "text", by: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(by..., query_id, doc_id, kw_score): BM25F over the text columns ``fields`` (name -> boost)."""
-    def per_term(n_docs, avgdl):
-        x = normalised("tf", "dl", avgdl, list(fields.values()), b)
-        return F.col("qtf") * idf(n_docs, F.col("n")) * x * (k1 + 1) / (x + k1)
+    boosts = list(fields.values())
+
+    def per_term(tf, dl, avgdl, n_docs, n, holds):
+        x = _x(tf, dl, avgdl, boosts, b)
+        return _idf(n_docs, n) * x * (k1 + 1) / (x + k1)
     return _scored(docs, queries, list(fields), per_term, doc_id=doc_id, query_id=query_id, query_text=query_text, by=by)
 
 
@@ -126,11 +304,9 @@ def bm25_fields(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *
 
     Each field saturates by itself and has its own document frequencies.  One scan and one sum, as ``bm25f``.
     """
-    def per_term(n_docs, avgdl):
-        parts = []
-        for i, boost in enumerate(fields.values()):
-            one = F.array(F.get("tf", F.lit(i))), F.array(F.get("dl", F.lit(i))), F.array(F.get(avgdl, F.lit(i)))
-            x = normalised(*one, [1.0], b)
-            parts.append(F.lit(float(boost)) * idf(n_docs, F.col(f"n{i}")) * x * (k1 + 1) / (x + k1))
-        return F.col("qtf") * sum(parts[1:], parts[0])
+    boosts = list(fields.values())
+
+    def per_term(tf, dl, avgdl, n_docs, n, holds):
+        xs = [_x(tf[:, [i]], dl[:, [i]], avgdl[:, [i]], [1.0], b) for i in range(len(boosts))]
+        return sum(float(w) * _idf(n_docs, holds[:, i]) * x * (k1 + 1) / (x + k1) for i, (w, x) in enumerate(zip(boosts, xs, strict=True)))
     return _scored(docs, queries, list(fields), per_term, doc_id=doc_id, query_id=query_id, query_text=query_text, by=by)
