@@ -45,6 +45,8 @@ def _tie_margin(alpha: float) -> float:
 HITS_SENT = 200_000
 # Queries whose limits or thresholds (a few hundred bytes each) are sent to the pairs at most.
 MARKED_QUERIES = 200_000
+# Groups of documents a wanted hit whose best scores bound the keyword hits from below.
+PARTS = 16
 # Safety margin of the pruning bound, well above the 1e-6 score rounding.
 PRUNE_MARGIN = 1e-3
 
@@ -108,9 +110,15 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     sized = exchanged if by else (lambda d: d)
     if query_vectors is None or (doc_vectors is None and vector_index is None):
         a, dv = 0.0, None
-        kstats = cut_lineage(kw.groupBy("query_id").agg(F.min("kw_score").alias("kw_min"), F.max("kw_score").alias("kw_max")))
+        # The best score of each of many groups of documents: k of them reach the k-th best of these, so a score so far below
+        # it that rounding cannot tie the two does not rank, and is not sorted.
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS * k))
+        best = cut_lineage(kw.groupBy("query_id", part.alias("part")).agg(F.min("kw_score").alias("lo"), F.max("kw_score").alias("hi")))
+        floor = F.try_element_at(F.sort_array(F.collect_list("hi"), asc=False), F.lit(k))
+        kstats = cut_lineage(best.groupBy("query_id").agg(F.min("lo").alias("kw_min"), F.max("hi").alias("kw_max"), floor.alias("floor")))
         sent = F.broadcast(kstats) if fits(kstats, MARKED_QUERIES) else kstats
-        cand = (kw.join(sent, "query_id").withColumn("vec_score", F.lit(None).cast("double"))
+        near = F.col("floor").isNull() | (F.col("kw_score") >= F.col("floor") - 2e-6 * (F.col("kw_max") - F.col("kw_min")))
+        cand = (kw.join(sent, "query_id").where(near).drop("floor").withColumn("vec_score", F.lit(None).cast("double"))
                 .withColumn("vec_min", F.lit(None).cast("double"))
                 .withColumn("vec_max", F.lit(None).cast("double")))
     else:

@@ -88,3 +88,23 @@ def test_leg_ranks_are_counted_once(spark, monkeypatch):
     queries = spark.createDataFrame([(3, "a c1")], "query_id long, text string")
     rows = H.hybrid(docs, queries, doc_vectors=vec, query_vectors=vec, ranks=True).collect()
     assert len(rows) == 10 and len(seen) == 1 and "Join" not in seen[0]
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_keyword_only_hits_with_scores_that_rounding_ties(spark, monkeypatch, parts):
+    """Documents below the bound of the groups' best scores are left out before the sort; ties by rounding still go to the smaller id."""
+    monkeypatch.setattr(H, "PARTS", parts)
+    docs = spark.createDataFrame([(i, "w") for i in range(1)], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "w")], "query_id long, text string")
+    # scores 1e-6 apart over a range of 10: scaled, ten of them round to one
+    rows = [(7, 5000 - i, 10.0 - i * 1e-6) for i in range(300)] + [(7, i, float(i % 9)) for i in range(2000)] + [(8, 1, 2.0)]
+    kw = spark.createDataFrame(rows, "query_id long, doc_id long, kw_score double").repartition(4)
+    monkeypatch.setattr(H, "bm25f", lambda *a, **k: kw)
+    top = []
+    sort = H.top_k
+    monkeypatch.setattr(H, "top_k", lambda df, *a, **k: top.append(df) or sort(df, *a, **k))
+    got = H.hybrid(docs, queries, k=10).collect()
+    want = sorted(((round(s / 10.0, 6), d) for _, d, s in rows if _ == 7), key=lambda x: (-x[0], x[1]))[:10]
+    assert [(r.score, r.doc_id) for r in sorted((r for r in got if r.query_id == 7), key=lambda r: r["rank"])] == want
+    assert [(r.doc_id, r.score) for r in got if r.query_id == 8] == [(1, 1.0)]
+    assert parts == 1 or top[0].count() < 200
