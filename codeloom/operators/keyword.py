@@ -49,24 +49,24 @@ def query_terms(queries: DataFrame, query_id: str, text: str,
             .agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def term_rows(docs: DataFrame, fields: Sequence[str], doc_id: str, by: Sequence[str] = (), vocabulary: DataFrame | None = None) -> DataFrame:
-    """(by..., doc_id, dl, term, tf): a row a document and term, and one with a null term; dl and tf are arrays over ``fields``.
+def term_rows(docs: DataFrame, fields: Sequence[str], doc_id: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., doc_id, dl, m, e): a row a document id and lengths, ``m`` documents; ``e`` has (term, tf) of every term of each.
 
-    One scan: every field's tokens leave a document in one pass.  With ``vocabulary`` (by..., term, hit) only its terms do.
+    dl and tf are arrays over ``fields``.  One scan: words are counted per Arrow batch, rows, not terms, are exchanged.
     """
-    by = list(by)
-    toks = docs.select(*by, doc_id, *[tokens(f).alias(f"_t{i}") for i, f in enumerate(fields)])
-    toks = toks.withColumns({f"_t{i}": F.coalesce(f"_t{i}", F.array().cast("array<string>")) for i in range(len(fields))})
-    def mark(i: int) -> Column:
-        return F.transform(f"_t{i}", lambda t: F.struct(t.alias("term"), F.lit(i).alias("f")))
+    keep = [*by, doc_id]
+    lines = docs.select(*keep, *[token_line(f).alias(f"_t{i}") for i, f in enumerate(fields)])
+    e = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.ArrayType(T.LongType()))]))
+    counted = lines.mapInArrow(_words_fn(keep, len(fields)), T.StructType([*[lines.schema[c] for c in keep], T.StructField("dl", T.ArrayType(T.IntegerType())), T.StructField("e", e)]))
+    return counted.groupBy(*keep, "dl").agg(F.count(F.lit(1)).alias("m"), F.flatten(F.collect_list("e")).alias("e"))
+
 
-    marked = [mark(i) for i in range(len(fields))]
-    end = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("f")))
-    rows = toks.select(*by, doc_id, F.array(*[F.size(f"_t{i}") for i in range(len(fields))]).alias("dl"), F.explode(F.concat(*marked, end)).alias("e"))
-    rows = rows.select(*by, doc_id, "dl", "e.term", "e.f")
-    if vocabulary is not None:
-        rows = rows.join(vocabulary, [*by, "term"], "left").filter(F.col("hit") | F.col("term").isNull())
-    return rows.groupBy(*by, doc_id, "dl", "term").agg(F.array(*[F.count_if(F.col("f") == i) for i in range(len(fields))]).alias("tf"))
+def posting_rows(rows: DataFrame, nf: int) -> DataFrame:
+    """(by..., doc_id, dl, term, tf) of ``term_rows``; terms of several documents of one id and like lengths are added up."""
+    keep = [c for c in rows.columns if c not in ("m", "e")]
+    each = lambda d: d.select(*keep, F.explode("e").alias("e")).select(*keep, "e.term", "e.tf")
+    several = each(rows.where(F.col("m") > 1)).groupBy(*keep, "term").agg(F.array(*[F.sum(F.get("tf", F.lit(i))) for i in range(nf)]).alias("tf"))
+    return each(rows.where(F.col("m") == 1)).unionByName(several)
 
 
 def normalised(tf: Column | str, dl: Column | str, avgdl: Column, boosts: Sequence[float], b: float = B) -> Column:
@@ -123,6 +123,34 @@ def _count_fn(sent, keep: Sequence[str], nf: int):
     return run
 
 
+def _words_fn(keep: Sequence[str], nf: int):
+    """Rows (keep..., _t0...) -> (keep..., dl, e): every word of a document with its frequencies."""
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
+                n, dl, rows, flats = b.num_rows, np.zeros((b.num_rows, nf), dtype=np.int64), [], []
+                for i in range(nf):
+                    words = pc.split_pattern(b.column(f"_t{i}"), " ")
+                    row, flat = pc.list_parent_indices(words), words.flatten()
+                    full = pc.not_equal(flat, "")
+                    rows.append(row.filter(full).to_numpy(zero_copy_only=False).astype(np.int64))
+                    flats.append(flat.filter(full))
+                    dl[:, i] = np.bincount(rows[i], minlength=n)
+                words = pa.concat_arrays(flats).dictionary_encode()
+                k = max(1, len(words.dictionary))
+                held, inverse = np.unique(np.concatenate(rows) * k + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+                tf, upto = np.zeros((len(held), nf), dtype=np.int64), 0
+                for i, f in enumerate(rows):
+                    tf[:, i], upto = np.bincount(inverse[upto:upto + len(f)], minlength=len(held)), upto + len(f)
+                row, word = np.divmod(held, k)
+                tfs = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * nf, pa.int32()), pa.array(tf.ravel(), pa.int64()))
+                e = pa.StructArray.from_arrays([words.dictionary.take(pa.array(word)), tfs], names=["term", "tf"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], _lists(dl.ravel(), np.full(n, nf)), pa.ListArray.from_arrays(ends, e)], names=[*keep, "dl", "e"])
+    return run
+
+
 def _merge_fn(keep: Sequence[str], nf: int):
     """(keep..., _c, v) -> (keep..., _c, dl, held, codes, tf): the rows ``v`` of one id, those of like lengths added up.
 

@@ -13,8 +13,8 @@ A batch of queries reads the buckets of its terms.  Scores are first made for th
 best blocks; their k-th best score T is a lower end.  With a query's terms in the order of their largest
 contribution, a document whose last term in that order is t, in block b, scores at most the sum of the earlier
 terms' largest contributions plus b's: blocks for which that is below T are skipped, the documents of the others
-are candidates and scored fully.  So long lists of common terms are only looked up for candidates.  The result is
-that of ``bm25f`` over the same documents.
+are candidates and scored fully.  So long lists of common terms are only looked up for candidates, or, where most
+blocks are needed, read once.  The result is that of ``bm25f`` over the same documents.
 
 Queries go in chunks of bounded bytes.  Documents are told apart by (collection, id): an id appended twice to
 one collection is two documents' worth of statistics, as in an append-only collection (S4).  Null ids take no part.
@@ -28,14 +28,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizing import spread
+from ..functions.sizing import exchanged, fits_bytes, spread
 from ..session import cut_lineage, ensure_checkpoint_dir
-from .keyword import B, K1, idf, normalised, query_terms, term_rows
+from .keyword import B, K1, idf, normalised, posting_rows, query_terms, term_rows
 from .ranking import rounded, top_k
 
 BUCKETS = 64
 CHUNK_BYTES = 16 << 20      # of query terms handled at once
 SEED_DOCS = 16              # postings per wanted hit behind the first lower end
+LOOKED_UP = 50              # postings a candidate's lookup costs: fewer needed ones than this share are looked up, else all are read
 _ROUNDING = 2e-6            # scores are ranked at 6 places
 _POSTING = "grp string, term string, block int, doc_id long, tf array<long>, dl array<int>, tb int"
 _BLOCK = "grp string, term string, block int, n long, max_tf array<long>, min_dl array<int>, tb int"
@@ -64,7 +65,7 @@ class PostingsIndex:
         d = docs.where(F.col(doc_id).isNotNull()).select(g.alias("grp"), F.col(doc_id).cast("long").alias("doc_id"), *self.fields)
         rows = cut_lineage(term_rows(spread(d), self.fields, "doc_id", ["grp"]))
         level = lambda c: F.floor(F.log2(F.greatest(F.lit(1), F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))))
-        postings = rows.where(F.col("term").isNotNull()).withColumns({"block": (level("tf") * 64 + level("dl")).cast("int"), "tb": _bucket()})
+        postings = posting_rows(rows, nf).withColumns({"block": (level("tf") * 64 + level("dl")).cast("int"), "tb": _bucket()})
         # Terms are dealt by bucket and document, so a term that a third of all documents hold is many files.
         n = self.spark.sparkContext.defaultParallelism
         dealt = postings.repartition(n, "tb", F.pmod(F.xxhash64("doc_id"), F.lit(n))).sortWithinPartitions("tb", "term", "block")
@@ -73,7 +74,7 @@ class PostingsIndex:
          .agg(F.count("*").alias("n"), F.array(*[F.max(F.get("tf", F.lit(i))) for i in range(nf)]).alias("max_tf"),
               F.array(*[F.min(F.get("dl", F.lit(i))) for i in range(nf)]).alias("min_dl"))
          .repartition(n, "tb").write.mode("append").partitionBy("tb").parquet(f"{self.path}/blocks"))
-        (rows.where(F.col("term").isNull()).groupBy("grp")
+        (rows.groupBy("grp")
          .agg(F.count("*").alias("n_docs"), F.array(*[F.sum(F.get("dl", F.lit(i)).cast("long")) for i in range(nf)]).alias("sum_dl"))
          .write.mode("append").parquet(f"{self.path}/stats"))
 
@@ -112,6 +113,18 @@ class PostingsIndex:
         return (pairs.join(matched, ["grp", "doc_id"]).join(F.broadcast(terms), ["query_id", "grp", "term"])
                 .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * x * (k1 + 1) / (x + k1)).alias("kw_score")))
 
+    @staticmethod
+    def _all_scores(needed: DataFrame, matched: DataFrame, weights: DataFrame, boosts: Sequence[float], k1: float, b: float) -> DataFrame:
+        """``_scores`` of the documents in the needed blocks, by one pass over all postings of the queries' terms, where they lie."""
+        marked = weights.select("query_id", "grp", "term", "block", "w", "avgdl").join(
+            needed.select("query_id", "grp", "term", "block", F.lit(True).alias("need")), ["query_id", "grp", "term", "block"], "left")
+        marked = cut_lineage(marked)
+        sent = F.broadcast(marked) if fits_bytes(marked, ["grp", "term"]) else exchanged(marked)
+        x = normalised("tf", "dl", F.col("avgdl"), boosts, b)
+        return (matched.join(sent, ["grp", "term", "block"])
+                .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * x * (k1 + 1) / (x + k1)).alias("kw_score"), F.max("need").alias("need"))
+                .where("need").drop("need"))
+
     @staticmethod
     def needed(weights: DataFrame, lower: DataFrame) -> DataFrame:
         """(query_id, grp, term, block, n): the blocks whose documents may reach the query's lower end ``t`` (null: all)."""
@@ -154,9 +167,14 @@ class PostingsIndex:
         known = cut_lineage(self._scores(self._pairs(matched, seeds), matched, weights, boosts, k1, b).withColumn("score", rounded("kw_score")))
         lower = top_k(known, ["query_id"], "score", ["doc_id"], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("t"))
         needed = cut_lineage(self.needed(weights, lower))
+        held, read = weights.agg(F.sum("n")).first()[0] or 0, needed.agg(F.sum("n")).first()[0] or 0
         if skipped is not None:
-            skipped.append((weights.agg(F.sum("n")).first()[0] or 0, needed.agg(F.sum("n")).first()[0] or 0))
-        scored = self._scores(self._pairs(matched, needed.drop("n")), matched, weights, boosts, k1, b).withColumn("score", rounded("kw_score"))
+            skipped.append((held, read))
+        if read * LOOKED_UP > held:
+            scored = self._all_scores(needed, matched, weights, boosts, k1, b)
+        else:
+            scored = self._scores(self._pairs(matched, needed.drop("n")), matched, weights, boosts, k1, b)
+        scored = scored.withColumn("score", rounded("kw_score"))
         return cut_lineage(top_k(scored, ["query_id"], "score", ["doc_id"], k).select("query_id", "rank", "doc_id", "score"))
 
     def drop(self) -> None:

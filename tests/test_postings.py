@@ -74,3 +74,15 @@ def test_blocks_of_common_terms_are_skipped(spark):
     assert _rows(got) == _rows(top_k(s, ["query_id"], "score", ["doc_id"], 2))
     (all_postings, read), = skipped
     assert read < 0.5 * all_postings
+
+
+@pytest.mark.parametrize("looked_up", [0, 10**9])
+def test_rows_of_one_id_and_either_way_of_scoring(spark, monkeypatch, looked_up):
+    """Documents are exchanged as rows, not as terms; candidates looked up or all postings read give one result."""
+    monkeypatch.setattr(postings, "LOOKED_UP", looked_up)
+    docs = spark.createDataFrame([(i % 40, None, f"c{i % 3} c{i % 5} x") for i in range(120)] + [(None, None, "c1"), (7, None, None)], "doc_id long, title string, text string")
+    rows = postings.term_rows(docs.where("doc_id IS NOT NULL"), list(FIELDS), "doc_id")
+    assert rows.count() == 41 and rows._jdf.queryExecution().executedPlan().toString().count("Generate") == 0
+    index = PostingsIndex.build(docs, list(FIELDS))
+    queries = spark.createDataFrame([(1, "c1 c4 x"), (2, "C0 c3 c3")], "query_id long, text string")
+    assert _rows(index.topk(queries, 6, boosts=list(FIELDS.values()))) == _want(docs, queries, 6)
