@@ -186,10 +186,11 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     hits = top_k(fused, ["query_id"], "score", ["doc_id"], k).select(*columns)
     if not ranks:
         return hits
-    found = cut_lineage(hits)
-    hits = found.join(_leg_ranks(found, kw, k), ["query_id", "doc_id"], "left")
+    hits = cut_lineage(hits)
+    # Checkpointed, so the vector ranks do not count the keyword ranks again.
+    hits = cut_lineage(hits.join(_leg_ranks(hits, kw, k), ["query_id", "doc_id"], "left"))
     if a and dv is not None:
-        places = vector_ranks(dv, qv, found.where(F.col("vec_score").isNotNull()), doc_id="doc_id", doc_vec="dvec", query_id="query_id", query_vec="qvec", group=by)
+        places = vector_ranks(dv, qv, hits.where(F.col("vec_score").isNotNull()), doc_id="doc_id", doc_vec="dvec", query_id="query_id", query_vec="qvec", group=by)
         hits = hits.join(places, ["query_id", "doc_id"], "left")
     elif a:
         hits = hits.join(vt.select("query_id", "doc_id", F.col("vec_rank").cast("long").alias("vec_rank")), ["query_id", "doc_id"], "left")

@@ -75,7 +75,7 @@ def test_keyword_only_pairs_are_not_exchanged(spark):
 
 
 def test_leg_ranks_are_counted_once(spark, monkeypatch):
-    """The vector ranks are counted for the hits as checkpointed, not on top of the keyword ranks."""
+    """The vector ranks are counted for checkpointed hits, not on top of the keyword ranks."""
     seen = []
     ranks = H.vector_ranks
 
