@@ -10,12 +10,14 @@ group, and every A token of a group is linked with every B token of it.
    with the links of the groups they close, and finished lanes are compacted away.  A lane is a
    document; long documents get more lanes, which begin at cuts found near every LANE-th token,
    so that the number of steps does not follow the longest text.
-2. *Blocks.*  A task works through its documents in blocks of bounded text.  A block is one row:
+2. *Blocks.*  A task works through its documents in blocks of bounded text.  A block has
    its documents' figures, its distinct linked id pairs with the number of its documents that
-   hold them, and each document's pairs as places in that list.
+   hold them, and each document's pairs as places in that list, in rows of bounded size: readers,
+   writers and sorts hold many rows at once.
 3. *Counts.*  The blocks' pair counts are summed over the corpus, and the highest of each A id is
    taken.  Only a block's distinct pairs are shuffled, never tokens or texts.
-4. Each block gets its pairs' counts back and sums them for each document.
+4. Each block gets its pairs' counts back and sums them for each document; blocks are met with
+   their counts one after another, so a task holds one block whatever the number of its blocks.
 
 Encodings: a text is cut where both tokenizers always cut, each distinct piece is encoded once a
 worker by the library and kept in a table of bounded size.  Texts of plain Latin characters are cut
@@ -37,18 +39,24 @@ import hashlib
 import json
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import exchanged
 from .bpe import byte_alphabet
 from .common import discard, pick, staged
 from .token_files import plain_tokenizer
 
 BLOCK_BYTES = 4 << 20       # text of a block
 BLOCK_DOCS = 50_000         # documents of a block, at most
+ROW_PAIRS = 1 << 15         # pairs of a block's row, about; a document's are in one
+DOC_PAIRS = 16              # pairs that a document's other figures count as
+ROW_GROUP = 8 << 20         # bytes of the blocks' files that are read at once
 SLAB_BYTES = 2 << 20        # text aligned at once
 LANE = 256                  # A tokens of a lane, about
 LOOK = 32                   # tokens looked at for a lane's first cut
@@ -338,67 +346,86 @@ class _Block:
             self.n_links[d] += int(links[k])
 
     def row(self) -> pa.RecordBatch:
+        """The block as one row."""
+        (row,) = self.rows(0, 1 << 62)
+        return row
+
+    def rows(self, number: int, size: int = 0) -> Iterator[pa.RecordBatch]:
+        """The block under this number, ``size`` (ROW_PAIRS) pairs a row: some documents with their pairs, and the list's pairs from place ``first`` on."""
         self._align()
+        size = size or ROW_PAIRS
         none = np.zeros(0, np.int64)
         code, times = _summed(*(np.concatenate(c) for c in zip(*self.links, strict=True))) if self.links else (none, none)
         doc, pair = np.divmod(code, self.t.size_a * self.t.size_b)
         keys, place, holders = np.unique(pair, return_inverse=True, return_counts=True)
-        keys = keys // self.t.size_b << 32 | keys % self.t.size_b
+        keys, place = keys // self.t.size_b << 32 | keys % self.t.size_b, place.reshape(-1)
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         held = np.bincount(doc, minlength=len(self.doc_id))
-        step = np.diff(place.reshape(-1), prepend=0)            # small but where a document begins
-        return pa.record_batch({
-            "doc_id": one(self.doc_id, pa.int64()), "n_a": one(self.n_a, pa.int64()), "n_b": one(self.n_b, pa.int64()),
-            "n_groups": one(self.n_groups, pa.int64()), "n_links": one(self.n_links, pa.int64()),
-            "groups_sha256": one(["" if d is None else d.hexdigest() for d in self.digest], pa.string()),
-            "held": one(held, pa.int64()), "places": pa.array([_planes(step)], pa.binary()), "times": pa.array([_planes(times)], pa.binary()),
-            "keys": one(keys, pa.int64()), "holders": one(holders, pa.int64())})
+        ends, upto = np.concatenate([[0], np.cumsum(held)]), np.cumsum(held + DOC_PAIRS)
+        cuts = np.append(np.flatnonzero(np.diff((upto - held - DOC_PAIRS) // size, prepend=-1)), len(held))
+        for k in range(max(len(cuts) - 1, -(-len(keys) // size))):
+            lo, hi = cuts[min(k, len(cuts) - 1)], cuts[min(k + 1, len(cuts) - 1)]
+            own, listed = slice(ends[lo], ends[hi]), slice(k * size, (k + 1) * size)
+            step = np.diff(place[own], prepend=0)               # small but where a document begins
+            yield pa.record_batch({
+                "block": pa.array([number], pa.int64()), "first": pa.array([k * size], pa.int64()),
+                "doc_id": one(self.doc_id[lo:hi], pa.int64()), "n_a": one(self.n_a[lo:hi], pa.int64()), "n_b": one(self.n_b[lo:hi], pa.int64()),
+                "n_groups": one(self.n_groups[lo:hi], pa.int64()), "n_links": one(self.n_links[lo:hi], pa.int64()),
+                "groups_sha256": one(["" if d is None else d.hexdigest() for d in self.digest[lo:hi]], pa.string()),
+                "held": one(held[lo:hi], pa.int64()), "places": pa.array([_planes(step)], pa.binary()), "times": pa.array([_planes(times[own])], pa.binary()),
+                "keys": one(keys[listed], pa.int64()), "holders": one(holders[listed], pa.int64())})
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """64-bit integers as eight byte planes: small ones leave planes of zeros, which compress to nothing."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers as planes of bytes, as many as the largest needs: small ones are small in memory too."""
+    most = int(max(x.max(), -1 - x.min())) if len(x) else 0
+    width = most.bit_length() // 8 + 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, 8 - width:] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<i8").ravel() >> (64 - 8 * width)          # with their signs
 
 
 _DOC = "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>"
-_BLOCK = f"{_DOC}, held array<long>, places binary, times binary, keys array<long>, holders array<long>"
+_BLOCK = f"block long, first long, {_DOC}, held array<long>, places binary, times binary, keys array<long>, holders array<long>"
+_ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def _blocks(spec_a, model_b):
     def run(batches):
         t = loaded(spec_a.value, model_b.value)
-        block = _Block(t)
+        # Numbers of their own for every task: the partition's, then the block's in it.
+        block, number = _Block(t), TaskContext.get().partitionId() << 33
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 block.add(doc_id, text.as_py())
                 if block.bytes >= BLOCK_BYTES or len(block.doc_id) >= BLOCK_DOCS:
-                    yield block.row()
-                    block = _Block(t)
+                    yield from block.rows(number)
+                    block, number = _Block(t), number + 1
         if block.doc_id:
-            yield block.row()
+            yield from block.rows(number)
     return run
 
 
-def _scored(batches):
-    """Block rows with their pairs' corpus counts (in ``keys`` order) to one row a document."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            flat = lambda name: row[name].flatten()  # noqa: E731,B023
-            held = flat("held").to_numpy()
-            place, times = np.cumsum(_from_planes(row["places"][0].as_py())), _from_planes(row["times"][0].as_py())
-            found = row["found"].flatten()
-            order = np.empty(len(found), np.int64)
-            order[found.field("pos").to_numpy()] = np.arange(len(found))
-            count, best = found.field("n").to_numpy()[order], found.field("best").to_numpy(zero_copy_only=False)[order]
-            add = lambda x: _added(x, held)  # noqa: E731,B023
-            yield pa.record_batch({
-                **{c: flat(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")},
-                "n_best": pa.array(add(times * best[place])), "count_sum": pa.array(add(times * count[place])), "groups_sha256": flat("groups_sha256")})
+def _scored(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """A block's documents and its pairs' corpus counts to one row a document."""
+    order = np.empty(found.num_rows, np.int64)
+    order[found["pos"].to_numpy()] = np.arange(found.num_rows)
+    count, best = found["n"].to_numpy()[order], found["best"].to_numpy()[order]
+    parts = []
+    for k in range(docs.num_rows):
+        row = docs.slice(k, 1)
+        flat = lambda name: row[name].combine_chunks().flatten()  # noqa: E731,B023
+        held = flat("held").to_numpy()
+        place, times = np.cumsum(_from_planes(row["places"][0].as_py())), _from_planes(row["times"][0].as_py())
+        parts.append(pa.table({
+            **{c: flat(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")},
+            "n_best": pa.array(_added(times * best[place], held)), "count_sum": pa.array(_added(times * count[place], held)), "groups_sha256": flat("groups_sha256")}))
+    return pa.concat_tables(parts)
 
 
 def _added(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -408,7 +435,7 @@ def _added(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row a block, staged."""
+    """The blocks' rows, staged."""
     with open(path_a, encoding="utf-8") as f:
         spec_a = f.read()
     with open(path_b, "rb") as f:
@@ -417,7 +444,7 @@ def _aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     cast_a, cast_b = sc.broadcast(spec_a), sc.broadcast(model_b)    # bounded: the vocabulary files
     rows = pick(docs, doc_id="long", text="string").mapInArrow(_blocks(cast_a, cast_b), _BLOCK)
-    return staged(rows.withColumn("block", F.monotonically_increasing_id()), "alignment")
+    return staged(rows, "alignment", row_group=ROW_GROUP)
 
 
 def _pair_counts(blocks: DataFrame) -> DataFrame:
@@ -440,12 +467,11 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row; see the module's notes."""
     blocks = _aligned_blocks(docs, path_a, path_b)
     counts = staged(_pair_counts(blocks), "pair-counts")
-    found = (blocks.select("block", F.posexplode("keys").alias("pos", "key")).join(counts, "key")
-             .groupBy("block").agg(F.collect_list(F.struct("pos", "n", "best")).alias("found")))     # a block's pairs: bounded
-    empty = F.expr("CAST(array() AS array<struct<pos:int,n:bigint,best:boolean>>)")
-    out = staged(blocks.drop("keys", "holders").join(found, "block", "left").withColumn("found", F.coalesce("found", empty))
-                 .mapInArrow(_scored, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"),
-                 "aligned")
+    listed = blocks.select("block", "first", F.posexplode("keys").alias("at", "key")).select("block", "key", (F.col("first") + F.col("at")).cast("int").alias("pos"))
+    # The counts grow with the corpus: never sent whole, whatever their compressed size.
+    found = listed.join(exchanged(counts), "key").select(F.col("block").alias("of"), "pos", "n", "best")
+    own = blocks.where(F.size("doc_id") > 0).drop("first", "keys", "holders")
+    out = staged(own.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_scored, _ALIGNED), "aligned")
     discard(blocks, counts)
     return out
 

@@ -147,3 +147,33 @@ def test_query_over_its_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op11_token_alignment(spark, sf)) == brute(docs)
+
+
+def test_blocks_rows_stay_small_and_give_the_same(spark, monkeypatch):
+    data = [(i, t) for i, t, _, _ in X.rows(seed=7, long_words=600)]
+    block = T._Block(T._of_files(A, B))
+    for i, text in data:
+        block.add(i, text)
+    whole = block.row()
+    small = list(block.rows(5, 200))
+    most = max(whole["held"][0].as_py())
+    assert len(small) > 5 and sum(len(r["keys"][0]) for r in small) == len(whole["keys"][0])
+    for r in small:
+        assert len(r["keys"][0]) <= 200 and sum(r["held"][0].as_py()) <= 200 + most and r["block"].to_pylist() == [5]
+        assert len(r["places"][0].as_py()) < 3 * sum(r["held"][0].as_py()) + 2        # no eight bytes a pair
+    for c in ("doc_id", "held", "groups_sha256", "keys", "holders"):
+        assert [x for r in small for x in r[c][0].as_py()] == whole[c][0].as_py()
+    x = np.array([0, -1, 127, -128, 128, 1 << 40, -(1 << 40), (1 << 63) - 1, -(1 << 63)])
+    for n in range(len(x) + 1):
+        assert T._from_planes(T._planes(x[:n])).tolist() == x[:n].tolist()
+
+
+def test_blocks_of_several_rows_over_a_table(spark):
+    words = [f"{a}{b}" for a in "qwrtzpsdfg" for b in ("ala", "ork", "ist", "enu")]
+    data = [(i, " ".join(f"{w}{(i * 31 + k * 7) % 997} {chr(0x430 + (i + k) % 32)}" for k, w in enumerate(words))) for i in range(400)]
+    rows = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    blocks = T._aligned_blocks(rows, A, B)
+    sizes = blocks.selectExpr("block", "size(keys) AS n", "aggregate(held, 0L, (a, x) -> a + x) AS pairs").collect()
+    assert len({r["block"] for r in sizes}) == 1 and len(sizes) > 1
+    assert max(r["n"] for r in sizes) <= T.ROW_PAIRS and max(r["pairs"] for r in sizes) < 2 * T.ROW_PAIRS
+    assert got(T.align(rows, A, B)) == brute(data)
