@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import exchanged, fits
 from ..session import cut_lineage
+from . import fused
 from .keyword import bm25f
 from .ranking import rounded, top_k
 from .vector import pair_cosine, vector_ranks, vector_topk
@@ -81,13 +82,33 @@ def _leg_ranks(hits: DataFrame, kw: DataFrame, k: int) -> DataFrame:
     return each.select("query_id", F.col("e.marks.doc_id").alias("doc_id"), (F.col("e.1") + 1).alias("kw_rank"))
 
 
+def _query_vectors(queries: DataFrame, query_vectors: DataFrame, query_id: str, vec_id: str, vec: str, g: list[str]) -> DataFrame:
+    """(query_id, qvec, collection...) of the queries that have a vector row."""
+    return (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
+            .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id", "inner" if g else "left_semi"))
+
+
+HIT = ("query_id", "rank", "doc_id", "score", "kw_score", "kw_scaled", "vec_score", "vec_scaled")
+
+
+def _fused_top(cand: DataFrame, a: float, k: int) -> DataFrame:
+    """HIT rows of the k best candidates (query_id, doc_id, scores and ranges of both legs) of each query."""
+    k_s = _scaled("kw_score", "kw_min", "kw_max")
+    v_s = _scaled("vec_score", "vec_min", "vec_max")
+    scored = (cand
+              .withColumn("kw_scaled", F.when(F.col("kw_score").isNotNull(), rounded(k_s)))
+              .withColumn("vec_scaled", F.when(F.col("vec_score").isNotNull(), rounded(v_s)))
+              .withColumn("score", rounded(F.lit(a) * v_s + F.lit(round(1.0 - a, 12)) * k_s)))
+    return top_k(scored, ["query_id"], "score", ["doc_id"], k).select(*HIT)
+
+
 def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text",
            query_id: str = "query_id", query_text: str = "text",
            doc_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
            vec_id: str = "vec_id", vec: str = "embedding",
            alpha: float = ALPHA, k: int = LIMIT, by: str | None = None,
            depth: int = DEPTH, fields: dict[str, float] | None = None,
-           vector_index: VectorIndex | None = None, ranks: bool = False) -> DataFrame:
+           vector_index: VectorIndex | None = None, ranks: bool = False, doc_vec: str | None = None) -> DataFrame:
     """Top-k fused hits: (query_id, rank, doc_id, score, kw_score, kw_scaled, vec_score, vec_scaled[, kw_rank, vec_rank]).
 
     ``doc_vectors`` / ``query_vectors`` are (vec_id, embedding) tables keyed by
@@ -98,14 +119,22 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
     ``fields`` (name -> boost) are searched by BM25F instead of ``doc_text``.
     With ``vector_index`` (and ``query_vectors``) the vector leg is what the index returns, the ``depth`` best,
     scaled among themselves; other documents have no vector leg.  ``ranks`` adds each hit's place in either leg.
+    ``doc_vec`` (instead of ``doc_vectors``) is a column of ``docs`` with their vectors; a document id is then one row of
+    ``docs``, and both legs are scored where it lies (see ``fused``), without ``depth``.
     """
+    g = [by] if by else []
+    if doc_vec is not None and query_vectors is not None:
+        if ranks:
+            raise ValueError("ranks need doc_vectors")
+        cand = fused.candidates(docs, queries, _query_vectors(queries, query_vectors, query_id, vec_id, vec, g), fields or {doc_text: 1.0}, doc_id=doc_id,
+                                doc_vec=doc_vec, query_id=query_id, query_text=query_text, by=g, alpha=alpha, k=k)
+        return _fused_top(cand, alpha, k)
     # The keyword pairs are summed from the checkpointed document rows wherever they are needed, inside document
     # partitions; neighbours are brought to the documents, so no exchange is made on (query, document).
     kw = (bm25f(docs, queries, fields or {doc_text: 1.0}, doc_id=doc_id, query_id=query_id,
                 query_text=query_text, by=[by] if by else ())
           .select(F.col(query_id).cast("long").alias("query_id"),
                   F.col(doc_id).cast("long").alias("doc_id"), rounded("kw_score").alias("kw_score")))
-    g = [by] if by else []
     # Collections by snapshot are made of parsed files, whose plans misjudge their size; stored tables' do not.
     sized = exchanged if by else (lambda d: d)
     if query_vectors is None or (doc_vectors is None and vector_index is None):
@@ -125,9 +154,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         a = alpha
         b1 = round(1.0 - a, 12)
         depth = max(k, depth)
-        qv = (query_vectors.select(F.col(vec_id).cast("long").alias("query_id"), F.col(vec).alias("qvec"))
-              .join(queries.select(F.col(query_id).cast("long").alias("query_id"), *g), "query_id",
-                    "inner" if by else "left_semi"))
+        qv = _query_vectors(queries, query_vectors, query_id, vec_id, vec, g)
         if vector_index is not None:
             dv = None
             vt = cut_lineage(vector_index.topk(qv, depth, query_id="query_id", query_vec="qvec", by=by))
@@ -176,14 +203,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
                 .unionByName(known.select("query_id", "doc_id", "kw_score", "kw_min", "kw_max", "vec_score"))
                 .join(vs, "query_id", "left"))
 
-    k_s = _scaled("kw_score", "kw_min", "kw_max")
-    v_s = _scaled("vec_score", "vec_min", "vec_max")
-    fused = (cand
-             .withColumn("kw_scaled", F.when(F.col("kw_score").isNotNull(), rounded(k_s)))
-             .withColumn("vec_scaled", F.when(F.col("vec_score").isNotNull(), rounded(v_s)))
-             .withColumn("score", rounded(F.lit(a) * v_s + F.lit(round(1.0 - a, 12)) * k_s)))
-    columns = ["query_id", "rank", "doc_id", "score", "kw_score", "kw_scaled", "vec_score", "vec_scaled"]
-    hits = top_k(fused, ["query_id"], "score", ["doc_id"], k).select(*columns)
+    hits = _fused_top(cand, a, k)
     if not ranks:
         return hits
     hits = cut_lineage(hits)
@@ -196,7 +216,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id", doc_t
         hits = hits.join(vt.select("query_id", "doc_id", F.col("vec_rank").cast("long").alias("vec_rank")), ["query_id", "doc_id"], "left")
     else:
         hits = hits.withColumn("vec_rank", F.lit(None).cast("long"))
-    return hits.select(*columns, "kw_rank", "vec_rank")
+    return hits.select(*HIT, "kw_rank", "vec_rank")
 
 
 def typed_hits(hits: DataFrame, snippets: DataFrame, issues: DataFrame, issue_id: str,

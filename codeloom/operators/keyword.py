@@ -20,11 +20,13 @@ columns (e.g. snapshot_id).
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,8 +93,10 @@ def _flat(c: pa.Array, width: int | None = None) -> np.ndarray:
     return v if width is None else v.reshape(-1, width)
 
 
-def _count_fn(sent, keep: Sequence[str], nf: int):
-    """Rows (keep..., _c, _t0...) -> (keep..., _c, dl, codes, tf): a document's words that queries of its collection ask for."""
+def _count_fn(sent, keep: Sequence[str], nf: int, done: bool = False):
+    """Rows (keep..., _c, _t0...) -> (keep..., _c, dl, codes, tf): a document's words that queries of its collection ask for.
+
+    With ``done`` a row is a whole document, and gets ``held`` as behind ``_merge_fn``."""
     def run(batches):
         terms, asked = sent.value           # distinct terms; sorted collection * len(terms) + term, a code's place in it
         k = max(1, len(terms))
@@ -118,8 +122,8 @@ def _count_fn(sent, keep: Sequence[str], nf: int):
                     tf[:, i], upto = np.bincount(inverse[upto:upto + len(f)], minlength=len(posting)), upto + len(f)
                 row, code = np.divmod(posting, max(1, len(asked)))
                 held = np.bincount(row, minlength=n)
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_c"), _lists(dl.ravel(), np.full(n, nf)), _lists(code, held), _lists(tf.ravel(), held * nf)],
-                                                 names=[*keep, "_c", "dl", "codes", "tf"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("_c"), _lists(dl.ravel(), np.full(n, nf)), *([_lists(held, np.ones(n, np.int64))] if done else []),
+                                                  _lists(code, held), _lists(tf.ravel(), held * nf)], names=[*keep, "_c", "dl", *(["held"] if done else []), "codes", "tf"])
     return run
 
 
@@ -194,46 +198,57 @@ def _stats_fn(nf: int, collections: int, codes: int):
     return run
 
 
+def slabs(value, b: pa.RecordBatch, nf: int, per_term):
+    """(lo, hi, collection of each, scores, which are): the batch's documents from lo to hi, a cell each of their collection's queries."""
+    start, place, qtf, _, _, width, n_docs, avgdl, n, holds = value
+    many = np.diff(start)
+    code, tf = _flat(b.column("codes")), _flat(b.column("tf"), nf)
+    dl = np.repeat(_flat(b.column("dl"), nf), _flat(b.column("held")), axis=0)
+    row = pc.list_parent_indices(b.column("codes")).to_numpy(zero_copy_only=False)
+    group = b.column("_c").to_numpy(zero_copy_only=False).astype(np.int64)
+    of = group[row]
+    worth = per_term(tf, dl, avgdl[of], n_docs[of], n[code], holds[code])
+    times = many[code]
+    cost = np.bincount(row, weights=times, minlength=b.num_rows)
+    lo, ends = 0, np.searchsorted(row, np.arange(b.num_rows + 1))
+    upto = np.concatenate([[0], np.cumsum(cost)])
+    while lo < b.num_rows:
+        # Documents whose sums and addends fit, one at least.
+        hi = max(lo + 1, min(lo + max(1, _CELLS // width), int(np.searchsorted(upto, upto[lo] + 4 * _CELLS, side="right")) - 1))
+        p = slice(ends[lo], ends[hi])
+        t = times[p]
+        at = np.repeat(start[code[p]] - np.concatenate([[0], np.cumsum(t)[:-1]]), t) + np.arange(int(t.sum()))
+        cell = np.repeat((row[p] - lo) * width, t) + place[at]
+        score = np.bincount(cell, weights=np.repeat(worth[p], t) * qtf[at], minlength=(hi - lo) * width)
+        met = np.zeros(len(score), dtype=bool)
+        met[cell] = True
+        yield lo, hi, group[lo:hi], score, met
+        lo = hi
+
+
 def _score_fn(sent, by: Sequence[str], doc_id: str, names: Sequence[str], nf: int, per_term):
     """(by..., query_id, doc_id, kw_score) of each document row, over the query terms sent."""
     def run(batches):
-        start, place, qtf, ids, first, width, n_docs, avgdl, n, holds = sent.value
-        many = np.diff(start)
+        ids, first, width = sent.value[3:6]
         for b in batches:
-            code, tf = _flat(b.column("codes")), _flat(b.column("tf"), nf)
-            dl = np.repeat(_flat(b.column("dl"), nf), _flat(b.column("held")), axis=0)
-            row = pc.list_parent_indices(b.column("codes")).to_numpy(zero_copy_only=False)
-            group = b.column("_c").to_numpy(zero_copy_only=False).astype(np.int64)
-            of = group[row]
-            worth = per_term(tf, dl, avgdl[of], n_docs[of], n[code], holds[code])
-            times = many[code]
-            cost = np.bincount(row, weights=times, minlength=b.num_rows)
-            lo, ends = 0, np.searchsorted(row, np.arange(b.num_rows + 1))
-            upto = np.concatenate([[0], np.cumsum(cost)])
-            while lo < b.num_rows:
-                # Documents whose sums and addends fit, one at least.
-                hi = max(lo + 1, min(lo + max(1, _CELLS // width), int(np.searchsorted(upto, upto[lo] + 4 * _CELLS, side="right")) - 1))
-                p = slice(ends[lo], ends[hi])
-                t = times[p]
-                total = int(t.sum())
-                if total:
-                    at = np.repeat(start[code[p]] - np.concatenate([[0], np.cumsum(t)[:-1]]), t) + np.arange(total)
-                    cell = np.repeat((row[p] - lo) * width, t) + place[at]
-                    score = np.bincount(cell, weights=np.repeat(worth[p], t) * qtf[at], minlength=(hi - lo) * width)
-                    met = np.zeros(len(score), dtype=bool)
-                    met[cell] = True
-                    r, q = np.divmod(np.flatnonzero(met), width)
+            for lo, _, group, score, met in slabs(sent.value, b, nf, per_term):
+                r, q = np.divmod(np.flatnonzero(met), width)
+                if len(r):
                     docs = pa.array(r + lo)
-                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(docs) for c in by], ids.take(pa.array(first[group[r + lo]] + q)), b.column(doc_id).take(docs),
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(docs) for c in by], ids.take(pa.array(first[group[r]] + q)), b.column(doc_id).take(docs),
                                                       pa.array(score[met], pa.float64())], names=list(names))
-                lo = hi
     return run
 
 
+def chunks_of(qt: DataFrame, by: Sequence[str]) -> int:
+    """How many parts of at most QUERY_BYTES the query terms make."""
+    size = sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ["term", *by]], F.lit(48)).cast("long")
+    return max(1, -(-(qt.agg(F.sum(size)).first()[0] or 0) // QUERY_BYTES))
+
+
 def _query_chunks(qt: DataFrame, by: Sequence[str], query_id: str) -> list[DataFrame]:
     """The query terms in parts of bounded bytes; a query is in one."""
-    size = sum([F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ["term", *by]], F.lit(48)).cast("long")
-    chunks = max(1, -(-(qt.agg(F.sum(size)).first()[0] or 0) // QUERY_BYTES))
+    chunks = chunks_of(qt, by)
     if chunks == 1:
         return [qt]
     return [qt.where(F.pmod(F.xxhash64(*by, query_id), F.lit(chunks)) == i) for i in range(chunks)]
@@ -244,20 +259,41 @@ def _scored(docs: DataFrame, queries: DataFrame, fields: Sequence[str], per_term
     """(by..., query_id, doc_id, kw_score): the sums of ``per_term(tf, dl, avgdl, n_docs, n, holds)`` over matching terms."""
     by = list(by)
     chunks = _query_chunks(cut_lineage(query_terms(queries, query_id, query_text, by)), by, query_id)
-    parts = [_scored_chunk(docs, qt, fields, per_term, doc_id, query_id, by) for qt in chunks]
-    return functools.reduce(DataFrame.unionByName, parts)
+    return functools.reduce(DataFrame.unionByName, [_counted(docs, qt, fields, per_term, doc_id, query_id, by).pairs() for qt in chunks])
+
+
+@dataclass(frozen=True)
+class Counted:
+    """Documents with the frequencies of their query terms, and what is sent to the tasks to score them."""
 
+    rows: DataFrame             # checkpointed: (by..., doc_id[, vec], _c, dl, held, codes, tf)
+    sent: Broadcast
+    held: list[tuple]           # the collections by number
+    schema: T.StructType        # of pairs
+    nf: int
+    per_term: Callable
+    by: list[str]
+    doc_id: str
 
-def _scored_chunk(docs: DataFrame, qt: DataFrame, fields: Sequence[str], per_term, doc_id: str, query_id: str, by: list[str]) -> DataFrame:
-    """``_scored`` of query terms that fit QUERY_BYTES.
+    def pairs(self) -> DataFrame:
+        """(by..., query_id, doc_id, kw_score) of every document and query that share a term."""
+        return self.rows.mapInArrow(_score_fn(self.sent, self.by, self.doc_id, self.schema.names, self.nf, self.per_term), self.schema)
+
+
+def _counted(docs: DataFrame, qt: DataFrame, fields: Sequence[str], per_term, doc_id: str, query_id: str, by: list[str],
+             vec: str | None = None, also: DataFrame | None = None) -> Counted:
+    """The documents counted for query terms that fit QUERY_BYTES.
 
     The counted rows are checkpointed, so the statistics and scores read them instead of the text; everything sent to
-    the tasks is at most as large as the query terms.
+    the tasks is at most as large as the query terms.  With ``vec``, a column of ``docs``, the rows carry it; a document id
+    is then one row, and rows are not exchanged.  ``also`` has collections (by...) that count beside those of the terms.
     """
-    spark, nf, keep = docs.sparkSession, len(fields), [*by, doc_id]
+    spark, nf, keep = docs.sparkSession, len(fields), [*by, doc_id, *([vec] if vec else [])]
+    held = [()]
     # Collections, queries and terms by number: a code is a collection's term, a collection's queries are consecutive.
     if by:
-        held = [tuple(r) for r in qt.select(*by).dropna().distinct().collect()]
+        asking = qt.select(*by) if also is None else qt.select(*by).unionByName(also.select(*by))
+        held = [tuple(r) for r in asking.dropna().distinct().collect()]
         numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(held)], T.StructType([*[qt.schema[c] for c in by], T.StructField("_c", T.IntegerType())]))
         collections, numbers = max(1, len(held)), lambda d: d.join(F.broadcast(numbered), by)
     else:
@@ -281,9 +317,13 @@ def _scored_chunk(docs: DataFrame, qt: DataFrame, fields: Sequence[str], per_ter
     ints = lambda *cs: [T.StructField(c, T.ArrayType(T.IntegerType())) for c in cs]
     number = T.StructField("_c", T.IntegerType())
     vocabulary = spark.sparkContext.broadcast((terms, codes))
-    counted = d.mapInArrow(_count_fn(vocabulary, keep, nf), T.StructType([*given, number, *ints("dl", "codes", "tf")]))
-    grouped = counted.groupBy(*keep, "_c").agg(F.collect_list(F.struct("dl", "codes", "tf")).alias("v"))
-    rows = cut_lineage(grouped.mapInArrow(_merge_fn(keep, nf), T.StructType([*given, number, *ints("dl", "held", "codes", "tf")])))
+    whole = T.StructType([*given, number, *ints("dl", "held", "codes", "tf")])
+    if vec:
+        rows = cut_lineage(d.mapInArrow(_count_fn(vocabulary, keep, nf, True), whole))
+    else:
+        counted = d.mapInArrow(_count_fn(vocabulary, keep, nf), T.StructType([*given, number, *ints("dl", "codes", "tf")]))
+        grouped = counted.groupBy(*keep, "_c").agg(F.collect_list(F.struct("dl", "codes", "tf")).alias("v"))
+        rows = cut_lineage(grouped.mapInArrow(_merge_fn(keep, nf), whole))
     vocabulary.destroy()
 
     stats = (rows.select("_c", "dl", "held", "codes", "tf").mapInArrow(_stats_fn(nf, collections, len(codes)), "code long, n long, " + ", ".join(f"n{i} long" for i in range(nf)))
@@ -295,7 +335,7 @@ def _scored_chunk(docs: DataFrame, qt: DataFrame, fields: Sequence[str], per_ter
     avgdl = n[:collections, 1:] / np.maximum(n_docs, 1)[:, None]
     sent = spark.sparkContext.broadcast((start, place, qtf, ids, first, width, n_docs, avgdl, n[collections:, 0], n[collections:, 1:]))
     schema = T.StructType([*[docs.schema[c] for c in by], T.StructField(query_id, qt.schema[query_id].dataType), docs.schema[doc_id], T.StructField("kw_score", T.DoubleType())])
-    return rows.mapInArrow(_score_fn(sent, by, doc_id, schema.names, nf, per_term), schema)
+    return Counted(rows, sent, held, schema, nf, per_term, by, doc_id)
 
 
 def _x(tf: np.ndarray, dl: np.ndarray, avgdl: np.ndarray, boosts: Sequence[float], b: float) -> np.ndarray:
@@ -307,15 +347,23 @@ def _idf(n_docs: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
 
 
+def _bm25f_term(boosts: Sequence[float], k1: float, b: float):
+    def per_term(tf, dl, avgdl, n_docs, n, holds):
+        x = _x(tf, dl, avgdl, boosts, b)
+        return _idf(n_docs, n) * x * (k1 + 1) / (x + k1)
+    return per_term
+
+
 def bm25f(docs: DataFrame, queries: DataFrame, fields: dict[str, float], *, doc_id: str = "doc_id", query_id: str = "query_id",
           query_text: str = "text", by: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(by..., query_id, doc_id, kw_score): BM25F over the text columns ``fields`` (name -> boost)."""
-    boosts = list(fields.values())
+    return _scored(docs, queries, list(fields), _bm25f_term(list(fields.values()), k1, b), doc_id=doc_id, query_id=query_id, query_text=query_text, by=by)
 
-    def per_term(tf, dl, avgdl, n_docs, n, holds):
-        x = _x(tf, dl, avgdl, boosts, b)
-        return _idf(n_docs, n) * x * (k1 + 1) / (x + k1)
-    return _scored(docs, queries, list(fields), per_term, doc_id=doc_id, query_id=query_id, query_text=query_text, by=by)
+
+def bm25f_counted(docs: DataFrame, terms: DataFrame, fields: dict[str, float], *, doc_id: str, query_id: str, by: Sequence[str], vec: str,
+                  also: DataFrame, k1: float = K1, b: float = B) -> Counted:
+    """The documents of ``bm25f`` with their vectors ``vec``, counted for these ``query_terms``; see ``_counted``."""
+    return _counted(docs, terms, list(fields), _bm25f_term(list(fields.values()), k1, b), doc_id, query_id, list(by), vec, also)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, doc_id: str = "doc_id",

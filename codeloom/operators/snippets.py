@@ -13,14 +13,16 @@ def inline_comments(code: Column | str) -> Column:
     """Array of comments, one per line holding '#': from the first '#' to the end
     of the stripped line, kept if longer than 2 characters, in line order."""
     c = F.col(code) if isinstance(code, str) else code
-    stripped = F.transform(splitlines(c), lambda l: py_strip(l))
-    found = F.transform(stripped, lambda l: F.when(F.instr(l, "#") > 0, F.substr(l, F.instr(l, "#"))))
-    return F.filter(found, lambda x: x.isNotNull() & (F.length(x) > 2))
+    # Only lines with the sign are stripped, which takes it from none.
+    stripped = F.transform(F.filter(splitlines(c), lambda l: l.contains("#")), lambda l: py_strip(l))
+    found = F.transform(stripped, lambda l: F.substr(l, F.instr(l, "#")))
+    return F.filter(found, lambda x: F.length(x) > 2)
 
 
 def explode_comments(df: DataFrame, code: str, keep: list[str]) -> DataFrame:
     """One row per kept comment with its renumbered position ``i`` (no shuffle)."""
-    return spread(df, *keep).select(*keep, F.posexplode(inline_comments(code)).alias("i", "comment"))
+    some = spread(df, *keep).where(F.col(code).contains("#"))
+    return some.select(*keep, F.posexplode(inline_comments(code)).alias("i", "comment"))
 
 
 def singleton_classes(classes: DataFrame, code: str = "code_snippet") -> DataFrame:

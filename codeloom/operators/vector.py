@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.sizing import fits, spread
 from ..session import cut_lineage
+from .predict import resolve, worker_model
 from .ranking import SCORE_DECIMALS, top_k
 
 MAX_QUERY_ROWS = 50_000       # rows per broadcast query chunk
@@ -257,15 +258,14 @@ def hashing_embedder(dim: int = 64):
     def make_predict_fn():
         import re
         import zlib
-        split = re.compile(r"[^\w]+", re.UNICODE)
+        words = re.compile(r"\w+", re.UNICODE).findall
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for i, t in enumerate(texts):
-                for tok in split.split(str(t).lower()):
-                    if tok:
-                        h = zlib.crc32(tok.encode("utf-8"))
-                        out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+            found = [words(str(t).lower()) for t in texts]
+            h = np.array([zlib.crc32(w.encode("utf-8")) for ws in found for w in ws], dtype=np.int64)
+            cell = np.repeat(np.arange(len(found)), [len(ws) for ws in found]) * dim + h % dim
+            signs = np.where(h >> 16 & 1, 1.0, -1.0)
+            out = np.bincount(cell, weights=signs, minlength=len(found) * dim).reshape(len(found), dim).astype(np.float32)
             n = np.linalg.norm(out, axis=1, keepdims=True)
             n[n == 0] = 1.0
             return out / n
@@ -275,12 +275,25 @@ def hashing_embedder(dim: int = 64):
 
 def embed(df: DataFrame, text: str = "text", out: str = "embedding", model=None,
           batch_size: int = 64, dim: int = 64) -> DataFrame:
-    """V1: add an embedding column with a batch model (Arrow batches, model loaded once per worker)."""
-    from pyspark.ml.functions import predict_batch_udf
-    make = model if model is not None else hashing_embedder(dim)
-    udf = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=None)
-    return df.withColumn(out, udf(F.col(text)))
+    """V1: add an embedding column with a batch model (Arrow batches, model loaded once per worker).
+
+    The model gets ``batch_size`` texts at a time and gives a matrix, a row a text; only texts and vectors go to and from
+    Python, as Arrow columns."""
+    token, make = resolve(model if model is not None else hashing_embedder(dim))
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embedded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            texts = np.array([*b.to_pylist(), None], dtype=object)[:-1]
+            parts = [pa.array([], pa.list_(pa.float32()))]
+            for at in range(0, len(texts), batch_size):
+                got = np.asarray(worker_model(token, make)(texts[at:at + batch_size]), dtype=np.float32)
+                n = len(texts[at:at + batch_size])
+                if got.ndim != 2 or len(got) != n:
+                    raise ValueError(f"vectors of shape {got.shape} for {n} texts")
+                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * got.shape[1], pa.int32()), pa.array(got.ravel(), pa.float32())))
+            yield pa.concat_arrays(parts)
+    return df.withColumn(out, embedded(F.col(text)))
 
 
 def pair_cosine(pairs: DataFrame, doc_vec: str, query_vec: str, out: str = "vec_score") -> DataFrame:

@@ -86,8 +86,10 @@ def ingest(source_files: DataFrame | None = None, *, parsed: DataFrame | None =
     # Ids follow from the content, so every ingest of a corpus gives the same ones; rows equal in all
     # of it are told apart by their count.
     content = ["snapshot_id", "snippet_id", "type", "file", "name", "text"]
-    nth = F.row_number().over(Window.partitionBy(*content).orderBy("lineno"))
-    snippets = cut_lineage(embed(snippets.withColumn("doc_id", F.xxhash64(*content, nth))))
+    # (told apart by the contents' hash, which is sorted faster than they are; a collision gives two ids as well)
+    nth = F.row_number().over(Window.partitionBy("same").orderBy("lineno"))
+    numbered = snippets.withColumn("same", F.xxhash64(*content)).withColumn("doc_id", F.xxhash64(*content, nth)).drop("same")
+    snippets = cut_lineage(embed(numbered))
     if nodes is None:
         nodes = cut_lineage(G.nodes(parsed))  # read by every endpoint check and name lookup
     edges = (G.contains_edges(parsed).unionByName(G.inherits_overrides(parsed, st))
@@ -106,10 +108,9 @@ def run_issues(issues: DataFrame, kb: dict[str, DataFrame], provider_prefix: str
     sn = kb["snippets"]
     # Dual retrieval, per snapshot: hybrid search of the vector query over that snapshot's snippets.
     qv = embed(q.select(F.col("issue_id").alias("vec_id"), F.col("vector_query").alias("text")))
-    hy = hybrid(sn.select("snapshot_id", "doc_id", "text"),
+    hy = hybrid(sn.select("snapshot_id", "doc_id", "text", "embedding"),
                 q.select("snapshot_id", "issue_id", F.col("vector_query").alias("text")),
-                doc_id="doc_id", query_id="issue_id",
-                doc_vectors=sn.select(F.col("doc_id").alias("vec_id"), "embedding"), query_vectors=qv,
+                doc_id="doc_id", query_id="issue_id", doc_vec="embedding", query_vectors=qv,
                 by="snapshot_id")
     hits = typed_hits(hy, sn, q.select("issue_id"), "issue_id", HIT_TYPES)
     hit_lists = hits_text(hits, "issue_id")
