@@ -33,14 +33,12 @@ def singleton_classes(classes: DataFrame, code: str = "code_snippet") -> DataFra
 def _usage(funcs: DataFrame, calls: DataFrame) -> DataFrame:
     """X18: 'name calls: a, b' from the caller's list, else (missing or empty) the list of its
     last dotted segment in the same file; no row when both are empty."""
-    by_name = calls.select("snapshot_id", "path", F.col("caller").alias("name"),
-                           F.when(F.size("callees") > 0, F.col("callees")).alias("own"))
-    by_tail = calls.select("snapshot_id", "path", F.col("caller").alias("tail"),
-                           F.when(F.size("callees") > 0, F.col("callees")).alias("tail_calls"))
-    f = funcs.withColumn("tail", F.element_at(F.split("name", "\\."), -1))
-    u = (f.join(exchanged(by_name), ["snapshot_id", "path", "name"], "left")
-         .join(exchanged(by_tail), ["snapshot_id", "path", "tail"], "left")
-         .withColumn("cl", F.coalesce("own", "tail_calls")))
+    # One join by file: a file's lists are a map (one list a caller), looked up by either name.
+    lists = (calls.where(F.size("callees") > 0).groupBy("snapshot_id", "path")
+             .agg(F.map_from_entries(F.collect_list(F.struct("caller", "callees"))).alias("lists")))
+    tail = F.element_at(F.split("name", "\\."), -1)
+    u = (funcs.select("snapshot_id", "path", "name", "sid").join(exchanged(lists), ["snapshot_id", "path"])
+         .withColumn("cl", F.coalesce(F.try_element_at("lists", F.col("name")), F.try_element_at("lists", tail))))
     return u.filter(F.col("cl").isNotNull()).select(
         "snapshot_id", "path", "name", "sid",
         F.concat(F.col("name"), F.lit(" calls: "), F.array_join("cl", ", ")).alias("usage"))
